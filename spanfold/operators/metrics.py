@@ -139,8 +139,8 @@ def classification_metrics(df: DataFrame, label: str = "label", score: str = "sc
     are cut into ``buckets`` equal-width score buckets (a bounded table whose prefix
     is one small window), then prefixed inside each bucket.
     """
-    pred = F.when(F.col(score) > F.lit(threshold), 1).otherwise(0)
-    d = df.select(F.col(label).cast("int").alias("y"), F.col(score).cast("double").alias("s")).withColumn("p", pred)
+    d = df.select(F.col(label).cast("int").alias("y"), F.col(score).cast("double").alias("s"))
+    d = d.withColumn("p", F.when(F.col("s") > F.lit(threshold), 1).otherwise(0))
     ranks = _score_ranks(d)
     auc_part = ranks.agg(F.sum(F.col("avg_rank") * F.col("pos")).alias("rank_sum_pos"))
     m = d.agg(

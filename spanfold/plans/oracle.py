@@ -22,12 +22,12 @@ pieces AS (
          generate_subscripts(regexp_extract_all(text, '{_NWS}+|{_WS}+'), 1) AS i
   FROM docs),
 pieces_e AS (SELECT *, sum(length(t)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM pieces),
-tokens AS (
+tokens AS MATERIALIZED (
   SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS BIGINT) AS tok_idx, t AS tok,
          CAST(e - length(t) AS BIGINT) AS "start", CAST(e AS BIGINT) AS "end",
          lower(regexp_replace(t, '[^\\pL\\pN]', '', 'g')) AS core
   FROM pieces_e WHERE regexp_matches(t, '{_NWS}')),
-hits AS (
+hits AS MATERIALIZED (
   SELECT *, core IN {LEX_SQL} AS hit,
          lead("end") OVER (PARTITION BY doc_id ORDER BY tok_idx) AS next_end
   FROM tokens),
