@@ -150,11 +150,11 @@ def window_tokens(tokens: DataFrame, max_length: int = 384, stride: int = 128, k
     """
     keys = list(keys)
     step = max_length - stride
-    n = F.count("*").over(Window.partitionBy(*keys))
-    nwin = F.lit(1) + F.greatest(F.lit(0), F.ceil((n - max_length) / F.lit(step)))
+    t = tokens.withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
+    nwin = F.lit(1) + F.greatest(F.lit(0), F.ceil((F.col("_n") - max_length) / F.lit(step)))
     i = F.col("tok_idx")
-    lo = F.greatest(F.lit(0), F.ceil((i - max_length + 1) / F.lit(step))).cast("long")
-    hi = F.least(F.floor(i / F.lit(step)), nwin - 1).cast("long")
-    t = tokens.withColumn("window_id", F.explode(F.sequence(lo, F.greatest(lo, hi))))
-    t = t.where(F.col("window_id") <= hi)
-    return t.withColumn("pos", i - F.col("window_id") * step)
+    t = t.withColumn("_lo", F.greatest(F.lit(0), F.ceil((i - max_length + 1) / F.lit(step))).cast("long"))
+    t = t.withColumn("_hi", F.least(F.floor(i / F.lit(step)), nwin - 1).cast("long"))
+    t = t.withColumn("window_id", F.explode(F.sequence(F.col("_lo"), F.greatest(F.col("_lo"), F.col("_hi")))))
+    t = t.where(F.col("window_id") <= F.col("_hi"))
+    return t.withColumn("pos", i - F.col("window_id") * step).drop("_n", "_lo", "_hi")

@@ -74,3 +74,15 @@ def messy_ranges(spark: SparkSession, sf_dir: str, t: DataFrame | None = None) -
     st = F.greatest(F.col("start") - 1, F.lit(0))
     en = F.least(F.col("end") - 2, F.col("n_chars"))
     return s.select("doc_id", "source", st.alias("start"), en.alias("end")).where(F.col("end") > F.col("start"))
+
+
+def windows(t: DataFrame, max_length: int = 384, stride: int = 128) -> DataFrame:
+    """Token windows with the logits of their CLS position (arithmetic on (doc_id, window_id),
+    offset by a large constant so the CLS keys never collide with token keys)."""
+    from spanfold.operators.tokens import strided_windows
+
+    w = strided_windows(t, max_length, stride)
+    d, c = F.col("doc_id"), F.col("window_id") + 1000000
+    return w.withColumn("cls_start", F.lit(-3.0) + ((d * 13 + c * 29) % 37 - 18).cast("double") / 10).withColumn(
+        "cls_end", F.lit(-3.0) + ((d * 7 + c * 23) % 31 - 15).cast("double") / 10
+    )
