@@ -79,19 +79,20 @@ def rank_candidates(cands: DataFrame, docs: DataFrame, nulls: DataFrame, keys=("
     score is at or below the document's null score, a null answer ``(null_score, NULL,
     NULL)`` is ranked first. ``rank`` starts at 1."""
     keys = list(keys)
-    c = cands.select(*keys, "start", "end", "score", "window_id", "start_rank", "end_rank").withColumn("_kind", F.lit(1))
+    cols = ["start", "end", "score", "window_id", "start_rank", "end_rank", "start_tok", "end_tok"]
+    c = cands.select(*keys, *cols).withColumn("_kind", F.lit(1))
     best = c.groupBy(*keys).agg(F.max(F.round("score", SCORE_DIGITS)).alias("_best"))
     base = docs.select(*keys).join(best, keys, "left").join(nulls, keys, "left")
     fake = base.where(F.col("_best").isNull()).select(
         *keys, F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), F.lit(0.0).alias("score"),
         F.lit(None).cast("long").alias("window_id"), F.lit(None).cast("int").alias("start_rank"), F.lit(None).cast("int").alias("end_rank"),
-        F.lit(1).alias("_kind"),
+        F.lit(None).cast("long").alias("start_tok"), F.lit(None).cast("long").alias("end_tok"), F.lit(1).alias("_kind"),
     )
     top = F.coalesce(F.col("_best"), F.lit(0.0))
     null = base.where(F.col("null_score").isNotNull() & (top <= F.round("null_score", SCORE_DIGITS))).select(
         *keys, F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), F.col("null_score").alias("score"),
         F.lit(None).cast("long").alias("window_id"), F.lit(None).cast("int").alias("start_rank"), F.lit(None).cast("int").alias("end_rank"),
-        F.lit(0).alias("_kind"),
+        F.lit(None).cast("long").alias("start_tok"), F.lit(None).cast("long").alias("end_tok"), F.lit(0).alias("_kind"),
     )
     allc = c.unionByName(fake).unionByName(null)
     w = Window.partitionBy(*keys).orderBy(

@@ -67,3 +67,75 @@ def smoothed_ce(df: DataFrame, logits: list[str], target: str, smoothing: float,
 def bce_with_logits(x: Column, y: Column) -> Column:
     """Binary cross-entropy on logits, in the overflow-free softplus form."""
     return F.greatest(x, F.lit(0.0)) - x * y + F.log1p(F.exp(-F.abs(x)))
+
+
+# ---------------------------------------------------------------------------- learned models (pyspark.ml, JVM-side)
+def doc_classifier(train: DataFrame, label: str = "toxic", text: str = "text", num_features: int = 1 << 18, max_iter: int = 30):
+    """Document toxicity scorer: RegexTokenizer -> HashingTF -> IDF -> LogisticRegression.
+
+    Returns a fitted ``PipelineModel``; ``score_documents`` applies it. Training and
+    scoring are distributed; nothing is collected.
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
+
+    stages = [
+        RegexTokenizer(inputCol=text, outputCol="_words", pattern="[ \\t\\n\\r\\x0B\\f]+", toLowercase=True),
+        HashingTF(inputCol="_words", outputCol="_tf", numFeatures=num_features),
+        IDF(inputCol="_tf", outputCol="_features"),
+        LogisticRegression(featuresCol="_features", labelCol="_label", maxIter=max_iter, regParam=0.01),
+    ]
+    return Pipeline(stages=stages).fit(train.withColumn("_label", F.col(label).cast("double")))
+
+
+def score_documents(model, docs: DataFrame, keys=("doc_id",)) -> DataFrame:
+    from pyspark.ml.functions import vector_to_array
+
+    out = model.transform(docs)
+    return out.select(*keys, vector_to_array("probability")[1].alias("score"), F.col("prediction").cast("int").alias("prediction"))
+
+
+def token_features(tokens: DataFrame, keys=("doc_id",)) -> DataFrame:
+    """Context features per token: its lower-cased core word and its neighbours' (lag/lead)."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*keys).orderBy("tok_idx")
+    return (
+        tokens.withColumn("f_w", F.col("core"))
+        .withColumn("f_prev", F.coalesce(F.lag("core").over(w), F.lit("<s>")))
+        .withColumn("f_next", F.coalesce(F.lead("core").over(w), F.lit("</s>")))
+        .withColumn("f_shape", F.when(F.col("tok").rlike("^[\\p{Lu}]"), "cap").otherwise("low"))
+    )
+
+
+def _hasher(num_features: int):
+    from pyspark.ml.feature import FeatureHasher
+
+    return FeatureHasher(inputCols=["f_w", "f_prev", "f_next", "f_shape"], outputCol="_features", numFeatures=num_features)
+
+
+def fit_token_model(feats: DataFrame, label: str, num_features: int = 1 << 18, max_iter: int = 30):
+    """Class-weighted logistic regression on hashed token context features (the token tagger).
+
+    Positives are rare, so each class is weighted by the inverse of its frequency; the
+    two class counts come from one small aggregate."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+
+    counts = feats.agg(F.sum(F.col(label)).alias("pos"), F.count("*").alias("n")).first()
+    pos, n = float(counts["pos"] or 0), float(counts["n"] or 0)
+    w_pos = (n - pos) / pos if pos > 0 else 1.0
+    data = feats.withColumn("_label", F.col(label).cast("double")).withColumn("_w", F.when(F.col(label) == 1, F.lit(w_pos)).otherwise(F.lit(1.0)))
+    lr = LogisticRegression(featuresCol="_features", labelCol="_label", weightCol="_w", maxIter=max_iter, regParam=0.001)
+    return Pipeline(stages=[_hasher(num_features), lr]).fit(data)
+
+
+def apply_token_model(model, feats: DataFrame, prefix: str) -> DataFrame:
+    """Adds ``{prefix}_prob`` and ``{prefix}_logit`` (the raw margin of class 1)."""
+    from pyspark.ml.functions import vector_to_array
+
+    out = model.transform(feats)
+    return out.withColumn(f"{prefix}_prob", vector_to_array("probability")[1]).withColumn(
+        f"{prefix}_logit", vector_to_array("rawPrediction")[1]
+    ).drop("_features", "rawPrediction", "probability", "prediction")

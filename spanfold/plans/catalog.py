@@ -6,7 +6,7 @@ import importlib
 
 from spanfold.plans.registry import REGISTRY
 
-QUERY_MODULES = ("q_metrics", "q_spans", "q_tokens", "q_candidates")
+QUERY_MODULES = ("q_metrics", "q_spans", "q_tokens", "q_candidates", "q_model")
 
 for _m in QUERY_MODULES:
     importlib.import_module(f"spanfold.plans.{_m}")
