@@ -24,47 +24,100 @@ def topk_logits(wt: DataFrame, logit: str, k: int = 20, keys=("doc_id", "window_
     return wt.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def nbest_pairs(wt: DataFrame, n_best: int = 20, max_answer_length: int = 30, keys=("doc_id", "window_id")) -> DataFrame:
-    """Top starts x top ends of each window with ``end >= start`` and at most
-    ``max_answer_length`` tokens; at most ``n_best``^2 pairs per window."""
+def window_top(wt: DataFrame, n_best: int = 20, keys=("doc_id", "window_id"), extra=()) -> DataFrame:
+    """One row per window with its ``n_best`` best starts and ends as bounded arrays.
+
+    Both rankings run in one pass over the window's tokens (two window functions over
+    the same partitioning), plus a running sum of ``logit1`` so a candidate's mean
+    token score is two array lookups. Arrays hold at most ``n_best`` entries each.
+    """
     keys = list(keys)
-    s = topk_logits(wt, "start_logit", n_best, keys).select(
-        *keys, F.col("tok_idx").alias("start_tok"), F.col("rank").alias("start_rank"), "start_logit", F.col("start").alias("start_char")
-    )
-    e = topk_logits(wt, "end_logit", n_best, keys).select(
-        *keys, F.col("tok_idx").alias("end_tok"), F.col("rank").alias("end_rank"), "end_logit", F.col("end").alias("end_char")
+    ws = Window.partitionBy(*keys).orderBy(F.col("start_logit").desc(), F.col("tok_idx").desc())
+    we = Window.partitionBy(*keys).orderBy(F.col("end_logit").desc(), F.col("tok_idx").desc())
+    wc = Window.partitionBy(*keys).orderBy("tok_idx").rowsBetween(Window.unboundedPreceding, 0)
+    r = wt.withColumn("rs", F.row_number().over(ws)).withColumn("re", F.row_number().over(we)).withColumn("cum", F.sum("logit1").over(wc))
+    r = r.where((F.col("rs") <= n_best) | (F.col("re") <= n_best))
+    st = F.struct(F.col("rs").alias("rank"), F.col("tok_idx").alias("tok"), F.col("start_logit").alias("logit"), F.col("start").alias("char"),
+                  F.col("cum").alias("cum"), F.col("logit1").alias("val"))
+    en = F.struct(F.col("re").alias("rank"), F.col("tok_idx").alias("tok"), F.col("end_logit").alias("logit"), F.col("end").alias("char"),
+                  F.col("cum").alias("cum"))
+    g = r.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.when(F.col("rs") <= n_best, st))).alias("starts"),
+        F.sort_array(F.collect_list(F.when(F.col("re") <= n_best, en))).alias("ends"),
+        *[F.first(c).alias(c) for c in extra],
     )
-    p = s.join(e, on=keys, how="inner")
-    return p.where((F.col("end_tok") >= F.col("start_tok")) & (F.col("end_tok") - F.col("start_tok") + 1 <= max_answer_length))
+    return g
 
 
-def token_prefix(token_scores: DataFrame, col: str = "logit1", keys=("doc_id",)) -> DataFrame:
-    """Running sum of ``col`` over the document's tokens (range means become two lookups)."""
-    w = Window.partitionBy(*keys).orderBy("tok_idx").rowsBetween(Window.unboundedPreceding, 0)
-    return token_scores.select(*keys, "tok_idx", F.sum(col).over(w).alias("cum"), F.col(col).alias("val"))
+def pairs_from_top(top: DataFrame, max_answer_length: int = 30, keys=("doc_id", "window_id"), extra=()) -> DataFrame:
+    """The window's start x end candidates (at most n_best^2, expanded in place) with
+    ``end >= start`` and at most ``max_answer_length`` tokens."""
+    keys = list(keys)
+    p = top.select(*keys, *extra, F.explode("starts").alias("s"), "ends").select(*keys, *extra, "s", F.explode("ends").alias("e"))
+    p = p.where((F.col("e.tok") >= F.col("s.tok")) & (F.col("e.tok") - F.col("s.tok") + 1 <= max_answer_length))
+    return p.select(
+        *keys, *extra,
+        F.col("s.tok").alias("start_tok"), F.col("e.tok").alias("end_tok"),
+        F.col("s.rank").alias("start_rank"), F.col("e.rank").alias("end_rank"),
+        F.col("s.logit").alias("start_logit"), F.col("e.logit").alias("end_logit"),
+        F.col("s.char").alias("start"), F.col("e.char").alias("end"),
+        F.col("s.cum").alias("cum_s"), F.col("s.val").alias("val_s"), F.col("e.cum").alias("cum_e"),
+    )
 
 
-def nbest_spans(token_scores: DataFrame, style: str = "token_spans", max_length: int = 384, stride: int = 128,
-                n_best: int = 20, max_answer_length: int = 30) -> DataFrame:
-    """Scored candidates ``(doc_id, window_id, start_tok, end_tok, start, end, start_rank, end_rank, score[, qa_score, token_score])``.
+def nbest_pairs(wt: DataFrame, n_best: int = 20, max_answer_length: int = 30, keys=("doc_id", "window_id")) -> DataFrame:
+    """Top starts x top ends of each window with ``end >= start`` and at most
+    ``max_answer_length`` tokens; at most ``n_best``^2 pairs per window."""
+    return pairs_from_top(window_top(wt, n_best, keys), max_answer_length, keys)
 
-    ``style="multi"``: score = start + end logit. ``style="token_spans"``: qa = (start + end)/2,
-    token score = mean toxic logit over the candidate's tokens (prefix sums), score = qa + token.
-    """
-    wt = window_tokens(token_scores, max_length, stride)
-    p = nbest_pairs(wt, n_best, max_answer_length)
-    p = p.withColumnRenamed("start_char", "start").withColumnRenamed("end_char", "end")
+
+def score_pairs(p: DataFrame, style: str = "token_spans") -> DataFrame:
+    """``multi``: start + end logit. ``token_spans``: qa = (start + end)/2 plus the mean toxic
+    logit over the candidate's tokens. Scores are rounded to ``SCORE_DIGITS`` so equal
+    scores compare equal regardless of summation order."""
     if style == "multi":
         return p.withColumn("score", F.round(F.col("start_logit") + F.col("end_logit"), SCORE_DIGITS))
-    pre = token_prefix(token_scores)
-    ps = pre.select("doc_id", F.col("tok_idx").alias("start_tok"), F.col("cum").alias("cum_s"), F.col("val").alias("val_s"))
-    pe = pre.select("doc_id", F.col("tok_idx").alias("end_tok"), F.col("cum").alias("cum_e"))
-    p = p.join(ps, ["doc_id", "start_tok"]).join(pe, ["doc_id", "end_tok"])
     n = F.col("end_tok") - F.col("start_tok") + 1
     p = p.withColumn("qa_score", (F.col("start_logit") + F.col("end_logit")) / 2)
     p = p.withColumn("token_score", F.round((F.col("cum_e") - F.col("cum_s") + F.col("val_s")) / n, SCORE_DIGITS))
-    # canonical score: mathematically equal scores (prefix-sum round-off aside) compare equal
-    return p.withColumn("score", F.round(F.col("qa_score") + F.col("token_score"), SCORE_DIGITS)).drop("cum_s", "cum_e", "val_s")
+    return p.withColumn("score", F.round(F.col("qa_score") + F.col("token_score"), SCORE_DIGITS))
+
+
+def nbest_spans(token_scores: DataFrame, style: str = "token_spans", max_length: int = 384, stride: int = 128,
+                n_best: int = 20, max_answer_length: int = 30) -> DataFrame:
+    """Scored candidates ``(doc_id, window_id, start_tok, end_tok, start, end, start_rank, end_rank, score[, qa_score, token_score])``.
+
+    One linear pipeline: window tokens -> per-window top starts/ends (bounded arrays)
+    -> pairs expanded in place -> scores.
+    """
+    top = window_top(window_tokens(token_scores, max_length, stride), n_best)
+    return score_pairs(pairs_from_top(top, max_answer_length), style).drop("cum_s", "cum_e", "val_s")
+
+
+def answer_rows(token_scores: DataFrame, null_score, style: str = "token_spans", max_length: int = 384, stride: int = 128,
+                n_best: int = 20, max_answer_length: int = 30) -> DataFrame:
+    """Candidates (``_kind`` 1) and one null answer per window (``_kind`` 0, score =
+    ``null_score(doc_id, window_id)``, e.g. start[CLS] + end[CLS]) from one generator over
+    the per-window rows: the window's valid (start, end) pairs (at most n_best^2) are built
+    on its own row and exploded once together with the null marker, so the token
+    pipeline below runs once."""
+    keys = ["doc_id", "window_id"]
+    top = window_top(window_tokens(token_scores, max_length, stride), n_best)
+    pairs = F.flatten(F.transform("starts", lambda s_: F.transform("ends", lambda e_: F.struct(F.lit(1).alias("k"), s_.alias("s"), e_.alias("e")))))
+    pairs = F.filter(pairs, lambda x: (x["e"]["tok"] >= x["s"]["tok"]) & (x["e"]["tok"] - x["s"]["tok"] + 1 <= max_answer_length))
+    marker = F.array(F.struct(F.lit(0).alias("k"), F.lit(None).cast(top.schema["starts"].dataType.elementType).alias("s"),
+                              F.lit(None).cast(top.schema["ends"].dataType.elementType).alias("e")))
+    x = top.select(*keys, F.explode(F.concat(marker, pairs)).alias("x"))
+    p = x.select(
+        *keys, F.col("x.k").alias("_kind"),
+        F.col("x.s.tok").alias("start_tok"), F.col("x.e.tok").alias("end_tok"),
+        F.col("x.s.rank").alias("start_rank"), F.col("x.e.rank").alias("end_rank"),
+        F.col("x.s.logit").alias("start_logit"), F.col("x.e.logit").alias("end_logit"),
+        F.col("x.s.char").alias("start"), F.col("x.e.char").alias("end"),
+        F.col("x.s.cum").alias("cum_s"), F.col("x.s.val").alias("val_s"), F.col("x.e.cum").alias("cum_e"),
+    )
+    p = score_pairs(p, style)
+    return p.withColumn("score", F.when(F.col("_kind") == 0, null_score).otherwise(F.col("score"))).drop("cum_s", "cum_e", "val_s")
 
 
 def null_scores(windows: DataFrame, cls_start: Column, cls_end: Column, keys=("doc_id",)) -> DataFrame:
@@ -72,33 +125,38 @@ def null_scores(windows: DataFrame, cls_start: Column, cls_end: Column, keys=("d
     return windows.groupBy(*keys).agg(F.max(cls_start + cls_end).alias("null_score"))
 
 
-def rank_candidates(cands: DataFrame, docs: DataFrame, nulls: DataFrame, keys=("doc_id",)) -> DataFrame:
+def rank_candidates(rows: DataFrame, docs: DataFrame, keys=("doc_id",)) -> DataFrame:
     """Candidates per document by score desc (ties: start rank, end rank, window).
 
-    A document without candidates gets a fake ``(score 0.0, NULL, NULL)``; when the best
-    score is at or below the document's null score, a null answer ``(null_score, NULL,
-    NULL)`` is ranked first. ``rank`` starts at 1."""
+    ``rows`` come from :func:`answer_rows` (candidates ``_kind`` 1, per-window null
+    answers ``_kind`` 0). A document without candidates gets a fake ``(score 0.0, NULL,
+    NULL)``; when the best score is at or below the document's null score (max over its
+    windows) a null answer ``(null_score, NULL, NULL)`` is ranked first. ``docs`` (ids
+    only) adds documents without any window. ``rank`` starts at 1.
+    """
     keys = list(keys)
     cols = ["start", "end", "score", "window_id", "start_rank", "end_rank", "start_tok", "end_tok"]
-    c = cands.select(*keys, *cols).withColumn("_kind", F.lit(1))
-    best = c.groupBy(*keys).agg(F.max(F.round("score", SCORE_DIGITS)).alias("_best"))
-    base = docs.select(*keys).join(best, keys, "left").join(nulls, keys, "left")
-    fake = base.where(F.col("_best").isNull()).select(
-        *keys, F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), F.lit(0.0).alias("score"),
-        F.lit(None).cast("long").alias("window_id"), F.lit(None).cast("int").alias("start_rank"), F.lit(None).cast("int").alias("end_rank"),
-        F.lit(None).cast("long").alias("start_tok"), F.lit(None).cast("long").alias("end_tok"), F.lit(1).alias("_kind"),
-    )
+    r = rows.select(*keys, *cols, "_kind").unionByName(docs.select(*keys).withColumn("_kind", F.lit(2)), allowMissingColumns=True)
+    d = Window.partitionBy(*keys)
+    rsc = F.round("score", SCORE_DIGITS)
+    r = r.withColumn("_best", F.max(F.when(F.col("_kind") == 1, rsc)).over(d)).withColumn("_null", F.max(F.when(F.col("_kind") == 0, rsc)).over(d))
+    kind = F.col("_kind")
+    r = r.withColumn("_nrank", F.when(kind == 0, F.row_number().over(Window.partitionBy(*keys, "_kind").orderBy(F.col("score").desc(), F.col("window_id")))))
     top = F.coalesce(F.col("_best"), F.lit(0.0))
-    null = base.where(F.col("null_score").isNotNull() & (top <= F.round("null_score", SCORE_DIGITS))).select(
-        *keys, F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), F.col("null_score").alias("score"),
-        F.lit(None).cast("long").alias("window_id"), F.lit(None).cast("int").alias("start_rank"), F.lit(None).cast("int").alias("end_rank"),
-        F.lit(None).cast("long").alias("start_tok"), F.lit(None).cast("long").alias("end_tok"), F.lit(0).alias("_kind"),
+    # one pass: candidates stay, the document marker becomes the fake answer when there is no
+    # candidate, the best null answer stays when it is at least as good as the best candidate
+    keep = (kind == 1) | ((kind == 2) & F.col("_best").isNull()) | ((kind == 0) & (F.col("_nrank") == 1) & (top <= F.col("_null")))
+    real = kind == 1
+    out = r.where(keep).select(
+        *keys,
+        *[F.when(real, F.col(c)).alias(c) for c in ("start", "end", "window_id", "start_rank", "end_rank", "start_tok", "end_tok")],
+        F.when(kind == 2, F.lit(0.0)).otherwise(F.col("score")).alias("score"),
+        F.when(kind == 0, 0).otherwise(1).alias("_ord"),
     )
-    allc = c.unionByName(fake).unionByName(null)
     w = Window.partitionBy(*keys).orderBy(
-        F.col("_kind"), F.round("score", SCORE_DIGITS).desc(), F.col("start_rank").asc_nulls_last(), F.col("end_rank").asc_nulls_last(), F.col("window_id").asc_nulls_last()
+        F.col("_ord"), F.round("score", SCORE_DIGITS).desc(), F.col("start_rank").asc_nulls_last(), F.col("end_rank").asc_nulls_last(), F.col("window_id").asc_nulls_last()
     )
-    return allc.withColumn("rank", F.row_number().over(w)).drop("_kind")
+    return out.withColumn("rank", F.row_number().over(w)).drop("_ord")
 
 
 def topk_answers(ranked: DataFrame, k: int) -> DataFrame:

@@ -54,17 +54,19 @@ def collapse_end(text: Column, b: Column, e: Column) -> Column:
     return F.when((e > b) & (e < n - 1) & next_alnum, F.greatest(e - q - 1, b)).otherwise(e)
 
 
-def clip_ranges(ranges: DataFrame, docs: DataFrame, keys=("doc_id",), text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Attach the text; clip ranges to it. Returns ``(clipped, violations)`` where violations
-    lists ranges that reached past the text (the reference would raise ``IndexError``)."""
+def clip_ranges(ranges: DataFrame, docs: DataFrame | None, keys=("doc_id",), text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Attach the text (unless ``docs`` is None and the ranges already carry it, as on a
+    stream); clip ranges to it. Returns ``(clipped, violations)`` where violations lists
+    ranges that reached past the text (the reference would raise ``IndexError``)."""
     keys = list(keys)
-    j = ranges.join(docs.select(*keys, text), on=keys, how="inner").withColumn("_n", F.length(text))
+    j = ranges if docs is None else ranges.join(docs.select(*keys, text), on=keys, how="inner")
+    j = j.withColumn("_n", F.length(text))
     bad = j.where((F.col("end") > F.col("_n")) | (F.col("start") < 0)).select(*keys, "start", "end", F.lit("beyond_text").alias("kind"))
     c = j.withColumn("start", F.greatest("start", F.lit(0))).withColumn("end", F.least("end", "_n")).where(F.col("end") > F.col("start"))
     return c.drop("_n"), bad
 
 
-def clean_ranges(ranges: DataFrame, docs: DataFrame, mode: str = "expand", min_len: int = 3, keys=("doc_id",), text: str = "text",
+def clean_ranges(ranges: DataFrame, docs: DataFrame | None, mode: str = "expand", min_len: int = 3, keys=("doc_id",), text: str = "text",
                  steps=("trim", "snap", "drop")) -> DataFrame:
     """Trim -> expand | collapse | none -> drop runs shorter than ``min_len`` characters.
 

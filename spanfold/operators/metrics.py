@@ -36,16 +36,54 @@ def doc_prf(docs: DataFrame, pred: DataFrame, gold: DataFrame, sources, keys=("d
 
     Starts from ``docs`` (every document scored, zero-span ones included) times the
     given ``sources`` (a short list of model names, expanded in place, no join).
+    Prediction and gold ranges are two inputs; when both come from one table use
+    :func:`doc_prf_from_spans`, which reads that table once.
     """
     keys = list(keys)
-    sizes = set_sizes(pred, gold, keys, source)
-    glen = normalize_spans(gold, keys).groupBy(*keys).agg(F.sum(F.col("end") - F.col("start")).alias("n_gold"))
-    base = docs.select(*keys).withColumn(source, F.explode(F.array(*[F.lit(s) for s in sources])))
-    j = base.join(sizes, on=keys + [source], how="left").join(glen, on=keys, how="left")
-    n_pred = F.coalesce(F.col("n_pred"), F.lit(0)).cast("long")
-    n_gold = F.coalesce(F.col("n_gold"), F.lit(0)).cast("long")
-    n_inter = F.coalesce(F.col("n_inter"), F.lit(0)).cast("long")
-    return j.select(*keys, source, n_pred.alias("n_pred"), n_gold.alias("n_gold"), n_inter.alias("n_inter"), *prf_columns(n_pred, n_gold, n_inter))
+    p = pred.select(*keys, F.col(source).alias("_src"), "start", "end", F.lit("p").alias("_role"))
+    g = gold.select(*keys, "start", "end").withColumn("_src", F.explode(F.array(*[F.lit(s) for s in sources]))).withColumn("_role", F.lit("g"))
+    return _prf_from_roles(docs, p.unionByName(g), sources, keys, source)
+
+
+def doc_prf_from_spans(docs: DataFrame, spans: DataFrame, sources, gold: str = "gold", keys=("doc_id",), source: str = "source") -> DataFrame:
+    """:func:`doc_prf` for one spans table holding both gold (``source == gold``) and the
+    predictions: one generator replicates each gold range to every scored source, so the
+    table (and whatever produced it) is read once and the plan stays a single pipeline."""
+    keys = list(keys)
+    is_gold = F.col(source) == F.lit(gold)
+    tagged = F.when(is_gold, F.array(*[F.struct(F.lit(s).alias("_src"), F.lit("g").alias("_role")) for s in sources])).otherwise(
+        F.array(F.struct(F.col(source).alias("_src"), F.lit("p").alias("_role")))
+    )
+    r = spans.where(is_gold | F.col(source).isin(*sources)).select(*keys, "start", "end", F.explode(tagged).alias("_t"))
+    return _prf_from_roles(docs, r.select(*keys, "_t._src", "_t._role", "start", "end"), sources, keys, source)
+
+
+def _prf_from_roles(docs: DataFrame, roles: DataFrame, sources, keys, source: str) -> DataFrame:
+    """Sizes of pred, gold and their intersection per (document, source) from one sweep.
+
+    Each (source, role) is normalized; pred counts 1 and gold 2 in a coverage sweep over
+    the (document, source) group, so a segment with cover 3 is in both. No join pairs
+    ranges, so the cost follows the number of ranges even for one huge document.
+    """
+    norm = normalize_spans(roles, keys + ["_src", "_role"])
+    w = F.when(F.col("_role") == "p", 1).otherwise(2)
+    ev = norm.select(
+        *keys, "_src", F.explode(F.array(F.struct(F.col("start").alias("x"), w.alias("d")), F.struct(F.col("end").alias("x"), (-w).alias("d")))).alias("e")
+    ).select(*keys, "_src", "e.x", "e.d")
+    pts = ev.groupBy(*keys, "_src", "x").agg(F.sum("d").alias("d"))
+    win = Window.partitionBy(*keys, "_src").orderBy("x")
+    seg = pts.withColumn("cover", F.sum("d").over(win.rowsBetween(Window.unboundedPreceding, 0))).withColumn("nx", F.lead("x").over(win))
+    seg = seg.where(F.col("nx").isNotNull() & (F.col("cover") > 0)).withColumn("len", F.col("nx") - F.col("x"))
+    c = F.col("cover")
+    sizes = seg.groupBy(*keys, "_src").agg(
+        F.sum(F.when((c == 1) | (c == 3), F.col("len")).otherwise(0)).alias("n_pred"),
+        F.sum(F.when(c >= 2, F.col("len")).otherwise(0)).alias("n_gold"),
+        F.sum(F.when(c == 3, F.col("len")).otherwise(0)).alias("n_inter"),
+    )
+    base = docs.select(*keys).withColumn("_src", F.explode(F.array(*[F.lit(s) for s in sources])))
+    j = base.join(sizes, on=keys + ["_src"], how="left")
+    n_pred, n_gold, n_inter = (F.coalesce(F.col(x), F.lit(0)).cast("long") for x in ("n_pred", "n_gold", "n_inter"))
+    return j.select(*keys, F.col("_src").alias(source), n_pred.alias("n_pred"), n_gold.alias("n_gold"), n_inter.alias("n_inter"), *prf_columns(n_pred, n_gold, n_inter))
 
 
 def doc_f1(docs, pred, gold, sources, keys=("doc_id",), source="source") -> DataFrame:

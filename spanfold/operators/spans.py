@@ -32,7 +32,7 @@ def sorted_offsets(offsets: Column) -> Column:
     return F.sort_array(F.array_distinct(offsets))
 
 
-def offsets_to_ranges(df: DataFrame, offsets: str = "offsets", keys=("doc_id",)) -> DataFrame:
+def offsets_to_ranges(df: DataFrame, offsets: str = "offsets", keys=("doc_id",), keep=()) -> DataFrame:
     """Runs of consecutive offsets in list order -> half-open ranges.
 
     A run continues while each offset is its predecessor + 1 (list order, as a
@@ -47,7 +47,9 @@ def offsets_to_ranges(df: DataFrame, offsets: str = "offsets", keys=("doc_id",))
     d = df.withColumn("_a", F.col(offsets)).where(F.size("_a") > 0)
     d = d.withColumn("_h", heads).withColumn("_t", tails)
     runs = F.transform("_h", lambda h, k: F.struct(k.alias("run_idx"), F.get(a, h).alias("start"), (F.get(a, F.get(F.col("_t"), k)) + 1).alias("end")))
-    return d.select(*keys, F.inline(runs)).select(*keys, F.col("run_idx").cast("long"), F.col("start").cast("long"), F.col("end").cast("long"))
+    return d.select(*keys, *keep, F.inline(runs)).select(
+        *keys, *keep, F.col("run_idx").cast("long"), F.col("start").cast("long"), F.col("end").cast("long")
+    )
 
 
 def ranges_to_offsets(ranges: DataFrame, keys=("doc_id",)) -> DataFrame:

@@ -22,29 +22,47 @@ def docs(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     return tables.documents(spark, sf_dir, *extra)
 
 
-def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(doc_id, tok_idx, tok, start, end, core, hit, next_end)``."""
+def tokens(spark: SparkSession, sf_dir: str, materialize: bool = False) -> DataFrame:
+    """``(doc_id, tok_idx, tok, start, end, core, hit, next_end)``.
+
+    ``materialize=True`` writes the table once to the shared checkpoint folder (reliable
+    ``checkpoint``, survives executor loss) for plans that read it in several branches;
+    the doc_id hash partitioning is kept, so later per-document steps still need no shuffle.
+    """
     t = tokenize_offsets(docs(spark, sf_dir))
     t = t.withColumn("core", core(F.col("tok")))
     t = t.withColumn("hit", F.col("core").isin(*LEXICON))
-    return t.withColumn("next_end", F.lead("end").over(Window.partitionBy("doc_id").orderBy("tok_idx")))
+    t = t.withColumn("next_end", F.lead("end").over(Window.partitionBy("doc_id").orderBy("tok_idx")))
+    if materialize:
+        from spanfold.session import scratch_dir
+
+        scratch_dir(spark)  # uses the cluster's checkpoint dir; sets one only when unset (local tests)
+        t = t.checkpoint(eager=True)
+    return t
 
 
 def spans_from_tokens(t: DataFrame) -> DataFrame:
     """``(doc_id, source, start, end)``: gold plus models A (misses words), B (misses some, adds
-    false ones) and C (runs one token too far)."""
-    hit = F.col("hit")
-    gold = t.where(hit).select("doc_id", F.lit("gold").alias("source"), "start", "end")
-    a = t.where(hit & ~F.col("core").isin(*MODEL_A_MISSES)).select("doc_id", F.lit("A").alias("source"), "start", "end")
-    b = t.where((hit & (F.col("tok_idx") % 4 != 0)) | ((F.length("core") == 9) & (F.col("tok_idx") % 50 == 0))).select(
-        "doc_id", F.lit("B").alias("source"), "start", "end"
-    )
-    c = t.where(hit).select("doc_id", F.lit("C").alias("source"), "start", F.coalesce("next_end", "end").alias("end"))
-    return gold.unionByName(a).unionByName(b).unionByName(c)
-
+    false ones) and C (runs one token too far).
 
-def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans_from_tokens(tokens(spark, sf_dir))
+    One pass over the tokens: each token emits the (source, range) rows it belongs to
+    through a single generator, so the token pipeline is not recomputed per source.
+    """
+    hit = F.col("hit")
+    rows = [
+        (hit, "gold", F.col("end")),
+        (hit & ~F.col("core").isin(*MODEL_A_MISSES), "A", F.col("end")),
+        ((hit & (F.col("tok_idx") % 4 != 0)) | ((F.length("core") == 9) & (F.col("tok_idx") % 50 == 0)), "B", F.col("end")),
+        (hit, "C", F.coalesce("next_end", "end")),
+    ]
+    structs = [F.when(cond, F.struct(F.lit(src).alias("source"), F.col("start").alias("start"), end.alias("end"))) for cond, src, end in rows]
+    any_row = hit | ((F.length("core") == 9) & (F.col("tok_idx") % 50 == 0))
+    out = t.where(any_row).select("doc_id", F.explode(F.filter(F.array(*structs), lambda x: x.isNotNull())).alias("s"))
+    return out.select("doc_id", "s.source", "s.start", "s.end")
+
+
+def spans(spark: SparkSession, sf_dir: str, materialize: bool = False) -> DataFrame:
+    return spans_from_tokens(tokens(spark, sf_dir, materialize))
 
 
 def token_scores_from_tokens(t: DataFrame) -> DataFrame:

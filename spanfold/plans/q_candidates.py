@@ -50,8 +50,8 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY kind, round
 """
 
 
-def _ctx(spark, sf_dir):
-    t = X.tokens(spark, sf_dir)
+def _ctx(spark, sf_dir, m=False):
+    t = X.tokens(spark, sf_dir, m)
     return t, X.token_scores_from_tokens(t)
 
 
@@ -60,12 +60,18 @@ def _cands(spark, sf_dir):
     return K.nbest_spans(s, "token_spans", L, STRIDE, NBEST, MAXLEN_ANS)
 
 
-def _ranked(spark, sf_dir):
-    t, s = _ctx(spark, sf_dir)
-    c = K.nbest_spans(s, "token_spans", L, STRIDE, NBEST, MAXLEN_ANS)
-    w = X.windows(t, L, STRIDE)
-    nulls = K.null_scores(w, F.col("cls_start"), F.col("cls_end"))
-    return K.rank_candidates(c, X.docs(spark, sf_dir), nulls)
+def cls_null_score() -> F.Column:
+    """start[CLS] + end[CLS] of a window: the fixture's CLS logits (arithmetic on (doc_id, window_id))."""
+    d, c = F.col("doc_id"), F.col("window_id") + 1000000
+    cls_start = F.lit(-3.0) + ((d * 13 + c * 29) % 37 - 18).cast("double") / 10
+    cls_end = F.lit(-3.0) + ((d * 7 + c * 23) % 31 - 15).cast("double") / 10
+    return cls_start + cls_end
+
+
+def _ranked(spark, sf_dir, m=False):
+    t, s = _ctx(spark, sf_dir, m)
+    rows = K.answer_rows(s, cls_null_score(), "token_spans", L, STRIDE, NBEST, MAXLEN_ANS)
+    return K.rank_candidates(rows, X.docs(spark, sf_dir).select("doc_id"))
 
 
 def _gold(t):
@@ -93,7 +99,7 @@ def q_feature_to_example(spark, sf_dir):
     with_base(WIN_CTES, "SELECT (SELECT count(*) FROM docs) AS n_examples, (SELECT count(*) FROM tokens) AS n_tokens, (SELECT count(*) FROM wins) AS n_features"),
 )
 def q_corpus_counts(spark, sf_dir):
-    t = X.tokens(spark, sf_dir)
+    t = X.tokens(spark, sf_dir, True)
     n_docs = X.docs(spark, sf_dir).agg(F.count("*").alias("n_examples"))
     n_tok = t.agg(F.count("*").alias("n_tokens"))
     n_win = T.strided_windows(t, L, STRIDE).agg(F.count("*").alias("n_features"))
@@ -109,7 +115,7 @@ UNION ALL SELECT doc_id, window_id, 'end', rk, tok_idx FROM te WHERE rk <= {NBES
     ),
 )
 def q_topk_logits(spark, sf_dir):
-    _, s = _ctx(spark, sf_dir)
+    _, s = _ctx(spark, sf_dir, True)
     wt = T.window_tokens(s, L, STRIDE)
     a = K.topk_logits(wt, "start_logit", NBEST).select("doc_id", "window_id", F.lit("start").alias("kind"), "rank", "tok_idx")
     b = K.topk_logits(wt, "end_logit", NBEST).select("doc_id", "window_id", F.lit("end").alias("kind"), "rank", "tok_idx")
@@ -185,8 +191,8 @@ tuned AS (SELECT k, k / 99.0 AS threshold, mean_f1,
 """
 
 
-def _tuned(spark, sf_dir):
-    t, s = _ctx(spark, sf_dir)
+def _tuned(spark, sf_dir, m=False):
+    t, s = _ctx(spark, sf_dir, m)
     c = K.nbest_spans(s, "token_spans", L, STRIDE, NBEST, MAXLEN_ANS)
     return K.tune_score_threshold(c, _gold(t), X.docs(spark, sf_dir), 100)
 
@@ -197,7 +203,7 @@ def _tuned(spark, sf_dir):
 )
 def q_tune_score_threshold(spark, sf_dir):
     """Validation sweep over 100 thresholds linspace(0, 1, 100) of sigmoid(candidate score)."""
-    return _tuned(spark, sf_dir).select("k", "threshold", "mean_f1", "is_best")
+    return _tuned(spark, sf_dir, True).select("k", "threshold", "mean_f1", "is_best")
 
 
 @register("saved_threshold", with_base(TUNE_SCORE_CTES, "SELECT round(threshold, 6) AS threshold, round(mean_f1, 6) AS f1 FROM tuned WHERE is_best = 1"))
@@ -205,7 +211,7 @@ def q_saved_threshold(spark, sf_dir):
     """Tune once, store ``(threshold, f1)`` as a one-row table in the shared folder, read it back."""
     from spanfold.sources.span_files import saved_threshold
 
-    return saved_threshold(spark, scratch_path(spark, "thresh"), lambda: _tuned(spark, sf_dir))
+    return saved_threshold(spark, scratch_path(spark, "thresh"), lambda: _tuned(spark, sf_dir, True))
 
 
 @register(
@@ -225,7 +231,7 @@ perk AS (SELECT k, avg(CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp +
 )
 def q_tune_token_threshold(spark, sf_dir):
     """Token-score threshold sweep 0.00..0.99: decisions sigmoid(logit1) > t, mean per-document token F1."""
-    t, s = _ctx(spark, sf_dir)
+    t, s = _ctx(spark, sf_dir, True)
     lab = T.token_label_overlap(s, _gold(t), 0.0)
     return K.tune_token_threshold(lab, sigmoid(F.col("logit1")), "label", 100, 100.0).select("k", "threshold", "mean_f1", "is_best")
 
@@ -252,7 +258,7 @@ FROM bnd b JOIN wb w USING (doc_id)""",
 )
 def q_window_answer_positions(spark, sf_dir):
     """One feature per (gold run, window): answer token positions in the window, CLS (0) when not held."""
-    t = X.tokens(spark, sf_dir)
+    t = X.tokens(spark, sf_dir, True)
     return K.window_answer_positions(_gold(t), t.select("doc_id", "tok_idx", "start", "end"), T.strided_windows(t, L, STRIDE))
 
 
@@ -268,5 +274,5 @@ fl AS (SELECT doc_id, window_id, sp AS pos, 1 AS s, 0 AS e FROM held UNION ALL S
     ),
 )
 def q_window_multi_positions(spark, sf_dir):
-    t = X.tokens(spark, sf_dir)
+    t = X.tokens(spark, sf_dir, True)
     return K.window_multi_positions(_gold(t), t.select("doc_id", "tok_idx", "start", "end"), L, STRIDE)

@@ -12,11 +12,7 @@ from spanfold.plans.registry import register
 
 def model_scores(spark, sf_dir):
     """Per-document P/R/F1 of the three fixture models against gold, all documents."""
-    t = X.tokens(spark, sf_dir)
-    s = X.spans_from_tokens(t)
-    pred = s.where(F.col("source") != "gold")
-    gold = s.where(F.col("source") == "gold").drop("source")
-    return M.doc_prf(X.docs(spark, sf_dir), pred, gold, X.MODELS)
+    return M.doc_prf_from_spans(X.docs(spark, sf_dir), X.spans(spark, sf_dir), X.MODELS)
 
 
 @register(

@@ -30,8 +30,8 @@ ef AS (SELECT *, CASE WHEN score_dec > 0.2 THEN 1 ELSE 0 END AS flagged FROM ed)
 """
 
 
-def _erasure(spark, sf_dir):
-    t = X.tokens(spark, sf_dir)
+def _erasure(spark, sf_dir, m=False):
+    t = X.tokens(spark, sf_dir, m)
     return A.erasure_scores(t, F.col("hit").cast("int"), lambda h: h / (h + F.lit(1.0)))
 
 
@@ -78,8 +78,8 @@ def q_mitigated_text(spark, sf_dir):
 
 @register("blacklist_semi", with_base(ERASE_CTES, "SELECT doc_id, tok_idx, tok FROM tokens WHERE (doc_id, tok_idx) IN (SELECT doc_id, tok_idx FROM ef WHERE flagged = 1)"))
 def q_blacklist_semi(spark, sf_dir):
-    t = X.tokens(spark, sf_dir).select("doc_id", "tok_idx", "tok")
-    return A.blacklist_semi(t, _erasure(spark, sf_dir))
+    t = X.tokens(spark, sf_dir, True).select("doc_id", "tok_idx", "tok")
+    return A.blacklist_semi(t, _erasure(spark, sf_dir, True))
 
 
 @register(
@@ -138,10 +138,10 @@ def q_words_from_pieces(spark, sf_dir):
     return A.words_from_pieces(p).select("doc_id", "word_idx", "start", "end", "weight")
 
 
-def _importance(spark, sf_dir):
+def _importance(spark, sf_dir, m=False):
     from spanfold.plans.q_tokens import _token_vectors
 
-    v = _token_vectors(spark, sf_dir)
+    v = _token_vectors(spark, sf_dir, m)
     tot = F.sum("norm").over(Window.partitionBy("doc_id"))
     return v.select("doc_id", "tok_idx", "tok", F.when(tot > 0, F.col("norm") / tot).otherwise(0.0).alias("weight"))
 
@@ -187,9 +187,9 @@ def q_mean_importance(spark, sf_dir):
     """Token importance inside each of the top-3 answers (re-normalised per answer), averaged per token."""
     from spanfold.plans.q_candidates import _ranked
 
-    r = _ranked(spark, sf_dir).where((F.col("rank") <= 3) & F.col("start_tok").isNotNull())
+    r = _ranked(spark, sf_dir, True).where((F.col("rank") <= 3) & F.col("start_tok").isNotNull())
     toks = r.select("doc_id", "rank", F.explode(F.sequence("start_tok", "end_tok")).alias("tok_idx"))
-    j = toks.join(_importance(spark, sf_dir).select("doc_id", "tok_idx", "weight"), ["doc_id", "tok_idx"])
+    j = toks.join(_importance(spark, sf_dir, True).select("doc_id", "tok_idx", "weight"), ["doc_id", "tok_idx"])
     tw = F.sum("weight").over(Window.partitionBy("doc_id", "rank"))
     j = j.withColumn("rel", F.when(tw > 0, F.col("weight") / tw).otherwise(0.0))
     return j.groupBy("doc_id", "tok_idx").agg(F.avg("rel").alias("mean_importance"))
@@ -268,7 +268,7 @@ f4 AS (SELECT doc_id, source, {prf_sql('n_pred', 'n_gold', 'n_inter')} FROM c4)
 )
 def q_checkpoint_ensemble(spark, sf_dir):
     """Score each model, their majority vote (>= half), and report all four."""
-    t = X.tokens(spark, sf_dir)
+    t = X.tokens(spark, sf_dir, True)
     s = X.spans_from_tokens(t)
     models = s.where(F.col("source") != "gold")
     maj = E.span_majority(models, 3).withColumn("source", F.lit("majority"))
@@ -384,8 +384,8 @@ def q_doc_classifier(spark, sf_dir):
     return ML.score_documents(model, d)
 
 
-def _token_frame(spark, sf_dir):
-    t = X.tokens(spark, sf_dir)
+def _token_frame(spark, sf_dir, m=False):
+    t = X.tokens(spark, sf_dir, m)
     s = X.spans_from_tokens(t)
     gold = S.normalize_spans(s.where(F.col("source") == "gold").select("doc_id", "start", "end"))
     lab = T.token_label_overlap(t, gold, 0.0)
@@ -399,7 +399,7 @@ def q_token_tagger(spark, sf_dir):
     """Token tagger trained on the train split; predicted spans (gap-filled) for every document."""
     from spanfold.operators.decode import decode_gap_fill
 
-    feats, _ = _token_frame(spark, sf_dir)
+    feats, _ = _token_frame(spark, sf_dir, True)
     model = ML.fit_token_model(feats.where(F.col("split") == "train"), "label")
     scored = ML.apply_token_model(model, feats, "tox").withColumn("pred", F.when(F.col("tox_prob") > 0.5, 1).otherwise(0))
     return decode_gap_fill(scored)
@@ -410,7 +410,7 @@ def q_span_scorer(spark, sf_dir):
     """Two token models (span start, span end) -> start/end logits -> n-best -> best answer per document."""
     from spanfold.operators import candidates as K
 
-    feats, gold = _token_frame(spark, sf_dir)
+    feats, gold = _token_frame(spark, sf_dir, True)
     gs = gold.select("doc_id", "start", F.lit(1).alias("is_start"))
     ge = gold.select("doc_id", "end", F.lit(1).alias("is_end"))
     f = feats.join(gs, ["doc_id", "start"], "left").join(ge, ["doc_id", "end"], "left")
@@ -420,7 +420,6 @@ def q_span_scorer(spark, sf_dir):
     me = ML.fit_token_model(train, "is_end")
     scored = ML.apply_token_model(me, ML.apply_token_model(ms, f, "s"), "e")
     ts = scored.select("doc_id", "tok_idx", "start", "end", F.col("s_logit").alias("start_logit"), F.col("e_logit").alias("end_logit"), F.lit(0.0).alias("logit1"))
-    c = K.nbest_spans(ts, "multi")
-    nulls = ts.groupBy("doc_id").agg(F.lit(None).cast("double").alias("null_score"))
-    r = K.rank_candidates(c, X.docs(spark, sf_dir), nulls)
+    rows = K.answer_rows(ts, F.lit(None).cast("double"), "multi")
+    r = K.rank_candidates(rows, X.docs(spark, sf_dir).select("doc_id"))
     return K.topk_answers(r, 1).select("doc_id", "rank", "start", "end", "score")

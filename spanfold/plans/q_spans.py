@@ -15,12 +15,12 @@ _WS = "[ \\t\\n\\r\\x0b\\x0c]"
 _AN = "[\\pL\\pN]"
 
 
-def _spans(spark, sf_dir):
-    return X.spans(spark, sf_dir)
+def _spans(spark, sf_dir, m=False):
+    return X.spans(spark, sf_dir, m)
 
 
-def _models(spark, sf_dir):
-    return _spans(spark, sf_dir).where(F.col("source") != "gold")
+def _models(spark, sf_dir, m=False):
+    return _spans(spark, sf_dir, m).where(F.col("source") != "gold")
 
 
 # ------------------------------------------------------------------ tokens and ranges
@@ -205,7 +205,7 @@ def q_span_majority(spark, sf_dir):
 )
 def q_combine_files(spark, sf_dir):
     """Intersection fold where each model's file only holds the ids it predicted something for."""
-    m = _models(spark, sf_dir)
+    m = _models(spark, sf_dir, True)
     presence = m.select("doc_id", "source").distinct()
     return E.combine_files(m, presence, how="intersect")
 
@@ -219,5 +219,5 @@ def q_combine_files(spark, sf_dir):
 )
 def q_span_except(spark, sf_dir):
     """Characters model C predicts beyond gold."""
-    s = _spans(spark, sf_dir)
+    s = _spans(spark, sf_dir, True)
     return E.span_except(s.where(F.col("source") == "C"), s.where(F.col("source") == "gold"))

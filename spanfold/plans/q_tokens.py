@@ -24,8 +24,8 @@ GC = """gc AS (SELECT t.doc_id, t.tok_idx, count(g.off) AS covered FROM tokens t
 ARGMAX = "am AS (SELECT doc_id, tok_idx, \"start\", \"end\", CASE WHEN logit1 > logit0 THEN 1 ELSE 0 END AS pred FROM token_scores)"
 
 
-def _tokens(spark, sf_dir):
-    return X.tokens(spark, sf_dir)
+def _tokens(spark, sf_dir, m=False):
+    return X.tokens(spark, sf_dir, m)
 
 
 def _gold(s):
@@ -49,7 +49,7 @@ def _scores(t):
 )
 def q_token_label_overlap(spark, sf_dir):
     """Token labels against the noisy annotator's ranges, majority-of-characters rule (threshold 0.5)."""
-    t = _tokens(spark, sf_dir)
+    t = _tokens(spark, sf_dir, True)
     return T.token_label_overlap(t.select("doc_id", "tok_idx", "start", "end"), _messy_c(spark, sf_dir, t), 0.5).select("doc_id", "tok_idx", "label")
 
 
@@ -58,7 +58,7 @@ def q_token_label_overlap(spark, sf_dir):
     with_base(MC, 'SELECT t.doc_id, t.tok_idx, CASE WHEN m.off IS NULL THEN 0 ELSE 1 END AS label FROM tokens t LEFT JOIN mc m ON t.doc_id = m.doc_id AND m.off = t."start"'),
 )
 def q_token_label_first_char(spark, sf_dir):
-    t = _tokens(spark, sf_dir)
+    t = _tokens(spark, sf_dir, True)
     return T.token_label_first_char(t.select("doc_id", "tok_idx", "start", "end"), _messy_c(spark, sf_dir, t)).select("doc_id", "tok_idx", "label")
 
 
@@ -87,7 +87,7 @@ FROM tokens t JOIN gc g USING (doc_id, tok_idx) WHERE t.core <> '' GROUP BY t.do
 )
 def q_ignore_mask(spark, sf_dir):
     """Punctuation-only tokens play the special/padding positions: label NULL, dropped before scoring."""
-    t = _tokens(spark, sf_dir)
+    t = _tokens(spark, sf_dir, True)
     lab = T.token_label_overlap(t, _gold(X.spans_from_tokens(t)), 0.0)
     lab = lab.withColumn("label", F.when(F.col("core") != "", F.col("label")))
     kept = lab.where(F.col("label").isNotNull())
@@ -198,7 +198,7 @@ def q_word_offsets(spark, sf_dir):
     ),
 )
 def q_spans_to_entities(spark, sf_dir):
-    t = _tokens(spark, sf_dir)
+    t = _tokens(spark, sf_dir, True)
     return T.spans_to_entities(t.select("doc_id", "tok_idx", "start", "end"), _messy_c(spark, sf_dir, t))
 
 
@@ -213,7 +213,7 @@ pn AS (SELECT doc_id, count(*) AS n FROM chars WHERE source = 'B' GROUP BY doc_i
 )
 def q_join_pred_gold(spark, sf_dir):
     """Gold (every document, empty or not) LEFT JOIN model B's predictions on the id."""
-    t = _tokens(spark, sf_dir)
+    t = _tokens(spark, sf_dir, True)
     s = X.spans_from_tokens(t)
 
     def size(src):
@@ -237,7 +237,7 @@ UNION ALL SELECT 'repeated_id', doc_id, n FROM p WHERE n > 1""",
 )
 def q_validate_submission(spark, sf_dir):
     """Model B written one line per range, checked against the gold id list."""
-    s = X.spans(spark, sf_dir)
+    s = X.spans(spark, sf_dir, True)
     return J.validate_submission(s.where(F.col("source") == "B").select("doc_id"), s.where(F.col("source") == "gold").select("doc_id"))
 
 
@@ -251,7 +251,7 @@ FROM tokens t JOIN mi m ON t.doc_id = m.doc_id AND t."start" < m."end" AND m."st
     ),
 )
 def q_overlap_join(spark, sf_dir):
-    t = _tokens(spark, sf_dir)
+    t = _tokens(spark, sf_dir, True)
     return T.overlap_join(t.select("doc_id", "tok_idx", "start", "end"), _messy_c(spark, sf_dir, t)).select("doc_id", "tok_idx", "r_start", "r_end", "overlap")
 
 
@@ -270,19 +270,19 @@ pf1 AS (SELECT doc_id, coder_a, coder_b, {prf_sql('na', 'nb', 'ni')} FROM pf)
 """
 
 
-def _pair_f1(spark, sf_dir):
-    s = X.spans(spark, sf_dir).where(F.col("source") != "gold").withColumnRenamed("source", "coder")
+def _pair_f1(spark, sf_dir, m=False):
+    s = X.spans(spark, sf_dir, m).where(F.col("source") != "gold").withColumnRenamed("source", "coder")
     return M.pairwise_agreement(X.docs(spark, sf_dir), s, X.MODELS)
 
 
 @register("coder_pairs", with_base(PAIRS_CTES, "SELECT doc_id, coder_a, coder_b, round(f1, 6) AS f1 FROM pf1"))
 def q_coder_pairs(spark, sf_dir):
-    return _pair_f1(spark, sf_dir)
+    return _pair_f1(spark, sf_dir, True)
 
 
 @register("pairwise_agreement", with_base(PAIRS_CTES, "SELECT doc_id, round(avg(f1), 6) AS agreement FROM pf1 GROUP BY doc_id"))
 def q_pairwise_agreement(spark, sf_dir):
-    return _pair_f1(spark, sf_dir).groupBy("doc_id").agg(F.avg("f1").alias("agreement"))
+    return _pair_f1(spark, sf_dir, True).groupBy("doc_id").agg(F.avg("f1").alias("agreement"))
 
 
 VOCAB_CTES = """
@@ -298,8 +298,8 @@ def _vocab(spark, sf_dir, t):
     return J.vocab_build(words)
 
 
-def _ids(spark, sf_dir):
-    t = _tokens(spark, sf_dir)
+def _ids(spark, sf_dir, m=False):
+    t = _tokens(spark, sf_dir, m)
     return J.vocab_lookup(t.select("doc_id", "tok_idx", "tok"), _vocab(spark, sf_dir, t))
 
 
@@ -320,12 +320,12 @@ vn AS (SELECT vec_id, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x A
 tv AS (SELECT i.doc_id, i.tok_idx, coalesce(vn.norm, 0.0) AS norm FROM ids i LEFT JOIN vn ON vn.vec_id = i.word_id)"""
 
 
-def _token_vectors(spark, sf_dir):
+def _token_vectors(spark, sf_dir, m=False):
     from spanfold.sources.tables import embeddings
 
     e = embeddings(spark, sf_dir)
     dim = e.select(F.max(F.size("embedding"))).first()[0]
-    v = J.vector_lookup(_ids(spark, sf_dir), e, dim)
+    v = J.vector_lookup(_ids(spark, sf_dir, m), e, dim)
     return v.withColumn("norm", J.l2_norm(F.col("vector")))
 
 
@@ -430,7 +430,7 @@ c AS (SELECT d.doc_id, coalesce(np.n, 0) AS n_pred, coalesce(ng.n, 0) AS n_gold,
 )
 def q_offset_f1_from_tokens(spark, sf_dir):
     """Argmax tokens -> character ranges -> document F1 against gold (every document)."""
-    t = _tokens(spark, sf_dir)
+    t = _tokens(spark, sf_dir, True)
     pred = D.decode_tokens(_scores(t)).withColumn("source", F.lit("argmax"))
     gold = X.spans_from_tokens(t).where(F.col("source") == "gold").drop("source")
     return M.doc_prf(X.docs(spark, sf_dir), pred, gold, ["argmax"]).select("doc_id", "f1")
@@ -448,7 +448,7 @@ def q_offset_f1_from_tokens(spark, sf_dir):
     ),
 )
 def q_token_f1(spark, sf_dir):
-    t = _tokens(spark, sf_dir)
+    t = _tokens(spark, sf_dir, True)
     lab = T.token_label_overlap(_scores(t), _gold(X.spans_from_tokens(t)), 0.0)
     return M.token_f1(lab)
 
@@ -490,7 +490,7 @@ def q_classification_metrics(spark, sf_dir):
     """Document score = sigmoid(max token logit) against ``labels.toxic``."""
     from spanfold.sources.tables import labels
 
-    s = _scores(_tokens(spark, sf_dir)).groupBy("doc_id").agg(F.max("logit1").alias("m"))
+    s = _scores(_tokens(spark, sf_dir, True)).groupBy("doc_id").agg(F.max("logit1").alias("m"))
     l = labels(spark, sf_dir).join(X.docs(spark, sf_dir).select("doc_id"), "doc_id").join(s, "doc_id", "left")
     l = l.select(F.col("toxic").alias("label"), sigmoid(F.coalesce(F.col("m"), F.lit(0.0))).alias("score"))
     return M.classification_metrics(l)
@@ -514,7 +514,7 @@ def q_smoothed_ce(spark, sf_dir):
     """Label-smoothed (0.1) cross-entropy per document over unmasked tokens."""
     from spanfold.operators.modeling import smoothed_ce
 
-    t = _tokens(spark, sf_dir)
+    t = _tokens(spark, sf_dir, True)
     lab = T.token_label_overlap(_scores(t).join(t.select("doc_id", "tok_idx", "core"), ["doc_id", "tok_idx"]), _gold(X.spans_from_tokens(t)), 0.0)
     lab = lab.withColumn("mask", F.when(F.col("core") != "", 1).otherwise(0))
     return smoothed_ce(lab, ["logit0", "logit1"], "label", 0.1, "mask")
@@ -539,7 +539,7 @@ def q_plain_losses(spark, sf_dir):
     """Token cross-entropy, start/end BCE-with-logits (flags at gold run boundaries), MSE of sigmoid(logit1)."""
     from spanfold.operators.modeling import bce_with_logits, cross_entropy
 
-    t = _tokens(spark, sf_dir)
+    t = _tokens(spark, sf_dir, True)
     g = _gold(X.spans_from_tokens(t))
     lab = T.token_label_overlap(_scores(t), g, 0.0)
     gs = g.select("doc_id", F.col("start").alias("start"), F.lit(1).alias("ys")).distinct()
