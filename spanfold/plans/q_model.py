@@ -95,11 +95,9 @@ def q_rank_words(spark, sf_dir):
     None,
 )
 def q_surrogate_attribution(spark, sf_dir):
-    """LIME-style weights per word (64 keyed perturbations per document, weighted ridge); rows-only check."""
-    import numpy as np
-
+    """LIME-style weights per word (256 keyed perturbations per document, weighted ridge); rows-only check."""
     t = X.tokens(spark, sf_dir).withColumn("c", F.col("hit").cast("double"))
-    return A.surrogate_attribution(t, "c", lambda h: h / (h + 1.0), 64, 0.2)
+    return A.surrogate_attribution(t, "c", lambda h: h / (h + 1.0), 256, 0.2)
 
 
 # ---------------------------------------------------------------------------- pieces, importances, report

@@ -33,4 +33,4 @@ def test_surrogate_flags_planted_words(spark):
     j = w.join(t, ["doc_id", "tok_idx"])
     hit_w = j.where("hit").agg(F.avg("weight")).first()[0]
     other_w = j.where("not hit").agg(F.avg("weight")).first()[0]
-    assert hit_w > 0.2 > abs(other_w)
+    assert hit_w > 10 * abs(other_w) and hit_w > 0
