@@ -2,45 +2,111 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from spanfold.functions.text import NON_WS_CLASS, WS_CLASS, core
+from spanfold.functions.text import NON_WS_CLASS, WHITESPACE_CHARS, WS_CLASS, core
 
 PIECES = f"{NON_WS_CLASS}+|{WS_CLASS}+"
+_TOKEN_RE = re.compile("[^" + re.escape(WHITESPACE_CHARS) + "]+")
 
 
-def tokenize_offsets(docs: DataFrame, keys=("doc_id",), text: str = "text", keep=()) -> DataFrame:
+def tokenize_offsets(docs: DataFrame, keys=("doc_id",), text: str = "text", keep=(), method: str = "rowlocal", neighbours: bool = False) -> DataFrame:
     """Whitespace tokens with half-open code-point offsets.
 
-    ``(keys..., tok_idx, tok, start, end)``; ``tok_idx`` is 0-based over non-space tokens.
-    The text is cut into alternating non-space/space pieces in one pass
-    (``regexp_extract_all``); a running length sum over each document gives the end
-    offset of every piece. Documents are hash-partitioned on the key once (the text,
-    not the larger exploded pieces, crosses the shuffle); the piece window and every
-    per-document step downstream reuse that partitioning.
+    ``(keys..., tok_idx, tok, start, end[, prev_end, next_end])``; ``tok_idx`` is 0-based.
+
+    ``method="rowlocal"`` (default): each document is tokenized where it is read, in
+    Arrow batches (``mapInPandas`` running a compiled regex over the text), so no text
+    or token crosses the network; use it when later steps work on derived spans.
+    ``method="window"``: JVM only; the text is hash-partitioned by document once,
+    ``regexp_extract_all`` cuts it into alternating non-space/space pieces and a running
+    length sum gives offsets; every per-document window over the tokens downstream
+    reuses that partitioning. ``neighbours`` adds the previous/next token end.
     """
     keys = list(keys)
+    if method == "window":
+        return _tokenize_window(docs, keys, text, keep, neighbours)
+    return _tokenize_rowlocal(docs, keys, text, keep, neighbours)
+
+
+def _tokenize_rowlocal(docs: DataFrame, keys, text, keep, neighbours) -> DataFrame:
+    import numpy as np
+    import pandas as pd
+
+    carry = keys + list(keep)
+    fields = [docs.schema[c] for c in carry]
+    out_fields = [T.StructField(f.name, f.dataType, True) for f in fields] + [
+        T.StructField("tok_idx", T.LongType()),
+        T.StructField("tok", T.StringType()),
+        T.StructField("start", T.LongType()),
+        T.StructField("end", T.LongType()),
+        T.StructField("prev_end", T.LongType()),
+        T.StructField("next_end", T.LongType()),
+    ]
+    schema = T.StructType(out_fields)
+
+    def batches(it):
+        for pdf in it:
+            reps, idx, toks, st, en = [], [], [], [], []
+            for i, t in enumerate(pdf[text]):
+                if not isinstance(t, str):
+                    continue
+                ms = [(m.start(), m.end(), m.group()) for m in _TOKEN_RE.finditer(t)]
+                if not ms:
+                    continue
+                reps.append(np.full(len(ms), i, dtype=np.int64))
+                idx.append(np.arange(len(ms), dtype=np.int64))
+                st.append(np.fromiter((m[0] for m in ms), dtype=np.int64, count=len(ms)))
+                en.append(np.fromiter((m[1] for m in ms), dtype=np.int64, count=len(ms)))
+                toks.extend(m[2] for m in ms)
+            if not reps:
+                yield pd.DataFrame({f.name: pd.Series([], dtype=object) for f in out_fields})
+                continue
+            rows = np.concatenate(reps)
+            out = {c: pdf[c].to_numpy()[rows] for c in carry}
+            tok_idx = np.concatenate(idx)
+            ends = np.concatenate(en)
+            first = tok_idx == 0
+            last = np.r_[first[1:], True]
+            prev_end = np.r_[-1, ends[:-1]]
+            prev_end[first] = -1
+            next_end = np.r_[ends[1:], -1]
+            next_end[last] = -1
+            out.update(tok_idx=tok_idx, tok=toks, start=np.concatenate(st), end=ends, prev_end=prev_end, next_end=next_end)
+            yield pd.DataFrame(out)
+
+    t = docs.select(*carry, text).mapInPandas(batches, schema)
+    cols = [*carry, "tok_idx", "tok", "start", "end"]
+    if neighbours:
+        cols += [F.when(F.col("prev_end") >= 0, F.col("prev_end")).alias("prev_end"), F.when(F.col("next_end") >= 0, F.col("next_end")).alias("next_end")]
+    return t.select(*cols)
+
+
+def _tokenize_window(docs: DataFrame, keys, text, keep, neighbours) -> DataFrame:
     # shuffle the compact text once by document; the piece window below reuses it
     docs = docs.repartition(*keys)
     pieces = docs.select(*keys, *keep, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(PIECES), F.lit(0))).alias("_p", "tok"))
     w = Window.partitionBy(*keys).orderBy("_p")
     pieces = pieces.withColumn("end", F.sum(F.length("tok")).over(w))
     toks = pieces.where(F.col("tok").rlike(NON_WS_CLASS))
-    return toks.select(
+    t = toks.select(
         *keys,
         *keep,
-        (F.col("_p") / 2).cast("long").alias("_pi"),
-        F.col("_p"),
+        # pieces alternate, so the token index is the piece index halved, shifted by one
+        # when the text starts with whitespace (piece 0 is then a space run)
+        F.when(F.col("_p") % 2 == 0, F.col("_p") / 2).otherwise((F.col("_p") - 1) / 2).cast("long").alias("tok_idx"),
         "tok",
         (F.col("end") - F.length("tok")).cast("long").alias("start"),
         F.col("end").cast("long").alias("end"),
-    ).withColumn(
-        # pieces alternate, so the token index is the piece index halved, shifted by one
-        # when the text starts with whitespace (piece 0 is then a space run)
-        "tok_idx",
-        F.when(F.col("_p") % 2 == 0, F.col("_p") / 2).otherwise((F.col("_p") - 1) / 2).cast("long"),
-    ).drop("_pi", "_p").select(*keys, *keep, "tok_idx", "tok", "start", "end")
+    )
+    if neighbours:
+        wt = Window.partitionBy(*keys).orderBy("tok_idx")
+        t = t.withColumn("prev_end", F.lag("end").over(wt)).withColumn("next_end", F.lead("end").over(wt))
+    return t
 
 
 def with_core(tokens: DataFrame) -> DataFrame:

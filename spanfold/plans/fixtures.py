@@ -22,17 +22,18 @@ def docs(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     return tables.documents(spark, sf_dir, *extra)
 
 
-def tokens(spark: SparkSession, sf_dir: str, materialize: bool = False) -> DataFrame:
-    """``(doc_id, tok_idx, tok, start, end, core, hit, next_end)``.
+def tokens(spark: SparkSession, sf_dir: str, materialize: bool = False, method: str = "rowlocal") -> DataFrame:
+    """``(doc_id, tok_idx, tok, start, end, prev_end, next_end, core, hit)``.
 
+    ``method``: see ``tokenize_offsets`` -- row-local (no shuffle) by default; ``"window"``
+    for plans that run per-document windows over all tokens, so the one text shuffle
+    leaves the tokens clustered by document.
     ``materialize=True`` writes the table once to the shared checkpoint folder (reliable
-    ``checkpoint``, survives executor loss) for plans that read it in several branches;
-    the doc_id hash partitioning is kept, so later per-document steps still need no shuffle.
+    ``checkpoint``, survives executor loss) for plans that read it in several branches.
     """
-    t = tokenize_offsets(docs(spark, sf_dir))
+    t = tokenize_offsets(docs(spark, sf_dir), method=method, neighbours=True)
     t = t.withColumn("core", core(F.col("tok")))
     t = t.withColumn("hit", F.col("core").isin(*LEXICON))
-    t = t.withColumn("next_end", F.lead("end").over(Window.partitionBy("doc_id").orderBy("tok_idx")))
     if materialize:
         from spanfold.session import scratch_dir
 

@@ -51,7 +51,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY kind, round
 
 
 def _ctx(spark, sf_dir, m=False):
-    t = X.tokens(spark, sf_dir, m)
+    t = X.tokens(spark, sf_dir, m, "window")
     return t, X.token_scores_from_tokens(t)
 
 
@@ -81,7 +81,7 @@ def _gold(t):
 # ---------------------------------------------------------------------------- windows
 @register("strided_windows", with_base(WIN_CTES, "SELECT doc_id, window_id, first_tok, last_tok, last_tok - first_tok + 1 AS n_tok FROM wins"))
 def q_strided_windows(spark, sf_dir):
-    return T.strided_windows(X.tokens(spark, sf_dir), L, STRIDE)
+    return T.strided_windows(X.tokens(spark, sf_dir, False, "window"), L, STRIDE)
 
 
 @register(
@@ -90,7 +90,7 @@ def q_strided_windows(spark, sf_dir):
 )
 def q_feature_to_example(spark, sf_dir):
     """Window tokens (features) rolled back up to their document."""
-    wt = T.window_tokens(X.tokens(spark, sf_dir).select("doc_id", "tok_idx"), L, STRIDE)
+    wt = T.window_tokens(X.tokens(spark, sf_dir, False, "window").select("doc_id", "tok_idx"), L, STRIDE)
     return wt.groupBy("doc_id").agg(F.countDistinct("window_id").alias("n_windows"), F.count("*").alias("n_window_tokens"))
 
 
@@ -99,7 +99,7 @@ def q_feature_to_example(spark, sf_dir):
     with_base(WIN_CTES, "SELECT (SELECT count(*) FROM docs) AS n_examples, (SELECT count(*) FROM tokens) AS n_tokens, (SELECT count(*) FROM wins) AS n_features"),
 )
 def q_corpus_counts(spark, sf_dir):
-    t = X.tokens(spark, sf_dir, True)
+    t = X.tokens(spark, sf_dir, True, "window")
     n_docs = X.docs(spark, sf_dir).agg(F.count("*").alias("n_examples"))
     n_tok = t.agg(F.count("*").alias("n_tokens"))
     n_win = T.strided_windows(t, L, STRIDE).agg(F.count("*").alias("n_features"))
@@ -142,7 +142,7 @@ def q_nbest_spans(spark, sf_dir):
 
 @register("null_score", with_base(WIN_CTES, "SELECT doc_id, round(null_score, 6) AS null_score FROM nulls"))
 def q_null_score(spark, sf_dir):
-    w = X.windows(X.tokens(spark, sf_dir), L, STRIDE)
+    w = X.windows(X.tokens(spark, sf_dir, False, "window"), L, STRIDE)
     return K.null_scores(w, F.col("cls_start"), F.col("cls_end"))
 
 
@@ -258,7 +258,7 @@ FROM bnd b JOIN wb w USING (doc_id)""",
 )
 def q_window_answer_positions(spark, sf_dir):
     """One feature per (gold run, window): answer token positions in the window, CLS (0) when not held."""
-    t = X.tokens(spark, sf_dir, True)
+    t = X.tokens(spark, sf_dir, True, "window")
     return K.window_answer_positions(_gold(t), t.select("doc_id", "tok_idx", "start", "end"), T.strided_windows(t, L, STRIDE))
 
 
@@ -274,5 +274,5 @@ fl AS (SELECT doc_id, window_id, sp AS pos, 1 AS s, 0 AS e FROM held UNION ALL S
     ),
 )
 def q_window_multi_positions(spark, sf_dir):
-    t = X.tokens(spark, sf_dir, True)
+    t = X.tokens(spark, sf_dir, True, "window")
     return K.window_multi_positions(_gold(t), t.select("doc_id", "tok_idx", "start", "end"), L, STRIDE)

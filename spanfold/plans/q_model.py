@@ -31,7 +31,7 @@ ef AS (SELECT *, CASE WHEN score_dec > 0.2 THEN 1 ELSE 0 END AS flagged FROM ed)
 
 
 def _erasure(spark, sf_dir, m=False):
-    t = X.tokens(spark, sf_dir, m)
+    t = X.tokens(spark, sf_dir, m, "window")
     return A.erasure_scores(t, F.col("hit").cast("int"), lambda h: h / (h + F.lit(1.0)))
 
 
@@ -47,7 +47,7 @@ FROM tokens""",
 )
 def q_erasure_ablations(spark, sf_dir):
     """Every word's ablation of every document, as (offset, length) descriptors of the masked text."""
-    t = X.tokens(spark, sf_dir)
+    t = X.tokens(spark, sf_dir, False, "window")
     return A.erasure_ablations(t.select("doc_id", "tok_idx", "tok")).select("doc_id", "tok_idx", F.col("tok").alias("word"), "ss_start", "ablated_len")
 
 
@@ -96,7 +96,7 @@ def q_rank_words(spark, sf_dir):
 )
 def q_surrogate_attribution(spark, sf_dir):
     """LIME-style weights per word (256 keyed perturbations per document, weighted ridge); rows-only check."""
-    t = X.tokens(spark, sf_dir).withColumn("c", F.col("hit").cast("double"))
+    t = X.tokens(spark, sf_dir, False, "window").withColumn("c", F.col("hit").cast("double"))
     return A.surrogate_attribution(t, "c", lambda h: h / (h + 1.0), 256, 0.2)
 
 
@@ -132,7 +132,7 @@ def pieces(t):
     with_base(PIECE_CTES, 'SELECT doc_id, word_idx, "start", "end", round(CASE WHEN sum(raw) OVER (PARTITION BY doc_id) <> 0 THEN raw / sum(raw) OVER (PARTITION BY doc_id) ELSE 0 END, 6) AS weight FROM wd'),
 )
 def q_words_from_pieces(spark, sf_dir):
-    p = pieces(X.tokens(spark, sf_dir))
+    p = pieces(X.tokens(spark, sf_dir, False, "window"))
     return A.words_from_pieces(p).select("doc_id", "word_idx", "start", "end", "weight")
 
 
@@ -383,7 +383,7 @@ def q_doc_classifier(spark, sf_dir):
 
 
 def _token_frame(spark, sf_dir, m=False):
-    t = X.tokens(spark, sf_dir, m)
+    t = X.tokens(spark, sf_dir, m, "window")
     s = X.spans_from_tokens(t)
     gold = S.normalize_spans(s.where(F.col("source") == "gold").select("doc_id", "start", "end"))
     lab = T.token_label_overlap(t, gold, 0.0)

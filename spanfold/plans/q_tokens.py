@@ -24,8 +24,8 @@ GC = """gc AS (SELECT t.doc_id, t.tok_idx, count(g.off) AS covered FROM tokens t
 ARGMAX = "am AS (SELECT doc_id, tok_idx, \"start\", \"end\", CASE WHEN logit1 > logit0 THEN 1 ELSE 0 END AS pred FROM token_scores)"
 
 
-def _tokens(spark, sf_dir, m=False):
-    return X.tokens(spark, sf_dir, m)
+def _tokens(spark, sf_dir, m=False, method="rowlocal"):
+    return X.tokens(spark, sf_dir, m, method)
 
 
 def _gold(s):
@@ -99,7 +99,7 @@ def q_ignore_mask(spark, sf_dir):
     with_base("", "SELECT doc_id, tok_idx, CASE WHEN 1 / (1 + exp(-logit1)) > 0.2 THEN 2 ELSE 1 END AS decision FROM token_scores WHERE tok_idx < 128"),
 )
 def q_pad_tag_decisions(spark, sf_dir):
-    s = _scores(_tokens(spark, sf_dir))
+    s = _scores(_tokens(spark, sf_dir, False, "window"))
     return D.pad_tag_decisions(s, sigmoid(F.col("logit1")), 0.2, 128).select("doc_id", "tok_idx", "decision")
 
 
@@ -187,7 +187,7 @@ def q_random_spans(spark, sf_dir):
     with_base("", "SELECT doc_id, tok_idx, CAST(coalesce(sum(length(tok) + 1) OVER (PARTITION BY doc_id ORDER BY tok_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ss_start FROM tokens"),
 )
 def q_word_offsets(spark, sf_dir):
-    return T.word_offsets(_tokens(spark, sf_dir)).select("doc_id", "tok_idx", "ss_start")
+    return T.word_offsets(_tokens(spark, sf_dir, False, "window")).select("doc_id", "tok_idx", "ss_start")
 
 
 @register(
@@ -299,7 +299,7 @@ def _vocab(spark, sf_dir, t):
 
 
 def _ids(spark, sf_dir, m=False):
-    t = _tokens(spark, sf_dir, m)
+    t = _tokens(spark, sf_dir, m, "window")
     return J.vocab_lookup(t.select("doc_id", "tok_idx", "tok"), _vocab(spark, sf_dir, t))
 
 
@@ -389,7 +389,7 @@ def q_pad_sequence(spark, sf_dir):
 # ---------------------------------------------------------------------------- decoding
 @register("token_argmax", with_base(ARGMAX, "SELECT doc_id, tok_idx, pred FROM am"))
 def q_token_argmax(spark, sf_dir):
-    return _scores(_tokens(spark, sf_dir)).select("doc_id", "tok_idx", "pred")
+    return _scores(_tokens(spark, sf_dir, False, "window")).select("doc_id", "tok_idx", "pred")
 
 
 DEC_CTES = ARGMAX + """,
@@ -398,7 +398,7 @@ dc AS (SELECT DISTINCT doc_id, unnest(range("start", "end")) AS off FROM am WHER
 
 @register("decode_tokens", with_base(DEC_CTES, islands("dc", "doc_id")))
 def q_decode_tokens(spark, sf_dir):
-    return D.decode_tokens(_scores(_tokens(spark, sf_dir)))
+    return D.decode_tokens(_scores(_tokens(spark, sf_dir, False, "window")))
 
 
 @register(
@@ -412,7 +412,7 @@ gf AS (SELECT DISTINCT doc_id, unnest(range(CASE WHEN pp = 1 THEN least(pe, "sta
     ),
 )
 def q_decode_gap_fill(spark, sf_dir):
-    return D.decode_gap_fill(_scores(_tokens(spark, sf_dir)))
+    return D.decode_gap_fill(_scores(_tokens(spark, sf_dir, False, "window")))
 
 
 @register(
@@ -448,7 +448,7 @@ def q_offset_f1_from_tokens(spark, sf_dir):
     ),
 )
 def q_token_f1(spark, sf_dir):
-    t = _tokens(spark, sf_dir, True)
+    t = _tokens(spark, sf_dir, True, "window")
     lab = T.token_label_overlap(_scores(t), _gold(X.spans_from_tokens(t)), 0.0)
     return M.token_f1(lab)
 
@@ -458,7 +458,7 @@ def q_token_f1(spark, sf_dir):
     with_base(ARGMAX, "SELECT doc_id, '[' || array_to_string(list(tok_idx ORDER BY tok_idx), ', ') || ']' AS toxic_idx FROM am WHERE pred = 1 GROUP BY doc_id"),
 )
 def q_toxic_token_index(spark, sf_dir):
-    r = D.toxic_token_index(_scores(_tokens(spark, sf_dir)))
+    r = D.toxic_token_index(_scores(_tokens(spark, sf_dir, False, "window")))
     return r.select("doc_id", S.format_offsets(F.col("toxic_idx")).alias("toxic_idx"))
 
 
