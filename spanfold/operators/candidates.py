@@ -182,8 +182,12 @@ def tune_score_threshold(cands: DataFrame, gold: DataFrame, docs: DataFrame, n_l
     keys = list(keys)
     div = float(n_levels - 1)
     p = F.col("score") if score_is_probability else sigmoid(F.col("score"))
-    c = cands.where(F.col("start").isNotNull()).select(*keys, "start", "end", p.alias("p"))
-    lv = c.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n_levels - 1)))).where(F.col("p") > F.col("k") / F.lit(div))
+    c = cands.where(F.col("start").isNotNull()).select(*keys, "start", "end", pass_level(p, n_levels, div).alias("kmax"))
+    # candidates overlap heavily: merge them per (document, highest level passed) first, then
+    # copy each merged range to the levels 0..kmax it counts at (exact: the set at level k is
+    # the union of all candidates passing k)
+    merged = normalize_spans(c.where(F.col("kmax") >= 0), keys + ["kmax"])
+    lv = merged.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("kmax"))))
     pred = normalize_spans(lv.select(*keys, "k", "start", "end"), keys + ["k"])
     g = normalize_spans(gold.select(*keys, "start", "end"), keys)
     glen = g.groupBy(*keys).agg(F.sum(F.col("end") - F.col("start")).alias("n_gold"))

@@ -139,3 +139,24 @@ def apply_token_model(model, feats: DataFrame, prefix: str) -> DataFrame:
     return out.withColumn(f"{prefix}_prob", vector_to_array("probability")[1]).withColumn(
         f"{prefix}_logit", vector_to_array("rawPrediction")[1]
     ).drop("_features", "rawPrediction", "probability", "prediction")
+
+
+def running_mean(df: DataFrame, group: list[str], order: str, value: str, block: int = 1 << 16) -> DataFrame:
+    """Running mean of ``value`` by ``order`` inside each ``group`` (e.g. the training loss
+    by step, restarting each epoch of each run), adding ``running_mean``.
+
+    Skew-safe two-level prefix: rows are cut into blocks of ``order // block``; block totals
+    are prefixed per group (one row per block, a small window), then rows are prefixed
+    inside their block. A group holding a large share of all rows is spread over its
+    blocks instead of landing in one task.
+    """
+    from pyspark.sql import Window
+
+    b = df.withColumn("_blk", F.floor(F.col(order) / block))
+    tot = b.groupBy(*group, "_blk").agg(F.sum(value).alias("_bs"), F.count("*").alias("_bc"))
+    wb = Window.partitionBy(*group).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    tot = tot.select(*group, "_blk", F.coalesce(F.sum("_bs").over(wb), F.lit(0.0)).alias("_ps"), F.coalesce(F.sum("_bc").over(wb), F.lit(0)).alias("_pc"))
+    wr = Window.partitionBy(*group, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    b = b.withColumn("_rs", F.sum(value).over(wr)).withColumn("_rc", F.count("*").over(wr))
+    j = b.join(tot, on=[*group, "_blk"])
+    return j.withColumn("running_mean", (F.col("_ps") + F.col("_rs")) / (F.col("_pc") + F.col("_rc"))).drop("_blk", "_ps", "_pc", "_rs", "_rc")

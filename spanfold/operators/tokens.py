@@ -113,19 +113,35 @@ def with_core(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("core", core(F.col("tok")))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, keys=("doc_id",), how: str = "inner") -> DataFrame:
+BLOCK = 4096  # characters per block of the interval join key
+
+
+def overlap_join(left: DataFrame, right: DataFrame, keys=("doc_id",), how: str = "inner", block: int = BLOCK) -> DataFrame:
     """Interval join: rows whose half-open ranges intersect, on the equi key(s) plus a theta predicate.
 
     ``left`` and ``right`` carry ``start``/``end``; the right side's are renamed
-    ``r_start``/``r_end`` and ``overlap`` is the intersection length.
+    ``r_start``/``r_end`` and ``overlap`` is the intersection length. Besides the
+    document key, both sides carry the character block(s) ``floor(pos / block)`` their
+    range touches, so the theta predicate is only evaluated within one block of one
+    document (one huge document cannot turn into an all-pairs scan); a pair that shares
+    several blocks is kept only in the block of its first shared character.
     """
     keys = list(keys)
-    r = right.withColumnRenamed("start", "r_start").withColumnRenamed("end", "r_end")
-    cond = [left[k] == r[k] for k in keys] + [left["start"] < r["r_end"], r["r_start"] < left["end"]]
-    j = left.join(r, on=cond, how=how)
+
+    def blocks(df, s, e, name):
+        return df.withColumn(name, F.explode(F.sequence(F.floor(F.col(s) / block), F.floor((F.col(e) - 1) / block))))
+
+    l = blocks(left.where(F.col("end") > F.col("start")), "start", "end", "_blk")
+    r = blocks(right.where(F.col("end") > F.col("start")).withColumnRenamed("start", "r_start").withColumnRenamed("end", "r_end"), "r_start", "r_end", "_rblk")
+    cond = [l[k] == r[k] for k in keys] + [l["_blk"] == r["_rblk"], l["start"] < r["r_end"], r["r_start"] < l["end"]]
+    j = l.join(r, on=cond, how="inner")
     for k in keys:
         j = j.drop(r[k])
-    return j.withColumn("overlap", F.least("end", "r_end") - F.greatest("start", "r_start"))
+    j = j.where(F.col("_blk") == F.floor(F.greatest(F.col("start"), F.col("r_start")) / block)).drop("_blk", "_rblk")
+    j = j.withColumn("overlap", F.least("end", "r_end") - F.greatest("start", "r_start"))
+    if how == "inner":
+        return j
+    raise ValueError("overlap_join supports inner joins; left-join the result back for outer semantics")
 
 
 def token_label_overlap(tokens: DataFrame, gold: DataFrame, threshold: float = 0.0, keys=("doc_id",)) -> DataFrame:

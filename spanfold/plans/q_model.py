@@ -212,10 +212,11 @@ def _epoch(df):
 )
 def q_running_loss(spark, sf_dir):
     """Running mean of the metric by step, restarting each epoch (day) of each run (user)."""
+    from spanfold.operators.modeling import running_mean
+
     e = tables.events(spark, sf_dir)
     e = e.withColumn("epoch", _epoch(e))
-    w = Window.partitionBy("user_id", "epoch").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return e.select("event_id", F.avg("value").over(w).alias("running_loss"))
+    return running_mean(e, ["user_id", "epoch"], "event_id", "value").select("event_id", F.col("running_mean").alias("running_loss"))
 
 
 @register(

@@ -157,3 +157,31 @@ def test_tokenizer_matches_regex(spark):
         for i, m in enumerate(re.finditer(r"[^ \t\n\r\x0b\x0c]+", t)):
             want.append((d, i, m.group(), m.start(), m.end()))
     assert got == sorted(want)
+
+
+@pytest.mark.parametrize("block", [3, 7, 4096])
+def test_blocked_overlap_join_matches_pairs(spark, block):
+    rng = random.Random(block)
+    a = [(d, i, s, s + rng.randint(1, 15)) for d in range(10) for i, s in enumerate(rng.sample(range(80), 12))]
+    b = [(d, s, s + rng.randint(1, 25)) for d in range(10) for s in rng.sample(range(80), 6)]
+    A = spark.createDataFrame(a, "doc_id long, tok_idx long, start long, end long")
+    B = spark.createDataFrame(b, "doc_id long, start long, end long")
+    got = sorted((r["doc_id"], r["tok_idx"], r["r_start"], r["r_end"], r["overlap"]) for r in T.overlap_join(A, B, block=block).collect())
+    want = sorted(
+        (d, i, s2, e2, min(e1, e2) - max(s1, s2)) for (d, i, s1, e1) in a for (d2, s2, e2) in b if d == d2 and s1 < e2 and s2 < e1
+    )
+    assert got == want
+
+
+def test_two_level_running_mean(spark):
+    from spanfold.operators.modeling import running_mean
+
+    rng = random.Random(2)
+    rows = [(i, rng.choice([1, 2, 3]), float(rng.randint(0, 100))) for i in range(400)]
+    df = spark.createDataFrame(rows, "step long, run long, loss double")
+    got = {r["step"]: r["running_mean"] for r in running_mean(df, ["run"], "step", "loss", block=16).collect()}
+    sums = {}
+    for step, run, loss in rows:
+        s, c = sums.get(run, (0.0, 0))
+        sums[run] = (s + loss, c + 1)
+        assert got[step] == pytest.approx(sums[run][0] / sums[run][1])
