@@ -168,35 +168,71 @@ def _level_grid(docs: DataFrame, n_levels: int, keys) -> DataFrame:
     return docs.select(*keys).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n_levels - 1))))
 
 
+def _shr(v: Column, n: Column) -> Column:
+    return F.call_function("shiftright", v, n)
+
+
+def _highest_bit(v: Column) -> Column:
+    """Index of the highest set bit of a positive long (exact: log2 guess, corrected by shifts)."""
+    h = F.floor(F.log2(v.cast("double"))).cast("int")
+    h = F.when(_shr(v, h) == 0, h - 1).otherwise(h)
+    return F.when(_shr(v, h + 1) > 0, h + 1).otherwise(h)
+
+
 def tune_score_threshold(cands: DataFrame, gold: DataFrame, docs: DataFrame, n_levels: int = 100, score_is_probability: bool = False,
                          keys=("doc_id",)) -> DataFrame:
-    """Mean document F1 at every threshold ``t_k = k/(n_levels-1)`` in one pass.
-
-    A candidate (with a start) counts at level ``k`` when sigmoid(score) > t_k. Each
-    candidate is replicated to the levels it passes (at most ``n_levels``, a constant),
-    the union per (document, level) is normalized, its intersection with gold is an
-    interval join, and F1 per (document, level) is averaged per level. Documents
-    without a passing candidate score by the empty-prediction rule.
+    """Mean document F1 at every threshold ``t_k = k/(n_levels-1)`` in one sweep (no rescans).
+
+    A candidate (with a start) counts at level ``k`` when sigmoid(score) > t_k, i.e. at all
+    levels up to the highest one it passes. Candidates are merged per (document, highest
+    level) so ranges of one level are disjoint; a running sum of +-2^level over all range
+    endpoints is then exactly the set of active levels (a bitmask in two longs), and gold
+    rides in the same sweep as a 0/1 cover. Each elementary segment counts for every level
+    up to its highest active one, so a per-document histogram over levels plus a suffix
+    sum gives |pred| and |pred & gold| at every threshold. Documents without a passing
+    candidate score by the empty-prediction rule.
     ``(k, threshold, mean_f1, is_best)``; best = highest mean, lowest threshold on ties.
     """
     keys = list(keys)
+    if n_levels > 126:
+        raise ValueError("at most 126 threshold levels (two 63-bit masks)")
     div = float(n_levels - 1)
     p = F.col("score") if score_is_probability else sigmoid(F.col("score"))
     c = cands.where(F.col("start").isNotNull()).select(*keys, "start", "end", pass_level(p, n_levels, div).alias("kmax"))
-    # candidates overlap heavily: merge them per (document, highest level passed) first, then
-    # copy each merged range to the levels 0..kmax it counts at (exact: the set at level k is
-    # the union of all candidates passing k)
     merged = normalize_spans(c.where(F.col("kmax") >= 0), keys + ["kmax"])
-    lv = merged.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("kmax"))))
-    pred = normalize_spans(lv.select(*keys, "k", "start", "end"), keys + ["k"])
+    one = F.lit(1).cast("long")
+    k = F.col("kmax")
+    lo = F.when(k < 63, F.call_function("shiftleft", one, k)).otherwise(F.lit(0).cast("long"))
+    hi = F.when(k >= 63, F.call_function("shiftleft", one, k - 63)).otherwise(F.lit(0).cast("long"))
+    zero = F.lit(0).cast("long")
+
+    def ev(x, dl, dh, dg):
+        return F.struct(x.alias("x"), dl.alias("dl"), dh.alias("dh"), dg.alias("dg"))
+
+    ev_c = merged.select(*keys, F.explode(F.array(ev(F.col("start"), lo, hi, zero), ev(F.col("end"), -lo, -hi, zero))).alias("e"))
     g = normalize_spans(gold.select(*keys, "start", "end"), keys)
-    glen = g.groupBy(*keys).agg(F.sum(F.col("end") - F.col("start")).alias("n_gold"))
-    plen = pred.groupBy(*keys, "k").agg(F.sum(F.col("end") - F.col("start")).alias("n_pred"))
-    inter = overlap_join(pred, g, keys).groupBy(*keys, "k").agg(F.sum("overlap").alias("n_inter"))
-    grid = _level_grid(docs, n_levels, keys).join(plen, keys + ["k"], "left").join(inter, keys + ["k"], "left").join(glen, keys, "left")
-    npred, ngold, ninter = (F.coalesce(F.col(c_), F.lit(0)) for c_ in ("n_pred", "n_gold", "n_inter"))
+    ev_g = g.select(*keys, F.explode(F.array(ev(F.col("start"), zero, zero, one), ev(F.col("end"), zero, zero, -one))).alias("e"))
+    pts = ev_c.unionByName(ev_g).select(*keys, "e.*").groupBy(*keys, "x").agg(F.sum("dl").alias("dl"), F.sum("dh").alias("dh"), F.sum("dg").alias("dg"))
+    w = Window.partitionBy(*keys).orderBy("x")
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    seg = pts.select(
+        *keys, "x", F.lead("x").over(w).alias("nx"),
+        F.sum("dl").over(run).alias("lo"), F.sum("dh").over(run).alias("hi"), F.sum("dg").over(run).alias("gc"),
+    ).where(F.col("nx").isNotNull())
+    level = F.when(F.col("hi") != 0, _highest_bit(F.col("hi")) + 63).when(F.col("lo") != 0, _highest_bit(F.col("lo"))).otherwise(-1)
+    seg = seg.select(*keys, (F.col("nx") - F.col("x")).alias("len"), "gc", level.alias("level"))
+    hist = seg.groupBy(*keys, "level").agg(F.sum("len").alias("plen"), F.sum(F.col("len") * F.col("gc")).alias("ilen"))
+    # one consumer of the sweep: the grid spans levels -1..n-1 (level -1 = gold not predicted),
+    # so the gold length is a plain per-document sum over the grid rows
+    levels = docs.select(*keys).withColumn("level", F.explode(F.sequence(F.lit(-1), F.lit(n_levels - 1))))
+    grid = levels.join(hist, keys + ["level"], "left")
+    sfx = Window.partitionBy(*keys).orderBy(F.col("level").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    grid = grid.withColumn("n_gold", F.sum(F.coalesce("ilen", F.lit(0))).over(Window.partitionBy(*keys)))
+    grid = grid.withColumn("n_pred", F.sum(F.coalesce("plen", F.lit(0))).over(sfx)).withColumn("n_inter", F.sum(F.coalesce("ilen", F.lit(0))).over(sfx))
+    grid = grid.where(F.col("level") >= 0)
+    npred, ngold, ninter = F.col("n_pred"), F.col("n_gold"), F.col("n_inter")
     f1 = F.when(ngold == 0, F.when(npred == 0, 1.0).otherwise(0.0)).when(npred == 0, 0.0).otherwise(2.0 * ninter / (npred + ngold))
-    per_k = grid.withColumn("f1", f1).groupBy("k").agg(F.avg("f1").alias("mean_f1"))
+    per_k = grid.withColumn("f1", f1).groupBy(F.col("level").alias("k")).agg(F.avg("f1").alias("mean_f1"))
     return _mark_best(per_k.withColumn("threshold", F.col("k") / F.lit(div)))
 
 
