@@ -261,21 +261,32 @@ def tune_token_threshold(token_scores: DataFrame, p: Column, label: str = "label
     """Mean per-document token F1 (0 without any positive) at thresholds ``k/div``; best =
     true argmax, lowest threshold on ties (the reference's loop never updated its best).
 
-    Each token is assigned the highest level it passes; per document a histogram over
-    levels and a suffix sum give tp/fp at every level without replicating tokens.
+    One chain, no token replication: each token gets the highest level it passes; a
+    per-document histogram over levels (at most ``n_levels`` + 1 rows per document) is
+    expanded to the levels each bin counts at, giving tp/fp per (document, level); the
+    document's positives are a window sum over its bins. A (document, level) with no
+    passing token has F1 0, so the mean is the sum over present pairs divided by the
+    number of documents (counted on the level -1 marker rows).
     """
     keys = list(keys)
     t = token_scores.select(*keys, F.col(label).alias("y"), pass_level(p, n_levels, div).alias("kmax"))
     hist = t.groupBy(*keys, "kmax").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    tot = t.groupBy(*keys).agg(F.sum("y").alias("n_pos"))
-    grid = _level_grid(tot, n_levels, keys).withColumnRenamed("k", "kmax").join(hist, keys + ["kmax"], "left").join(tot, keys)
-    w = Window.partitionBy(*keys).orderBy(F.col("kmax").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    g = grid.withColumn("tp", F.sum(F.coalesce("pos", F.lit(0))).over(w)).withColumn("fp", F.sum(F.coalesce("neg", F.lit(0))).over(w))
+    hist = hist.withColumn("n_pos", F.sum("pos").over(Window.partitionBy(*keys)))
+    lv = hist.withColumn("k", F.explode(F.sequence(F.lit(-1), F.col("kmax"))))
+    per = lv.groupBy(*keys, "k").agg(F.sum("pos").alias("tp"), F.sum("neg").alias("fp"), F.max("n_pos").alias("n_pos"))
     fn = F.col("n_pos") - F.col("tp")
     denom = 2 * F.col("tp") + F.col("fp") + fn
-    g = g.withColumn("f1", F.when(denom > 0, 2.0 * F.col("tp") / denom).otherwise(0.0))
-    per_k = g.groupBy(F.col("kmax").alias("k")).agg(F.avg("f1").alias("mean_f1")).withColumn("threshold", F.col("k") / F.lit(div))
-    return _mark_best(per_k)
+    per = per.withColumn("f1", F.when(F.col("k") < 0, F.lit(0.0)).when(denom > 0, 2.0 * F.col("tp") / denom).otherwise(0.0))
+    sums = per.groupBy("k").agg(F.sum("f1").alias("s"), F.count("*").alias("c"))
+    # at most n_levels + 1 rows from here on
+    n_docs = F.max(F.when(F.col("k") == -1, F.col("c"))).over(Window.partitionBy())
+    sums = sums.withColumn("n_docs", n_docs).where(F.col("k") >= 0)
+    spark = token_scores.sparkSession
+    levels = spark.range(n_levels).select(F.col("id").alias("k"))
+    per_k = levels.join(F.broadcast(sums), "k", "left").select(
+        "k", (F.coalesce(F.col("s"), F.lit(0.0)) / F.coalesce(F.col("n_docs"), F.lit(1))).alias("mean_f1")
+    )
+    return _mark_best(per_k.withColumn("threshold", F.col("k") / F.lit(div)))
 
 
 def asof_token_bounds(runs: DataFrame, tokens: DataFrame, keys=("doc_id",)) -> DataFrame:

@@ -37,15 +37,18 @@ def scratch_dir(spark: SparkSession) -> str:
     Uses the cluster's ``spark.checkpoint.dir``; only when it is unset (local tests)
     a folder under /tmp is created and registered as the checkpoint dir.
     """
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        current = sc.getCheckpointDir()
-        if current:
-            base = current
-        else:
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001  (remote session: the server owns the checkpoint dir)
+        sc = None
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if sc is not None:
+        base = base or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+        if not base:
             base = tempfile.mkdtemp(prefix="spanfold-ckpt-", dir="/tmp")
             sc.setCheckpointDir(base)
+    if not base:
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
     return base.rstrip("/")
 
 

@@ -20,7 +20,10 @@ def spread_small(df: DataFrame, key: str) -> DataFrame:
     single row group) is read by a single task; hash-partition it on its key so its
     row-local work runs on every core. Large tables (many files) are left as scanned."""
     spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
+    try:
+        cores = spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001  (no SparkContext reachable, e.g. a remote session)
+        cores = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     if len(df.inputFiles()) < cores:
         return df.repartition(cores, key)
     return df
