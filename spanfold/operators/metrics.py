@@ -120,40 +120,30 @@ def f1_box_summary(scores: DataFrame, group: str = "source") -> DataFrame:
     )
 
 
-def coder_pairs(codes: DataFrame, coders, keys=("doc_id",), coder: str = "coder") -> DataFrame:
-    """All unordered coder pairs ``a < b`` per document with their F1 (coder b as gold).
+def pairwise_agreement(docs: DataFrame, codes: DataFrame, coders, keys=("doc_id",), coder: str = "coder") -> DataFrame:
+    """Per document and unordered coder pair ``a < b``: F1 of a against b (b as reference).
 
-    Pairs come from the short coder list (expanded in place); their range overlaps are
-    an interval join on the document key, never a pairing of all rows.
+    Every coder's ranges are replicated in place to the pairs it belongs to (as the
+    prediction of pairs where it is ``a``, as the reference where it is ``b``), and all pairs
+    are scored by one coverage sweep (the same as :func:`doc_prf`), so no range is ever
+    paired with another. Averaging the rows per document gives the agreement; with fewer
+    than two coders there is no pair (the reference's mean of nothing).
     """
     keys = list(keys)
     coders = sorted(coders)
     pairs = [(a, b) for i, a in enumerate(coders) for b in coders[i + 1 :]]
-    norm = normalize_spans(codes, keys + [coder])
-    lens = norm.groupBy(*keys, coder).agg(F.sum(F.col("end") - F.col("start")).alias("len"))
-    a = norm.select(*keys, F.col(coder).alias("coder_a"), "start", "end")
-    b = norm.select(*keys, F.col(coder).alias("coder_b"), "start", "end")
-    ov = overlap_join(a, b, keys).where(F.col("coder_a") < F.col("coder_b"))
-    inter = ov.groupBy(*keys, "coder_a", "coder_b").agg(F.sum("overlap").alias("n_inter"))
-    return inter, lens, pairs
-
-
-def pairwise_agreement(docs: DataFrame, codes: DataFrame, coders, keys=("doc_id",), coder: str = "coder") -> DataFrame:
-    """Per document: mean F1 over all coder pairs (``b`` treated as gold). Fewer than 2 coders -> NULL."""
-    keys = list(keys)
-    inter, lens, pairs = coder_pairs(codes, coders, keys, coder)
-    pair_rows = F.explode(F.array(*[F.struct(F.lit(a).alias("coder_a"), F.lit(b).alias("coder_b")) for a, b in pairs])) if pairs else None
-    if pair_rows is None:
-        return docs.select(*keys).withColumn("agreement", F.lit(None).cast("double"))
-    base = docs.select(*keys, pair_rows.alias("p")).select(*keys, "p.coder_a", "p.coder_b")
-    la = lens.select(*keys, F.col(coder).alias("coder_a"), F.col("len").alias("len_a"))
-    lb = lens.select(*keys, F.col(coder).alias("coder_b"), F.col("len").alias("len_b"))
-    j = base.join(inter, on=keys + ["coder_a", "coder_b"], how="left").join(la, on=keys + ["coder_a"], how="left").join(lb, on=keys + ["coder_b"], how="left")
-    na = F.coalesce("len_a", F.lit(0))
-    nb = F.coalesce("len_b", F.lit(0))
-    ni = F.coalesce("n_inter", F.lit(0))
-    f1 = prf_columns(na, nb, ni)[2]
-    return j.select(*keys, "coder_a", "coder_b", f1)
+    if not pairs:
+        return docs.select(*keys).withColumn("coder_a", F.lit(None).cast("string")).withColumn("coder_b", F.lit(None).cast("string")).withColumn("f1", F.lit(None).cast("double"))
+    labels = [f"{a}\u0001{b}" for a, b in pairs]
+    c = F.col(coder)
+    tags = F.array(*[
+        F.when(c == F.lit(x), F.struct(F.lit(lab).alias("_src"), F.lit("p" if x == a else "g").alias("_role")))
+        for lab, (a, b) in zip(labels, pairs) for x in (a, b)
+    ])
+    r = codes.where(c.isin(*coders)).select(*keys, "start", "end", F.explode(F.filter(tags, lambda t: t.isNotNull())).alias("_t"))
+    scored = _prf_from_roles(docs, r.select(*keys, "_t._src", "_t._role", "start", "end"), labels, keys, "_pair")
+    parts = F.split(F.col("_pair"), "\u0001")
+    return scored.select(*keys, parts.getItem(0).alias("coder_a"), parts.getItem(1).alias("coder_b"), "f1")
 
 
 def token_f1(tokens: DataFrame, keys=("doc_id",), label: str = "label", pred: str = "pred") -> DataFrame:
