@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanfold.operators.spans import coverage, merge_segments, normalize_spans
+from spanfold.operators.spans import BLOCK, coverage, merge_segments, normalize_spans
 
 
-def _keep(ranges: DataFrame, rule, keys, source) -> DataFrame:
+def _keep(ranges: DataFrame, rule, keys, source, block=BLOCK) -> DataFrame:
     keys = list(keys)
-    seg = coverage(ranges.select(*keys, source, "start", "end"), keys, source)
-    return merge_segments(seg.where(rule(F.col("cover"))), keys)
+    seg = coverage(ranges.select(*keys, source, "start", "end"), keys, source, block=block)
+    return merge_segments(seg.where(rule(F.col("cover"))), keys, block)
 
 
 def span_union(ranges: DataFrame, keys=("doc_id",), source: str = "source") -> DataFrame:
@@ -28,9 +28,9 @@ def span_intersect(ranges: DataFrame, n_models: int, keys=("doc_id",), source: s
     return _keep(ranges, lambda c: c >= n_models, keys, source)
 
 
-def span_vote(ranges: DataFrame, k: int = 2, keys=("doc_id",), source: str = "source") -> DataFrame:
+def span_vote(ranges: DataFrame, k: int = 2, keys=("doc_id",), source: str = "source", block: int | None = BLOCK) -> DataFrame:
     """Characters predicted by at least ``k`` sources (the reference: 2 of 3)."""
-    return _keep(ranges, lambda c: c >= k, keys, source)
+    return _keep(ranges, lambda c: c >= k, keys, source, block)
 
 
 def span_majority(ranges: DataFrame, n_models: int, keys=("doc_id",), source: str = "source") -> DataFrame:
@@ -57,11 +57,11 @@ def combine_files(ranges: DataFrame, presence: DataFrame, how: str = "union", st
     return merge_segments(seg.where(F.col("cover") >= F.col("_n")), keys)
 
 
-def span_except(a: DataFrame, b: DataFrame, keys=("doc_id",)) -> DataFrame:
+def span_except(a: DataFrame, b: DataFrame, keys=("doc_id",), block: int | None = BLOCK) -> DataFrame:
     """Characters of ``a`` not in ``b`` (signed sweep: a counts +1, b counts -2; keep cover == 1)."""
     keys = list(keys)
     r = a.select(*keys, "start", "end").withColumn("_src", F.lit("a")).unionByName(
         b.select(*keys, "start", "end").withColumn("_src", F.lit("b"))
     )
-    seg = coverage(r, keys, "_src", weight=F.when(F.col("_src") == "a", 1).otherwise(-2))
-    return merge_segments(seg.where(F.col("cover") == 1), keys)
+    seg = coverage(r, keys, "_src", weight=F.when(F.col("_src") == "a", 1).otherwise(-2), block=block)
+    return merge_segments(seg.where(F.col("cover") == 1), keys, block)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanfold.operators.spans import normalize_spans
+from spanfold.operators.spans import BLOCK, normalize_spans, split_blocks
 from spanfold.operators.tokens import overlap_join
 
 
@@ -31,7 +31,7 @@ def prf_columns(n_pred: Column, n_gold: Column, n_inter: Column) -> list[Column]
     return [p.alias("precision"), r.alias("recall"), f.alias("f1")]
 
 
-def doc_prf(docs: DataFrame, pred: DataFrame, gold: DataFrame, sources, keys=("doc_id",), source: str = "source") -> DataFrame:
+def doc_prf(docs: DataFrame, pred: DataFrame, gold: DataFrame, sources, keys=("doc_id",), source: str = "source", block: int = BLOCK) -> DataFrame:
     """Per document and source: precision, recall, F1 on character sets.
 
     Starts from ``docs`` (every document scored, zero-span ones included) times the
@@ -42,7 +42,7 @@ def doc_prf(docs: DataFrame, pred: DataFrame, gold: DataFrame, sources, keys=("d
     keys = list(keys)
     p = pred.select(*keys, F.col(source).alias("_src"), "start", "end", F.lit("p").alias("_role"))
     g = gold.select(*keys, "start", "end").withColumn("_src", F.explode(F.array(*[F.lit(s) for s in sources]))).withColumn("_role", F.lit("g"))
-    return _prf_from_roles(docs, p.unionByName(g), sources, keys, source)
+    return _prf_from_roles(docs, p.unionByName(g), sources, keys, source, block)
 
 
 def doc_prf_from_spans(docs: DataFrame, spans: DataFrame, sources, gold: str = "gold", keys=("doc_id",), source: str = "source") -> DataFrame:
@@ -58,20 +58,23 @@ def doc_prf_from_spans(docs: DataFrame, spans: DataFrame, sources, gold: str = "
     return _prf_from_roles(docs, r.select(*keys, "_t._src", "_t._role", "start", "end"), sources, keys, source)
 
 
-def _prf_from_roles(docs: DataFrame, roles: DataFrame, sources, keys, source: str) -> DataFrame:
+def _prf_from_roles(docs: DataFrame, roles: DataFrame, sources, keys, source: str, block: int = BLOCK) -> DataFrame:
     """Sizes of pred, gold and their intersection per (document, source) from one sweep.
 
     Each (source, role) is normalized; pred counts 1 and gold 2 in a coverage sweep over
     the (document, source) group, so a segment with cover 3 is in both. No join pairs
     ranges, so the cost follows the number of ranges even for one huge document.
     """
-    norm = normalize_spans(roles, keys + ["_src", "_role"])
+    # set sizes add up over character blocks, so every step runs per (document, source,
+    # block) and no stitching is needed: a huge document is spread over its blocks
+    blk = split_blocks(roles, block)
+    norm = normalize_spans(blk, keys + ["_src", "_role", "_blk"], block=None)
     w = F.when(F.col("_role") == "p", 1).otherwise(2)
     ev = norm.select(
-        *keys, "_src", F.explode(F.array(F.struct(F.col("start").alias("x"), w.alias("d")), F.struct(F.col("end").alias("x"), (-w).alias("d")))).alias("e")
-    ).select(*keys, "_src", "e.x", "e.d")
-    pts = ev.groupBy(*keys, "_src", "x").agg(F.sum("d").alias("d"))
-    win = Window.partitionBy(*keys, "_src").orderBy("x")
+        *keys, "_src", "_blk", F.explode(F.array(F.struct(F.col("start").alias("x"), w.alias("d")), F.struct(F.col("end").alias("x"), (-w).alias("d")))).alias("e")
+    ).select(*keys, "_src", "_blk", "e.x", "e.d")
+    pts = ev.groupBy(*keys, "_src", "_blk", "x").agg(F.sum("d").alias("d"))
+    win = Window.partitionBy(*keys, "_src", "_blk").orderBy("x")
     seg = pts.withColumn("cover", F.sum("d").over(win.rowsBetween(Window.unboundedPreceding, 0))).withColumn("nx", F.lead("x").over(win))
     seg = seg.where(F.col("nx").isNotNull() & (F.col("cover") > 0)).withColumn("len", F.col("nx") - F.col("x"))
     c = F.col("cover")

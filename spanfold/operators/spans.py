@@ -72,14 +72,20 @@ def span_text(ranges: DataFrame, docs: DataFrame, keys=("doc_id",), text: str =
 
 
 # ---------------------------------------------------------------- normalisation and sweep
-def normalize_spans(ranges: DataFrame, keys=("doc_id",)) -> DataFrame:
-    """Overlapping or adjacent ranges -> disjoint, non-adjacent ranges (per key group).
+BLOCK = 1 << 16  # characters per block: the unit that bounds every per-group sweep
 
-    Gaps-and-islands: a range opens a new island when it starts after the running
-    maximum end of all earlier ranges (ordered by start).
-    """
-    keys = list(keys)
-    r = ranges.where(F.col("end") > F.col("start")).select(*keys, "start", "end")
+
+def split_blocks(ranges: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Cut each range at multiples of ``block``, adding ``_blk``: a range covering k blocks
+    becomes k pieces. Sweeps keyed by (document, ..., _blk) then never hold more than one
+    block of one document, however large the document is."""
+    r = ranges.where(F.col("end") > F.col("start"))
+    r = r.withColumn("_blk", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block))))
+    lo, hi = F.col("_blk") * block, (F.col("_blk") + 1) * block
+    return r.withColumn("start", F.greatest("start", lo)).withColumn("end", F.least("end", hi))
+
+
+def _islands(r: DataFrame, keys) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("start", "end")
     prev_end = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     r = r.withColumn("_new", F.when(prev_end.isNull() | (F.col("start") > prev_end), 1).otherwise(0))
@@ -87,32 +93,56 @@ def normalize_spans(ranges: DataFrame, keys=("doc_id",)) -> DataFrame:
     return r.groupBy(*keys, "_isl").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_isl")
 
 
-def coverage(ranges: DataFrame, keys=("doc_id",), source: str = "source", weight: Column | None = None) -> DataFrame:
-    """Coverage sweep: elementary segments ``(keys..., start, end, cover)`` with ``cover > 0``.
+def normalize_spans(ranges: DataFrame, keys=("doc_id",), block: int | None = BLOCK) -> DataFrame:
+    """Overlapping or adjacent ranges -> disjoint, non-adjacent ranges (per key group).
+
+    Gaps-and-islands: a range opens a new island when it starts after the running
+    maximum end of all earlier ranges (ordered by start). With ``block`` the ranges are
+    first cut into blocks and merged per (group, block); only pieces touching a block
+    boundary (at most two per block) are then stitched per group, so no window holds
+    more than one block of a huge document or its boundary pieces.
+    """
+    keys = list(keys)
+    r = ranges.where(F.col("end") > F.col("start")).select(*keys, "start", "end")
+    if block is None:
+        return _islands(r, keys)
+    local = _islands(split_blocks(r, block), keys + ["_blk"]).drop("_blk")
+    # one consumer: pieces touching a block boundary share one stitch bucket per group (at
+    # most two pieces per block); every other piece is final and forms its own bucket
+    edge = (F.col("start") % block == 0) | (F.col("end") % block == 0)
+    local = local.withColumn("_bkt", F.when(edge, F.lit(-1)).otherwise(F.col("start")))
+    return _islands(local, keys + ["_bkt"]).drop("_bkt")
+
+
+def coverage(ranges: DataFrame, keys=("doc_id",), source: str = "source", weight: Column | None = None, block: int | None = BLOCK) -> DataFrame:
+    """Coverage sweep: elementary segments ``(keys..., start, end, cover)`` with ``cover != 0``.
 
     Each source is normalized first so it counts once per character; every range
     becomes ``(start, +w)``, ``(end, -w)``; deltas are summed per point (map-side
     combine), a running sum over the points gives the cover of each segment up to the
-    next point. One shuffle for any number of sources.
+    next point. One shuffle for any number of sources. With ``block`` the sweep runs per
+    (group, character block), so segments are cut at block boundaries (merge them with
+    :func:`merge_segments`).
     """
     keys = list(keys)
-    per_source = normalize_spans(ranges, keys + [source])
-    if weight is None:
-        per_source = per_source.withColumn("_w", F.lit(1))
+    per_source = normalize_spans(ranges, keys + [source], block)
+    per_source = per_source.withColumn("_w", F.lit(1) if weight is None else weight)
+    if block is not None:
+        per_source = split_blocks(per_source, block)
     else:
-        per_source = per_source.withColumn("_w", weight)
+        per_source = per_source.withColumn("_blk", F.lit(0))
     ev = per_source.select(
-        *keys, F.explode(F.array(F.struct(F.col("start").alias("x"), F.col("_w").alias("d")), F.struct(F.col("end").alias("x"), (-F.col("_w")).alias("d")))).alias("e")
-    ).select(*keys, "e.x", "e.d")
-    pts = ev.groupBy(*keys, "x").agg(F.sum("d").alias("d"))
-    w = Window.partitionBy(*keys).orderBy("x")
+        *keys, "_blk", F.explode(F.array(F.struct(F.col("start").alias("x"), F.col("_w").alias("d")), F.struct(F.col("end").alias("x"), (-F.col("_w")).alias("d")))).alias("e")
+    ).select(*keys, "_blk", "e.x", "e.d")
+    pts = ev.groupBy(*keys, "_blk", "x").agg(F.sum("d").alias("d"))
+    w = Window.partitionBy(*keys, "_blk").orderBy("x")
     seg = pts.withColumn("cover", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("nx", F.lead("x").over(w))
     return seg.where(F.col("nx").isNotNull() & (F.col("cover") != 0)).select(*keys, F.col("x").alias("start"), F.col("nx").alias("end"), "cover")
 
 
-def merge_segments(segments: DataFrame, keys=("doc_id",)) -> DataFrame:
+def merge_segments(segments: DataFrame, keys=("doc_id",), block: int | None = BLOCK) -> DataFrame:
     """Adjacent kept segments -> maximal ranges (they are already disjoint)."""
-    return normalize_spans(segments, keys)
+    return normalize_spans(segments, keys, block)
 
 
 def span_threshold(ranges: DataFrame, rule, keys=("doc_id",), source: str = "source", n: Column | None = None) -> DataFrame:

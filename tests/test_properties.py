@@ -185,3 +185,34 @@ def test_two_level_running_mean(spark):
         s, c = sums.get(run, (0.0, 0))
         sums[run] = (s + loss, c + 1)
         assert got[step] == pytest.approx(sums[run][0] / sums[run][1])
+
+
+@pytest.mark.parametrize("block", [3, 7])
+def test_block_split_normalize_and_vote(spark, rows, block):
+    df = ranges_df(spark, rows)
+    got = {(r["doc_id"], r["source"], r["start"], r["end"]) for r in S.normalize_spans(df, ["doc_id", "source"], block).collect()}
+    want = set()
+    for (d, s), offs in char_set(rows, (0, 1)).items():
+        want |= {(d, s, a, b) for (_, a, b) in islands({0: offs})}
+    assert got == want
+    per = char_set(rows, (0, 1))
+    chars = {}
+    for d in range(30):
+        cnt = {}
+        for s in "ABC":
+            for o in per.get((d, s), ()):
+                cnt[o] = cnt.get(o, 0) + 1
+        chars[d] = {o for o, c in cnt.items() if c >= 2}
+    assert spark_set(E.span_vote(df, 2, block=block)) == islands({d: o for d, o in chars.items() if o})
+
+
+@pytest.mark.parametrize("block", [3, 7])
+def test_block_split_doc_prf(spark, rows, block):
+    df = ranges_df(spark, rows)
+    docs = spark.createDataFrame([(d,) for d in range(30)], "doc_id long")
+    pred, gold = df.where("source IN ('A', 'B')"), df.where("source = 'C'").drop("source")
+    got = {(r["doc_id"], r["source"]): (r["n_pred"], r["n_gold"], r["n_inter"]) for r in M.doc_prf(docs, pred, gold, ["A", "B"], block=block).collect()}
+    per = char_set(rows, (0, 1))
+    for (d, s), (npred, ngold, ninter) in got.items():
+        p, g = per.get((d, s), set()), per.get((d, "C"), set())
+        assert (npred, ngold, ninter) == (len(p), len(g), len(p & g))
