@@ -123,7 +123,7 @@ def f1_box_summary(scores: DataFrame, group: str = "source") -> DataFrame:
     )
 
 
-def pairwise_agreement(docs: DataFrame, codes: DataFrame, coders, keys=("doc_id",), coder: str = "coder") -> DataFrame:
+def pairwise_agreement(docs: DataFrame, codes: DataFrame, coders, keys=("doc_id",), coder: str = "coder", method=None) -> DataFrame:
     """Per document and unordered coder pair ``a < b``: F1 of a against b (b as reference).
 
     Every coder's ranges are replicated in place to the pairs it belongs to (as the
@@ -131,6 +131,7 @@ def pairwise_agreement(docs: DataFrame, codes: DataFrame, coders, keys=("doc_id"
     are scored by one coverage sweep (the same as :func:`doc_prf`), so no range is ever
     paired with another. Averaging the rows per document gives the agreement; with fewer
     than two coders there is no pair (the reference's mean of nothing).
+    ``method(n_a, n_b, n_inter) -> Column`` is the pairwise metric plug-in (default F1).
     """
     keys = list(keys)
     coders = sorted(coders)
@@ -146,7 +147,8 @@ def pairwise_agreement(docs: DataFrame, codes: DataFrame, coders, keys=("doc_id"
     r = codes.where(c.isin(*coders)).select(*keys, "start", "end", F.explode(F.filter(tags, lambda t: t.isNotNull())).alias("_t"))
     scored = _prf_from_roles(docs, r.select(*keys, "_t._src", "_t._role", "start", "end"), labels, keys, "_pair")
     parts = F.split(F.col("_pair"), "\u0001")
-    return scored.select(*keys, parts.getItem(0).alias("coder_a"), parts.getItem(1).alias("coder_b"), "f1")
+    value = F.col("f1") if method is None else method(F.col("n_pred"), F.col("n_gold"), F.col("n_inter")).alias("f1")
+    return scored.select(*keys, parts.getItem(0).alias("coder_a"), parts.getItem(1).alias("coder_b"), value)
 
 
 def token_f1(tokens: DataFrame, keys=("doc_id",), label: str = "label", pred: str = "pred") -> DataFrame:

@@ -14,7 +14,8 @@ PIECES = f"{NON_WS_CLASS}+|{WS_CLASS}+"
 _TOKEN_RE = re.compile("[^" + re.escape(WHITESPACE_CHARS) + "]+")
 
 
-def tokenize_offsets(docs: DataFrame, keys=("doc_id",), text: str = "text", keep=(), method: str = "rowlocal", neighbours: bool = False) -> DataFrame:
+def tokenize_offsets(docs: DataFrame, keys=("doc_id",), text: str = "text", keep=(), method: str = "rowlocal", neighbours: bool = False,
+                     pattern: str | None = None) -> DataFrame:
     """Whitespace tokens with half-open code-point offsets.
 
     ``(keys..., tok_idx, tok, start, end[, prev_end, next_end])``; ``tok_idx`` is 0-based.
@@ -26,17 +27,21 @@ def tokenize_offsets(docs: DataFrame, keys=("doc_id",), text: str = "text", keep
     ``regexp_extract_all`` cuts it into alternating non-space/space pieces and a running
     length sum gives offsets; every per-document window over the tokens downstream
     reuses that partitioning. ``neighbours`` adds the previous/next token end.
+    ``pattern`` (the tokeniser plug-in) is a regex matching one token; the default is a
+    run of non-whitespace (``str.split()``). It is run by Python's ``re`` (row-local) or
+    Java's regex (window): write classes explicitly (``\\w``/``\\s`` differ between them).
     """
     keys = list(keys)
     if method == "window":
-        return _tokenize_window(docs, keys, text, keep, neighbours)
-    return _tokenize_rowlocal(docs, keys, text, keep, neighbours)
+        return _tokenize_window(docs, keys, text, keep, neighbours, pattern)
+    return _tokenize_rowlocal(docs, keys, text, keep, neighbours, pattern)
 
 
-def _tokenize_rowlocal(docs: DataFrame, keys, text, keep, neighbours) -> DataFrame:
+def _tokenize_rowlocal(docs: DataFrame, keys, text, keep, neighbours, pattern=None) -> DataFrame:
     import numpy as np
     import pandas as pd
 
+    token_re = _TOKEN_RE if pattern is None else re.compile(pattern)
     carry = keys + list(keep)
     fields = [docs.schema[c] for c in carry]
     out_fields = [T.StructField(f.name, f.dataType, True) for f in fields] + [
@@ -55,7 +60,7 @@ def _tokenize_rowlocal(docs: DataFrame, keys, text, keep, neighbours) -> DataFra
             for i, t in enumerate(pdf[text]):
                 if not isinstance(t, str):
                     continue
-                ms = [(m.start(), m.end(), m.group()) for m in _TOKEN_RE.finditer(t)]
+                ms = [(m.start(), m.end(), m.group()) for m in token_re.finditer(t) if m.end() > m.start()]
                 if not ms:
                     continue
                 reps.append(np.full(len(ms), i, dtype=np.int64))
@@ -86,9 +91,21 @@ def _tokenize_rowlocal(docs: DataFrame, keys, text, keep, neighbours) -> DataFra
     return t.select(*cols)
 
 
-def _tokenize_window(docs: DataFrame, keys, text, keep, neighbours) -> DataFrame:
+def _tokenize_window(docs: DataFrame, keys, text, keep, neighbours, pattern=None) -> DataFrame:
     # shuffle the compact text once by document; the piece window below reuses it
     docs = docs.repartition(*keys)
+    if pattern is not None:
+        # custom tokens: the text between consecutive tokens is the gap piece
+        pieces_re = f"(?:{pattern})|(?:(?!{pattern})[\\s\\S])+"
+        pieces = docs.select(*keys, *keep, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pieces_re), F.lit(0))).alias("_p", "tok"))
+        w = Window.partitionBy(*keys).orderBy("_p")
+        pieces = pieces.withColumn("end", F.sum(F.length("tok")).over(w)).withColumn("_is_tok", F.col("tok").rlike(f"^(?:{pattern})$"))
+        t = pieces.where("_is_tok").withColumn("tok_idx", F.row_number().over(Window.partitionBy(*keys).orderBy("_p")) - 1)
+        t = t.select(*keys, *keep, F.col("tok_idx").cast("long"), "tok", (F.col("end") - F.length("tok")).cast("long").alias("start"), F.col("end").cast("long"))
+        if neighbours:
+            wt = Window.partitionBy(*keys).orderBy("tok_idx")
+            t = t.withColumn("prev_end", F.lag("end").over(wt)).withColumn("next_end", F.lead("end").over(wt))
+        return t
     pieces = docs.select(*keys, *keep, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(PIECES), F.lit(0))).alias("_p", "tok"))
     w = Window.partitionBy(*keys).orderBy("_p")
     pieces = pieces.withColumn("end", F.sum(F.length("tok")).over(w))

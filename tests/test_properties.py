@@ -216,3 +216,27 @@ def test_block_split_doc_prf(spark, rows, block):
     for (d, s), (npred, ngold, ninter) in got.items():
         p, g = per.get((d, s), set()), per.get((d, "C"), set())
         assert (npred, ngold, ninter) == (len(p), len(g), len(p & g))
+
+
+@pytest.mark.parametrize("method", ["rowlocal", "window"])
+def test_custom_token_pattern(spark, method):
+    rng = random.Random(9)
+    texts = [(d, "".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 60)))) for d in range(40)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    pat = r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\r\x0b\x0c]"  # explicit classes: same in Java and Python regex
+    got = sorted((r["doc_id"], r["tok_idx"], r["tok"], r["start"], r["end"]) for r in T.tokenize_offsets(df, method=method, pattern=pat).collect())
+    want = [(d, i, m.group(), m.start(), m.end()) for d, t in texts for i, m in enumerate(re.finditer(pat, t))]
+    assert got == sorted(want)
+
+
+def test_pairwise_method_plugin(spark, rows):
+    from pyspark.sql import functions as F
+
+    df = ranges_df(spark, rows).withColumnRenamed("source", "coder")
+    docs = spark.createDataFrame([(d,) for d in range(30)], "doc_id long")
+    jac = lambda a, b, i: F.when(a + b - i > 0, i / (a + b - i)).otherwise(F.lit(1.0))
+    got = {(r["doc_id"], r["coder_a"], r["coder_b"]): r["f1"] for r in M.pairwise_agreement(docs, df, ["A", "B", "C"], method=jac).collect()}
+    per = char_set(rows, (0, 1))
+    for (d, a, b), v in got.items():
+        x, y = per.get((d, a), set()), per.get((d, b), set())
+        assert v == pytest.approx(len(x & y) / len(x | y) if x | y else 1.0)
