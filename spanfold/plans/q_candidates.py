@@ -199,8 +199,7 @@ def _tuned(spark, sf_dir, m=False):
 
 @register(
     "tune_score_threshold",
-    with_base(TUNE_SCORE_CTES, "SELECT CAST(k AS BIGINT) AS k, round(threshold, 6) AS threshold, round(mean_f1, 6) AS mean_f1, is_best FROM tuned"),
-)
+    with_base(TUNE_SCORE_CTES, "SELECT CAST(k AS BIGINT) AS k, round(threshold, 6) AS threshold, round(mean_f1, 6) AS mean_f1, is_best FROM tuned"), bigint=('is_best',))
 def q_tune_score_threshold(spark, sf_dir):
     """Validation sweep over 100 thresholds linspace(0, 1, 100) of sigmoid(candidate score)."""
     return _tuned(spark, sf_dir, True).select("k", "threshold", "mean_f1", "is_best")
@@ -227,8 +226,7 @@ lv AS (SELECT t.doc_id, r.k, sum(CASE WHEN t.p > r.k / 100.0 AND y = 1 THEN 1 EL
 perk AS (SELECT k, avg(CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0.0 END) AS mean_f1 FROM lv GROUP BY k)""",
         """SELECT CAST(k AS BIGINT) AS k, round(k / 100.0, 6) AS threshold, round(mean_f1, 6) AS mean_f1,
        CASE WHEN row_number() OVER (ORDER BY round(mean_f1, 9) DESC, k) = 1 THEN 1 ELSE 0 END AS is_best FROM perk""",
-    ),
-)
+    ), bigint=('is_best',))
 def q_tune_token_threshold(spark, sf_dir):
     """Token-score threshold sweep 0.00..0.99: decisions sigmoid(logit1) > t, mean per-document token F1."""
     t, s = _ctx(spark, sf_dir, True)
@@ -271,8 +269,7 @@ held AS (SELECT b.doc_id, w.window_id, b.s_tok - w.first_tok + 1 AS sp, b.e_tok
          FROM bnd b JOIN wb w ON b.doc_id = w.doc_id AND w.first_start <= b."start" AND w.last_end >= b."end"),
 fl AS (SELECT doc_id, window_id, sp AS pos, 1 AS s, 0 AS e FROM held UNION ALL SELECT doc_id, window_id, ep, 0, 1 FROM held)""",
         "SELECT doc_id, window_id, pos, max(s) AS start_flag, max(e) AS end_flag FROM fl GROUP BY doc_id, window_id, pos",
-    ),
-)
+    ), bigint=('start_flag', 'end_flag'))
 def q_window_multi_positions(spark, sf_dir):
     t = X.tokens(spark, sf_dir, True, "window")
     return K.window_multi_positions(_gold(t), t.select("doc_id", "tok_idx", "start", "end"), L, STRIDE)

@@ -51,7 +51,7 @@ def q_erasure_ablations(spark, sf_dir):
     return A.erasure_ablations(t.select("doc_id", "tok_idx", "tok")).select("doc_id", "tok_idx", F.col("tok").alias("word"), "ss_start", "ablated_len")
 
 
-@register("erasure_scores", with_base(ERASE_CTES, "SELECT doc_id, tok_idx, round(score_dec, 6) AS score_dec, flagged FROM ef"))
+@register("erasure_scores", with_base(ERASE_CTES, "SELECT doc_id, tok_idx, round(score_dec, 6) AS score_dec, flagged FROM ef"), bigint=('flagged',))
 def q_erasure_scores(spark, sf_dir):
     return _erasure(spark, sf_dir).select("doc_id", "tok_idx", "score_dec", "flagged")
 

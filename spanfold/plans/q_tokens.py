@@ -45,8 +45,7 @@ def _scores(t):
 # ---------------------------------------------------------------------------- labels
 @register(
     "token_label_overlap",
-    with_base(MC, 'SELECT t.doc_id, t.tok_idx, CASE WHEN t."end" > t."start" AND CAST(c.covered AS DOUBLE) / (t."end" - t."start") > 0.5 THEN 1 ELSE 0 END AS label FROM tokens t JOIN tc c USING (doc_id, tok_idx)'),
-)
+    with_base(MC, 'SELECT t.doc_id, t.tok_idx, CASE WHEN t."end" > t."start" AND CAST(c.covered AS DOUBLE) / (t."end" - t."start") > 0.5 THEN 1 ELSE 0 END AS label FROM tokens t JOIN tc c USING (doc_id, tok_idx)'), bigint=('label',))
 def q_token_label_overlap(spark, sf_dir):
     """Token labels against the noisy annotator's ranges, majority-of-characters rule (threshold 0.5)."""
     t = _tokens(spark, sf_dir, True)
@@ -55,8 +54,7 @@ def q_token_label_overlap(spark, sf_dir):
 
 @register(
     "token_label_first_char",
-    with_base(MC, 'SELECT t.doc_id, t.tok_idx, CASE WHEN m.off IS NULL THEN 0 ELSE 1 END AS label FROM tokens t LEFT JOIN mc m ON t.doc_id = m.doc_id AND m.off = t."start"'),
-)
+    with_base(MC, 'SELECT t.doc_id, t.tok_idx, CASE WHEN m.off IS NULL THEN 0 ELSE 1 END AS label FROM tokens t LEFT JOIN mc m ON t.doc_id = m.doc_id AND m.off = t."start"'), bigint=('label',))
 def q_token_label_first_char(spark, sf_dir):
     t = _tokens(spark, sf_dir, True)
     return T.token_label_first_char(t.select("doc_id", "tok_idx", "start", "end"), _messy_c(spark, sf_dir, t)).select("doc_id", "tok_idx", "label")
@@ -70,8 +68,7 @@ def q_token_label_first_char(spark, sf_dir):
        round(CASE WHEN length(d.text) > 0 THEN CAST(coalesce(g.n, 0) AS DOUBLE) / length(d.text) END, 6) AS fraction,
        CASE WHEN length(d.text) > 0 AND CAST(coalesce(g.n, 0) AS DOUBLE) / length(d.text) > 0.3 THEN 1 ELSE 0 END AS label
 FROM docs d LEFT JOIN g USING (doc_id)""",
-    ),
-)
+    ), bigint=('label',))
 def q_doc_label_fraction(spark, sf_dir):
     t = _tokens(spark, sf_dir)
     return T.doc_label_fraction(X.docs(spark, sf_dir), _gold(X.spans_from_tokens(t)), 0.3)
@@ -96,8 +93,7 @@ def q_ignore_mask(spark, sf_dir):
 
 @register(
     "pad_tag_decisions",
-    with_base("", "SELECT doc_id, tok_idx, CASE WHEN 1 / (1 + exp(-logit1)) > 0.2 THEN 2 ELSE 1 END AS decision FROM token_scores WHERE tok_idx < 128"),
-)
+    with_base("", "SELECT doc_id, tok_idx, CASE WHEN 1 / (1 + exp(-logit1)) > 0.2 THEN 2 ELSE 1 END AS decision FROM token_scores WHERE tok_idx < 128"), bigint=('decision',))
 def q_pad_tag_decisions(spark, sf_dir):
     s = _scores(_tokens(spark, sf_dir, False, "window"))
     return D.pad_tag_decisions(s, sigmoid(F.col("logit1")), 0.2, 128).select("doc_id", "tok_idx", "decision")
@@ -387,7 +383,7 @@ def q_pad_sequence(spark, sf_dir):
 
 
 # ---------------------------------------------------------------------------- decoding
-@register("token_argmax", with_base(ARGMAX, "SELECT doc_id, tok_idx, pred FROM am"))
+@register("token_argmax", with_base(ARGMAX, "SELECT doc_id, tok_idx, pred FROM am"), bigint=('pred',))
 def q_token_argmax(spark, sf_dir):
     return _scores(_tokens(spark, sf_dir, False, "window")).select("doc_id", "tok_idx", "pred")
 

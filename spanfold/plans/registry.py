@@ -30,7 +30,13 @@ def finalize(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def register(name: str, sql: str | None = None):
+def register(name: str, sql: str | None = None, bigint: tuple[str, ...] = ()):
+    """``bigint`` names oracle columns DuckDB types as INTEGER (0/1 flags from CASE): they are
+    cast to BIGINT so both sides have the same types."""
+    if sql is not None and bigint:
+        casts = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in bigint)
+        sql = f"SELECT * REPLACE ({casts}) FROM (\n{sql}\n) _oracle"
+
     def deco(fn: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return finalize(fn(spark, sf_dir))
