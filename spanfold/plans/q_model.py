@@ -14,7 +14,10 @@ from spanfold.operators import modeling as ML
 from spanfold.operators import spans as S
 from spanfold.operators import tokens as T
 from spanfold.plans import fixtures as X
-from spanfold.plans.oracle import DOC_PRF_CTES, islands, prf_sql, with_base
+from spanfold.plans.oracle import islands, prf_sql, with_base
+from spanfold.plans.q_candidates import WIN_CTES
+from spanfold.plans.q_spans import CLEAN_CTES
+from spanfold.plans.q_tokens import VEC_CTES
 from spanfold.plans.registry import register
 from spanfold.session import scratch_path
 from spanfold.sources import span_files as SF
@@ -147,7 +150,7 @@ def _importance(spark, sf_dir, m=False):
 @register(
     "span_report",
     with_base(
-        __import__("spanfold.plans.q_tokens", fromlist=["VEC_CTES"]).VEC_CTES
+        VEC_CTES
         + """,
 iw AS (SELECT v.doc_id, v.tok_idx, t.tok, CASE WHEN sum(v.norm) OVER (PARTITION BY v.doc_id) > 0 THEN v.norm / sum(v.norm) OVER (PARTITION BY v.doc_id) ELSE 0 END AS w
        FROM tv v JOIN tokens t USING (doc_id, tok_idx)),
@@ -166,13 +169,13 @@ def q_span_report(spark, sf_dir):
 @register(
     "mean_importance",
     with_base(
-        __import__("spanfold.plans.q_candidates", fromlist=["WIN_CTES"]).WIN_CTES.replace(
+        WIN_CTES.replace(
             'SELECT doc_id, "start", "end", score, window_id, start_rank, end_rank, 1 AS kind FROM cand',
             'SELECT doc_id, "start", "end", score, window_id, start_rank, end_rank, 1 AS kind, start_tok, end_tok FROM cand',
         ).replace("SELECT doc_id, NULL, NULL, 0.0, NULL, NULL, NULL, 1 FROM base", "SELECT doc_id, NULL, NULL, 0.0, NULL, NULL, NULL, 1, NULL, NULL FROM base")
         .replace("SELECT doc_id, NULL, NULL, null_score, NULL, NULL, NULL, 0 FROM base", "SELECT doc_id, NULL, NULL, null_score, NULL, NULL, NULL, 0, NULL, NULL FROM base")
         + ",\n"
-        + __import__("spanfold.plans.q_tokens", fromlist=["VEC_CTES"]).VEC_CTES
+        + VEC_CTES
         + """,
 iw AS (SELECT doc_id, tok_idx, CASE WHEN sum(norm) OVER (PARTITION BY doc_id) > 0 THEN norm / sum(norm) OVER (PARTITION BY doc_id) ELSE 0 END AS w FROM tv),
 ans AS (SELECT doc_id, rank, start_tok, end_tok FROM ranked WHERE rank <= 3 AND start_tok IS NOT NULL),
@@ -277,7 +280,7 @@ def q_checkpoint_ensemble(spark, sf_dir):
     return sc.groupBy("source").agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("f1").alias("f1"))
 
 
-CLEAN_ROWS = __import__("spanfold.plans.q_spans", fromlist=["CLEAN_CTES"]).CLEAN_CTES + """,
+CLEAN_ROWS = CLEAN_CTES + """,
 kept AS (SELECT doc_id, source, unnest(range(xb, xe + 1)) AS off FROM x3 WHERE xe - xb > 1),
 cl AS (""" + islands("kept", "doc_id, source") + ")"
 

@@ -12,7 +12,7 @@ from spanfold.operators import metrics as M
 from spanfold.operators import spans as S
 from spanfold.operators import tokens as T
 from spanfold.plans import fixtures as X
-from spanfold.plans.oracle import islands, prf_sql, with_base
+from spanfold.plans.oracle import DOC_PRF_CTES, islands, prf_sql, with_base
 from spanfold.plans.registry import register
 
 # ---------------------------------------------------------------------------- shared oracle CTEs
@@ -554,7 +554,7 @@ def q_plain_losses(spark, sf_dir):
 @register(
     "split_scores",
     with_base(
-        __import__("spanfold.plans.oracle", fromlist=["DOC_PRF_CTES"]).DOC_PRF_CTES,
+        DOC_PRF_CTES,
         "SELECT d.lang AS split, count(*) AS n_docs, round(avg(p.f1), 6) AS mean_f1 FROM doc_prf p JOIN documents d USING (doc_id) WHERE p.source = 'B' GROUP BY d.lang",
     ),
 )
