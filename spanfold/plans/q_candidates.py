@@ -41,9 +41,9 @@ cand AS (SELECT p.*, (p.start_logit + p.end_logit) / 2 AS qa_score, round(r.toke
 best AS (SELECT doc_id, max(round(score, 9)) AS b FROM cand GROUP BY doc_id),
 base AS (SELECT d.doc_id, best.b, nulls.null_score FROM docs d LEFT JOIN best USING (doc_id) LEFT JOIN nulls USING (doc_id)),
 allc AS (
-  SELECT doc_id, "start", "end", score, window_id, start_rank, end_rank, 1 AS kind FROM cand
-  UNION ALL SELECT doc_id, NULL, NULL, 0.0, NULL, NULL, NULL, 1 FROM base WHERE b IS NULL
-  UNION ALL SELECT doc_id, NULL, NULL, null_score, NULL, NULL, NULL, 0 FROM base
+  SELECT doc_id, "start", "end", score, window_id, start_rank, end_rank, 1 AS kind, start_tok, end_tok FROM cand
+  UNION ALL SELECT doc_id, NULL, NULL, 0.0, NULL, NULL, NULL, 1, NULL, NULL FROM base WHERE b IS NULL
+  UNION ALL SELECT doc_id, NULL, NULL, null_score, NULL, NULL, NULL, 0, NULL, NULL FROM base
             WHERE null_score IS NOT NULL AND coalesce(b, 0.0) <= round(null_score, 9)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY kind, round(score, 9) DESC, start_rank NULLS LAST,
                                          end_rank NULLS LAST, window_id NULLS LAST) AS rank FROM allc)

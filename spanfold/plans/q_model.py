@@ -169,11 +169,7 @@ def q_span_report(spark, sf_dir):
 @register(
     "mean_importance",
     with_base(
-        WIN_CTES.replace(
-            'SELECT doc_id, "start", "end", score, window_id, start_rank, end_rank, 1 AS kind FROM cand',
-            'SELECT doc_id, "start", "end", score, window_id, start_rank, end_rank, 1 AS kind, start_tok, end_tok FROM cand',
-        ).replace("SELECT doc_id, NULL, NULL, 0.0, NULL, NULL, NULL, 1 FROM base", "SELECT doc_id, NULL, NULL, 0.0, NULL, NULL, NULL, 1, NULL, NULL FROM base")
-        .replace("SELECT doc_id, NULL, NULL, null_score, NULL, NULL, NULL, 0 FROM base", "SELECT doc_id, NULL, NULL, null_score, NULL, NULL, NULL, 0, NULL, NULL FROM base")
+        WIN_CTES
         + ",\n"
         + VEC_CTES
         + """,
