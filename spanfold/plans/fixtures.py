@@ -23,7 +23,7 @@ def docs(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, sf_dir: str, materialize: bool = False, method: str = "rowlocal") -> DataFrame:
-    """``(doc_id, tok_idx, tok, start, end, prev_end, next_end, core, hit)``.
+    """``(doc_id, n_chars, tok_idx, tok, start, end, prev_end, next_end, core, hit)``.
 
     ``method``: see ``tokenize_offsets`` -- row-local (no shuffle) by default; ``"window"``
     for plans that run per-document windows over all tokens, so the one text shuffle
@@ -31,7 +31,8 @@ def tokens(spark: SparkSession, sf_dir: str, materialize: bool = False, method:
     ``materialize=True`` writes the table once to the shared checkpoint folder (reliable
     ``checkpoint``, survives executor loss) for plans that read it in several branches.
     """
-    t = tokenize_offsets(docs(spark, sf_dir), method=method, neighbours=True)
+    d = docs(spark, sf_dir).withColumn("n_chars", F.length("text"))
+    t = tokenize_offsets(d, keep=("n_chars",), method=method, neighbours=True)
     t = t.withColumn("core", core(F.col("tok")))
     t = t.withColumn("hit", F.col("core").isin(*LEXICON))
     if materialize:
@@ -42,7 +43,7 @@ def tokens(spark: SparkSession, sf_dir: str, materialize: bool = False, method:
     return t
 
 
-def spans_from_tokens(t: DataFrame) -> DataFrame:
+def spans_from_tokens(t: DataFrame, keep_len: bool = False) -> DataFrame:
     """``(doc_id, source, start, end)``: gold plus models A (misses words), B (misses some, adds
     false ones) and C (runs one token too far).
 
@@ -58,8 +59,9 @@ def spans_from_tokens(t: DataFrame) -> DataFrame:
     ]
     structs = [F.when(cond, F.struct(F.lit(src).alias("source"), F.col("start").alias("start"), end.alias("end"))) for cond, src, end in rows]
     any_row = hit | ((F.length("core") == 9) & (F.col("tok_idx") % 50 == 0))
-    out = t.where(any_row).select("doc_id", F.explode(F.filter(F.array(*structs), lambda x: x.isNotNull())).alias("s"))
-    return out.select("doc_id", "s.source", "s.start", "s.end")
+    extra = [c for c in ("n_chars",) if c in t.columns and keep_len]
+    out = t.where(any_row).select("doc_id", *extra, F.explode(F.filter(F.array(*structs), lambda x: x.isNotNull())).alias("s"))
+    return out.select("doc_id", "s.source", "s.start", "s.end", *extra)
 
 
 def spans(spark: SparkSession, sf_dir: str, materialize: bool = False) -> DataFrame:
@@ -87,9 +89,8 @@ def messy_ranges(spark: SparkSession, sf_dir: str, t: DataFrame | None = None) -
     the left (usually onto whitespace) and cut two characters short (usually mid-word),
     clipped to the text. ``(doc_id, source, start, end)`` half-open."""
     t = t if t is not None else tokens(spark, sf_dir)
-    s = spans_from_tokens(t).where(F.col("source").isin("B", "C"))
-    n = docs(spark, sf_dir).select("doc_id", F.length("text").alias("n_chars"))
-    s = s.join(n, "doc_id")
+    # the text length travels with the tokens, so no second read of the documents
+    s = spans_from_tokens(t, keep_len=True).where(F.col("source").isin("B", "C"))
     st = F.greatest(F.col("start") - 1, F.lit(0))
     en = F.least(F.col("end") - 2, F.col("n_chars"))
     return s.select("doc_id", "source", st.alias("start"), en.alias("end")).where(F.col("end") > F.col("start"))
