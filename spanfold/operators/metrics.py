@@ -67,7 +67,9 @@ def _prf_from_roles(docs: DataFrame, roles: DataFrame, sources, keys, source: st
     """
     # set sizes add up over character blocks, so every step runs per (document, source,
     # block) and no stitching is needed: a huge document is spread over its blocks
-    blk = split_blocks(roles, block)
+    # one shuffle on (document, source, block) serves the per-role merge, the per-point sum
+    # and the sweep below (each groups by a superset of these keys)
+    blk = split_blocks(roles, block).repartition(*keys, "_src", "_blk")
     norm = normalize_spans(blk, keys + ["_src", "_role", "_blk"], block=None)
     w = F.when(F.col("_role") == "p", 1).otherwise(2)
     ev = norm.select(

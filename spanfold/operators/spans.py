@@ -131,6 +131,8 @@ def coverage(ranges: DataFrame, keys=("doc_id",), source: str = "source", weight
         per_source = split_blocks(per_source, block)
     else:
         per_source = per_source.withColumn("_blk", F.lit(0))
+    # one shuffle on (group, block) serves the per-point sum and the sweep window
+    per_source = per_source.repartition(*keys, "_blk")
     ev = per_source.select(
         *keys, "_blk", F.explode(F.array(F.struct(F.col("start").alias("x"), F.col("_w").alias("d")), F.struct(F.col("end").alias("x"), (-F.col("_w")).alias("d")))).alias("e")
     ).select(*keys, "_blk", "e.x", "e.d")
