@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanfold.functions.text import sigmoid
-from spanfold.operators.spans import normalize_spans
+from spanfold.operators.spans import normalize_spans, split_blocks
 from spanfold.operators.tokens import overlap_join, window_tokens
 
 SCORE_DIGITS = 9  # scores are compared after rounding, so equal scores tie in every engine
@@ -180,7 +180,7 @@ def _highest_bit(v: Column) -> Column:
 
 
 def tune_score_threshold(cands: DataFrame, gold: DataFrame, docs: DataFrame, n_levels: int = 100, score_is_probability: bool = False,
-                         keys=("doc_id",)) -> DataFrame:
+                         keys=("doc_id",), block: int = 1 << 16) -> DataFrame:
     """Mean document F1 at every threshold ``t_k = k/(n_levels-1)`` in one sweep (no rescans).
 
     A candidate (with a start) counts at level ``k`` when sigmoid(score) > t_k, i.e. at all
@@ -198,22 +198,26 @@ def tune_score_threshold(cands: DataFrame, gold: DataFrame, docs: DataFrame, n_l
         raise ValueError("at most 126 threshold levels (two 63-bit masks)")
     div = float(n_levels - 1)
     p = F.col("score") if score_is_probability else sigmoid(F.col("score"))
-    c = cands.where(F.col("start").isNotNull()).select(*keys, "start", "end", pass_level(p, n_levels, div).alias("kmax"))
-    merged = normalize_spans(c.where(F.col("kmax") >= 0), keys + ["kmax"])
+    c = cands.where(F.col("start").isNotNull()).select(*keys, "start", "end", pass_level(p, n_levels, div).alias("kmax")).where(F.col("kmax") >= 0)
+    GOLD = -2  # gold travels as its own pseudo-level
+    r = c.unionByName(gold.select(*keys, "start", "end").withColumn("kmax", F.lit(GOLD)))
+    # cut at block boundaries and co-partition once on (document, block): the per-level
+    # merge, the per-point sum and the sweep all run inside one block of one document
+    r = split_blocks(r, block).repartition(*keys, "_blk")
+    merged = normalize_spans(r, keys + ["kmax", "_blk"], block=None)
     one = F.lit(1).cast("long")
-    k = F.col("kmax")
-    lo = F.when(k < 63, F.call_function("shiftleft", one, k)).otherwise(F.lit(0).cast("long"))
-    hi = F.when(k >= 63, F.call_function("shiftleft", one, k - 63)).otherwise(F.lit(0).cast("long"))
     zero = F.lit(0).cast("long")
+    k = F.col("kmax")
+    lo = F.when((k >= 0) & (k < 63), F.call_function("shiftleft", one, k)).otherwise(zero)
+    hi = F.when(k >= 63, F.call_function("shiftleft", one, k - 63)).otherwise(zero)
+    g = F.when(k == GOLD, one).otherwise(zero)
 
     def ev(x, dl, dh, dg):
         return F.struct(x.alias("x"), dl.alias("dl"), dh.alias("dh"), dg.alias("dg"))
 
-    ev_c = merged.select(*keys, F.explode(F.array(ev(F.col("start"), lo, hi, zero), ev(F.col("end"), -lo, -hi, zero))).alias("e"))
-    g = normalize_spans(gold.select(*keys, "start", "end"), keys)
-    ev_g = g.select(*keys, F.explode(F.array(ev(F.col("start"), zero, zero, one), ev(F.col("end"), zero, zero, -one))).alias("e"))
-    pts = ev_c.unionByName(ev_g).select(*keys, "e.*").groupBy(*keys, "x").agg(F.sum("dl").alias("dl"), F.sum("dh").alias("dh"), F.sum("dg").alias("dg"))
-    w = Window.partitionBy(*keys).orderBy("x")
+    evs = merged.select(*keys, "_blk", F.explode(F.array(ev(F.col("start"), lo, hi, g), ev(F.col("end"), -lo, -hi, -g))).alias("e"))
+    pts = evs.select(*keys, "_blk", "e.*").groupBy(*keys, "_blk", "x").agg(F.sum("dl").alias("dl"), F.sum("dh").alias("dh"), F.sum("dg").alias("dg"))
+    w = Window.partitionBy(*keys, "_blk").orderBy("x")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     seg = pts.select(
         *keys, "x", F.lead("x").over(w).alias("nx"),

@@ -240,3 +240,20 @@ def test_pairwise_method_plugin(spark, rows):
     for (d, a, b), v in got.items():
         x, y = per.get((d, a), set()), per.get((d, b), set())
         assert v == pytest.approx(len(x & y) / len(x | y) if x | y else 1.0)
+
+
+def test_threshold_sweep_independent_of_block_size(spark):
+    from pyspark.sql import functions as F
+
+    from spanfold.operators import candidates as K
+    from spanfold.plans import fixtures as X
+
+    from conftest import SF001
+
+    t = X.tokens(spark, SF001, False, "window")
+    c = K.nbest_spans(X.token_scores_from_tokens(t))
+    gold = X.spans_from_tokens(t).where(F.col("source") == "gold").select("doc_id", "start", "end")
+    docs = X.docs(spark, SF001)
+    a = {r["k"]: r["mean_f1"] for r in K.tune_score_threshold(c, gold, docs).collect()}
+    b = {r["k"]: r["mean_f1"] for r in K.tune_score_threshold(c, gold, docs, block=5).collect()}
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
