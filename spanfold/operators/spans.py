@@ -125,14 +125,13 @@ def coverage(ranges: DataFrame, keys=("doc_id",), source: str = "source", weight
     :func:`merge_segments`).
     """
     keys = list(keys)
-    per_source = normalize_spans(ranges, keys + [source], block)
+    r = ranges.select(*keys, source, "start", "end")
+    r = split_blocks(r, block) if block is not None else r.where(F.col("end") > F.col("start")).withColumn("_blk", F.lit(0))
+    # one shuffle on (group, block) serves the per-source merge, the per-point sum and the
+    # sweep; merging inside a block is enough to count each source once per character
+    r = r.repartition(*keys, "_blk")
+    per_source = normalize_spans(r, keys + [source, "_blk"], block=None)
     per_source = per_source.withColumn("_w", F.lit(1) if weight is None else weight)
-    if block is not None:
-        per_source = split_blocks(per_source, block)
-    else:
-        per_source = per_source.withColumn("_blk", F.lit(0))
-    # one shuffle on (group, block) serves the per-point sum and the sweep window
-    per_source = per_source.repartition(*keys, "_blk")
     ev = per_source.select(
         *keys, "_blk", F.explode(F.array(F.struct(F.col("start").alias("x"), F.col("_w").alias("d")), F.struct(F.col("end").alias("x"), (-F.col("_w")).alias("d")))).alias("e")
     ).select(*keys, "_blk", "e.x", "e.d")
