@@ -261,7 +261,7 @@ def pass_level(p: Column, n_levels: int, div: float) -> Column:
 
 
 def tune_token_threshold(token_scores: DataFrame, p: Column, label: str = "label", n_levels: int = 100, div: float = 100.0,
-                         keys=("doc_id",)) -> DataFrame:
+                         keys=("doc_id",), evaluator=None) -> DataFrame:
     """Mean per-document token F1 (0 without any positive) at thresholds ``k/div``; best =
     true argmax, lowest threshold on ties (the reference's loop never updated its best).
 
@@ -271,6 +271,8 @@ def tune_token_threshold(token_scores: DataFrame, p: Column, label: str = "label
     document's positives are a window sum over its bins. A (document, level) with no
     passing token has F1 0, so the mean is the sum over present pairs divided by the
     number of documents (counted on the level -1 marker rows).
+    ``evaluator(tp, fp, fn) -> Column`` is the per-document metric plug-in (default F1);
+    it must score 0 when the document has no passing token.
     """
     keys = list(keys)
     t = token_scores.select(*keys, F.col(label).alias("y"), pass_level(p, n_levels, div).alias("kmax"))
@@ -280,7 +282,8 @@ def tune_token_threshold(token_scores: DataFrame, p: Column, label: str = "label
     per = lv.groupBy(*keys, "k").agg(F.sum("pos").alias("tp"), F.sum("neg").alias("fp"), F.max("n_pos").alias("n_pos"))
     fn = F.col("n_pos") - F.col("tp")
     denom = 2 * F.col("tp") + F.col("fp") + fn
-    per = per.withColumn("f1", F.when(F.col("k") < 0, F.lit(0.0)).when(denom > 0, 2.0 * F.col("tp") / denom).otherwise(0.0))
+    metric = F.when(denom > 0, 2.0 * F.col("tp") / denom).otherwise(0.0) if evaluator is None else evaluator(F.col("tp"), F.col("fp"), fn)
+    per = per.withColumn("f1", F.when(F.col("k") < 0, F.lit(0.0)).otherwise(metric))
     sums = per.groupBy("k").agg(F.sum("f1").alias("s"), F.count("*").alias("c"))
     # at most n_levels + 1 rows from here on
     n_docs = F.max(F.when(F.col("k") == -1, F.col("c"))).over(Window.partitionBy())
