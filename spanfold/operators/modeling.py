@@ -141,9 +141,10 @@ def apply_token_model(model, feats: DataFrame, prefix: str) -> DataFrame:
     ).drop("_features", "rawPrediction", "probability", "prediction")
 
 
-def running_mean(df: DataFrame, group: list[str], order: str, value: str, block: int = 1 << 16) -> DataFrame:
-    """Running mean of ``value`` by ``order`` inside each ``group`` (e.g. the training loss
-    by step, restarting each epoch of each run), adding ``running_mean``.
+def running_sum(df: DataFrame, group: list[str], order: str, value, name: str, block: int = 1 << 16, exclusive: bool = False,
+                with_count: bool = False) -> DataFrame:
+    """Running sum of ``value`` by ``order`` inside each ``group`` as column ``name``
+    (``exclusive``: rows strictly before; ``with_count`` also adds ``name + "_n"``).
 
     Skew-safe two-level prefix: rows are cut into blocks of ``order // block``; block totals
     are prefixed per group (one row per block, a small window), then rows are prefixed
@@ -152,11 +153,23 @@ def running_mean(df: DataFrame, group: list[str], order: str, value: str, block:
     """
     from pyspark.sql import Window
 
-    b = df.withColumn("_blk", F.floor(F.col(order) / block))
-    tot = b.groupBy(*group, "_blk").agg(F.sum(value).alias("_bs"), F.count("*").alias("_bc"))
+    v = value if not isinstance(value, str) else F.col(value)
+    b = df.withColumn("_v", v.cast("double") if not with_count else v).withColumn("_blk", F.floor(F.col(order) / block))
+    tot = b.groupBy(*group, "_blk").agg(F.sum("_v").alias("_bs"), F.count("*").alias("_bc"))
     wb = Window.partitionBy(*group).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.select(*group, "_blk", F.coalesce(F.sum("_bs").over(wb), F.lit(0.0)).alias("_ps"), F.coalesce(F.sum("_bc").over(wb), F.lit(0)).alias("_pc"))
-    wr = Window.partitionBy(*group, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    b = b.withColumn("_rs", F.sum(value).over(wr)).withColumn("_rc", F.count("*").over(wr))
+    tot = tot.select(*group, "_blk", F.coalesce(F.sum("_bs").over(wb), F.lit(0)).alias("_ps"), F.coalesce(F.sum("_bc").over(wb), F.lit(0)).alias("_pc"))
+    wr = Window.partitionBy(*group, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+    b = b.withColumn("_rs", F.coalesce(F.sum("_v").over(wr), F.lit(0))).withColumn("_rc", F.count("_v").over(wr))
     j = b.join(tot, on=[*group, "_blk"])
-    return j.withColumn("running_mean", (F.col("_ps") + F.col("_rs")) / (F.col("_pc") + F.col("_rc"))).drop("_blk", "_ps", "_pc", "_rs", "_rc")
+    j = j.withColumn(name, F.col("_ps") + F.col("_rs"))
+    if with_count:
+        j = j.withColumn(name + "_n", F.col("_pc") + F.col("_rc"))
+    return j.drop("_v", "_blk", "_ps", "_pc", "_rs", "_rc", "_bs", "_bc")
+
+
+def running_mean(df: DataFrame, group: list[str], order: str, value: str, block: int = 1 << 16) -> DataFrame:
+    """Running mean of ``value`` by ``order`` inside each ``group`` (e.g. the training loss
+    by step, restarting each epoch of each run), adding ``running_mean``; a two-level
+    prefix (see :func:`running_sum`), so one hot group is spread over its blocks."""
+    r = running_sum(df, group, order, F.col(value).cast("double"), "_rsum", block, with_count=True)
+    return r.withColumn("running_mean", F.col("_rsum") / F.col("_rsum_n")).drop("_rsum", "_rsum_n")

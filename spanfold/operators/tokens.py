@@ -203,11 +203,15 @@ def doc_label_fraction(docs: DataFrame, gold: DataFrame, threshold: float = 0.3,
     )
 
 
-def word_offsets(tokens: DataFrame, keys=("doc_id",)) -> DataFrame:
-    """Offsets under the single-space assumption: running sum of len(word)+1 of earlier words."""
-    keys = list(keys)
-    w = Window.partitionBy(*keys).orderBy("tok_idx").rowsBetween(Window.unboundedPreceding, -1)
-    return tokens.withColumn("ss_start", F.coalesce(F.sum(F.length("tok") + 1).over(w), F.lit(0)).cast("long"))
+def word_offsets(tokens: DataFrame, keys=("doc_id",), block: int = 1 << 12) -> DataFrame:
+    """Offsets under the single-space assumption: running sum of len(word)+1 of earlier words.
+
+    A two-level prefix over token blocks (``modeling.running_sum``), so a huge document is
+    not one window group."""
+    from spanfold.operators.modeling import running_sum
+
+    r = running_sum(tokens, list(keys), "tok_idx", F.length("tok") + 1, "ss_start", block, exclusive=True)
+    return r.withColumn("ss_start", F.col("ss_start").cast("long"))
 
 
 def spans_to_entities(tokens: DataFrame, gold: DataFrame, label: str = "TOXIC", keys=("doc_id",)) -> DataFrame:

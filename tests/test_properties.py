@@ -257,3 +257,18 @@ def test_threshold_sweep_independent_of_block_size(spark):
     a = {r["k"]: r["mean_f1"] for r in K.tune_score_threshold(c, gold, docs).collect()}
     b = {r["k"]: r["mean_f1"] for r in K.tune_score_threshold(c, gold, docs, block=5).collect()}
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
+
+
+@pytest.mark.parametrize("block", [2, 5, 4096])
+def test_word_offsets_two_level_prefix(spark, block):
+    rng = random.Random(block)
+    texts = [(d, " ".join("x" * rng.randint(1, 6) for _ in range(rng.randint(0, 30)))) for d in range(20)]
+    toks = T.tokenize_offsets(spark.createDataFrame(texts, "doc_id long, text string"))
+    got = sorted((r["doc_id"], r["tok_idx"], r["ss_start"]) for r in T.word_offsets(toks, block=block).collect())
+    want = []
+    for d, t in texts:
+        off = 0
+        for i, w in enumerate(t.split()):
+            want.append((d, i, off))
+            off += len(w) + 1
+    assert got == sorted(want)
