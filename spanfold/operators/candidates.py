@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from spanfold.functions.text import sigmoid
 from spanfold.operators.spans import normalize_spans, split_blocks
-from spanfold.operators.tokens import overlap_join, window_tokens
+from spanfold.operators.tokens import window_tokens
 
 SCORE_DIGITS = 9  # scores are compared after rounding, so equal scores tie in every engine
 

@@ -4,7 +4,6 @@ import re
 
 from pyspark.sql import functions as F
 
-from spanfold.functions.text import LEXICON
 from spanfold.operators import cleaning as C
 from spanfold.operators import metrics as M
 from spanfold.operators import tokens as T

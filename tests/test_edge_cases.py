@@ -1,6 +1,5 @@
 """Edge cases listed in FIXTURES.md §2 (not covered by the reference's own tests)."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from spanfold.operators import cleaning as C
