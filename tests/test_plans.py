@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
+from spanfold.plans import catalog
 
 from conftest import SF001
 
@@ -48,4 +49,5 @@ def test_scan_reads_only_needed_columns(spark):
 def test_registry_contract():
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs)
-    assert set(qs) - set(sql) == ML_OR_PANDAS
+    own = catalog.queries()
+    assert set(own) - set(sql) == ML_OR_PANDAS
