@@ -28,6 +28,8 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    # many small stores: no 4 MB set aside on disk for each one's manifest
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
