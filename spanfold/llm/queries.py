@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanfold.llm import chat, exact_dedup, langid, mixing, near_dedup, packing
+from spanfold.llm import chat, dsir, exact_dedup, hmm, html_text, langid, mixing, near_dedup, packing, rules
 from spanfold.llm.common import fold, table
 
 RANKS, END_ID, CAPACITY = "byte_bpe_50k.tiktoken", 2, 1024
@@ -20,6 +20,20 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path(RANKS), public_tokenizers.PATTERN
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.lm_score(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality")
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return rules.quality_rules(docs, labels).select(*columns)
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     found = langid.predict(docs, langid.train(docs, langid.training_rows()))
@@ -30,6 +44,14 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target text: labelled good documents that aren't toxic; the sample is as large as their share of the labels."""
+    docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
+    good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
+    share = labels.agg(F.avg(F.when(good, 1.0).otherwise(0.0))).first()[0]
+    return dsir.resample(docs, labels.where(good).select("doc_id"), 1.0 if share is None else share)
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_copies(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -124,6 +146,6 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_langid, op5_near_dedup, op7_mix, op8_pack, op9_chat, op10_exact_dedup)
+    f.__name__: f for f in (op1_html_text, op2_lm_score, op3_quality_rules, op4_langid, op5_near_dedup, op6_importance_resampling, op7_mix, op8_pack, op9_chat, op10_exact_dedup)
 }
 ORACLE_SQL: dict[str, str] = {"op7_mix": OP7_SQL, "op9_chat": OP9_SQL, "op10_exact_dedup": OP10_SQL}
