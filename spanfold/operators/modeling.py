@@ -5,13 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed values of the keyed pseudo-random generator (reproducible on any partitioning).
-HASH_DOC, HASH_OFF, HASH_SEED, HASH_MOD = 1000003, 7919, 42, 1000
+#: A prime below 2**31, so that every product of two residues fits a long; results lie in [0, HASH_MOD).
+HASH_PRIME, HASH_MOD = 2147483647, 1000
 
 
 def keyed_uniform(doc_id: Column, pos: Column) -> Column:
-    """A reproducible value in [0, HASH_MOD) from (doc_id, pos): same on any cluster and in SQL."""
-    return (doc_id.cast("long") * HASH_DOC + pos.cast("long") * HASH_OFF + HASH_SEED) % HASH_MOD
+    """A reproducible value in [0, HASH_MOD) from (doc_id, pos): same on any cluster and in SQL.
+
+    Three rounds of squaring modulo a prime, mixed with the position: neighbouring documents and
+    positions get unrelated values (a linear step would give runs and bands)."""
+    p = F.lit(HASH_PRIME).cast("long")
+    d, i = F.pmod(doc_id.cast("long"), p), F.pmod(pos.cast("long"), p)
+    x = (d * 1103515245 + 12345) % p
+    x = (x * x + i * 69069 + 1) % p
+    x = (x * x + d * 40692 + 7) % p
+    x = (x * x + i * 16807 + 3) % p
+    return (x * x + 5) % p % HASH_MOD
+
+
+def keyed_uniform_sql(doc_id: str, pos: str) -> str:
+    """``keyed_uniform`` for non-negative ids and positions below the prime, as a DuckDB expression."""
+    p = HASH_PRIME
+    steps = f"[(({pos}) * 69069 + 1)::BIGINT, (({doc_id}) * 40692 + 7)::BIGINT, (({pos}) * 16807 + 3)::BIGINT, 5::BIGINT]"
+    return f"(list_reduce(list_prepend(((({doc_id}) * 1103515245 + 12345) % {p})::BIGINT, {steps}), lambda x, s: (x * x + s) % {p}) % {HASH_MOD})"
 
 
 def random_offsets(doc_id: Column, n_chars: Column, p_keep: float = 0.5) -> Column:

@@ -22,25 +22,18 @@ def docs(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     return tables.documents(spark, sf_dir, *extra)
 
 
-def tokens(spark: SparkSession, sf_dir: str, materialize: bool = False, method: str = "rowlocal") -> DataFrame:
+def tokens(spark: SparkSession, sf_dir: str, method: str = "rowlocal") -> DataFrame:
     """``(doc_id, n_chars, tok_idx, tok, start, end, prev_end, next_end, core, hit)``.
 
     ``method``: see ``tokenize_offsets`` -- row-local (no shuffle) by default; ``"window"``
     for plans that run per-document windows over all tokens, so the one text shuffle
-    leaves the tokens clustered by document.
-    ``materialize=True`` writes the table once to the shared checkpoint folder (reliable
-    ``checkpoint``, survives executor loss) for plans that read it in several branches.
+    leaves the tokens clustered by document. Nothing is written: a plan that needs tokens in
+    two branches derives them in each, which costs less than writing every token.
     """
     d = docs(spark, sf_dir).withColumn("n_chars", F.length("text"))
     t = tokenize_offsets(d, keep=("n_chars",), method=method, neighbours=True)
     t = t.withColumn("core", core(F.col("tok")))
-    t = t.withColumn("hit", F.col("core").isin(*LEXICON))
-    if materialize:
-        from spanfold.session import scratch_dir
-
-        scratch_dir(spark)  # uses the cluster's checkpoint dir; sets one only when unset (local tests)
-        t = t.checkpoint(eager=True)
-    return t
+    return t.withColumn("hit", F.col("core").isin(*LEXICON))
 
 
 def spans_from_tokens(t: DataFrame, keep_len: bool = False) -> DataFrame:
@@ -64,8 +57,8 @@ def spans_from_tokens(t: DataFrame, keep_len: bool = False) -> DataFrame:
     return out.select("doc_id", "s.source", "s.start", "s.end", *extra)
 
 
-def spans(spark: SparkSession, sf_dir: str, materialize: bool = False) -> DataFrame:
-    return spans_from_tokens(tokens(spark, sf_dir, materialize))
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans_from_tokens(tokens(spark, sf_dir))
 
 
 def token_scores_from_tokens(t: DataFrame) -> DataFrame:

@@ -50,8 +50,8 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY kind, round
 """
 
 
-def _ctx(spark, sf_dir, m=False):
-    t = X.tokens(spark, sf_dir, m, "window")
+def _ctx(spark, sf_dir):
+    t = X.tokens(spark, sf_dir, "window")
     return t, X.token_scores_from_tokens(t)
 
 
@@ -68,8 +68,8 @@ def cls_null_score() -> F.Column:
     return cls_start + cls_end
 
 
-def _ranked(spark, sf_dir, m=False):
-    t, s = _ctx(spark, sf_dir, m)
+def _ranked(spark, sf_dir):
+    t, s = _ctx(spark, sf_dir)
     rows = K.answer_rows(s, cls_null_score(), "token_spans", L, STRIDE, NBEST, MAXLEN_ANS)
     return K.rank_candidates(rows, X.docs(spark, sf_dir).select("doc_id"))
 
@@ -81,7 +81,7 @@ def _gold(t):
 # ---------------------------------------------------------------------------- windows
 @register("strided_windows", with_base(WIN_CTES, "SELECT doc_id, window_id, first_tok, last_tok, last_tok - first_tok + 1 AS n_tok FROM wins"))
 def q_strided_windows(spark, sf_dir):
-    return T.strided_windows(X.tokens(spark, sf_dir, False, "window"), L, STRIDE)
+    return T.strided_windows(X.tokens(spark, sf_dir, "window"), L, STRIDE)
 
 
 @register(
@@ -90,7 +90,7 @@ def q_strided_windows(spark, sf_dir):
 )
 def q_feature_to_example(spark, sf_dir):
     """Window tokens (features) rolled back up to their document."""
-    wt = T.window_tokens(X.tokens(spark, sf_dir, False, "window").select("doc_id", "tok_idx"), L, STRIDE)
+    wt = T.window_tokens(X.tokens(spark, sf_dir, "window").select("doc_id", "tok_idx"), L, STRIDE)
     return wt.groupBy("doc_id").agg(F.countDistinct("window_id").alias("n_windows"), F.count("*").alias("n_window_tokens"))
 
 
@@ -99,7 +99,7 @@ def q_feature_to_example(spark, sf_dir):
     with_base(WIN_CTES, "SELECT (SELECT count(*) FROM docs) AS n_examples, (SELECT count(*) FROM tokens) AS n_tokens, (SELECT count(*) FROM wins) AS n_features"),
 )
 def q_corpus_counts(spark, sf_dir):
-    t = X.tokens(spark, sf_dir, True, "window")
+    t = X.tokens(spark, sf_dir, "window")
     n_docs = X.docs(spark, sf_dir).agg(F.count("*").alias("n_examples"))
     n_tok = t.agg(F.count("*").alias("n_tokens"))
     n_win = T.strided_windows(t, L, STRIDE).agg(F.count("*").alias("n_features"))
@@ -115,7 +115,7 @@ UNION ALL SELECT doc_id, window_id, 'end', rk, tok_idx FROM te WHERE rk <= {NBES
     ),
 )
 def q_topk_logits(spark, sf_dir):
-    _, s = _ctx(spark, sf_dir, True)
+    _, s = _ctx(spark, sf_dir)
     wt = T.window_tokens(s, L, STRIDE)
     a = K.topk_logits(wt, "start_logit", NBEST).select("doc_id", "window_id", F.lit("start").alias("kind"), "rank", "tok_idx")
     b = K.topk_logits(wt, "end_logit", NBEST).select("doc_id", "window_id", F.lit("end").alias("kind"), "rank", "tok_idx")
@@ -142,7 +142,7 @@ def q_nbest_spans(spark, sf_dir):
 
 @register("null_score", with_base(WIN_CTES, "SELECT doc_id, round(null_score, 6) AS null_score FROM nulls"))
 def q_null_score(spark, sf_dir):
-    w = X.windows(X.tokens(spark, sf_dir, False, "window"), L, STRIDE)
+    w = X.windows(X.tokens(spark, sf_dir, "window"), L, STRIDE)
     return K.null_scores(w, F.col("cls_start"), F.col("cls_end"))
 
 
@@ -191,8 +191,8 @@ tuned AS (SELECT k, k / 99.0 AS threshold, mean_f1,
 """
 
 
-def _tuned(spark, sf_dir, m=False):
-    t, s = _ctx(spark, sf_dir, m)
+def _tuned(spark, sf_dir):
+    t, s = _ctx(spark, sf_dir)
     c = K.nbest_spans(s, "token_spans", L, STRIDE, NBEST, MAXLEN_ANS)
     gold = X.spans_from_tokens(t).where(F.col("source") == "gold").select("doc_id", "start", "end")  # merged by the sweep
     return K.tune_score_threshold(c, gold, X.docs(spark, sf_dir), 100)
@@ -203,7 +203,7 @@ def _tuned(spark, sf_dir, m=False):
     with_base(TUNE_SCORE_CTES, "SELECT CAST(k AS BIGINT) AS k, round(threshold, 6) AS threshold, round(mean_f1, 6) AS mean_f1, is_best FROM tuned"), bigint=('is_best',))
 def q_tune_score_threshold(spark, sf_dir):
     """Validation sweep over 100 thresholds linspace(0, 1, 100) of sigmoid(candidate score)."""
-    return _tuned(spark, sf_dir, True).select("k", "threshold", "mean_f1", "is_best")
+    return _tuned(spark, sf_dir).select("k", "threshold", "mean_f1", "is_best")
 
 
 @register("saved_threshold", with_base(TUNE_SCORE_CTES, "SELECT round(threshold, 6) AS threshold, round(mean_f1, 6) AS f1 FROM tuned WHERE is_best = 1"))
@@ -211,7 +211,7 @@ def q_saved_threshold(spark, sf_dir):
     """Tune once, store ``(threshold, f1)`` as a one-row table in the shared folder, read it back."""
     from spanfold.sources.span_files import saved_threshold
 
-    return saved_threshold(spark, scratch_path(spark, "thresh"), lambda: _tuned(spark, sf_dir, True))
+    return saved_threshold(spark, scratch_path(spark, "thresh"), lambda: _tuned(spark, sf_dir))
 
 
 @register(
@@ -230,7 +230,7 @@ perk AS (SELECT k, avg(CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp +
     ), bigint=('is_best',))
 def q_tune_token_threshold(spark, sf_dir):
     """Token-score threshold sweep 0.00..0.99: decisions sigmoid(logit1) > t, mean per-document token F1."""
-    t, s = _ctx(spark, sf_dir, True)
+    t, s = _ctx(spark, sf_dir)
     lab = T.token_label_overlap(s, _gold(t), 0.0)
     return K.tune_token_threshold(lab, sigmoid(F.col("logit1")), "label", 100, 100.0).select("k", "threshold", "mean_f1", "is_best")
 
@@ -257,7 +257,7 @@ FROM bnd b JOIN wb w USING (doc_id)""",
 )
 def q_window_answer_positions(spark, sf_dir):
     """One feature per (gold run, window): answer token positions in the window, CLS (0) when not held."""
-    t = X.tokens(spark, sf_dir, True, "window")
+    t = X.tokens(spark, sf_dir, "window")
     return K.window_answer_positions(_gold(t), t.select("doc_id", "tok_idx", "start", "end"), T.strided_windows(t, L, STRIDE))
 
 
@@ -272,5 +272,5 @@ fl AS (SELECT doc_id, window_id, sp AS pos, 1 AS s, 0 AS e FROM held UNION ALL S
         "SELECT doc_id, window_id, pos, max(s) AS start_flag, max(e) AS end_flag FROM fl GROUP BY doc_id, window_id, pos",
     ), bigint=('start_flag', 'end_flag'))
 def q_window_multi_positions(spark, sf_dir):
-    t = X.tokens(spark, sf_dir, True, "window")
+    t = X.tokens(spark, sf_dir, "window")
     return K.window_multi_positions(_gold(t), t.select("doc_id", "tok_idx", "start", "end"), L, STRIDE)

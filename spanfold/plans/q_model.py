@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from spanfold.functions.text import MASK_TOKEN
+from spanfold.functions.text import MASK_TOKEN, sigmoid
 from spanfold.operators import attribution as A
 from spanfold.operators import cleaning as C
 from spanfold.operators import ensemble as E
@@ -33,8 +33,8 @@ ef AS (SELECT *, CASE WHEN score_dec > 0.2 THEN 1 ELSE 0 END AS flagged FROM ed)
 """
 
 
-def _erasure(spark, sf_dir, m=False):
-    t = X.tokens(spark, sf_dir, m, "window")
+def _erasure(spark, sf_dir):
+    t = X.tokens(spark, sf_dir, "window")
     return A.erasure_scores(t, F.col("hit").cast("int"), lambda h: h / (h + F.lit(1.0)))
 
 
@@ -50,7 +50,7 @@ FROM tokens""",
 )
 def q_erasure_ablations(spark, sf_dir):
     """Every word's ablation of every document, as (offset, length) descriptors of the masked text."""
-    t = X.tokens(spark, sf_dir, False, "window")
+    t = X.tokens(spark, sf_dir, "window")
     return A.erasure_ablations(t.select("doc_id", "tok_idx", "tok")).select("doc_id", "tok_idx", F.col("tok").alias("word"), "ss_start", "ablated_len")
 
 
@@ -79,10 +79,9 @@ def q_mitigated_text(spark, sf_dir):
     return A.mitigated_text(_erasure(spark, sf_dir), X.docs(spark, sf_dir))
 
 
-@register("blacklist_semi", with_base(ERASE_CTES, "SELECT doc_id, tok_idx, tok FROM tokens WHERE (doc_id, tok_idx) IN (SELECT doc_id, tok_idx FROM ef WHERE flagged = 1)"))
+@register("blacklist_semi", with_base(ERASE_CTES, "SELECT doc_id, tok_idx, tok FROM ef WHERE flagged = 1"))
 def q_blacklist_semi(spark, sf_dir):
-    t = X.tokens(spark, sf_dir, True).select("doc_id", "tok_idx", "tok")
-    return A.blacklist_semi(t, _erasure(spark, sf_dir, True))
+    return A.blacklist(_erasure(spark, sf_dir)).select("doc_id", "tok_idx", "tok")
 
 
 @register(
@@ -98,8 +97,8 @@ def q_rank_words(spark, sf_dir):
     None,
 )
 def q_surrogate_attribution(spark, sf_dir):
-    """LIME-style weights per word (256 keyed perturbations per document, weighted ridge); rows-only check."""
-    t = X.tokens(spark, sf_dir, False, "window").withColumn("c", F.col("hit").cast("double"))
+    """LIME-style weights per word (256 keyed perturbations per document, one weight per distinct word, weighted ridge); rows-only check."""
+    t = X.tokens(spark, sf_dir, "window").withColumn("c", F.col("hit").cast("double"))
     return A.surrogate_attribution(t, "c", lambda h: h / (h + 1.0), 256, 0.2)
 
 
@@ -135,14 +134,14 @@ def pieces(t):
     with_base(PIECE_CTES, 'SELECT doc_id, word_idx, "start", "end", round(CASE WHEN sum(raw) OVER (PARTITION BY doc_id) <> 0 THEN raw / sum(raw) OVER (PARTITION BY doc_id) ELSE 0 END, 6) AS weight FROM wd'),
 )
 def q_words_from_pieces(spark, sf_dir):
-    p = pieces(X.tokens(spark, sf_dir, False, "window"))
+    p = pieces(X.tokens(spark, sf_dir, "window"))
     return A.words_from_pieces(p).select("doc_id", "word_idx", "start", "end", "weight")
 
 
-def _importance(spark, sf_dir, m=False):
+def _importance(spark, sf_dir):
     from spanfold.plans.q_tokens import _token_vectors
 
-    v = _token_vectors(spark, sf_dir, m)
+    v = _token_vectors(spark, sf_dir)
     tot = F.sum("norm").over(Window.partitionBy("doc_id"))
     return v.select("doc_id", "tok_idx", "tok", F.when(tot > 0, F.col("norm") / tot).otherwise(0.0).alias("weight"))
 
@@ -174,19 +173,21 @@ def q_span_report(spark, sf_dir):
         + VEC_CTES
         + """,
 iw AS (SELECT doc_id, tok_idx, CASE WHEN sum(norm) OVER (PARTITION BY doc_id) > 0 THEN norm / sum(norm) OVER (PARTITION BY doc_id) ELSE 0 END AS w FROM tv),
-ans AS (SELECT doc_id, rank, start_tok, end_tok FROM ranked WHERE rank <= 3 AND start_tok IS NOT NULL),
+ans AS (SELECT doc_id, rank, start_tok, end_tok FROM ranked WHERE start_tok IS NOT NULL AND 1 / (1 + exp(-score)) > 0.5),
+ax AS (SELECT doc_id, rank, unnest(range(start_tok, end_tok + 1)) AS tok_idx FROM ans),
 atk AS (SELECT a.doc_id, a.rank, i.tok_idx, i.w, sum(i.w) OVER (PARTITION BY a.doc_id, a.rank) AS tw
-       FROM ans a JOIN iw i ON i.doc_id = a.doc_id AND i.tok_idx BETWEEN a.start_tok AND a.end_tok)""",
+       FROM ax a JOIN iw i USING (doc_id, tok_idx))""",
         "SELECT doc_id, tok_idx, round(avg(CASE WHEN tw > 0 THEN w / tw ELSE 0 END), 6) AS mean_importance FROM atk GROUP BY doc_id, tok_idx",
     ),
 )
 def q_mean_importance(spark, sf_dir):
-    """Token importance inside each of the top-3 answers (re-normalised per answer), averaged per token."""
+    """Token importance inside each predicted span (sigmoid(score) > 0.5), re-normalised per span and
+    averaged per token."""
     from spanfold.plans.q_candidates import _ranked
 
-    r = _ranked(spark, sf_dir, True).where((F.col("rank") <= 3) & F.col("start_tok").isNotNull())
+    r = _ranked(spark, sf_dir).where(F.col("start_tok").isNotNull() & (sigmoid(F.col("score")) > 0.5))
     toks = r.select("doc_id", "rank", F.explode(F.sequence("start_tok", "end_tok")).alias("tok_idx"))
-    j = toks.join(_importance(spark, sf_dir, True).select("doc_id", "tok_idx", "weight"), ["doc_id", "tok_idx"])
+    j = toks.join(_importance(spark, sf_dir).select("doc_id", "tok_idx", "weight"), ["doc_id", "tok_idx"])
     tw = F.sum("weight").over(Window.partitionBy("doc_id", "rank"))
     j = j.withColumn("rel", F.when(tw > 0, F.col("weight") / tw).otherwise(0.0))
     return j.groupBy("doc_id", "tok_idx").agg(F.avg("rel").alias("mean_importance"))
@@ -266,7 +267,7 @@ f4 AS (SELECT doc_id, source, {prf_sql('n_pred', 'n_gold', 'n_inter')} FROM c4)
 )
 def q_checkpoint_ensemble(spark, sf_dir):
     """Score each model, their majority vote (>= half), and report all four."""
-    t = X.tokens(spark, sf_dir, True)
+    t = X.tokens(spark, sf_dir)
     s = X.spans_from_tokens(t)
     models = s.where(F.col("source") != "gold")
     maj = E.span_majority(models, 3).withColumn("source", F.lit("majority"))
@@ -285,7 +286,7 @@ cl AS (""" + islands("kept", "doc_id, source") + ")"
     "train_val_split",
     with_base(
         CLEAN_ROWS
-        + ",\nsp AS (SELECT doc_id, CASE WHEN ((doc_id * 1000003 + 42) % 1000) < 800 THEN 'train' ELSE 'validation' END AS split FROM docs)",
+        + ",\nsp AS (SELECT doc_id, CASE WHEN " + ML.keyed_uniform_sql("doc_id", "0") + " < 800 THEN 'train' ELSE 'validation' END AS split FROM docs)",
         """SELECT s.split, count(DISTINCT s.doc_id) AS n_docs, count(c.doc_id) AS n_clean_ranges
 FROM sp s LEFT JOIN cl c USING (doc_id) GROUP BY s.split""",
     ),
@@ -360,15 +361,11 @@ def q_write_clean(spark, sf_dir):
     "SELECT lang AS split, count(*) AS n_docs, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS n_chars FROM documents GROUP BY lang",
 )
 def q_load_splits(spark, sf_dir):
-    """Each language written as its own split file, then all splits loaded together."""
-    d = X.docs(spark, sf_dir, "lang")
-    langs = [r[0] for r in d.select("lang").distinct().collect()]  # split names only (a handful)
-    paths = {}
-    for lang in langs:
-        p = scratch_path(spark, f"split_{lang}")
-        d.where(F.col("lang") == lang).select("doc_id", "text").write.mode("error").parquet(p)
-        paths[lang] = p
-    u = SF.load_splits(spark, paths, lambda s, p: s.read.parquet(p))
+    """Each language written as its own split (one pass), then all splits loaded together."""
+    d = X.docs(spark, sf_dir, "lang").select("doc_id", "text", "lang")
+    path = scratch_path(spark, "splits")
+    SF.write_splits(d, path, "lang")
+    u = SF.load_splits(spark, path, d.drop("lang").schema)
     return u.groupBy("split").agg(F.count("*").alias("n_docs"), F.sum(F.length("text")).alias("n_chars"))
 
 
@@ -382,8 +379,8 @@ def q_doc_classifier(spark, sf_dir):
     return ML.score_documents(model, d)
 
 
-def _token_frame(spark, sf_dir, m=False):
-    t = X.tokens(spark, sf_dir, m, "window")
+def _token_frame(spark, sf_dir):
+    t = X.tokens(spark, sf_dir, "window")
     s = X.spans_from_tokens(t)
     gold = S.normalize_spans(s.where(F.col("source") == "gold").select("doc_id", "start", "end"))
     lab = T.token_label_overlap(t, gold, 0.0)
@@ -397,7 +394,7 @@ def q_token_tagger(spark, sf_dir):
     """Token tagger trained on the train split; predicted spans (gap-filled) for every document."""
     from spanfold.operators.decode import decode_gap_fill
 
-    feats, _ = _token_frame(spark, sf_dir, True)
+    feats, _ = _token_frame(spark, sf_dir)
     model = ML.fit_token_model(feats.where(F.col("split") == "train"), "label")
     scored = ML.apply_token_model(model, feats, "tox").withColumn("pred", F.when(F.col("tox_prob") > 0.5, 1).otherwise(0))
     return decode_gap_fill(scored)
@@ -408,7 +405,7 @@ def q_span_scorer(spark, sf_dir):
     """Two token models (span start, span end) -> start/end logits -> n-best -> best answer per document."""
     from spanfold.operators import candidates as K
 
-    feats, gold = _token_frame(spark, sf_dir, True)
+    feats, gold = _token_frame(spark, sf_dir)
     gs = gold.select("doc_id", "start", F.lit(1).alias("is_start"))
     ge = gold.select("doc_id", "end", F.lit(1).alias("is_end"))
     f = feats.join(gs, ["doc_id", "start"], "left").join(ge, ["doc_id", "end"], "left")

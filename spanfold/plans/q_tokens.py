@@ -11,21 +11,22 @@ from spanfold.operators import joins as J
 from spanfold.operators import metrics as M
 from spanfold.operators import spans as S
 from spanfold.operators import tokens as T
+from spanfold.operators.modeling import keyed_uniform_sql, train_val_split
 from spanfold.plans import fixtures as X
 from spanfold.plans.oracle import DOC_PRF_CTES, islands, prf_sql, with_base
 from spanfold.plans.registry import register
 
 # ---------------------------------------------------------------------------- shared oracle CTEs
-MC = """mc AS (SELECT DISTINCT doc_id, unnest(range("start", "end")) AS off FROM messy WHERE source = 'C'),
-tc AS (SELECT t.doc_id, t.tok_idx, count(m.off) AS covered FROM tokens t LEFT JOIN mc m
-       ON t.doc_id = m.doc_id AND m.off >= t."start" AND m.off < t."end" GROUP BY t.doc_id, t.tok_idx)"""
-GC = """gc AS (SELECT t.doc_id, t.tok_idx, count(g.off) AS covered FROM tokens t LEFT JOIN gold_chars g
-       ON t.doc_id = g.doc_id AND g.off >= t."start" AND g.off < t."end" GROUP BY t.doc_id, t.tok_idx)"""
+MC = """mc AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(range("start", "end")) AS off FROM messy WHERE source = 'C'),
+tch AS (SELECT doc_id, tok_idx, unnest(range("start", "end")) AS off FROM tokens),
+tc AS (SELECT t.doc_id, t.tok_idx, count(m.off) AS covered FROM tch t LEFT JOIN mc m USING (doc_id, off) GROUP BY t.doc_id, t.tok_idx)"""
+GC = """gch AS (SELECT doc_id, tok_idx, unnest(range("start", "end")) AS off FROM tokens),
+gc AS (SELECT t.doc_id, t.tok_idx, count(g.off) AS covered FROM gch t LEFT JOIN gold_chars g USING (doc_id, off) GROUP BY t.doc_id, t.tok_idx)"""
 ARGMAX = "am AS (SELECT doc_id, tok_idx, \"start\", \"end\", CASE WHEN logit1 > logit0 THEN 1 ELSE 0 END AS pred FROM token_scores)"
 
 
-def _tokens(spark, sf_dir, m=False, method="rowlocal"):
-    return X.tokens(spark, sf_dir, m, method)
+def _tokens(spark, sf_dir, method="rowlocal"):
+    return X.tokens(spark, sf_dir, method)
 
 
 def _gold(s):
@@ -48,7 +49,7 @@ def _scores(t):
     with_base(MC, 'SELECT t.doc_id, t.tok_idx, CASE WHEN t."end" > t."start" AND CAST(c.covered AS DOUBLE) / (t."end" - t."start") > 0.5 THEN 1 ELSE 0 END AS label FROM tokens t JOIN tc c USING (doc_id, tok_idx)'), bigint=('label',))
 def q_token_label_overlap(spark, sf_dir):
     """Token labels against the noisy annotator's ranges, majority-of-characters rule (threshold 0.5)."""
-    t = _tokens(spark, sf_dir, True)
+    t = _tokens(spark, sf_dir)
     return T.token_label_overlap(t.select("doc_id", "tok_idx", "start", "end"), _messy_c(spark, sf_dir, t), 0.5).select("doc_id", "tok_idx", "label")
 
 
@@ -56,7 +57,7 @@ def q_token_label_overlap(spark, sf_dir):
     "token_label_first_char",
     with_base(MC, 'SELECT t.doc_id, t.tok_idx, CASE WHEN m.off IS NULL THEN 0 ELSE 1 END AS label FROM tokens t LEFT JOIN mc m ON t.doc_id = m.doc_id AND m.off = t."start"'), bigint=('label',))
 def q_token_label_first_char(spark, sf_dir):
-    t = _tokens(spark, sf_dir, True)
+    t = _tokens(spark, sf_dir)
     return T.token_label_first_char(t.select("doc_id", "tok_idx", "start", "end"), _messy_c(spark, sf_dir, t)).select("doc_id", "tok_idx", "label")
 
 
@@ -84,7 +85,7 @@ FROM tokens t JOIN gc g USING (doc_id, tok_idx) WHERE t.core <> '' GROUP BY t.do
 )
 def q_ignore_mask(spark, sf_dir):
     """Punctuation-only tokens play the special/padding positions: label NULL, dropped before scoring."""
-    t = _tokens(spark, sf_dir, True)
+    t = _tokens(spark, sf_dir)
     lab = T.token_label_overlap(t, _gold(X.spans_from_tokens(t)), 0.0)
     lab = lab.withColumn("label", F.when(F.col("core") != "", F.col("label")))
     kept = lab.where(F.col("label").isNotNull())
@@ -95,7 +96,7 @@ def q_ignore_mask(spark, sf_dir):
     "pad_tag_decisions",
     with_base("", "SELECT doc_id, tok_idx, CASE WHEN 1 / (1 + exp(-logit1)) > 0.2 THEN 2 ELSE 1 END AS decision FROM token_scores WHERE tok_idx < 128"), bigint=('decision',))
 def q_pad_tag_decisions(spark, sf_dir):
-    s = _scores(_tokens(spark, sf_dir, False, "window"))
+    s = _scores(_tokens(spark, sf_dir, "window"))
     return D.pad_tag_decisions(s, sigmoid(F.col("logit1")), 0.2, 128).select("doc_id", "tok_idx", "decision")
 
 
@@ -148,7 +149,7 @@ def q_multi_span_examples(spark, sf_dir):
     )
 
 
-RANDOM_KEEP_SQL = "((doc_id * 1000003 + off * 7919 + 42) % 1000) < 500"
+RANDOM_KEEP_SQL = keyed_uniform_sql("doc_id", "off") + " < 500"
 
 
 @register(
@@ -183,7 +184,7 @@ def q_random_spans(spark, sf_dir):
     with_base("", "SELECT doc_id, tok_idx, CAST(coalesce(sum(length(tok) + 1) OVER (PARTITION BY doc_id ORDER BY tok_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ss_start FROM tokens"),
 )
 def q_word_offsets(spark, sf_dir):
-    return T.word_offsets(_tokens(spark, sf_dir, False, "window")).select("doc_id", "tok_idx", "ss_start")
+    return T.word_offsets(_tokens(spark, sf_dir, "window")).select("doc_id", "tok_idx", "ss_start")
 
 
 @register(
@@ -194,7 +195,7 @@ def q_word_offsets(spark, sf_dir):
     ),
 )
 def q_spans_to_entities(spark, sf_dir):
-    t = _tokens(spark, sf_dir, True)
+    t = _tokens(spark, sf_dir)
     return T.spans_to_entities(t.select("doc_id", "tok_idx", "start", "end"), _messy_c(spark, sf_dir, t))
 
 
@@ -209,7 +210,7 @@ pn AS (SELECT doc_id, count(*) AS n FROM chars WHERE source = 'B' GROUP BY doc_i
 )
 def q_join_pred_gold(spark, sf_dir):
     """Gold (every document, empty or not) LEFT JOIN model B's predictions on the id."""
-    t = _tokens(spark, sf_dir, True)
+    t = _tokens(spark, sf_dir)
     s = X.spans_from_tokens(t)
 
     def size(src):
@@ -225,16 +226,22 @@ def q_join_pred_gold(spark, sf_dir):
     "validate_submission",
     with_base(
         """p AS (SELECT doc_id, count(*) AS n FROM spans WHERE source = 'B' GROUP BY doc_id),
-g AS (SELECT DISTINCT doc_id FROM spans WHERE source = 'gold')""",
-        """SELECT 'missing_id' AS kind, doc_id, CAST(0 AS BIGINT) AS n_lines FROM g WHERE doc_id NOT IN (SELECT doc_id FROM p)
-UNION ALL SELECT 'unknown_id', doc_id, n FROM p WHERE doc_id NOT IN (SELECT doc_id FROM g)
-UNION ALL SELECT 'repeated_id', doc_id, n FROM p WHERE n > 1""",
+e AS (SELECT doc_id FROM docs WHERE text = ''),
+m AS (SELECT count(*) AS n FROM e), tot AS (SELECT (SELECT sum(n) FROM p) + (SELECT n FROM m) AS lines, (SELECT count(*) FROM docs) AS ids)""",
+        """SELECT 'missing_id' AS kind, doc_id, CAST(0 AS BIGINT) AS n_lines FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM p)
+UNION ALL SELECT 'unknown_id', doc_id, CAST(n AS BIGINT) FROM p WHERE doc_id NOT IN (SELECT doc_id FROM docs)
+UNION ALL SELECT 'repeated_id', doc_id, CAST(n AS BIGINT) FROM p WHERE n > 1
+UNION ALL SELECT 'malformed_line', NULL, CAST(n AS BIGINT) FROM m WHERE n > 0
+UNION ALL SELECT 'line_count', NULL, CAST(lines AS BIGINT) FROM tot WHERE lines <> ids""",
     ),
 )
 def q_validate_submission(spark, sf_dir):
-    """Model B written one line per range, checked against the gold id list."""
-    s = X.spans(spark, sf_dir, True)
-    return J.validate_submission(s.where(F.col("source") == "B").select("doc_id"), s.where(F.col("source") == "gold").select("doc_id"))
+    """Model B as one line per range, and a line without an id for each empty text, checked against
+    the id list of every document."""
+    d = X.docs(spark, sf_dir)
+    lines = X.spans(spark, sf_dir).where(F.col("source") == "B").select("doc_id")
+    malformed = d.where(F.col("text") == "").select(F.lit("").alias("line"))
+    return J.validate_submission(lines, d.select("doc_id"), malformed)
 
 
 @register(
@@ -247,7 +254,7 @@ FROM tokens t JOIN mi m ON t.doc_id = m.doc_id AND t."start" < m."end" AND m."st
     ),
 )
 def q_overlap_join(spark, sf_dir):
-    t = _tokens(spark, sf_dir, True)
+    t = _tokens(spark, sf_dir)
     return T.overlap_join(t.select("doc_id", "tok_idx", "start", "end"), _messy_c(spark, sf_dir, t)).select("doc_id", "tok_idx", "r_start", "r_end", "overlap")
 
 
@@ -266,8 +273,8 @@ pf1 AS (SELECT doc_id, coder_a, coder_b, {prf_sql('na', 'nb', 'ni')} FROM pf)
 """
 
 
-def _pair_f1(spark, sf_dir, m=False):
-    s = X.spans(spark, sf_dir, m).where(F.col("source") != "gold").withColumnRenamed("source", "coder")
+def _pair_f1(spark, sf_dir):
+    s = X.spans(spark, sf_dir).where(F.col("source") != "gold").withColumnRenamed("source", "coder")
     return M.pairwise_agreement(X.docs(spark, sf_dir), s, X.MODELS)
 
 
@@ -281,29 +288,27 @@ def q_pairwise_agreement(spark, sf_dir):
     return _pair_f1(spark, sf_dir).groupBy("doc_id").agg(F.avg("f1").alias("agreement"))
 
 
-VOCAB_CTES = """
-en AS (SELECT t.tok FROM tokens t JOIN documents d USING (doc_id) WHERE d.lang = 'en'),
-vocab AS (SELECT tok AS word, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, tok) + 1 AS idx FROM en GROUP BY tok),
-ids AS (SELECT t.doc_id, t.tok_idx, CAST(coalesce(v.idx, 1) AS BIGINT) AS word_id FROM tokens t LEFT JOIN vocab v ON t.tok = v.word)
+VOCAB_CTES = f"""
+tr AS (SELECT tok FROM tokens WHERE {keyed_uniform_sql("doc_id", "0")} < 800),
+vocab AS MATERIALIZED (SELECT tok AS word, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, tok) + 1 AS idx FROM tr GROUP BY tok),
+ids AS MATERIALIZED (SELECT t.doc_id, t.tok_idx, CAST(coalesce(v.idx, 1) AS BIGINT) AS word_id FROM tokens t LEFT JOIN vocab v ON t.tok = v.word)
 """
 
 
-def _vocab(spark, sf_dir, t):
-    en = X.docs(spark, sf_dir, "lang").where(F.col("lang") == "en").select("doc_id")
-    words = t.join(en, "doc_id", "left_semi").select(F.col("tok").alias("word"))
-    return J.vocab_build(words)
+def _vocab(t):
+    """Vocabulary of the training split's tokens (the split is a function of the id: no join)."""
+    return J.vocab_build(train_val_split(t).where(F.col("split") == "train").select(F.col("tok").alias("word")))
 
 
-def _ids(spark, sf_dir, m=False):
-    t = _tokens(spark, sf_dir, m, "window")
-    return J.vocab_lookup(t.select("doc_id", "tok_idx", "tok"), _vocab(spark, sf_dir, t))
+def _ids(spark, sf_dir):
+    t = _tokens(spark, sf_dir)
+    return J.vocab_lookup(t.select("doc_id", "tok_idx", "tok"), _vocab(t))
 
 
 @register("vocab_build", with_base(VOCAB_CTES, "SELECT word, CAST(idx AS BIGINT) AS idx, n FROM vocab"))
 def q_vocab_build(spark, sf_dir):
-    """Vocabulary of the English (training) documents: ids from 2 by frequency, then word."""
-    t = _tokens(spark, sf_dir)
-    return _vocab(spark, sf_dir, t).select("word", "idx", "n")
+    """Vocabulary of the training split: ids from 2 by frequency, then word."""
+    return _vocab(_tokens(spark, sf_dir)).select("word", "idx", "n")
 
 
 @register("vocab_lookup", with_base(VOCAB_CTES, "SELECT * FROM ids"))
@@ -313,15 +318,13 @@ def q_vocab_lookup(spark, sf_dir):
 
 VEC_CTES = VOCAB_CTES + """,
 vn AS (SELECT vec_id, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS norm FROM embeddings),
-tv AS (SELECT i.doc_id, i.tok_idx, coalesce(vn.norm, 0.0) AS norm FROM ids i LEFT JOIN vn ON vn.vec_id = i.word_id)"""
+tv AS (SELECT i.doc_id, i.tok_idx, coalesce(vn.norm, 0.0) AS norm FROM ids i LEFT JOIN vn ON vn.vec_id = i.word_id AND i.word_id > 1)"""
 
 
-def _token_vectors(spark, sf_dir, m=False):
+def _token_vectors(spark, sf_dir):
     from spanfold.sources.tables import embeddings
 
-    e = embeddings(spark, sf_dir)
-    dim = e.select(F.max(F.size("embedding"))).first()[0]
-    v = J.vector_lookup(_ids(spark, sf_dir, m), e, dim)
+    v = J.vector_lookup(_ids(spark, sf_dir), embeddings(spark, sf_dir))
     return v.withColumn("norm", J.l2_norm(F.col("vector")))
 
 
@@ -385,7 +388,7 @@ def q_pad_sequence(spark, sf_dir):
 # ---------------------------------------------------------------------------- decoding
 @register("token_argmax", with_base(ARGMAX, "SELECT doc_id, tok_idx, pred FROM am"), bigint=('pred',))
 def q_token_argmax(spark, sf_dir):
-    return _scores(_tokens(spark, sf_dir, False, "window")).select("doc_id", "tok_idx", "pred")
+    return _scores(_tokens(spark, sf_dir, "window")).select("doc_id", "tok_idx", "pred")
 
 
 DEC_CTES = ARGMAX + """,
@@ -394,7 +397,7 @@ dc AS (SELECT DISTINCT doc_id, unnest(range("start", "end")) AS off FROM am WHER
 
 @register("decode_tokens", with_base(DEC_CTES, islands("dc", "doc_id")))
 def q_decode_tokens(spark, sf_dir):
-    return D.decode_tokens(_scores(_tokens(spark, sf_dir, False, "window")))
+    return D.decode_tokens(_scores(_tokens(spark, sf_dir, "window")))
 
 
 @register(
@@ -408,7 +411,7 @@ gf AS (SELECT DISTINCT doc_id, unnest(range(CASE WHEN pp = 1 THEN least(pe, "sta
     ),
 )
 def q_decode_gap_fill(spark, sf_dir):
-    return D.decode_gap_fill(_scores(_tokens(spark, sf_dir, False, "window")))
+    return D.decode_gap_fill(_scores(_tokens(spark, sf_dir, "window")))
 
 
 @register(
@@ -426,7 +429,7 @@ c AS (SELECT d.doc_id, coalesce(np.n, 0) AS n_pred, coalesce(ng.n, 0) AS n_gold,
 )
 def q_offset_f1_from_tokens(spark, sf_dir):
     """Argmax tokens -> character ranges -> document F1 against gold (every document)."""
-    t = _tokens(spark, sf_dir, True)
+    t = _tokens(spark, sf_dir)
     pred = D.decode_tokens(_scores(t)).withColumn("source", F.lit("argmax"))
     gold = X.spans_from_tokens(t).where(F.col("source") == "gold").drop("source")
     return M.doc_prf(X.docs(spark, sf_dir), pred, gold, ["argmax"]).select("doc_id", "f1")
@@ -444,7 +447,7 @@ def q_offset_f1_from_tokens(spark, sf_dir):
     ),
 )
 def q_token_f1(spark, sf_dir):
-    t = _tokens(spark, sf_dir, True, "window")
+    t = _tokens(spark, sf_dir, "window")
     lab = T.token_label_overlap(_scores(t), _gold(X.spans_from_tokens(t)), 0.0)
     return M.token_f1(lab)
 
@@ -454,7 +457,7 @@ def q_token_f1(spark, sf_dir):
     with_base(ARGMAX, "SELECT doc_id, '[' || array_to_string(list(tok_idx ORDER BY tok_idx), ', ') || ']' AS toxic_idx FROM am WHERE pred = 1 GROUP BY doc_id"),
 )
 def q_toxic_token_index(spark, sf_dir):
-    r = D.toxic_token_index(_scores(_tokens(spark, sf_dir, False, "window")))
+    r = D.toxic_token_index(_scores(_tokens(spark, sf_dir, "window")))
     return r.select("doc_id", S.format_offsets(F.col("toxic_idx")).alias("toxic_idx"))
 
 
@@ -486,7 +489,7 @@ def q_classification_metrics(spark, sf_dir):
     """Document score = sigmoid(max token logit) against ``labels.toxic``."""
     from spanfold.sources.tables import labels
 
-    s = _scores(_tokens(spark, sf_dir, True)).groupBy("doc_id").agg(F.max("logit1").alias("m"))
+    s = _scores(_tokens(spark, sf_dir)).groupBy("doc_id").agg(F.max("logit1").alias("m"))
     l = labels(spark, sf_dir).join(X.docs(spark, sf_dir).select("doc_id"), "doc_id").join(s, "doc_id", "left")
     l = l.select(F.col("toxic").alias("label"), sigmoid(F.coalesce(F.col("m"), F.lit(0.0))).alias("score"))
     return M.classification_metrics(l)
@@ -510,7 +513,7 @@ def q_smoothed_ce(spark, sf_dir):
     """Label-smoothed (0.1) cross-entropy per document over unmasked tokens."""
     from spanfold.operators.modeling import smoothed_ce
 
-    t = _tokens(spark, sf_dir, True)
+    t = _tokens(spark, sf_dir)
     lab = T.token_label_overlap(_scores(t).join(t.select("doc_id", "tok_idx", "core"), ["doc_id", "tok_idx"]), _gold(X.spans_from_tokens(t)), 0.0)
     lab = lab.withColumn("mask", F.when(F.col("core") != "", 1).otherwise(0))
     return smoothed_ce(lab, ["logit0", "logit1"], "label", 0.1, "mask")
@@ -535,7 +538,7 @@ def q_plain_losses(spark, sf_dir):
     """Token cross-entropy, start/end BCE-with-logits (flags at gold run boundaries), MSE of sigmoid(logit1)."""
     from spanfold.operators.modeling import bce_with_logits, cross_entropy
 
-    t = _tokens(spark, sf_dir, True)
+    t = _tokens(spark, sf_dir)
     g = _gold(X.spans_from_tokens(t))
     lab = T.token_label_overlap(_scores(t), g, 0.0)
     gs = g.select("doc_id", F.col("start").alias("start"), F.lit(1).alias("ys")).distinct()

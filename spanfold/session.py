@@ -35,8 +35,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for written tables and checkpoints.
 
-    Uses the cluster's ``spark.checkpoint.dir``; only when it is unset (local tests)
-    a folder under /tmp is created and registered as the checkpoint dir.
+    Uses the cluster's ``spark.checkpoint.dir``. Only a session with a ``local`` master may leave it
+    unset (tests): then a folder under /tmp is created. Anywhere else that is an error.
     """
     try:
         sc = spark.sparkContext
@@ -45,6 +45,8 @@ def scratch_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if sc is not None:
         base = base or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+        if not base and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not base:
             base = tempfile.mkdtemp(prefix="spanfold-ckpt-", dir="/tmp")
             sc.setCheckpointDir(base)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,13 +69,15 @@ def read_predictions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     return good, bad
 
 
-def load_splits(spark: SparkSession, paths: dict[str, str], reader: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
-    """Read several split files together: one DataFrame with a ``split`` column."""
-    out = None
-    for split, path in paths.items():
-        df = reader(spark, path).withColumn("split", F.lit(split))
-        out = df if out is None else out.unionByName(df)
-    return out
+def write_splits(df: DataFrame, path: str, split: str) -> None:
+    """All splits in one pass, one folder per value of ``split`` (a null value has a folder too)."""
+    df.withColumnRenamed(split, "split").write.mode("error").partitionBy("split").parquet(path)
+
+
+def load_splits(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Read the splits under ``path`` together, with a ``split`` column (``schema``: the other columns)."""
+    whole = T.StructType([*schema.fields, T.StructField("split", T.StringType())])
+    return spark.read.schema(whole).parquet(path)
 
 
 def write_clean(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -94,7 +97,9 @@ def saved_threshold(spark: SparkSession, path: str, tune: Callable[[], DataFrame
     """
     try:
         return spark.read.parquet(path).select("threshold", "f1")
-    except Exception:  # noqa: BLE001  (absent path: first run)
+    except AnalysisException as missing:  # a first run; anything else, such as a damaged file, is an error
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         best = tune().where(F.col("is_best") == 1).select("threshold", F.col("mean_f1").alias("f1"))
         best.coalesce(1).write.mode("error").parquet(path)
         return spark.read.parquet(path).select("threshold", "f1")

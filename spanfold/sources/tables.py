@@ -15,24 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
-def spread_small(df: DataFrame, key: str) -> DataFrame:
-    """A table stored as fewer files than the cluster has cores (e.g. one small file with a
-    single row group) is read by a single task; hash-partition it on its key so its
-    row-local work runs on every core. Large tables (many files) are left as scanned."""
-    spark = df.sparkSession
-    try:
-        cores = spark.sparkContext.defaultParallelism
-    except Exception:  # noqa: BLE001  (no SparkContext reachable, e.g. a remote session)
-        cores = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    if len(df.inputFiles()) < cores:
-        return df.repartition(cores, key)
-    return df
-
-
 def documents(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
-    """``docs(doc_id, text[, extra...])``; NULL text is read as empty text."""
+    """``docs(doc_id, text[, extra...])``; NULL text is read as empty text.
+
+    The scan's own splits are the partitions. A deployment whose input is one unsplittable file may
+    set ``spanfold.input.partitions`` in its session to deal the rows over that many tasks."""
     df = table(spark, sf_dir, "documents", "doc_id", "text", *extra)
-    return spread_small(df, "doc_id").withColumn("text", F.coalesce(F.col("text"), F.lit("")))
+    dealt = spark.conf.get("spanfold.input.partitions", None)
+    if dealt:
+        df = df.repartition(int(dealt), "doc_id")
+    return df.withColumn("text", F.coalesce(F.col("text"), F.lit("")))
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,5 @@
 """Seeded property tests: Spark operators against brute-force Python on random inputs."""
 
-import itertools
 import random
 import re
 
@@ -29,14 +28,14 @@ def rand_ranges(rng, n_docs=30, sources=("A", "B", "C"), max_len=60):
     return rows
 
 
+def runs_of(numbers):
+    """Half-open ranges of a list of offsets: a new one wherever a value isn't its predecessor plus one."""
+    cuts = [k for k in range(len(numbers)) if k == 0 or numbers[k] != numbers[k - 1] + 1] + [len(numbers)]
+    return [(numbers[a], numbers[b - 1] + 1) for a, b in zip(cuts, cuts[1:])]
+
+
 def islands(chars):
-    out = set()
-    for d, offs in chars.items():
-        offs = sorted(offs)
-        for _, g in itertools.groupby(enumerate(offs), lambda p: p[1] - p[0]):
-            g = list(g)
-            out.add((d, g[0][1], g[-1][1] + 1))
-    return out
+    return {(d, a, b) for d, offs in chars.items() for a, b in runs_of(sorted(offs))}
 
 
 def spark_set(df):
@@ -97,34 +96,53 @@ def test_offsets_to_ranges_list_order(spark):
     got = sorted((r["doc_id"], r["run_idx"], r["start"], r["end"]) for r in S.offsets_to_ranges(df).collect())
     want = []
     for d, offs in lists:
-        for i, (_, g) in enumerate(itertools.groupby(enumerate(offs), lambda p: p[1] - p[0])):
-            g = list(g)
-            want.append((d, i, g[0][1], g[-1][1] + 1))
+        want += [(d, i, a, b) for i, (a, b) in enumerate(runs_of(offs))]
     assert got == sorted(want)
 
 
-def char_loop_clean(offsets, text, collapse=False, snap=True, min_len=3):
-    """The cleaning rules written as plain character loops (trim, snap to words, drop)."""
+def stretches(text, inside):
+    """Half-open maximal stretches of characters for which ``inside`` holds."""
+    return runs_of([k for k, ch in enumerate(text) if inside(ch)])
+
+
+def expected_clean(offsets, text, collapse=False, snap=True, min_len=3):
+    """The cleaning rules read off the text's stretches of letters and digits and of blanks."""
+    words, blanks = stretches(text, str.isalnum), stretches(text, lambda ch: ch in WS)
+    around = lambda spans, at: next((s for s in spans if s[0] <= at < s[1]), None)
     out = []
-    runs = [list(g) for _, g in itertools.groupby(enumerate(offsets), lambda p: p[1] - p[0])]
-    for g in runs:
-        b, e = g[0][1], g[-1][1]
-        while text[b] in WS and b < e:
-            b += 1
-        while text[e] in WS and b < e:
-            e -= 1
-        if snap:
-            while 0 < b < e and text[b - 1].isalnum():
-                b += 1 if collapse else -1
-            while len(text) - 1 > e > b and text[e + 1].isalnum():
-                e += -1 if collapse else 1
-        if e - b + 1 >= min_len:
-            out.append((b, e + 1))
+    for first, end in runs_of(offsets):
+        last = end - 1
+        if blank := around(blanks, first):
+            first = min(blank[1], last)
+        if (blank := around(blanks, last)) and first < last:
+            last = max(blank[0] - 1, first)
+        if snap and first < last:
+            # the stretch that holds the neighbour outside; its near edge must be that neighbour
+            before = around(words, first - 1) if first else None
+            if before and collapse:
+                first = min(_behind(text, first), last)
+            elif before:
+                first = before[0]
+            after = around(words, last + 1) if last + 1 < len(text) else None
+            if after and first < last:
+                last = max(_ahead(text, last), first) if collapse else after[1] - 1
+        if last - first + 1 >= min_len:
+            out.append((first, last + 1))
     return out
 
 
+def _behind(text, at):
+    """First place from ``at`` on whose left neighbour is neither letter nor digit."""
+    return next((k for k in range(at, len(text)) if not text[k - 1].isalnum()), len(text))
+
+
+def _ahead(text, at):
+    """Last place up to ``at`` whose right neighbour is neither letter nor digit."""
+    return next((k for k in range(at, -1, -1) if not text[k + 1].isalnum()), -1)
+
+
 @pytest.mark.parametrize("mode", ["expand", "collapse", "trim"])
-def test_cleaner_matches_char_loops(spark, mode):
+def test_cleaner_matches_stretches(spark, mode):
     rng = random.Random(11)
     docs, rows, want = [], [], set()
     for d in range(60):
@@ -135,11 +153,9 @@ def test_cleaner_matches_char_loops(spark, mode):
             a = rng.randint(0, len(text) - 1)
             b = min(len(text) - 1, a + rng.randint(0, 10))
             offs.extend(range(a, b + 1))
-        for b, e in char_loop_clean(offs, text, collapse=(mode == "collapse"), snap=(mode != "trim")):
+        for b, e in expected_clean(offs, text, collapse=(mode == "collapse"), snap=(mode != "trim")):
             want.add((d, b, e))
-        for _, g in itertools.groupby(enumerate(offs), lambda p: p[1] - p[0]):
-            g = list(g)
-            rows.append((d, g[0][1], g[-1][1] + 1))
+        rows += [(d, a, b) for a, b in runs_of(offs)]
     ddf = spark.createDataFrame(docs, "doc_id long, text string")
     rdf = spark.createDataFrame(rows, "doc_id long, start long, end long")
     steps = ("trim", "drop") if mode == "trim" else ("trim", "snap", "drop")
@@ -250,7 +266,7 @@ def test_threshold_sweep_independent_of_block_size(spark):
 
     from conftest import SF001
 
-    t = X.tokens(spark, SF001, False, "window")
+    t = X.tokens(spark, SF001, "window")
     c = K.nbest_spans(X.token_scores_from_tokens(t))
     gold = X.spans_from_tokens(t).where(F.col("source") == "gold").select("doc_id", "start", "end")
     docs = X.docs(spark, SF001)
