@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanfold.llm.common import key_hash, ordinal, word_count, written
+from spanfold.llm.common import fresh, key_hash, ordinal, word_count, written
 
 WEIGHTS = (3, 1, 2)
 BUCKET_ROWS = 8192
@@ -73,6 +73,7 @@ def mix_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The mixed corpus: the rows of ``docs``, each as often as it is taken (ids must be unique)."""
-    copies = mix_copies(docs, id_col, **options).where("copies > 0").groupBy(F.col(id_col).alias("_mix_id")).agg(F.max("copies").cast("int").alias("_copies"))
-    taken = docs.join(copies, F.col(id_col).eqNullSafe(F.col("_mix_id")))
-    return taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    mixed, times, nth = fresh(docs, "_mixed", "_times", "_nth")
+    copies = mix_copies(docs, id_col, **options).where("copies > 0").groupBy(F.col(id_col).alias(mixed)).agg(F.max("copies").cast("int").alias(times))
+    taken = docs.join(copies, F.col(id_col).eqNullSafe(F.col(mixed)))
+    return taken.withColumn(nth, F.explode(F.array_repeat(F.lit(1), F.col(times)))).select(*docs.columns)

@@ -11,11 +11,14 @@ How the work stays linear and spread:
 * documents with equal sets form a class; only one representative per class goes on;
 * a pair key can only repeat where both of its halves repeat, so halves (24 rows a document) are
   counted first and only repeated halves are combined into pair keys;
+* of buckets with the same members only one goes on;
 * inside a table bucket not all pairs are made. Round 1 compares every member with the bucket's
   smallest one. Buckets whose members then belong to one component are finished; in the others the
   next ``LEADERS`` members are compared with every member of another component, round after round,
   until every member of an unfinished bucket has been a leader. So no link between two components
   is missed, and a bucket of near copies costs one comparison a member;
+* only documents that share a bucket have their full sets computed, once, and only pairs whose
+  sizes and minhashes allow the threshold fetch them;
 * components come from repeated smallest-neighbour steps with pointer jumping on written tables.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` after lowering A-Z; with fewer than five words the
@@ -38,11 +41,11 @@ from spanfold.llm.words import hashed_words, scramble, windows
 
 SHINGLE = 5
 HALVES, PER_HALF = 12, 2
-LEADERS = 16
+LEADERS = 64
 #: A pair at 0.75 agrees on 36 of 48 minhashes on average (deviation 3); pairs with fewer than this many are not fetched.
-AGREE = 18
+AGREE = 22
 _HASHES = 2 * HALVES * PER_HALF
-_SKETCH = "id long, n_shingles long, set_hash binary, halves array<long>, sig binary"
+_SKETCH = "id long, n_shingles long, set_hash binary, halves array<long>, sig array<long>"
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -80,16 +83,16 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 m = minhashes(s) if len(s) else None
                 if m is None:
                     halves.append([])
-                    sigs.append(b"")
+                    sigs.append([])
                 else:
                     with np.errstate(over="ignore"):
                         key = np.arange(2 * HALVES, dtype=np.uint64)
                         for part in m.reshape(2 * HALVES, PER_HALF).T:
                             key = scramble(key * np.uint64(0x9E3779B97F4A7C15) + part)
                     halves.append(key.view(np.int64))
-                    sigs.append((m >> np.uint64(56)).astype(np.uint8).tobytes())
+                    sigs.append((m >> np.uint64(56)).astype(np.uint8).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ns, pa.int64()), pa.array(sets, pa.binary()), pa.array(halves, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
+                [batch.column(0), pa.array(ns, pa.int64()), pa.array(sets, pa.binary()), pa.array(halves, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64()))],
                 names=["id", "n_shingles", "set_hash", "halves", "sig"],
             )
 
@@ -106,16 +109,17 @@ def table_rows(reps: DataFrame) -> DataFrame:
     # a half key's hash includes its number, so the pair of hashes names the table too
     keys = both.select("id", F.explode("left").alias("l"), "right").select("id", "l", F.explode("right").alias("r")).select(F.xxhash64("l", "r").alias("key"), "id")
     keys = written(keys, "near_keys")
-    live_keys = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where("n > 1").select("key", "lead")
-    return written(keys.join(live_keys, "key"), "near_buckets")
+    members = [F.count("*").alias("n"), F.min("id").alias("lead"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")]
+    buckets = keys.groupBy("key").agg(*members).where("n > 1")
+    distinct = buckets.groupBy("n", "lead", "x", "y").agg(F.min("key").alias("key")).select("key", "lead")
+    return written(keys.join(distinct, "key"), "near_buckets")
 
 
 def _agreeing(a: Column, b: Column) -> Column:
-    """How many of the 48 bytes agree: zero bytes of the two signatures' difference."""
-    groups = [F.conv(F.substring(F.hex(x), 16 * k + 1, 16), 16, -10).cast("long") for k in range(_HASHES // 8) for x in (a, b)]
+    """How many bytes of two signatures agree: the zero bytes of their difference."""
     total = F.lit(0)
-    for x, y in zip(groups[::2], groups[1::2], strict=True):
-        d = x.bitwiseXOR(y)
+    for k in range(_HASHES // 8):
+        d = a[k].bitwiseXOR(b[k])
         d = d.bitwiseOR(F.shiftright(d, 4).bitwiseAND(F.lit(0x0F0F0F0F0F0F0F0F)))
         d = d.bitwiseOR(F.shiftright(d, 2).bitwiseAND(F.lit(0x3F3F3F3F3F3F3F3F)))
         d = d.bitwiseOR(F.shiftright(d, 1).bitwiseAND(F.lit(0x7F7F7F7F7F7F7F7F))).bitwiseAND(F.lit(0x0101010101010101))
@@ -123,13 +127,8 @@ def _agreeing(a: Column, b: Column) -> Column:
     return total
 
 
-def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, threshold: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets overlap enough: 100 * both >= threshold * either."""
-    narrow = reps.select("id", "n_shingles", "sig")
-    side = lambda s: narrow.select(*[F.col(c).alias(f"{s}_{c}" if c != "id" else s) for c in narrow.columns])
-    likely = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-    small, large = F.least("a_n_shingles", "b_n_shingles"), F.greatest("a_n_shingles", "b_n_shingles")
-    likely = written(likely.where((100 * small >= threshold * large) & (_agreeing(F.col("a_sig"), F.col("b_sig")) >= AGREE)).select("a", "b"), "near_likely")
+def full_sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, shingles`` of the documents in ``ids``."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,9 +137,16 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, t
                 found = pa.array([s.tobytes() for s in shingle_sets(part.column(1))], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), found], names=["id", "shingles"])
 
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted.hint("shuffle_hash"), "id", "left_semi")
-    full = written(texts.mapInArrow(sets, "id long, shingles binary").dropDuplicates(["id"]), "near_sets")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(ids.select("id").hint("shuffle_hash"), "id", "left_semi")
+    return texts.mapInArrow(sets, "id long, shingles binary").dropDuplicates(["id"])
+
+
+def confirmed(pairs: DataFrame, reps: DataFrame, full: DataFrame, threshold: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose full sets overlap enough: 100 * both >= threshold * either."""
+    side = lambda s: reps.select(F.col("id").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
+    likely = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
+    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    likely = likely.where((100 * small >= threshold * large) & (_agreeing(F.col("sig_a"), F.col("sig_b")) >= AGREE)).select("a", "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,6 +181,19 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
+def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (``id, comp``) after further ``links``: only components that a link touches move."""
+    if links.isEmpty():
+        return comp
+    ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(comp, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
+    ends = written(ends, "near_ends")
+    name = lambda s: ends.select(F.col("id").alias(s), F.col("comp").alias(f"c{s}"))
+    moved = components(links.join(name("a"), "a").join(name("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    every = comp.unionByName(ends).distinct()
+    every = every.join(moved.select(F.col("id").alias("comp"), F.col("comp").alias("to")), "comp", "left")
+    return written(every.select("id", F.coalesce("to", "comp").alias("comp")), "near_components")
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 75) -> DataFrame:
     """``id, n_shingles, component_id, kept`` for every row of ``docs``."""
     sketch = written(sketches(docs, id_col, text_col), "near_sketch")
@@ -182,31 +201,25 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = members.groupBy("set_hash", "n_shingles").agg(F.min("id").alias("rep"))
     classed = members.join(classes, ["set_hash", "n_shingles"]).select("id", "rep", "n_shingles", "halves", "sig")
     classed = written(classed, "near_classes")
-    reps = classed.where("id = rep").drop("rep").dropDuplicates(["id"])
+    reps = written(classed.where("id = rep").drop("rep").dropDuplicates(["id"]), "near_reps")
     buckets = table_rows(reps.select("id", "halves"))
+    full = written(full_sets(buckets.select("id").distinct(), docs, id_col, text_col), "near_sets")
 
-    confirm = lambda pairs: written(confirmed(pairs, reps, docs, id_col, text_col, threshold), "near_links")
-    links = confirm(buckets.where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")))
-    comp = components(links)
-    open_rows = buckets.select("key", "id")
-    done = None  # leaders that have been compared, per bucket
+    confirm = lambda pairs: written(confirmed(pairs, reps, full, threshold), "near_links")
+    comp = components(confirm(buckets.where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))))
+    open_rows, done = buckets.select("key", "id"), buckets.select("key", F.col("lead").alias("id")).distinct()
     while True:
         named = open_rows.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
         mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
         named = written(named.join(mixed, "key", "left_semi"), "near_mixed")
-        if done is None:
-            done = named.groupBy("key").agg(F.min("id").alias("id"))
-        waiting = named.join(done, ["key", "id"], "left_anti")
         nth = F.row_number().over(Window.partitionBy("key").orderBy("id"))
+        waiting = named.join(done, ["key", "id"], "left_anti")
         leaders = written(waiting.withColumn("n", nth).where(F.col("n") <= LEADERS).select("key", "id", "comp"), "near_leaders")
         if leaders.isEmpty():
             break
         lead = leaders.select("key", F.col("id").alias("lead"), F.col("comp").alias("lead_comp"))
         pairs = named.join(lead, "key").where("comp != lead_comp").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
-        new = confirm(pairs)
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            comp = components(links)
+        comp = _joined(comp, confirm(pairs))
         done = written(done.unionByName(leaders.select("key", "id")), "near_done")
         open_rows = named.select("key", "id")
 

@@ -106,7 +106,7 @@ def windows(hashes: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarr
     left = np.repeat(bounds[1:], counts) - np.arange(n)  # words from here to the end of the row
     for k in range(size):
         part = np.zeros(n, np.uint64)
-        part[: n - k] = hashes[k:] if k else hashes
+        part[: max(0, n - k)] = hashes[k:]
         step = scramble(out * np.uint64(_BASE) + part + np.uint64(k + 1))
         out = step if not k else np.where(left > k, step, out)
     keep = (left >= size) | (np.arange(n) == np.repeat(bounds[:-1], counts))
