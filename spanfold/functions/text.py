@@ -27,19 +27,10 @@ LEXICON = ("trash", "clown", "idiot", "scum", "worthless", "moron", "pathetic",
 MODEL_A_MISSES = ("loser", "stupid", "scum")
 
 
-def is_ws_char(c: Column) -> Column:
-    """True if the one-character string ``c`` is whitespace (the cleaner's set)."""
-    return c.isin(*WHITESPACE_CHARS)
-
-
 def core(tok: Column) -> Column:
     """Lower-case letters/digits of a token: punctuation stripped."""
     return F.lower(F.regexp_replace(tok, NON_ALNUM_CLASS, ""))
 
 
-def is_lexicon_hit(tok: Column, lexicon=LEXICON) -> Column:
-    return core(tok).isin(*lexicon)
-
-
 def sigmoid(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))

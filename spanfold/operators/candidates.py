@@ -164,10 +164,6 @@ def topk_answers(ranked: DataFrame, k: int) -> DataFrame:
     return ranked.where(F.col("rank") <= k)
 
 
-def _level_grid(docs: DataFrame, n_levels: int, keys) -> DataFrame:
-    return docs.select(*keys).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n_levels - 1))))
-
-
 def _shr(v: Column, n: Column) -> Column:
     return F.call_function("shiftright", v, n)
 
@@ -188,9 +184,10 @@ def tune_score_threshold(cands: DataFrame, gold: DataFrame, docs: DataFrame, n_l
     level) so ranges of one level are disjoint; a running sum of +-2^level over all range
     endpoints is then exactly the set of active levels (a bitmask in two longs), and gold
     rides in the same sweep as a 0/1 cover. Each elementary segment counts for every level
-    up to its highest active one, so a per-document histogram over levels plus a suffix
-    sum gives |pred| and |pred & gold| at every threshold. Documents without a passing
-    candidate score by the empty-prediction rule.
+    up to its highest active one, so sums from above over a document's histogram (its own
+    distinct levels) give |pred| and |pred & gold| wherever they change, and only those change
+    points leave the document. Documents without a passing candidate score by the
+    empty-prediction rule.
     ``(k, threshold, mean_f1, is_best)``; best = highest mean, lowest threshold on ties.
     """
     keys = list(keys)
@@ -226,20 +223,47 @@ def tune_score_threshold(cands: DataFrame, gold: DataFrame, docs: DataFrame, n_l
     level = F.when(F.col("hi") != 0, _highest_bit(F.col("hi")) + 63).when(F.col("lo") != 0, _highest_bit(F.col("lo"))).otherwise(-1)
     seg = seg.select(*keys, (F.col("nx") - F.col("x")).alias("len"), "gc", level.alias("level"))
     hist = seg.groupBy(*keys, "level").agg(F.sum("len").alias("plen"), F.sum(F.col("len") * F.col("gc")).alias("ilen"))
-    # one consumer of the sweep: the grid spans levels -1..n-1 (level -1 = gold not predicted),
-    # so the gold length is a plain per-document sum over the grid rows
-    levels = docs.select(*keys).withColumn("level", F.explode(F.sequence(F.lit(-1), F.lit(n_levels - 1))))
-    grid = levels.join(hist, keys + ["level"], "left")
-    sfx = Window.partitionBy(*keys).orderBy(F.col("level").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    grid = grid.withColumn("n_gold", F.sum(F.coalesce("ilen", F.lit(0))).over(Window.partitionBy(*keys)))
-    grid = grid.withColumn("n_pred", F.sum(F.coalesce("plen", F.lit(0))).over(sfx)).withColumn("n_inter", F.sum(F.coalesce("ilen", F.lit(0))).over(sfx))
-    grid = grid.where(F.col("level") >= 0)
-    npred, ngold, ninter = F.col("n_pred"), F.col("n_gold"), F.col("n_inter")
-    f1 = F.when(ngold == 0, F.when(npred == 0, 1.0).otherwise(0.0)).when(npred == 0, 0.0).otherwise(2.0 * ninter / (npred + ngold))
-    per_k = grid.withColumn("f1", f1).groupBy(F.col("level").alias("k")).agg(F.avg("f1").alias("mean_f1"))
+    down = Window.partitionBy(*keys).orderBy(F.col("level").desc())
+    sums = down.rowsBetween(Window.unboundedPreceding, 0)
+    doc = Window.partitionBy(*keys)
+    steps = hist.select(
+        *keys, "level", F.sum("plen").over(sums).alias("n_pred"), F.sum("ilen").over(sums).alias("n_inter"), F.sum("ilen").over(doc).alias("n_gold"),
+        F.coalesce(F.lead("level").over(down), F.lit(-1)).alias("below"), F.row_number().over(down).alias("nth"),
+    )
+    f1 = F.when(F.col("n_gold") == 0, 0.0).otherwise(2.0 * F.col("n_inter") / (F.col("n_pred") + F.col("n_gold")))
+    # above its highest level a document predicts nothing: F1 is 1 without gold, else 0
+    empty = F.when((F.col("nth") == 1) & (F.col("n_gold") == 0), 1.0).otherwise(0.0)
+    points = change_points(F.col("level"), F.col("below"), f1) + change_points(F.lit(n_levels - 1), F.col("level"), empty)
+    per_k = mean_by_level(steps, points, F.col("nth") == 1, n_levels, docs.agg(F.count("*").alias("n_docs")))
     return _mark_best(per_k.withColumn("threshold", F.col("k") / F.lit(div)))
 
 
+def change_points(level: Column, below: Column, value: Column) -> list[Column]:
+    """A value that holds at the levels ``below < k <= level`` as two points whose sum from above is it."""
+    point = lambda k, v: F.struct(k.cast("int").alias("k"), v.alias("v"))
+    return [F.when(level > below, point(level, value)), F.when((level > below) & (below >= 0), point(below, -value))]
+
+
+def mean_by_level(steps: DataFrame, points: list[Column], first_of_doc: Column, n_levels: int, n_docs: DataFrame | None = None) -> DataFrame:
+    """``(k, mean_f1)`` for every level from the documents' change points: they are summed by level
+    (with map-side combine) and a sum from above over the ``n_levels`` rows gives each level's total.
+
+    ``n_docs``: one row with the number of all documents; those without any step count as 1. Without
+    it the mean is over the documents that have steps. ``first_of_doc`` marks one step a document."""
+    doc = F.struct(F.lit(-1).alias("k"), F.lit(1.0).alias("v"))
+    every = F.filter(F.array(*points, F.when(first_of_doc, doc)), lambda p: p.isNotNull())
+    sums = steps.select(F.explode(every).alias("p")).groupBy("p.k").agg(F.sum("p.v").alias("v"))
+    seen = sums.agg(F.coalesce(F.max(F.when(F.col("k") == -1, F.col("v"))), F.lit(0.0)).alias("seen"))
+    levels = steps.sparkSession.range(n_levels).select(F.col("id").cast("int").alias("k")).join(F.broadcast(sums), "k", "left")
+    levels = levels.withColumn("total", F.sum(F.coalesce("v", F.lit(0.0))).over(Window.orderBy(F.col("k").desc())))
+    if n_docs is None:
+        out = levels.crossJoin(F.broadcast(seen)).withColumn("mean_f1", F.col("total") / F.greatest(F.col("seen"), F.lit(1.0)))
+    else:
+        out = levels.crossJoin(F.broadcast(seen)).crossJoin(F.broadcast(n_docs))
+        out = out.withColumn("mean_f1", (F.col("total") + F.col("n_docs") - F.col("seen")) / F.greatest(F.col("n_docs"), F.lit(1)))
+    return out.select(F.col("k").cast("long").alias("k"), "mean_f1")
+
+
 def _mark_best(per_k: DataFrame, prefer: Column | None = None) -> DataFrame:
     """``is_best`` = 1 on the best level: highest mean F1 (rounded), then ``prefer``, then lowest k.
     The table has one row per threshold level, so the ranking window is bounded."""
@@ -265,12 +289,9 @@ def tune_token_threshold(token_scores: DataFrame, p: Column, label: str = "label
     """Mean per-document token F1 (0 without any positive) at thresholds ``k/div``; best =
     true argmax, lowest threshold on ties (the reference's loop never updated its best).
 
-    One chain, no token replication: each token gets the highest level it passes; a
-    per-document histogram over levels (at most ``n_levels`` + 1 rows per document) is
-    expanded to the levels each bin counts at, giving tp/fp per (document, level); the
-    document's positives are a window sum over its bins. A (document, level) with no
-    passing token has F1 0, so the mean is the sum over present pairs divided by the
-    number of documents (counted on the level -1 marker rows).
+    One chain, no token replication: each token gets the highest level it passes; sums from
+    above over a document's histogram (its own distinct levels) give tp/fp wherever they change,
+    and only those change points leave the document. A level with no passing token has F1 0.
     ``evaluator(tp, fp, fn) -> Column`` is the per-document metric plug-in (default F1);
     it must score 0 when the document has no passing token.
     """
@@ -278,21 +299,16 @@ def tune_token_threshold(token_scores: DataFrame, p: Column, label: str = "label
     t = token_scores.select(*keys, F.col(label).alias("y"), pass_level(p, n_levels, div).alias("kmax"))
     hist = t.groupBy(*keys, "kmax").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
     hist = hist.withColumn("n_pos", F.sum("pos").over(Window.partitionBy(*keys)))
-    lv = hist.withColumn("k", F.explode(F.sequence(F.lit(-1), F.col("kmax"))))
-    per = lv.groupBy(*keys, "k").agg(F.sum("pos").alias("tp"), F.sum("neg").alias("fp"), F.max("n_pos").alias("n_pos"))
+    down = Window.partitionBy(*keys).orderBy(F.col("kmax").desc())
+    sums = down.rowsBetween(Window.unboundedPreceding, 0)
+    steps = hist.select(
+        "kmax", F.sum("pos").over(sums).alias("tp"), F.sum("neg").over(sums).alias("fp"), "n_pos",
+        F.coalesce(F.lead("kmax").over(down), F.lit(-1)).alias("below"), F.row_number().over(down).alias("nth"),
+    )
     fn = F.col("n_pos") - F.col("tp")
     denom = 2 * F.col("tp") + F.col("fp") + fn
     metric = F.when(denom > 0, 2.0 * F.col("tp") / denom).otherwise(0.0) if evaluator is None else evaluator(F.col("tp"), F.col("fp"), fn)
-    per = per.withColumn("f1", F.when(F.col("k") < 0, F.lit(0.0)).otherwise(metric))
-    sums = per.groupBy("k").agg(F.sum("f1").alias("s"), F.count("*").alias("c"))
-    # at most n_levels + 1 rows from here on
-    n_docs = F.max(F.when(F.col("k") == -1, F.col("c"))).over(Window.partitionBy())
-    sums = sums.withColumn("n_docs", n_docs).where(F.col("k") >= 0)
-    spark = token_scores.sparkSession
-    levels = spark.range(n_levels).select(F.col("id").alias("k"))
-    per_k = levels.join(F.broadcast(sums), "k", "left").select(
-        "k", (F.coalesce(F.col("s"), F.lit(0.0)) / F.coalesce(F.col("n_docs"), F.lit(1))).alias("mean_f1")
-    )
+    per_k = mean_by_level(steps, change_points(F.col("kmax"), F.col("below"), metric), F.col("nth") == 1, n_levels)
     return _mark_best(per_k.withColumn("threshold", F.col("k") / F.lit(div)))
 
 

@@ -9,20 +9,6 @@ from spanfold.operators.spans import BLOCK, normalize_spans, split_blocks
 from spanfold.operators.tokens import overlap_join
 
 
-def set_sizes(pred: DataFrame, gold: DataFrame, keys=("doc_id",), source: str = "source") -> DataFrame:
-    """``(keys..., source, n_pred, n_gold_src, n_inter)``: set sizes from range endpoints.
-
-    Both sides are normalized, so the intersection size is the sum of pairwise overlaps
-    (an interval join on the key) and no range is exploded to characters.
-    """
-    keys = list(keys)
-    p = normalize_spans(pred, keys + [source])
-    g = normalize_spans(gold, keys)
-    inter = overlap_join(p, g, keys).groupBy(*keys, source).agg(F.sum("overlap").alias("n_inter"))
-    plen = p.groupBy(*keys, source).agg(F.sum(F.col("end") - F.col("start")).alias("n_pred"))
-    return plen.join(inter, on=keys + [source], how="left")
-
-
 def prf_columns(n_pred: Column, n_gold: Column, n_inter: Column) -> list[Column]:
     """The reference's per-document rule: empty gold scores 1 iff the prediction is empty too."""
     p = F.when(n_gold == 0, F.when(n_pred == 0, 1.0).otherwise(0.0)).when(n_pred == 0, 0.0).otherwise(n_inter / n_pred)
@@ -115,12 +101,16 @@ def system_f1_sem(scores: DataFrame, group: str = "source") -> DataFrame:
 
 
 def f1_box_summary(scores: DataFrame, group: str = "source") -> DataFrame:
-    """Exact box-plot numbers (linear interpolation) of per-document F1."""
-    return scores.groupBy(group).agg(
+    """Exact box-plot numbers (linear interpolation) of per-document F1.
+
+    Documents are counted per distinct score first (with map-side combine), so the quantiles see one
+    row per score, weighted by its count, whatever the number of documents."""
+    counts = scores.groupBy(group, "f1").agg(F.count("*").alias("n"))
+    return counts.groupBy(group).agg(
         F.min("f1").alias("f1_min"),
-        F.percentile("f1", 0.25).alias("f1_q1"),
-        F.percentile("f1", 0.5).alias("f1_median"),
-        F.percentile("f1", 0.75).alias("f1_q3"),
+        F.percentile("f1", 0.25, F.col("n")).alias("f1_q1"),
+        F.percentile("f1", 0.5, F.col("n")).alias("f1_median"),
+        F.percentile("f1", 0.75, F.col("n")).alias("f1_q3"),
         F.max("f1").alias("f1_max"),
     )
 

@@ -59,10 +59,15 @@ def ranges_to_offsets(ranges: DataFrame, keys=("doc_id",)) -> DataFrame:
 
 
 def collect_offsets(ranges: DataFrame, keys=("doc_id",)) -> DataFrame:
-    """Ranges -> one row per key with sorted distinct ``array<int>`` offsets (for writing files)."""
+    """Ranges -> one row per key with sorted distinct ``array<int>`` offsets (for writing files).
+
+    Only ranges are shuffled: they are merged and gathered per key, and the offsets are spelled out
+    on that row."""
     keys = list(keys)
-    o = ranges_to_offsets(ranges, keys)
-    return o.groupBy(*keys).agg(F.sort_array(F.collect_set(F.col("offset").cast("int"))).alias("offsets"))
+    merged = normalize_spans(ranges.select(*keys, "start", "end"), keys)
+    r = merged.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_r"))
+    offsets = F.flatten(F.transform("_r", lambda x: F.sequence(x["start"], x["end"] - 1)))
+    return r.select(*keys, offsets.cast("array<int>").alias("offsets"))
 
 
 def span_text(ranges: DataFrame, docs: DataFrame, keys=("doc_id",), text: str = "text") -> DataFrame:
@@ -144,11 +149,3 @@ def coverage(ranges: DataFrame, keys=("doc_id",), source: str = "source", weight
 def merge_segments(segments: DataFrame, keys=("doc_id",), block: int | None = BLOCK) -> DataFrame:
     """Adjacent kept segments -> maximal ranges (they are already disjoint)."""
     return normalize_spans(segments, keys, block)
-
-
-def span_threshold(ranges: DataFrame, rule, keys=("doc_id",), source: str = "source", n: Column | None = None) -> DataFrame:
-    """Ranges covered by sources satisfying ``rule(cover, n)`` -> normalized ranges."""
-    seg = coverage(ranges, keys, source)
-    if n is not None:
-        seg = seg.join(n, on=list(keys), how="left")
-    return merge_segments(seg.where(rule(F.col("cover"), F.col("n") if n is not None else None)), keys)

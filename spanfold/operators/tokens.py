@@ -126,10 +126,6 @@ def _tokenize_window(docs: DataFrame, keys, text, keep, neighbours, pattern=None
     return t
 
 
-def with_core(tokens: DataFrame) -> DataFrame:
-    return tokens.withColumn("core", core(F.col("tok")))
-
-
 BLOCK = 4096  # characters per block of the interval join key
 
 
@@ -178,13 +174,11 @@ def token_label_overlap(tokens: DataFrame, gold: DataFrame, threshold: float = 0
 def token_label_first_char(tokens: DataFrame, gold: DataFrame, keys=("doc_id",)) -> DataFrame:
     """Label 1 iff the token's first character lies inside a gold range; empty tokens are 0."""
     keys = list(keys)
-    g = gold.select(*keys, F.col("start").alias("g_start"), F.col("end").alias("g_end"))
-    cond = [tokens[k] == g[k] for k in keys] + [
-        tokens["start"] >= g["g_start"],
-        tokens["start"] < g["g_end"],
-        tokens["end"] > tokens["start"],
-    ]
-    hit = tokens.select(*keys, "tok_idx", "start", "end").join(g, on=cond, how="left_semi").select(*keys, "tok_idx").withColumn("label", F.lit(1))
+    g = gold.where(F.col("end") > F.col("start")).select(*keys, F.col("start").alias("g_start"), F.col("end").alias("g_end"))
+    g = g.withColumn("_blk", F.explode(F.sequence(F.floor(F.col("g_start") / BLOCK), F.floor((F.col("g_end") - 1) / BLOCK))))
+    t = tokens.where(F.col("end") > F.col("start")).select(*keys, "tok_idx", "start", F.floor(F.col("start") / BLOCK).alias("_blk"))
+    inside = [t[k] == g[k] for k in [*keys, "_blk"]] + [t["start"] >= g["g_start"], t["start"] < g["g_end"]]
+    hit = t.join(g, on=inside, how="left_semi").select(*keys, "tok_idx").withColumn("label", F.lit(1))
     return tokens.join(hit, on=[*keys, "tok_idx"], how="left").withColumn("label", F.coalesce("label", F.lit(0)).cast("int"))
 
 

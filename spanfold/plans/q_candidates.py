@@ -81,7 +81,7 @@ def _gold(t):
 # ---------------------------------------------------------------------------- windows
 @register("strided_windows", with_base(WIN_CTES, "SELECT doc_id, window_id, first_tok, last_tok, last_tok - first_tok + 1 AS n_tok FROM wins"))
 def q_strided_windows(spark, sf_dir):
-    return T.strided_windows(X.tokens(spark, sf_dir, "window"), L, STRIDE)
+    return T.strided_windows(X.tokens(spark, sf_dir), L, STRIDE)
 
 
 @register(
@@ -90,8 +90,8 @@ def q_strided_windows(spark, sf_dir):
 )
 def q_feature_to_example(spark, sf_dir):
     """Window tokens (features) rolled back up to their document."""
-    wt = T.window_tokens(X.tokens(spark, sf_dir, "window").select("doc_id", "tok_idx"), L, STRIDE)
-    return wt.groupBy("doc_id").agg(F.countDistinct("window_id").alias("n_windows"), F.count("*").alias("n_window_tokens"))
+    w = T.strided_windows(X.tokens(spark, sf_dir), L, STRIDE)
+    return w.groupBy("doc_id").agg(F.count("*").alias("n_windows"), F.sum("n_tok").alias("n_window_tokens"))
 
 
 @register(
@@ -99,7 +99,7 @@ def q_feature_to_example(spark, sf_dir):
     with_base(WIN_CTES, "SELECT (SELECT count(*) FROM docs) AS n_examples, (SELECT count(*) FROM tokens) AS n_tokens, (SELECT count(*) FROM wins) AS n_features"),
 )
 def q_corpus_counts(spark, sf_dir):
-    t = X.tokens(spark, sf_dir, "window")
+    t = X.tokens(spark, sf_dir)
     n_docs = X.docs(spark, sf_dir).agg(F.count("*").alias("n_examples"))
     n_tok = t.agg(F.count("*").alias("n_tokens"))
     n_win = T.strided_windows(t, L, STRIDE).agg(F.count("*").alias("n_features"))
@@ -142,7 +142,7 @@ def q_nbest_spans(spark, sf_dir):
 
 @register("null_score", with_base(WIN_CTES, "SELECT doc_id, round(null_score, 6) AS null_score FROM nulls"))
 def q_null_score(spark, sf_dir):
-    w = X.windows(X.tokens(spark, sf_dir, "window"), L, STRIDE)
+    w = X.windows(X.tokens(spark, sf_dir), L, STRIDE)
     return K.null_scores(w, F.col("cls_start"), F.col("cls_end"))
 
 
@@ -165,8 +165,8 @@ sf AS (SELECT DISTINCT doc_id, unnest(range("start", "end")) AS off FROM ranked
     ),
 )
 def q_score_sigmoid_filter(spark, sf_dir):
-    """Ranked candidates with sigmoid(score) > 0.5, NULL answers skipped, ranges merged."""
-    return D.score_sigmoid_filter(_ranked(spark, sf_dir), THR)
+    """Candidates with sigmoid(score) > 0.5 merged (the rule needs no rank, so none is computed)."""
+    return D.score_sigmoid_filter(_cands(spark, sf_dir), THR)
 
 
 TUNE_SCORE_CTES = WIN_CTES + """,

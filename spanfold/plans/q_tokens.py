@@ -96,7 +96,7 @@ def q_ignore_mask(spark, sf_dir):
     "pad_tag_decisions",
     with_base("", "SELECT doc_id, tok_idx, CASE WHEN 1 / (1 + exp(-logit1)) > 0.2 THEN 2 ELSE 1 END AS decision FROM token_scores WHERE tok_idx < 128"), bigint=('decision',))
 def q_pad_tag_decisions(spark, sf_dir):
-    s = _scores(_tokens(spark, sf_dir, "window"))
+    s = _scores(_tokens(spark, sf_dir))
     return D.pad_tag_decisions(s, sigmoid(F.col("logit1")), 0.2, 128).select("doc_id", "tok_idx", "decision")
 
 
@@ -300,9 +300,11 @@ def _vocab(t):
     return J.vocab_build(train_val_split(t).where(F.col("split") == "train").select(F.col("tok").alias("word")))
 
 
-def _ids(spark, sf_dir):
+def _ids(spark, sf_dir, first=None):
+    """Ids of every token, or of each document's ``first`` tokens (the vocabulary is built from all)."""
     t = _tokens(spark, sf_dir)
-    return J.vocab_lookup(t.select("doc_id", "tok_idx", "tok"), _vocab(t))
+    wanted = t if first is None else t.where(F.col("tok_idx") < first)
+    return J.vocab_lookup(wanted.select("doc_id", "tok_idx", "tok"), _vocab(t))
 
 
 @register("vocab_build", with_base(VOCAB_CTES, "SELECT word, CAST(idx AS BIGINT) AS idx, n FROM vocab"))
@@ -366,7 +368,7 @@ def _seq_sql(pre: bool) -> str:
 def _sequences(spark, sf_dir, padding):
     from spanfold.operators.modeling import pad_sequence
 
-    ids = _ids(spark, sf_dir)
+    ids = _ids(spark, sf_dir, 128)
     sq = ids.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("tok_idx", "word_id"))).alias("s"))
     d = X.docs(spark, sf_dir).select("doc_id").join(sq, "doc_id", "left")
     seq = F.transform(F.coalesce(F.col("s"), F.array().cast("array<struct<tok_idx:long,word_id:long>>")), lambda x: x["word_id"])
@@ -388,7 +390,7 @@ def q_pad_sequence(spark, sf_dir):
 # ---------------------------------------------------------------------------- decoding
 @register("token_argmax", with_base(ARGMAX, "SELECT doc_id, tok_idx, pred FROM am"), bigint=('pred',))
 def q_token_argmax(spark, sf_dir):
-    return _scores(_tokens(spark, sf_dir, "window")).select("doc_id", "tok_idx", "pred")
+    return _scores(_tokens(spark, sf_dir)).select("doc_id", "tok_idx", "pred")
 
 
 DEC_CTES = ARGMAX + """,
@@ -397,7 +399,7 @@ dc AS (SELECT DISTINCT doc_id, unnest(range("start", "end")) AS off FROM am WHER
 
 @register("decode_tokens", with_base(DEC_CTES, islands("dc", "doc_id")))
 def q_decode_tokens(spark, sf_dir):
-    return D.decode_tokens(_scores(_tokens(spark, sf_dir, "window")))
+    return D.decode_tokens(_scores(_tokens(spark, sf_dir)))
 
 
 @register(
@@ -457,7 +459,7 @@ def q_token_f1(spark, sf_dir):
     with_base(ARGMAX, "SELECT doc_id, '[' || array_to_string(list(tok_idx ORDER BY tok_idx), ', ') || ']' AS toxic_idx FROM am WHERE pred = 1 GROUP BY doc_id"),
 )
 def q_toxic_token_index(spark, sf_dir):
-    r = D.toxic_token_index(_scores(_tokens(spark, sf_dir, "window")))
+    r = D.toxic_token_index(_scores(_tokens(spark, sf_dir)))
     return r.select("doc_id", S.format_offsets(F.col("toxic_idx")).alias("toxic_idx"))
 
 
