@@ -176,7 +176,7 @@ def _highest_bit(v: Column) -> Column:
 
 
 def tune_score_threshold(cands: DataFrame, gold: DataFrame, docs: DataFrame, n_levels: int = 100, score_is_probability: bool = False,
-                         keys=("doc_id",), block: int = 1 << 16) -> DataFrame:
+                         keys=("doc_id",), block: int = 1 << 16, evaluator=None) -> DataFrame:
     """Mean document F1 at every threshold ``t_k = k/(n_levels-1)`` in one sweep (no rescans).
 
     A candidate (with a start) counts at level ``k`` when sigmoid(score) > t_k, i.e. at all
@@ -189,6 +189,8 @@ def tune_score_threshold(cands: DataFrame, gold: DataFrame, docs: DataFrame, n_l
     points leave the document. Documents without a passing candidate score by the
     empty-prediction rule.
     ``(k, threshold, mean_f1, is_best)``; best = highest mean, lowest threshold on ties.
+    ``evaluator(n_pred, n_gold, n_inter) -> Column`` is the per-document metric plug-in (default
+    F1); a document with neither prediction nor gold counts 1.
     """
     keys = list(keys)
     if n_levels > 126:
@@ -230,9 +232,14 @@ def tune_score_threshold(cands: DataFrame, gold: DataFrame, docs: DataFrame, n_l
         *keys, "level", F.sum("plen").over(sums).alias("n_pred"), F.sum("ilen").over(sums).alias("n_inter"), F.sum("ilen").over(doc).alias("n_gold"),
         F.coalesce(F.lead("level").over(down), F.lit(-1)).alias("below"), F.row_number().over(down).alias("nth"),
     )
-    f1 = F.when(F.col("n_gold") == 0, 0.0).otherwise(2.0 * F.col("n_inter") / (F.col("n_pred") + F.col("n_gold")))
-    # above its highest level a document predicts nothing: F1 is 1 without gold, else 0
-    empty = F.when((F.col("nth") == 1) & (F.col("n_gold") == 0), 1.0).otherwise(0.0)
+    n_gold, zero = F.col("n_gold"), F.lit(0)
+    if evaluator is None:
+        f1 = F.when(n_gold == 0, 0.0).otherwise(2.0 * F.col("n_inter") / (F.col("n_pred") + n_gold))
+        nothing = F.when(n_gold == 0, 1.0).otherwise(0.0)
+    else:
+        f1, nothing = evaluator(F.col("n_pred"), n_gold, F.col("n_inter")), evaluator(zero, n_gold, zero)
+    # above its highest level a document predicts nothing
+    empty = F.when(F.col("nth") == 1, nothing).otherwise(0.0)
     points = change_points(F.col("level"), F.col("below"), f1) + change_points(F.lit(n_levels - 1), F.col("level"), empty)
     per_k = mean_by_level(steps, points, F.col("nth") == 1, n_levels, docs.agg(F.count("*").alias("n_docs")))
     return _mark_best(per_k.withColumn("threshold", F.col("k") / F.lit(div)))

@@ -20,6 +20,15 @@ def decode_tokens(tokens: DataFrame, pred: str = "pred", keys=("doc_id",)) -> Da
     return normalize_spans(tokens.where(F.col(pred) == 1).select(*keys, "start", "end"), keys)
 
 
+def decode_masked(tokens: DataFrame, mask: Column, pred: str = "pred", keys=("doc_id",)) -> DataFrame:
+    """``decode_tokens`` up to each document's first masked token (``mask`` true), which ends its
+    sequence. One small aggregate finds the first masked index; documents without one are read whole."""
+    keys = list(keys)
+    stop = tokens.where(mask).groupBy(*keys).agg(F.min("tok_idx").alias("_stop"))
+    hit = tokens.where((F.col(pred) == 1) & ~mask).join(stop, keys, "left")
+    return decode_tokens(hit.where(F.col("_stop").isNull() | (F.col("tok_idx") < F.col("_stop"))), pred, keys)
+
+
 def decode_gap_fill(tokens: DataFrame, pred: str = "pred", keys=("doc_id",)) -> DataFrame:
     """A toxic token adds its range; when the previous token is toxic too, the gap between
     them (whitespace, punctuation) is added as well."""

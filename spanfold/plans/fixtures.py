@@ -61,8 +61,8 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans_from_tokens(tokens(spark, sf_dir))
 
 
-def token_scores_from_tokens(t: DataFrame) -> DataFrame:
-    """``(doc_id, tok_idx, start, end, logit0, logit1, start_logit, end_logit)``."""
+def token_scores_from_tokens(t: DataFrame, *carry: str) -> DataFrame:
+    """``(doc_id, tok_idx, start, end, logit0, logit1, start_logit, end_logit[, carry...])``."""
     sign = F.when(F.col("hit"), 1).otherwise(-1)
     d, i = F.col("doc_id"), F.col("tok_idx")
     return t.select(
@@ -74,6 +74,7 @@ def token_scores_from_tokens(t: DataFrame) -> DataFrame:
         (sign * 2 + ((d * 31 + i * 17) % 41 - 20).cast("double") / 10).alias("logit1"),
         (sign * 3 + ((d * 13 + i * 29) % 37 - 18).cast("double") / 10).alias("start_logit"),
         (sign * 3 + ((d * 7 + i * 23) % 31 - 15).cast("double") / 10).alias("end_logit"),
+        *carry,
     )
 
 

@@ -165,6 +165,40 @@ def q_span_report(spark, sf_dir):
     return A.span_report(_importance(spark, sf_dir)).select("doc_id", "tok_idx", "word", "color")
 
 
+@register(
+    "span_report_html",
+    with_base(
+        VEC_CTES
+        + """,
+iw AS (SELECT v.doc_id, v.tok_idx, t.tok, CASE WHEN sum(v.norm) OVER (PARTITION BY v.doc_id) > 0 THEN v.norm / sum(v.norm) OVER (PARTITION BY v.doc_id) ELSE 0 END AS w
+       FROM tv v JOIN tokens t USING (doc_id, tok_idx)),
+cw AS (SELECT *, greatest(-1.0, least(1.0, w)) AS a FROM iw),
+sw AS (SELECT doc_id, tok_idx, CASE WHEN starts_with(tok, '<') AND ends_with(tok, '>') THEN '#' || trim(tok, '<>') ELSE tok END AS word,
+       'hsl(220, 100%, ' || CAST(CASE WHEN a > 0 THEN 100 - CAST(trunc(a * 90) AS INTEGER) ELSE 100 - CAST(trunc(a * -125) AS INTEGER) END AS VARCHAR) || '%)' AS color FROM cw),
+ht AS (SELECT doc_id, string_agg('<mark style="background-color: ' || color || '"> ' || replace(replace(replace(word, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</mark>', '' ORDER BY tok_idx) AS marks FROM sw GROUP BY doc_id),
+gi AS (""" + islands("gold_chars", "doc_id") + """),
+gt AS (SELECT g.doc_id, '[' || string_agg(substring(d.text, g."start" + 1, g."end" - g."start"), ', ' ORDER BY g."start") || ']' AS texts FROM gi g JOIN docs d USING (doc_id) GROUP BY g.doc_id),
+pi AS (""" + islands("(SELECT doc_id, off FROM chars WHERE source = 'B')", "doc_id") + """),
+pt AS (SELECT p.doc_id, '[' || string_agg(substring(d.text, p."start" + 1, p."end" - p."start"), ', ' ORDER BY p."start") || ']' AS texts FROM pi p JOIN docs d USING (doc_id) GROUP BY p.doc_id)""",
+        """SELECT ht.doc_id, '<div><b>Text</b>: ' || marks || '</div>' AS html, coalesce(gt.texts, '[]') AS gold_texts, coalesce(pt.texts, '[]') AS predicted_texts
+FROM ht LEFT JOIN gt USING (doc_id) LEFT JOIN pt USING (doc_id)""",
+    ),
+)
+def q_span_report_html(spark, sf_dir):
+    """One report row per document: its coloured HTML line, the gold and model B's span texts."""
+    html = A.report_html(A.span_report(_importance(spark, sf_dir)))
+    d = X.docs(spark, sf_dir)
+
+    def texts(source, name):
+        r = S.normalize_spans(X.spans(spark, sf_dir).where(F.col("source") == source).select("doc_id", "start", "end"))
+        r = r.join(d, "doc_id").select("doc_id", "start", F.expr("substring(text, start + 1, `end` - start)").alias("t"))
+        g = r.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "t"))).alias("r"))
+        return g.select("doc_id", F.concat(F.lit("["), F.array_join(F.transform("r", lambda x: x["t"]), ", "), F.lit("]")).alias(name))
+
+    out = html.join(texts("gold", "gold_texts"), "doc_id", "left").join(texts("B", "predicted_texts"), "doc_id", "left")
+    return out.select("doc_id", "html", *[F.coalesce(c, F.lit("[]")).alias(c) for c in ("gold_texts", "predicted_texts")])
+
+
 @register(
     "mean_importance",
     with_base(

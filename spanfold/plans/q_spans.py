@@ -210,6 +210,16 @@ def q_combine_files(spark, sf_dir):
     return E.combine_files(m, presence, how="intersect")
 
 
+@register(
+    "combine_files_union",
+    with_base("u AS (SELECT DISTINCT doc_id, off FROM chars WHERE source IN ('A', 'B', 'C'))", islands("u", "doc_id")),
+)
+def q_combine_files_union(spark, sf_dir):
+    """Union fold: an id's ranges from every file that holds it."""
+    m = _models(spark, sf_dir)
+    return E.combine_files(m, m.select("doc_id", "source").distinct(), how="union")
+
+
 @register(
     "span_except",
     with_base(

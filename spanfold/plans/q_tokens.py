@@ -402,6 +402,24 @@ def q_decode_tokens(spark, sf_dir):
     return D.decode_tokens(_scores(_tokens(spark, sf_dir)))
 
 
+@register(
+    "decode_masked",
+    with_base(
+        ARGMAX
+        + """,
+st AS (SELECT doc_id, min(tok_idx) AS stop FROM tokens WHERE core = '' GROUP BY doc_id),
+dm AS (SELECT DISTINCT a.doc_id, unnest(range(a."start", a."end")) AS off FROM am a LEFT JOIN st USING (doc_id)
+       WHERE a.pred = 1 AND (st.stop IS NULL OR a.tok_idx < st.stop))""",
+        islands("dm", "doc_id"),
+    ),
+)
+def q_decode_masked(spark, sf_dir):
+    """Decoding that stops at the first masked position; punctuation-only tokens play the padding."""
+    t = _tokens(spark, sf_dir)
+    s = X.token_scores_from_tokens(t, "core").withColumn("pred", D.token_argmax(F.col("logit0"), F.col("logit1")))
+    return D.decode_masked(s, F.col("core") == "")
+
+
 @register(
     "decode_gap_fill",
     with_base(
@@ -516,7 +534,7 @@ def q_smoothed_ce(spark, sf_dir):
     from spanfold.operators.modeling import smoothed_ce
 
     t = _tokens(spark, sf_dir)
-    lab = T.token_label_overlap(_scores(t).join(t.select("doc_id", "tok_idx", "core"), ["doc_id", "tok_idx"]), _gold(X.spans_from_tokens(t)), 0.0)
+    lab = T.token_label_overlap(X.token_scores_from_tokens(t, "core"), _gold(X.spans_from_tokens(t)), 0.0)
     lab = lab.withColumn("mask", F.when(F.col("core") != "", 1).otherwise(0))
     return smoothed_ce(lab, ["logit0", "logit1"], "label", 0.1, "mask")
 
