@@ -112,6 +112,18 @@ def score_documents(model, docs: DataFrame, keys=("doc_id",)) -> DataFrame:
     return out.select(*keys, vector_to_array("probability")[1].alias("score"), F.col("prediction").cast("int").alias("prediction"))
 
 
+def word_contributions(model, words: DataFrame, word: str = "word") -> DataFrame:
+    """``(word, contrib)``: what one occurrence of a word adds to a fitted ``doc_classifier``'s margin.
+
+    The classifier is linear in term counts, so a one-word text's margin less the intercept is that
+    word's share, and a document's margin is the intercept plus the sum over its words."""
+    from pyspark.ml.functions import vector_to_array
+
+    text = model.stages[0].getInputCol()
+    scored = model.transform(words.select(word).distinct().withColumn(text, F.col(word)))
+    return scored.select(word, (vector_to_array("rawPrediction")[1] - F.lit(model.stages[-1].intercept)).alias("contrib"))
+
+
 def token_features(tokens: DataFrame, keys=("doc_id",)) -> DataFrame:
     """Context features per token: its lower-cased core word and its neighbours' (lag/lead)."""
     from pyspark.sql import Window

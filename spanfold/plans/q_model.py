@@ -413,6 +413,20 @@ def q_doc_classifier(spark, sf_dir):
     return ML.score_documents(model, d)
 
 
+@register("erasure_classifier", None)
+def q_erasure_classifier(spark, sf_dir):
+    """Word erasure on the fitted document classifier: how much its probability falls when a word is
+    masked. The words' shares of the margin come from the model, so no text is scored again."""
+    d = X.docs(spark, sf_dir)
+    model = ML.doc_classifier(d.join(tables.labels(spark, sf_dir), "doc_id"), "toxic")
+    t = X.tokens(spark, sf_dir).select("doc_id", "tok_idx", "tok", F.lower("tok").alias("word"))
+    shares = ML.word_contributions(model, t.select("word"))
+    mask = ML.word_contributions(model, spark.range(1).select(F.lit(MASK_TOKEN).alias("word"))).first()["contrib"]
+    words = t.join(shares, "word", "left")
+    scored = A.erasure_scores(words, F.col("contrib"), sigmoid, mask_contrib=mask, base=model.stages[-1].intercept)
+    return scored.select("doc_id", "tok_idx", "tok", "score_dec", "flagged")
+
+
 def _token_frame(spark, sf_dir):
     t = X.tokens(spark, sf_dir, "window")
     s = X.spans_from_tokens(t)

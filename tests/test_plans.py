@@ -7,7 +7,7 @@ from spanfold.plans import catalog
 
 from conftest import SF001
 
-ML_OR_PANDAS = {"doc_classifier", "token_tagger", "span_scorer", "surrogate_attribution"}
+ML_OR_PANDAS = {"doc_classifier", "token_tagger", "span_scorer", "surrogate_attribution", "erasure_classifier"}
 
 
 @pytest.fixture(scope="module")
