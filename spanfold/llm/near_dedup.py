@@ -11,14 +11,13 @@ How the work stays linear and spread:
 * documents with equal sets form a class; only one representative per class goes on;
 * a pair key can only repeat where both of its halves repeat, so halves (24 rows a document) are
   counted first and only repeated halves are combined into pair keys;
-* of buckets with the same members only one goes on;
-* inside a table bucket not all pairs are made. Round 1 compares every member with the bucket's
-  smallest one. Buckets whose members then belong to one component are finished; in the others the
-  next ``LEADERS`` members are compared with every member of another component, round after round,
-  until every member of an unfinished bucket has been a leader. So no link between two components
-  is missed, and a bucket of near copies costs one comparison a member;
-* only documents that share a bucket have their full sets computed, once, and only pairs whose
-  sizes and minhashes allow the threshold fetch them;
+* a bucket's members go to the group of its smallest member, its lead, once per lead: two documents
+  that share a bucket share its lead's group, and the near-identical buckets that a group of copies
+  has in every table fall together. A group is compared inside a task, on full sets, by counting
+  common shingles; only one link per member leaves the task, never the pairs;
+* a group of more than ``BLOCK_DOCS`` documents or ``BLOCK_SHINGLES`` shingles is dealt to blocks by a
+  hash of the id, and every pair of blocks is compared by a task of its own;
+* only documents that share a bucket have their full sets computed, once;
 * components come from repeated smallest-neighbour steps with pointer jumping on written tables.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` after lowering A-Z; with fewer than five words the
@@ -33,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanfold.llm.common import written
@@ -41,11 +40,9 @@ from spanfold.llm.words import hashed_words, scramble, windows
 
 SHINGLE = 5
 HALVES, PER_HALF = 12, 2
-LEADERS = 64
-#: A pair at 0.75 agrees on 36 of 48 minhashes on average (deviation 3); pairs with fewer than this many are not fetched.
-AGREE = 22
+BLOCK_DOCS, BLOCK_SHINGLES = 1500, 300_000
 _HASHES = 2 * HALVES * PER_HALF
-_SKETCH = "id long, n_shingles long, set_hash binary, halves array<long>, sig array<long>"
+_SKETCH = "id long, n_shingles long, set_hash binary, halves array<long>"
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -70,37 +67,35 @@ def minhashes(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One narrow row a document: set size, hash of the set, 2 * HALVES half keys, one byte of each minhash."""
+    """One narrow row a document: set size, hash of the set, 2 * HALVES half keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            ns, sets, halves, sigs = [], [], [], []
+            ns, sets, halves = [], [], []
             for s in shingle_sets(batch.column(1)):
                 ns.append(len(s))
                 sets.append(xxhash.xxh3_128_digest(s.tobytes()))
                 m = minhashes(s) if len(s) else None
                 if m is None:
                     halves.append([])
-                    sigs.append([])
                 else:
                     with np.errstate(over="ignore"):
                         key = np.arange(2 * HALVES, dtype=np.uint64)
                         for part in m.reshape(2 * HALVES, PER_HALF).T:
                             key = scramble(key * np.uint64(0x9E3779B97F4A7C15) + part)
                     halves.append(key.view(np.int64))
-                    sigs.append((m >> np.uint64(56)).astype(np.uint8).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ns, pa.int64()), pa.array(sets, pa.binary()), pa.array(halves, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64()))],
-                names=["id", "n_shingles", "set_hash", "halves", "sig"],
+                [batch.column(0), pa.array(ns, pa.int64()), pa.array(sets, pa.binary()), pa.array(halves, pa.list_(pa.int64()))],
+                names=["id", "n_shingles", "set_hash", "halves"],
             )
 
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, _SKETCH)
 
 
-def table_rows(reps: DataFrame) -> DataFrame:
-    """``key, id`` of every table bucket with at least two members (``reps``: id, halves)."""
+def lead_groups(reps: DataFrame) -> DataFrame:
+    """``lead, id``: each document with the smallest document of every bucket that it shares (``reps``: id, halves)."""
     halves = reps.select("id", F.posexplode("halves").alias("half", "h"))
     again = halves.groupBy("half", "h").agg(F.count("*").alias("n")).where("n > 1").select("half", "h")
     live = halves.join(again, ["half", "h"], "left_semi")
@@ -109,22 +104,8 @@ def table_rows(reps: DataFrame) -> DataFrame:
     # a half key's hash includes its number, so the pair of hashes names the table too
     keys = both.select("id", F.explode("left").alias("l"), "right").select("id", "l", F.explode("right").alias("r")).select(F.xxhash64("l", "r").alias("key"), "id")
     keys = written(keys, "near_keys")
-    members = [F.count("*").alias("n"), F.min("id").alias("lead"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")]
-    buckets = keys.groupBy("key").agg(*members).where("n > 1")
-    distinct = buckets.groupBy("n", "lead", "x", "y").agg(F.min("key").alias("key")).select("key", "lead")
-    return written(keys.join(distinct, "key"), "near_buckets")
-
-
-def _agreeing(a: Column, b: Column) -> Column:
-    """How many bytes of two signatures agree: the zero bytes of their difference."""
-    total = F.lit(0)
-    for k in range(_HASHES // 8):
-        d = a[k].bitwiseXOR(b[k])
-        d = d.bitwiseOR(F.shiftright(d, 4).bitwiseAND(F.lit(0x0F0F0F0F0F0F0F0F)))
-        d = d.bitwiseOR(F.shiftright(d, 2).bitwiseAND(F.lit(0x3F3F3F3F3F3F3F3F)))
-        d = d.bitwiseOR(F.shiftright(d, 1).bitwiseAND(F.lit(0x7F7F7F7F7F7F7F7F))).bitwiseAND(F.lit(0x0101010101010101))
-        total = total + F.lit(8) - F.bit_count(d)
-    return total
+    leads = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where("n > 1").select("key", "lead")
+    return written(keys.join(leads, "key").select("lead", "id").distinct(), "near_groups")
 
 
 def full_sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -134,34 +115,70 @@ def full_sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Da
         for batch in batches:
             for k in range(0, batch.num_rows, 64):  # a few at a time: a long text's set is large
                 part = batch.slice(k, 64)
-                found = pa.array([s.tobytes() for s in shingle_sets(part.column(1))], pa.binary())
+                found = pa.array([s.view(np.int64) for s in shingle_sets(part.column(1))], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), found], names=["id", "shingles"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(ids.select("id").hint("shuffle_hash"), "id", "left_semi")
-    return texts.mapInArrow(sets, "id long, shingles binary").dropDuplicates(["id"])
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.join(ids.select("id").hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"])
+    return texts.mapInArrow(sets, "id long, shingles array<long>")
+
+
+def common_shingles(sets: list[np.ndarray]) -> np.ndarray:
+    """Size of the intersection of every two of the sets (a square matrix)."""
+    n = len(sets)
+    both = np.zeros((n, n), np.float32)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    _, shingle = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(shingle, kind="stable")
+    owner, start = owner[order], np.concatenate([[0], np.cumsum(np.bincount(shingle))])
+    holders = np.diff(start)
+    # shingles that few documents hold: pair their holders at each distance
+    few = np.flatnonzero((holders > 1) & (holders <= 8))
+    for gap in range(1, 8):
+        first = np.concatenate([start[few[holders[few] > gap + k]] + k for k in range(8 - gap)])
+        both += np.bincount(owner[first] * n + owner[first + gap], minlength=n * n).reshape(n, n).astype(np.float32)
+    both += both.T
+    # the others: products of blocks of their incidence matrix
+    many = np.flatnonzero(holders > 8)
+    for a in range(0, len(many), 2048):
+        part = many[a : a + 2048]
+        held = np.zeros((n, len(part)), np.float32)
+        at = np.repeat(np.arange(len(part)), holders[part])
+        held[owner[np.concatenate([np.arange(start[k], start[k + 1]) for k in part])], at] = 1
+        both += held @ held.T
+    return both
+
+
+def linked(ids: np.ndarray, sets: list[np.ndarray], threshold: int) -> np.ndarray:
+    """Per document the smallest id that it reaches through links inside the group."""
+    size = np.array([len(s) for s in sets])
+    exact = np.float32 if size.max() < 50_000 else np.float64  # every number below stays exact
+    both, size = common_shingles(sets).astype(exact), size.astype(exact)
+    near = 100 * both >= threshold * (size[:, None] + size[None, :] - both)
+    np.fill_diagonal(near, True)
+    label = np.argsort(np.argsort(ids))  # ranks, so that the smallest id has the smallest label
+    while True:
+        new = np.where(near, label[None, :], len(ids)).min(axis=1)
+        if (new == label).all():
+            return np.sort(ids)[label]
+        label = new
 
 
-def confirmed(pairs: DataFrame, reps: DataFrame, full: DataFrame, threshold: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets overlap enough: 100 * both >= threshold * either."""
-    side = lambda s: reps.select(F.col("id").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
-    likely = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    likely = likely.where((100 * small >= threshold * large) & (_agreeing(F.col("sig_a"), F.col("sig_b")) >= AGREE)).select("a", "b")
+def group_links(groups: DataFrame, full: DataFrame, threshold: int) -> DataFrame:
+    """``a, b``: documents that links connect inside a group, one row a document at most per pair of blocks."""
+    sized = groups.join(full.select("id", F.size("shingles").alias("n")), "id")
+    blocks = sized.groupBy("lead").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = groups.join(blocks, "lead").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("lead", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "id")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                p, q = (p, q) if len(p) <= len(q) else (q, p)
-                at = np.searchsorted(q, p)
-                both = int((q[np.minimum(at, len(q) - 1)] == p).sum())
-                keep.append(100 * both >= threshold * (len(p) + len(q) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+    def compare(t: pa.Table) -> pa.Table:
+        ids, sets = t.column("id").to_numpy(), [np.asarray(v.values).view(np.uint64) for v in t.column("shingles")]
+        root = linked(ids, sets, threshold) if len(ids) > 1 else ids
+        moved = root != ids
+        return pa.table({"a": pa.array(root[moved], pa.int64()), "b": pa.array(ids[moved], pa.int64())})
 
-    lookup = lambda s: full.select(F.col("id").alias(s), F.col("shingles").alias(f"{s}_set"))
-    both = likely.join(lookup("a"), "a").join(lookup("b"), "b").select("a", "b", "a_set", "b_set")
-    return both.mapInArrow(compare, "a long, b long")
+    return dealt.join(full, "id").groupBy("lead", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -181,47 +198,17 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
-    """The components (``id, comp``) after further ``links``: only components that a link touches move."""
-    if links.isEmpty():
-        return comp
-    ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(comp, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
-    ends = written(ends, "near_ends")
-    name = lambda s: ends.select(F.col("id").alias(s), F.col("comp").alias(f"c{s}"))
-    moved = components(links.join(name("a"), "a").join(name("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    every = comp.unionByName(ends).distinct()
-    every = every.join(moved.select(F.col("id").alias("comp"), F.col("comp").alias("to")), "comp", "left")
-    return written(every.select("id", F.coalesce("to", "comp").alias("comp")), "near_components")
-
-
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 75) -> DataFrame:
     """``id, n_shingles, component_id, kept`` for every row of ``docs``."""
     sketch = written(sketches(docs, id_col, text_col), "near_sketch")
     members = sketch.where("n_shingles > 0 and id is not null")
     classes = members.groupBy("set_hash", "n_shingles").agg(F.min("id").alias("rep"))
-    classed = members.join(classes, ["set_hash", "n_shingles"]).select("id", "rep", "n_shingles", "halves", "sig")
+    classed = members.join(classes, ["set_hash", "n_shingles"]).select("id", "rep", "halves")
     classed = written(classed, "near_classes")
-    reps = written(classed.where("id = rep").drop("rep").dropDuplicates(["id"]), "near_reps")
-    buckets = table_rows(reps.select("id", "halves"))
-    full = written(full_sets(buckets.select("id").distinct(), docs, id_col, text_col), "near_sets")
-
-    confirm = lambda pairs: written(confirmed(pairs, reps, full, threshold), "near_links")
-    comp = components(confirm(buckets.where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))))
-    open_rows, done = buckets.select("key", "id"), buckets.select("key", F.col("lead").alias("id")).distinct()
-    while True:
-        named = open_rows.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-        mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        named = written(named.join(mixed, "key", "left_semi"), "near_mixed")
-        nth = F.row_number().over(Window.partitionBy("key").orderBy("id"))
-        waiting = named.join(done, ["key", "id"], "left_anti")
-        leaders = written(waiting.withColumn("n", nth).where(F.col("n") <= LEADERS).select("key", "id", "comp"), "near_leaders")
-        if leaders.isEmpty():
-            break
-        lead = leaders.select("key", F.col("id").alias("lead"), F.col("comp").alias("lead_comp"))
-        pairs = named.join(lead, "key").where("comp != lead_comp").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
-        comp = _joined(comp, confirm(pairs))
-        done = written(done.unionByName(leaders.select("key", "id")), "near_done")
-        open_rows = named.select("key", "id")
+    reps = classed.where("id = rep").select("id", "halves").dropDuplicates(["id"])
+    groups = lead_groups(reps)
+    full = written(full_sets(groups.select("id").distinct(), docs, id_col, text_col), "near_sets")
+    comp = components(written(group_links(groups, full, threshold), "near_links"))
 
     found = classed.select("id", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
     found = found.select(F.col("id").alias("_fid"), F.coalesce("comp", "rep").alias("_comp")).groupBy("_fid").agg(F.min("_comp").alias("_comp"))

@@ -66,8 +66,9 @@ def variants(seed=9):
     return list(enumerate(data))
 
 
-def test_near_dedup_variants(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "LEADERS", 3)
+@pytest.mark.parametrize("blocks", [3, 1500])
+def test_near_dedup_variants(spark, monkeypatch, blocks):
+    monkeypatch.setattr(near_dedup, "BLOCK_DOCS", blocks)
     data = variants()
     df = spark.createDataFrame(data, "doc_id long, text string")
     for name in ("id", "a", "b", "comp", "rep", "key", "n_shingles", "halves"):
@@ -98,13 +99,15 @@ def test_pair_meets_in_a_table():
     assert met >= 399
 
 
-def test_agreeing_counts_equal_bytes(spark):
+def test_common_shingles_matches_sets():
     rng = np.random.default_rng(1)
-    a = rng.integers(0, 256, (60, 48), dtype=np.uint8)
-    b = np.where(rng.random((60, 48)) < 0.5, a, rng.choice(np.array([0, 1, 128, 255], np.uint8), (60, 48)))
-    data = [(k, x.view(np.int64).tolist(), y.view(np.int64).tolist()) for k, (x, y) in enumerate(zip(a, b, strict=True))]
-    got = spark.createDataFrame(data, "k long, a array<long>, b array<long>").select("k", near_dedup._agreeing(F.col("a"), F.col("b")).alias("n")).collect()
-    assert {r["k"]: r["n"] for r in got} == {k: int((a[k] == b[k]).sum()) for k in range(60)}
+    pool = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool[: rng.choice([20, 400])], rng.integers(1, 120))) for _ in range(60)]
+    got = near_dedup.common_shingles(sets)
+    for a in range(60):
+        for b in range(60):
+            if a != b:
+                assert got[a, b] == len(set(sets[a].tolist()) & set(sets[b].tolist()))
 
 
 # ---------------------------------------------------------------------------- packing
