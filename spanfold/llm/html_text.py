@@ -41,8 +41,8 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 ROUNDS, RATE, SHRINK = 6, 0.3, 1e-4
 
 
-def _own(tag: str, attrs: str) -> tuple[frozenset[str], bool]:
-    """(features of an element, is it hidden?)."""
+def _own(tag: str, attrs: str) -> tuple[frozenset[str], bool, frozenset[str]]:
+    """(features of an element, is it hidden?, its names as features of the blocks it is nearest to)."""
     found, hidden = {"in:" + tag}, tag in HIDDEN
     for name, *values in _ATTR.findall(attrs) if attrs else ():
         name, value = name.lower(), "".join(values)
@@ -50,14 +50,14 @@ def _own(tag: str, attrs: str) -> tuple[frozenset[str], bool]:
             found.update("name:" + w for w in _NAME.findall(_CAMEL.sub(" ", value).lower()))
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower()):
             hidden = True
-    return frozenset(found), hidden
+    return frozenset(found), hidden, frozenset("near:" + f[5:] for f in found if f.startswith("name:"))
 
 
 def blocks(page: str | None) -> list[tuple[str, list[str]]]:
     """(text, features) of each leaf block of a page, in order."""
     page = page or ""
-    # open elements: (tag, features with those of its ancestors, hidden)
-    stack: list[tuple[str, frozenset[str], bool]] = [("", frozenset(), False)]
+    # open elements: (tag, features with those of its ancestors, hidden, names of the nearest named element)
+    stack: list[tuple[str, frozenset[str], bool, frozenset[str]]] = [("", frozenset(), False, frozenset())]
     out: list[tuple[str, list[str]]] = []
     parts: list[str] = []
     linked = linked_chars = 0
@@ -69,7 +69,7 @@ def blocks(page: str | None) -> list[tuple[str, list[str]]]:
             raw = "".join(parts)
             text = " ".join((_html.unescape(raw) if "&" in raw else raw).split())
             if text and not stack[-1][2]:
-                out.append((text, [*stack[-1][1], "tag:" + stack[-1][0], *_text_features(text, min(1.0, linked_chars / max(1, len(raw))))]))
+                out.append((text, [*stack[-1][1], *stack[-1][3], "tag:" + stack[-1][0], *_text_features(text, min(1.0, linked_chars / max(1, len(raw))))]))
             parts.clear()
         linked_chars = 0
 
@@ -120,10 +120,10 @@ def blocks(page: str | None) -> list[tuple[str, list[str]]]:
                 stack.pop()
             if (key := (tag, m[3])) not in memo:
                 memo[key] = _own(tag, m[3])
-            own, hidden = memo[key]
+            own, hidden, near = memo[key]
             up = stack[-1]
             if not m[3].endswith("/"):
-                stack.append((tag, up[1] if own <= up[1] else up[1] | own, up[2] or hidden))
+                stack.append((tag, up[1] if own <= up[1] else up[1] | own, up[2] or hidden, near or up[3]))
             if tag in RAW:
                 end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
                 if not up[2] and not hidden:
@@ -227,7 +227,7 @@ def training_sequences(pages: list[list[tuple[str, str]]]) -> list[tuple[list[li
             signs = re.findall("([+-])\x01", text)
             plain = re.sub("[+-]\x01", "", text).strip()
             if signs and plain:
-                keep = [f for f in features if f.startswith(("in:", "name:", "tag:", "linked:"))]
+                keep = [f for f in features if f.startswith(("in:", "name:", "near:", "tag:", "linked:"))]
                 found.append(keep + [f for f in _text_features(plain, 0.0) if not f.startswith("linked:")])
                 labels.append(signs[0] == "+")
         out.append((found, labels))

@@ -71,7 +71,7 @@ def _other(rng: random.Random) -> str:
     return f"<{tag} {attr}>{body}</{tag}>"
 
 
-def pages(n: int = 600, seed: int = 11) -> list[list[tuple[str, str]]]:
+def pages(n: int = 800, seed: int = 11) -> list[list[tuple[str, str]]]:
     """``n`` pages as lists of (HTML, label): label "+" or "-", or "" for mark-up without text."""
     rng = random.Random(seed)
     others = lambda low, high: [(_fill(rng, _other(rng)), "-") for _ in range(rng.randint(low, high))]
@@ -80,7 +80,7 @@ def pages(n: int = 600, seed: int = 11) -> list[list[tuple[str, str]]]:
         inner = [(_fill(rng, "<h1>$T</h1>"), "+")] if rng.random() < 0.7 else []
         for _ in range(rng.randint(1, 7)):
             inner += [(_fill(rng, rng.choice(MAIN)), "+") for _ in range(rng.randint(1, 2))]
-            if rng.random() < 0.2:
+            if rng.random() < 0.25:
                 inner += others(1, 1)
         if rng.random() < 0.08:  # text alone
             made.append([p for p in inner if p[1] == "+"] if rng.random() < 0.5 else [(_fill(rng, rng.choice(["$P", "$W", "$S", "$S<br>$S", "<p>$S", "<p>$W"])), "+")])
