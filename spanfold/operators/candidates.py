@@ -257,18 +257,19 @@ def mean_by_level(steps: DataFrame, points: list[Column], first_of_doc: Column,
 
     ``n_docs``: one row with the number of all documents; those without any step count as 1. Without
     it the mean is over the documents that have steps. ``first_of_doc`` marks one step a document."""
-    doc = F.struct(F.lit(-1).alias("k"), F.lit(1.0).alias("v"))
+    seen, all_docs = -1, -2  # the rows that count documents with steps and all documents
+    doc = F.struct(F.lit(seen).alias("k"), F.lit(1.0).alias("v"))
     every = F.filter(F.array(*points, F.when(first_of_doc, doc)), lambda p: p.isNotNull())
-    sums = steps.select(F.explode(every).alias("p")).groupBy("p.k").agg(F.sum("p.v").alias("v"))
-    seen = sums.agg(F.coalesce(F.max(F.when(F.col("k") == -1, F.col("v"))), F.lit(0.0)).alias("seen"))
-    levels = steps.sparkSession.range(n_levels).select(F.col("id").cast("int").alias("k")).join(F.broadcast(sums), "k", "left")
-    levels = levels.withColumn("total", F.sum(F.coalesce("v", F.lit(0.0))).over(Window.orderBy(F.col("k").desc())))
-    if n_docs is None:
-        out = levels.crossJoin(F.broadcast(seen)).withColumn("mean_f1", F.col("total") / F.greatest(F.col("seen"), F.lit(1.0)))
-    else:
-        out = levels.crossJoin(F.broadcast(seen)).crossJoin(F.broadcast(n_docs))
-        out = out.withColumn("mean_f1", (F.col("total") + F.col("n_docs") - F.col("seen")) / F.greatest(F.col("n_docs"), F.lit(1)))
-    return out.select(F.col("k").cast("long").alias("k"), "mean_f1")
+    rows = steps.select(F.explode(every).alias("p")).select("p.k", "p.v")
+    rows = rows.unionByName(steps.sparkSession.range(n_levels).select(F.col("id").cast("int").alias("k"), F.lit(0.0).alias("v")))
+    if n_docs is not None:
+        rows = rows.unionByName(n_docs.select(F.lit(all_docs).alias("k"), F.col("n_docs").cast("double").alias("v")))
+    sums = rows.groupBy("k").agg(F.sum("v").alias("v"))  # at most n_levels + 2 rows from here on
+    whole, down = Window.partitionBy(), Window.orderBy(F.col("k").desc())
+    of = lambda k: F.coalesce(F.max(F.when(F.col("k") == k, F.col("v"))).over(whole), F.lit(0.0))
+    sums = sums.select("k", F.sum("v").over(down).alias("total"), of(seen).alias("seen"), of(all_docs).alias("docs")).where(F.col("k") >= 0)
+    n = F.col("seen") if n_docs is None else F.col("docs")
+    return sums.select(F.col("k").cast("long").alias("k"), ((F.col("total") + n - F.col("seen")) / F.greatest(n, F.lit(1.0))).alias("mean_f1"))
 
 
 def _mark_best(per_k: DataFrame, prefer: Column | None = None) -> DataFrame:

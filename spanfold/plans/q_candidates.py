@@ -192,9 +192,10 @@ tuned AS (SELECT k, k / 99.0 AS threshold, mean_f1,
 
 
 def _tuned(spark, sf_dir):
-    t, s = _ctx(spark, sf_dir)
+    _, s = _ctx(spark, sf_dir)
     c = K.nbest_spans(s, "token_spans", L, STRIDE, NBEST, MAXLEN_ANS)
-    gold = X.spans_from_tokens(t).where(F.col("source") == "gold").select("doc_id", "start", "end")  # merged by the sweep
+    # gold needs no window over tokens, so its branch stays row-local; the sweep merges it
+    gold = X.spans(spark, sf_dir).where(F.col("source") == "gold").select("doc_id", "start", "end")
     return K.tune_score_threshold(c, gold, X.docs(spark, sf_dir), 100)
 
 
@@ -230,8 +231,8 @@ perk AS (SELECT k, avg(CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp +
     ), bigint=('is_best',))
 def q_tune_token_threshold(spark, sf_dir):
     """Token-score threshold sweep 0.00..0.99: decisions sigmoid(logit1) > t, mean per-document token F1."""
-    t, s = _ctx(spark, sf_dir)
-    lab = T.token_label_overlap(s, _gold(t), 0.0)
+    t = X.tokens(spark, sf_dir)
+    lab = T.token_label_overlap(X.token_scores_from_tokens(t), _gold(t), 0.0)
     return K.tune_token_threshold(lab, sigmoid(F.col("logit1")), "label", 100, 100.0).select("k", "threshold", "mean_f1", "is_best")
 
 
@@ -257,7 +258,7 @@ FROM bnd b JOIN wb w USING (doc_id)""",
 )
 def q_window_answer_positions(spark, sf_dir):
     """One feature per (gold run, window): answer token positions in the window, CLS (0) when not held."""
-    t = X.tokens(spark, sf_dir, "window")
+    t = X.tokens(spark, sf_dir)
     return K.window_answer_positions(_gold(t), t.select("doc_id", "tok_idx", "start", "end"), T.strided_windows(t, L, STRIDE))
 
 
@@ -272,5 +273,5 @@ fl AS (SELECT doc_id, window_id, sp AS pos, 1 AS s, 0 AS e FROM held UNION ALL S
         "SELECT doc_id, window_id, pos, max(s) AS start_flag, max(e) AS end_flag FROM fl GROUP BY doc_id, window_id, pos",
     ), bigint=('start_flag', 'end_flag'))
 def q_window_multi_positions(spark, sf_dir):
-    t = X.tokens(spark, sf_dir, "window")
+    t = X.tokens(spark, sf_dir)
     return K.window_multi_positions(_gold(t), t.select("doc_id", "tok_idx", "start", "end"), L, STRIDE)
