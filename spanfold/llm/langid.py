@@ -12,8 +12,10 @@ frequent languages. Predictions read whole texts. The model is that text; each w
 automata once. Many documents are parsed side by side with array operations, one character a
 step; the last few long ones are finished one by one.
 
-Characters: letters, lowered; a run of anything else is one gap. Letters that the labelled text
-lacks match nothing and are a phrase each.
+Characters: letters, lowered (where that gives several characters, the first); a run of anything
+else is one gap. Every letter of the labelled text has a code of its own, whatever the script and
+however many there are. Letters that the labelled text lacks match nothing and are a phrase each.
+The automata's transitions are held sparsely, in one hash table for all languages.
 
 Defined results: null text or a text without a letter is ``und`` with score 0; otherwise the score is
 1 - best / second estimate (1 where one language is known, 0 where none is, with ``und``); repeated
@@ -38,6 +40,7 @@ UNKNOWN = "und"
 LANES = 256
 #: Characters parsed side by side at once.
 TOGETHER = 1 << 25
+_SPREAD = 0x9E3779B97F4A7C15
 _TABLES: dict = {}
 
 
@@ -69,52 +72,97 @@ def _letters() -> np.ndarray:
     return _TABLES["letters"]
 
 
+def _lowered() -> np.ndarray:
+    """Per code point: the code point of its lower-case letter."""
+    if "lowered" not in _TABLES:
+        low = np.arange(sys.maxunicode + 1, dtype=np.int32)
+        for c in np.flatnonzero(_letters()).tolist():
+            low[c] = ord(chr(c).lower()[0])
+        _TABLES["lowered"] = low
+    return _TABLES["lowered"]
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 class Automata:
-    """The languages' suffix automata in one table: ``step[state * width + code]``, 0 where there is none."""
+    """The languages' suffix automata in one hash table: ``to[slot]`` where ``keys[slot]`` is ``state * width + code``.
+
+    A state number belongs to one language; 0 is none. Ways out of the start states are in ``again``."""
 
     def __init__(self, model: dict[str, str]):
         self.langs = list(model)
-        letters = _letters()
-        seen = sorted({c for t in model.values() for c in t.lower() if c.isalpha()})[:253]
+        letters, low = _letters(), _lowered()
+        used = np.unique(np.concatenate([np.empty(0, np.int32), *[low[p[letters[p]]] for p in map(_points, model.values())]]))
         # codes: 0 a gap, 1.. the labelled text's letters, the last one any other letter
-        self.width = len(seen) + 2
-        self.code = np.where(letters, len(seen) + 1, 0).astype(np.uint8)
-        for k, c in enumerate(seen, 1):
-            self.code[ord(c)] = k
-            if len(c.upper()) == 1:
-                self.code[ord(c.upper())] = k
-        tables, self.roots, at = [np.zeros(self.width, np.int32)], [], 1
-        self.log_m = []
-        for text in model.values():
+        self.width = len(used) + 2
+        kind = np.min_scalar_type(self.width - 1)
+        of_low = np.full(sys.maxunicode + 1, self.width - 1, kind)
+        of_low[used] = np.arange(1, len(used) + 1)
+        self.code = np.where(letters, of_low[low], kind.type(0))
+        # where a new phrase leads
+        self.again = np.zeros((len(model), self.width), np.int64)
+        self.log_m, keys, to, at = [], [np.empty(0, np.int64)], [np.empty(0, np.int64)], 1
+        for lang, text in enumerate(model.values()):
             codes = self.encode(text)
-            edges = _suffix_automaton(codes[codes <= len(seen)].tolist())
-            dense = np.zeros((len(edges), self.width), np.int32)
-            for s, out in enumerate(edges):
-                for c, to in out.items():
-                    dense[s, c] = to + at
-            self.roots.append(at)
+            edges = _suffix_automaton(codes.tolist())
+            for c, s in edges[0].items():
+                self.again[lang, c] = s + at
+            keys.append(np.array([(s + at) * self.width + c for s, out in enumerate(edges) if s for c in out], np.int64))
+            to.append(np.array([s + at for out in edges[1:] for s in out.values()], np.int64))
             self.log_m.append(np.log2(len(codes) + 2))
             at += len(edges)
-            tables.append(dense.ravel())
-        self.step = np.concatenate(tables)
+        self._store(np.concatenate(keys), np.concatenate(to))
+
+    def _store(self, keys: np.ndarray, to: np.ndarray) -> None:
+        """Fill the hash table: open addressing, at most a quarter full."""
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.shift, self.mask = 64 - bits, (1 << bits) - 1
+        self.keys, self.to = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        slot, rest = self._slots(keys), np.arange(len(keys))
+        while len(rest):
+            free = rest[self.keys[slot[rest]] < 0]
+            self.keys[slot[free]] = keys[free]  # of several keys for one slot the last one stays
+            mine = self.keys[slot[rest]] == keys[rest]
+            self.to[slot[rest[mine]]] = to[rest[mine]]
+            rest = rest[~mine]
+            slot[rest] = (slot[rest] + 1) & self.mask
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(_SPREAD) >> np.uint64(self.shift)).view(np.int64)
+
+    def _next(self, keys: np.ndarray) -> np.ndarray:
+        """The state that each ``state * width + code`` leads to, 0 where there is none."""
+        slot = self._slots(keys)
+        held = self.keys.take(slot)
+        hit = held == keys
+        out = self.to.take(slot) * hit
+        rest = np.flatnonzero((held >= 0) > hit)
+        while len(rest):
+            slot[rest] = (slot[rest] + 1) & self.mask
+            held = self.keys[slot[rest]]
+            hit = held == keys[rest]
+            out[rest[hit]] = self.to[slot[rest[hit]]]
+            rest = rest[~hit & (held >= 0)]
+        return out
 
     def encode(self, text: str) -> np.ndarray:
         """Codes of the text's characters, runs of gaps as one."""
-        codes = self.code[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        codes = self.code[_points(text)]
         keep = codes > 0
         keep[1:] |= codes[:-1] > 0
         return codes[keep]
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each text (rows) in each language (columns)."""
-        langs, width, step = len(self.roots), self.width, self.step
+        langs, width, again = len(self.log_m), self.width, self.again
         order = np.argsort([-len(t) for t in texts], kind="stable")
         lengths = np.array([len(texts[k]) for k in order])
-        flat = np.concatenate([texts[k] for k in order]) if len(order) else np.empty(0, np.uint8)
+        flat = np.concatenate([texts[k] for k in order]) if len(order) else np.empty(0, self.code.dtype)
         start = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64) if len(order) else np.empty(0, np.int64)
-        # where a new phrase leads; state 0 has no way out, so the character after it begins a phrase too
-        again = np.stack([step[root * width : (root + 1) * width] for root in self.roots]) if langs else np.zeros((0, width), np.int32)
-        state = np.zeros((langs, len(order)), np.int32)
+        # state 0 has no way out, so the character after it begins a phrase too
+        state = np.zeros((langs, len(order)), np.int64)
         count = np.zeros((langs, len(order)), np.int64)
         active, t = len(order), 0
         while True:
@@ -125,20 +173,23 @@ class Automata:
             # every text that is at least as long as the shortest active one takes these steps
             for t in range(t, int(lengths[active - 1])):
                 c = flat[start[:active] + t]
-                now = step[state[:, :active] * width + c]
+                now = self._next((state[:, :active] * width + c).ravel()).reshape(langs, active)
                 miss = now == 0
                 count[:, :active] += miss
                 state[:, :active] = np.where(miss, again[:, c], now)
             t += 1
-        table = memoryview(step)
+        keys, to, shift, mask, word = memoryview(self.keys), memoryview(self.to), self.shift, self.mask, (1 << 64) - 1
         for k in range(active):
             rest = flat[start[k] + t : start[k] + lengths[k]].tolist()
             for lang in range(langs):
                 s, n, first = int(state[lang, k]), 0, again[lang].tolist()
                 for c in rest:
-                    to = table[s * width + c]
-                    if to:
-                        s = to
+                    key = s * width + c
+                    slot = (key * _SPREAD & word) >> shift
+                    while (held := keys[slot]) != key and held >= 0:
+                        slot = (slot + 1) & mask
+                    if held == key:
+                        s = to[slot]
                     else:
                         n += 1
                         s = first[c]
@@ -208,8 +259,7 @@ def identify(column: pa.Array, model: dict[str, str]) -> tuple[list[str], list[f
     size = 0
     for row, value in enumerate(column):
         text = value.as_py() or ""
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        if not letters[points].any():
+        if not letters[_points(text)].any():
             continue
         if size and size + len(text) > TOGETHER:
             parse()

@@ -254,6 +254,46 @@ def test_phrases_match_longest_substrings(monkeypatch, lanes):
             assert got[k, j] == brute_phrases(c.tolist(), train[train < auto.width - 1].tolist())
 
 
+def scripts(seed):
+    """Texts of made-up Chinese, Korean and Japanese words over 2,500 and more letters, with English and Russian."""
+    rng = np.random.default_rng(1)
+    span = {"zh": (0x4E00, 1500), "ko": (0xAC00, 900), "ja": (0x3041, 80), "en": (0x61, 26), "ru": (0x430, 32)}
+    vocab = {lang: ["".join(chr(first + k) for k in rng.integers(0, n, rng.integers(1, 5))) for _ in range(900)] for lang, (first, n) in span.items()}
+    vocab["ja"] += vocab["zh"][:150]  # shared letters
+    rng = np.random.default_rng(seed)
+    sizes = {"zh": 2500, "ko": 2500, "ja": 2500, "en": 2500, "ru": 60}
+    return {lang: " ".join(vocab[lang][int(k)] for k in len(vocab[lang]) * rng.random(n) ** 2) for lang, n in sizes.items()}
+
+
+@pytest.mark.parametrize("lanes", [1, 1 << 30], ids=["side by side", "one by one"])
+def test_langid_of_many_scripts(monkeypatch, lanes):
+    monkeypatch.setattr(langid, "LANES", lanes)
+    model = scripts(2)
+    truth, texts = zip(*[(lang, text[a : a + 60]) for lang, text in scripts(3).items() for a in range(0, min(len(text), 1500) - 60, 60)])
+    assert len({c for t in model.values() for c in t}) > 2000
+    auto = langid.Automata(model)
+    got = auto.phrases([auto.encode(t) for t in texts])
+    for k, t in list(enumerate(texts))[::5]:
+        t = t.lstrip()
+        for j, known in enumerate(model.values()):
+            n = at = 0
+            while at < len(t):
+                size = 1
+                while at + size < len(t) and t[at : at + size + 1] in known:
+                    size += 1
+                at, n = at + size, n + 1
+            assert got[k, j] == n
+    langs, _ = langid.identify(pa.array(texts), model)
+    assert sum(a == b for a, b in zip(langs, truth, strict=True)) >= 0.98 * len(truth)
+
+
+def test_capitals_of_letters_with_odd_case_pairs():
+    auto = langid.Automata({"tr": "ısı ile iki", "el": "λόγος σοφός", "de": "straße"})
+    assert auto.encode("SIK").tolist() == auto.encode("sik").tolist()
+    assert auto.encode("ΣΟΦ").tolist() == auto.encode("σοφ").tolist()
+    assert auto.encode("STRAẞE").tolist() == auto.encode("straße").tolist()
+
+
 def test_langid_on_held_out_rows(spark, docs):
     got = queries.op4_langid(spark, SF).collect()
     truth = {r["doc_id"]: r["lang"] for r in docs.collect()}
