@@ -6,9 +6,13 @@ two labels, main text or not; weights of label features and of neighbouring labe
 gradient ascent on the labelled pages' conditional likelihood (forward-backward), and a page is
 decoded by Viterbi. Extraction is row-local: nothing is shuffled.
 
-Blocks inside script, style, head, template, noscript, svg, iframe, object, canvas or marked hidden
-are not text and never reach the chain. White space inside a block becomes one space, character
-references are decoded, blocks are joined by one newline in page order; nothing else is dropped or cut.
+Blocks inside script, style, title, head, template, noscript, svg, iframe, object, canvas, audio, video
+(what these three hold is shown only where they can't be) or marked hidden are not text and never
+reach the chain. Attributes are read one by one, name and then value, and names are compared whole.
+A head ends at its end tag or, where that is left out, at ``body`` or at the first tag or text that
+can't stand in a head. A formula (math) is inline text, without its ``annotation``, which is not
+shown. White space inside a block becomes one space, character references are decoded, blocks are
+joined by one newline in page order; nothing else is dropped or cut.
 
 Defined results: null or empty html gives an empty text; text without mark-up is one block; unclosed
 tags end with their parent; repeated rows get equal rows; an empty table gives no rows.
@@ -29,13 +33,16 @@ from spanfold.llm import labelled_pages
 
 #: Tags that break blocks, tags whose content is not text, tags without content.
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 header hr html label legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead tr ul".split())
-HIDDEN = frozenset("script style head template noscript svg math iframe object canvas title audio video".split())
+HIDDEN = frozenset("script style head template noscript svg iframe object canvas title audio video".split())
 RAW = frozenset("script style textarea title".split())
+#: What can stand in a head; any other start tag, and text, ends an open head.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
 VOID = frozenset("hr br img input meta link area base col embed source track wbr param".split())
 #: A new one ends an open one of the same kind, up to the nearest of the tags named.
 ENDS = {"p": ("p", ()), "li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTR = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_ANNOTATION = re.compile(r"</(annotation(?:-xml)?|math)\s*>", re.I)
 _NAME = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 ROUNDS, RATE, SHRINK = 6, 0.3, 1e-4
@@ -63,6 +70,12 @@ def blocks(page: str | None) -> list[tuple[str, list[str]]]:
     linked = linked_chars = 0
     memo: dict[tuple, tuple] = {}
 
+    def say(text: str) -> None:
+        """Text of the page; but for blanks it ends an open head."""
+        if stack[-1][0] == "head" and not text.isspace():
+            stack.pop()
+        parts.append(text)
+
     def flush() -> None:
         nonlocal linked_chars
         if parts:
@@ -76,15 +89,23 @@ def blocks(page: str | None) -> list[tuple[str, list[str]]]:
     at, length = 0, len(page)
     for m in iter(lambda: _MARKUP.search(page, at), None):
         if m.start() > at:
-            parts.append(page[at : m.start()])
+            say(page[at : m.start()])
             if linked:
                 linked_chars += m.start() - at
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
             if m[0].startswith("<![CDATA["):
-                parts.append(m[0][9:-3])
+                say(m[0][9:-3])
             continue
+        if not m[1] and tag not in IN_HEAD:
+            if stack[-1][0] == "head":
+                stack.pop()
+            elif tag == "body":
+                head = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] in ("head", "template")), 0)
+                if stack[head][0] == "head":
+                    flush()
+                    del stack[head:]
         if tag == "br":
             parts.append(" ")
             continue
@@ -102,6 +123,10 @@ def blocks(page: str | None) -> list[tuple[str, list[str]]]:
             continue
         if tag == "a":
             linked = 1
+        elif tag in ("annotation", "annotation-xml"):
+            end = _ANNOTATION.search(page, at)
+            if end and not m[3].endswith("/"):
+                at = end.end() if end[1].lower() == tag else end.start()
         elif tag in VOID:
             if tag == "hr":
                 flush()
@@ -133,7 +158,7 @@ def blocks(page: str | None) -> list[tuple[str, list[str]]]:
                 if stack[-1][0] == tag:
                     stack.pop()
     if at < length:
-        parts.append(page[at:])
+        say(page[at:])
     flush()
     return out
 

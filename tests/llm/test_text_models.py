@@ -87,6 +87,37 @@ PAGES = [
 ]
 
 
+WORDS = "The quick brown fox sits here and reads."
+
+
+@pytest.mark.parametrize("attrs", ['data-hidden="false"', 'aria-label="The hidden life of trees"', "title='a hidden=x'", 'data-style="display:none"', "aria-hidden=false", 'x-aria-hidden="true"', "class='a' data-note=hidden", '"hidden"'])
+def test_attribute_names_are_compared_whole(chain, attrs):
+    assert html_text.main_text(f"<article {attrs}><p>{WORDS}</p></article>", chain) == WORDS
+
+
+@pytest.mark.parametrize("attrs", ["hidden", "class=x hidden", 'HIDDEN=""', "aria-hidden='true'", 'style="color:red; Display : none"', 'title="a > b" hidden'])
+def test_hidden_elements_stay_out(attrs):
+    assert [t for t, _ in html_text.blocks(f"<article><div {attrs}><p>no</p></div><p>{WORDS}</p></article>")] == [WORDS]
+
+
+@pytest.mark.parametrize("start", ["<body>", "", "<!-- c -->\n<div>", "<BODY class='hidden'>", "<noscript><link href=x></noscript><body>", "<noscript><style>p{}</style><body>"])
+def test_head_without_end_tag(chain, start):
+    head = "<html><head><meta charset=utf-8><title>no</title><script>no</script>\n<link rel=x>"
+    assert html_text.main_text(f"{head}{start}<article><h1>Big news</h1><p>{WORDS}</p></article>", chain) == f"Big news\n{WORDS}"
+
+
+def test_text_and_inline_tags_end_a_head():
+    assert [t for t, _ in html_text.blocks("<head><title>no</title> Some text <b>here</b>")] == ["Some text here"]
+    assert [t for t, _ in html_text.blocks("<head><title>no</title>\n<a href=x>Some</a> text<p>more")] == ["Some text", "more"]
+    assert [t for t, _ in html_text.blocks("<head><template><body><p>no</p></template><title>no</title></head><body><p>yes")] == ["yes"]
+
+
+def test_formula_is_inline_text(chain):
+    page = "<article><p>We know that <math hidden-x='1'><semantics><mrow><mi>a</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding=tex>a = 2</annotation></semantics></math> holds in all cases.</p></article>"
+    assert html_text.main_text(page, chain) == "We know that a=2 holds in all cases."
+    assert [t for t, _ in html_text.blocks("<p>x <math><mi>b</mi><annotation>no</math> y</p><audio>no</audio><video><p>no</p></video>")] == ["x b y"]
+
+
 def test_extract_pages(spark, chain):
     df = spark.createDataFrame([(k, None, h) for k, (h, _) in enumerate(PAGES)] * 2, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("n_chars", F.lit(1))
     got = html_text.extract(df, chain).collect()
