@@ -9,9 +9,12 @@
    the sequences that are still open from all groups as items and packs them again, so the
    groups' leftovers meet.
 
-Ids are those of the byte-level BPE vocabulary. A text is split at single spaces between characters
-that aren't blank (the vocabulary's pattern never joins text across such a place except for the
-space itself, which begins the next unit), and a worker remembers the ids of units it has met.
+Ids are those of the byte-level BPE vocabulary and its added tokens, as ``tokenizers`` gives them
+without adding any. A text is first split at the added tokens of the vocabulary's JSON file (it lies
+beside the rank file), each of which is one id; no unit spans one. A stretch between them is split
+at single spaces between characters that aren't blank (the vocabulary's pattern never joins text
+across such a place except for the space itself, which begins the next unit), and a worker
+remembers the ids of units it has met.
 
 Defined results: null and empty texts are one piece holding the end id; repeated rows are packed
 each; an empty table gives no rows. Rows with one id and piece number but different content stay
@@ -21,6 +24,8 @@ separate pieces.
 from __future__ import annotations
 
 import base64
+import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -48,6 +53,19 @@ def _encoder(ranks_path: str, pattern: str) -> UnitEncoder:
     return _WORKER[ranks_path]
 
 
+def added_tokens(ranks_path: str) -> dict[str, int]:
+    """Id of each added token in the JSON file beside the rank file; none where there is no such file."""
+    path = os.path.splitext(ranks_path)[0] + ".json"
+    if not os.path.exists(path):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        vocabulary = json.load(f)
+    found = [t for t in vocabulary["added_tokens"] if t["content"]]
+    if vocabulary.get("normalizer") or any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in found):
+        raise ValueError(f"{path}: only added tokens that are matched as they stand are supported")
+    return {t["content"]: t["id"] for t in found}
+
+
 class UnitEncoder:
     """Ids of texts as little-endian unsigned 32-bit numbers, with a bounded memory of units."""
 
@@ -61,6 +79,10 @@ class UnitEncoder:
         for tok, rank in ranks.items():
             self.width[rank] = len(tok)
         self.units: dict[bytes, bytes] = {}
+        added = added_tokens(ranks_path)
+        self.added = {t: np.asarray([k], "<u4").tobytes() for t, k in added.items()}
+        # where several begin at one place, the longest is meant
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
 
     def _direct(self, text: str) -> np.ndarray:
         return np.asarray(self.enc.encode_ordinary(text), "<u4")
@@ -75,6 +97,13 @@ class UnitEncoder:
             at = end
 
     def __call__(self, text: str) -> bytes:
+        if self.split is None or not any(t in text for t in self.added):
+            return self._stretch(text)
+        # the odd parts are added tokens
+        return b"".join([self.added[part] if k % 2 else self._stretch(part) for k, part in enumerate(self.split.split(text)) if part])
+
+    def _stretch(self, text: str) -> bytes:
+        """Ids of text without added tokens."""
         if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _OTHER_BLANK.search(text):
             return self._direct(text).tobytes()
         first, *rest = text.encode().split(b" ")

@@ -129,6 +129,12 @@ def test_ids_equal_the_tokenizer(spark, reference_ids):
         assert np.frombuffer(enc(text), "<u4").tolist() == reference_ids(text), text[:60]
 
 
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>", " x<|endoftext|>y ", "it's  <|endoftext|>\n a<|endoftext|", "<|endoftext|>'s a b <|endoftext|>  ", "x<|<|endoftext|>|> y <|ENDOFTEXT|>"])
+def test_ids_of_added_tokens(reference_ids, text):
+    got = np.frombuffer(packing._encoder(*queries.tokenizer())(text), "<u4").tolist()
+    assert got == reference_ids(text) and (text.count("<|endoftext|>") == got.count(50256))
+
+
 def check_packing(packed, docs, reference_ids, capacity):
     """Pieces cover each document, carry its ids, and lie in sequences without gap or overlap."""
     by_doc, by_seq = defaultdict(list), defaultdict(list)
