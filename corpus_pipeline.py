@@ -2,6 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and is written as
 Parquet before the next one reads it. All but the last return the columns of ``documents``.
+
+Ids may be null or repeated: the two dedup stages number their rows and decide by row, so of several
+texts under one id (or without one) each is judged by itself.
 """
 
 from __future__ import annotations
@@ -15,10 +18,18 @@ from spanfold.llm.common import written
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is in ``ids`` (column ``doc_id``), each id once."""
-    kept = ids.select(F.col("doc_id").alias("_kept")).hint("shuffle_hash")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+def _keyed(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with ``_row``, a number for each row, written once so that every later reading and retry sees the same."""
+    return written(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), name)
+
+
+def _first_of_each(keyed: DataFrame, groups: DataFrame, *order) -> DataFrame:
+    """The rows of ``keyed`` that come first in their group (``groups``: _row, _group) by ``order``, then by id (null
+    ids last); one row a group."""
+    by = F.struct(*order, F.col("doc_id").isNull().alias("_none"), "doc_id", "_row")
+    narrow = keyed.select("_row", by.alias("_by")).join(groups, "_row")
+    first = narrow.groupBy("_group").agg(F.min("_by").alias("_by")).select(F.col("_by._row").alias("_row"))
+    return keyed.join(first.hint("shuffle_hash"), "_row", "left_semi").select(*COLUMNS)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,18 +39,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are equal but for white space, one stays."""
-    return _only(docs, exact_dedup.exact_dedup(docs).where("kept"))
+    """Of documents that are equal but for white space, the longest one stays, of these the one with the smallest id."""
+    keyed = _keyed(docs, "pipeline_exact_rows")
+    groups = exact_dedup.exact_dedup(keyed, "_row").select("_row", F.col("keep_id").alias("_group"))
+    return _first_of_each(keyed, groups, (-F.length(F.coalesce("text", F.lit("")))).alias("_longest"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates, the document with the smallest id stays."""
-    return _only(docs, near_dedup.near_dedup(docs).where("kept"))
+    keyed = _keyed(docs, "pipeline_near_rows")
+    groups = near_dedup.near_dedup(keyed, "_row").select("_row", F.col("component_id").alias("_group"))
+    return _first_of_each(keyed, groups)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target takes them."""
-    return mixing.mix(docs)
+    """Documents as often as their source's target takes them; the id and the text's digest tell rows apart."""
+    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.sha2(F.coalesce("text", F.lit("")), 256))
+    return mixing.mix(docs.select(*COLUMNS).withColumn("_row", key), "_row").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

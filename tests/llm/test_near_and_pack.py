@@ -234,3 +234,28 @@ def test_stages_keep_columns_and_take_odd_rows(spark):
     assert {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, SF).collect()} == {2, 3, 5}
     assert {r["doc_id"] for r in corpus_pipeline.exact(spark, docs, SF).collect()} == {1, 3, 4, 5}
     assert {r["doc_id"] for r in corpus_pipeline.near(spark, docs, SF).collect()} == {1, 2, 4, 5}
+
+
+def test_stages_decide_by_row(spark, reference_ids):
+    """Null ids, one id with several texts: exactly the rejected copies go."""
+    long = [" ".join(f"{'abcdefgh'[k]}w{j}" for j in range(30)) for k in range(8)]
+    rows = [(None, long[0]), (None, long[1]), (None, long[2]), (1, long[3]), (1, long[4]), (1, long[0] + " "), (2, long[3].replace(" ", "  ")), (3, long[5]), (4, long[5]), (4, long[6]), (4, long[6]), (None, long[7]), (None, long[7])]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for parts in (1, 5):
+        got = corpus_pipeline.exact(spark, docs.repartition(parts), SF)
+        want = [(None, long[1]), (None, long[2]), (None, long[7]), (1, long[4]), (1, long[0] + " "), (2, long[3].replace(" ", "  ")), (3, long[5]), (4, long[6])]
+        assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter(want)
+    edited = [(d, t) for d, t in want] + [(0, long[4] + " end"), (None, long[5] + " end"), (1, "123"), (1, "456"), (None, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in edited], docs.schema)
+    want = [(d, t) for d, t in edited if (d, t) not in ((1, long[4]), (None, long[5] + " end"))]
+    near = corpus_pipeline.near(spark, docs.repartition(3), SF)
+    assert Counter((r["doc_id"], r["text"]) for r in near.collect()) == Counter(want)
+    mixed = corpus_pipeline.mix(spark, near, SF).collect()
+    words = sum(len(WORD.findall(t or "")) for _, t in want)
+    assert abs(sum(len(WORD.findall(r["text"] or "")) for r in mixed) - 1.5 * words) <= 60
+    texts = defaultdict(list)
+    for r in mixed:
+        texts[r["doc_id"]].append(r["text"])
+    assert len({(r["doc_id"], r["text"]) for r in mixed}) > 6 and max(Counter((r["doc_id"], r["text"]) for r in mixed).values()) == 2
+    packed = corpus_pipeline.pack(spark, spark.createDataFrame(mixed, docs.schema), SF).collect()
+    check_packing(packed, texts, reference_ids, 1024)
