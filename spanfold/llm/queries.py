@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanfold.llm import chat, dsir, exact_dedup, hmm, html_text, langid, mixing, near_dedup, packing, rules
+from spanfold.llm import chat, dsir, exact_dedup, hmm, html_text, langid, mixing, near_dedup, packing, phrases, pii, rules, runs
 from spanfold.llm.common import fold, table
 
 RANKS, END_ID, CAPACITY = "byte_bpe_50k.tiktoken", 2, 1024
@@ -145,7 +145,70 @@ WITH n AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
 """
 
+
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents", "text", "lang"))
+
+
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), said AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces
+), sizes AS (
+  SELECT lang, sum(len(ws))::BIGINT AS n FROM said GROUP BY lang
+), places AS (
+  SELECT lang, d, ws, unnest(range(1, len(ws) - d + 2)) AS i FROM said, (VALUES (1), (2), (3), (4), (5)) v(d) WHERE len(ws) >= d
+), counts AS (
+  SELECT lang, d, array_to_string(ws[i:i + d - 1], ' ') AS phrase, count(*)::BIGINT AS f FROM places GROUP BY ALL HAVING count(*) >= 100
+), cuts AS (
+  SELECT lang, phrase, f, string_split(phrase, ' ') AS w, unnest(range(1, d)) AS k FROM counts WHERE d > 1
+), scored AS (
+  SELECT c.lang, c.phrase, c.f AS a, c.k, h.f AS l, t.f AS r, s.n, ((1000::HUGEINT * c.f * s.n) // (h.f::HUGEINT * t.f))::BIGINT AS score
+  FROM cuts c JOIN counts h ON h.lang = c.lang AND h.phrase = array_to_string(c.w[1:c.k], ' ')
+  JOIN counts t ON t.lang = c.lang AND t.phrase = array_to_string(c.w[c.k + 1:], ' ') JOIN sizes s ON s.lang = c.lang
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), kept AS (
+  SELECT * FROM lowest x WHERE NOT EXISTS (
+    SELECT 1 FROM counts y WHERE y.lang = x.lang AND y.phrase <> x.phrase AND contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' ') AND 100 * y.f >= 100 * x.a)
+), ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept
+)
+SELECT * FROM ranked WHERE rank <= 2000
+"""
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.runs(table(spark, sf_dir, "documents", "doc_id", "text"), rewrite=runs.repeated_tail)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("less"))))
+    row = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    return found.withColumn("top", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("top.back")).alias("start"),
+        F.col("top.length").alias("length"),
+        (-F.col("top.less")).alias("period"),
+        F.expr("(1000 * top.length) div -top.less").alias("exponent_milli"),
+        F.sha2(F.array_join(row, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(table(spark, sf_dir, "documents", "doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+    return found.select(
+        "doc_id",
+        *[pii.count_of(F.col("spans"), kind).alias(f"n_{kind}") for kind in ("email", "ip", "card", "phone")],
+        F.sha2(pii.listed(base), 256).alias("base_sha256"),
+        pii.listed(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_text, op2_lm_score, op3_quality_rules, op4_langid, op5_near_dedup, op6_importance_resampling, op7_mix, op8_pack, op9_chat, op10_exact_dedup)
+    f.__name__: f for f in (op1_html_text, op2_lm_score, op3_quality_rules, op4_langid, op5_near_dedup, op6_importance_resampling, op7_mix, op8_pack, op9_chat, op10_exact_dedup, op11_phrases, op12_runs, op13_pii)
 }
-ORACLE_SQL: dict[str, str] = {"op7_mix": OP7_SQL, "op9_chat": OP9_SQL, "op10_exact_dedup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_mix": OP7_SQL, "op9_chat": OP9_SQL, "op10_exact_dedup": OP10_SQL, "op11_phrases": OP11_SQL}

@@ -56,9 +56,9 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return ends, np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
 
 
-def _hash_stretch(raw: np.ndarray, cuts: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word hashes, word starts) of ``raw``; a word also ends at each of ``cuts``."""
-    word = ~_IS_BLANK[raw]
+def cut_words(raw: np.ndarray, cuts: np.ndarray, values: np.ndarray, is_blank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, starts, ends) of the words of ``raw``; a word also ends at each of ``cuts``."""
+    word = ~is_blank[raw]
     joins = np.zeros(len(raw) + 1, bool)  # True where a byte and the one before it are of one word
     joins[1:-1] = word[1:] & word[:-1]
     joins[cuts] = False
@@ -66,7 +66,12 @@ def _hash_stretch(raw: np.ndarray, cuts: np.ndarray, values: np.ndarray) -> tupl
     up, down = _powers(len(raw) + 1)
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(values[raw] * up[: len(raw)], out=total[1:])
-    return scramble((total[end] - total[start]) * down[start]), start
+    return scramble((total[end] - total[start]) * down[start]), start, end
+
+
+def _hash_stretch(raw: np.ndarray, cuts: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes, word starts) of ``raw``; a word also ends at each of ``cuts``."""
+    return cut_words(raw, cuts, values, _IS_BLANK)[:2]
 
 
 def hashed_words(col: pa.Array, lower: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
