@@ -14,8 +14,10 @@ inside pieces, overlaps included; ``n`` is the number of words.
 3. ``mine``: pairs of frequent words first; then phrases of three words up to ``longest`` whose pairs are all frequent,
    grown to the right and to the left in turn. Each shard reports counts, Spark sums them across shards and keeps those of
    ``least`` at least. A phrase is frequent only if its parts are, so nothing is lost.
-   What is frequent reaches the shards as a table of ``BITS`` bits set by hash, whose size doesn't grow with the input: a phrase
-   that shares a bit with a frequent one is counted in vain and dropped by its sum, so the counts stay exact.
+   Most longer phrases are rare, so their counts are first summed into ``BITS`` counters shared by hash; a shard reports a
+   phrase by name only if its counter reaches ``least``. What is frequent reaches the shards as tables of ``BITS`` bits, whose size
+   doesn't grow with the input. A rare phrase that shares a bit or a counter is counted in vain and dropped by its sum: the
+   counts stay exact. (With some 50 rare phrases a counter, about 3 * 10**9 words, the counters begin to save less; raise ``BITS``.)
 4. ``score``: cutting a phrase after its first k words gives l, r and floor(1000 * a * n / (l * r)), in decimals of
    38 digits; the lowest cut counts (ties: smallest k). A phrase that a longer one holds as often is dropped: the
    counts of its one-word extensions to the left and right tell, as a longer phrase can't be more frequent than they.
@@ -231,49 +233,125 @@ def _has(table: np.ndarray, first: np.ndarray, second: np.ndarray | None = None)
     return (table[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-def shard_counts(shards: DataFrame, words: bytes, pairs: bytes | None, longest: int) -> DataFrame:
-    """Counts of each shard: of pairs of frequent words, or, given ``pairs``, of longer phrases whose pairs are frequent."""
-    sc = shards.sparkSession.sparkContext
-    told = sc.broadcast((words, pairs))
-    fields = [("lang", pa.string())] + ([("first", pa.int64()), ("second", pa.int64())] if pairs is None else [("phrase", pa.list_(pa.int64()))]) + [("f", pa.int64())]
-    schema = pa.schema(fields)
-
-    def rows(lang: str, grown: np.ndarray, count: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for a in range(0, len(count), 1 << 18):
-            part = keys[grown[a : a + (1 << 18)]].view(np.int64)
-            said = pa.DictionaryArray.from_arrays(np.zeros(len(part), np.int32), [lang]).cast(pa.string())
-            if pairs is None:
-                cols = [pa.array(part[:, 0]), pa.array(part[:, 1])]
-            else:
-                ends = np.arange(0, part.size + 1, part.shape[1], dtype=np.int32)
-                cols = [pa.ListArray.from_arrays(ends, part.ravel())]
-            yield pa.RecordBatch.from_arrays([said, *cols, pa.array(count[a : a + (1 << 18)].astype(np.int64))], schema=schema)
+def _indexed(shards: DataFrame, words: bytes, pairs: bytes | None, longest: int, report, schema: str) -> DataFrame:
+    """``report`` (an iterator of batches from an iterator of (language, word keys, index)) of every shard's index over its frequent
+    words; given ``pairs``, over the chains of three words and more whose pairs are frequent."""
+    told = shards.sparkSession.sparkContext.broadcast((words, pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [t and np.frombuffer(zstandard.decompress(t), np.uint64) for t in told.value]
+        known, joint = [t and np.frombuffer(zstandard.decompress(t), np.uint64) for t in told.value]
+
+        def indexes():
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    own, raw = batch.column(1)[k].values.to_numpy(), batch.column(2)[k].as_py()
+                    keys = np.concatenate([[np.uint64(0)], own.view(np.uint64)])
+                    seq = np.ascontiguousarray(np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
+                    frequent = _has(known, keys)
+                    frequent[0] = False
+                    seq = np.where(frequent[seq], seq, 0)
+                    joined = (seq[:-1] > 0) & (seq[1:] > 0)
+                    if joint is not None:
+                        joined &= _has(joint, keys[seq[:-1]], keys[seq[1:]])
+                    yield batch.column(0)[k].as_py(), keys, FMIndex(_squeezed(seq, joined, 2 if joint is None else 3), 2 if joint is None else longest)
+
+        yield from report(indexes())
+
+    return shards.select("lang", "keys", "seq").mapInArrow(run, schema)
+
+
+def _grown(index: FMIndex, longest: int, keep=None):
+    """Phrases of three words up to ``longest``, length by length, as (numbers, counts); those that ``keep`` refuses don't grow."""
+    found = index.extend(*index.words(), left=False)
+    for size in range(3, longest + 1):
+        phrases, lo, count = index.extend(*found, left=size % 2 == 1)
+        if keep is not None:
+            stay = keep(phrases)
+            phrases, lo, count = phrases[stay], [x[stay] for x in lo], count[stay]
+        found = phrases, lo, count
+        yield phrases, count
+
+
+def _hashed(words: np.ndarray) -> np.ndarray:
+    """One number per row of word keys."""
+    out = np.full(len(words), words.shape[1], np.uint64)
+    for column in words.T:
+        out = scramble(out * np.uint64(0x9E3779B97F4A7C15) + column)
+    return out
+
+
+def pair_counts(shards: DataFrame, words: bytes) -> DataFrame:
+    """lang, first, second, f: each shard's pairs of frequent words."""
+
+    def report(indexes) -> Iterator[pa.RecordBatch]:
+        for lang, keys, index in indexes:
+            pairs, _, count = index.extend(*index.words(), left=False)
+            for a in range(0, len(count), 1 << 18):
+                part = keys[pairs[a : a + (1 << 18)]].view(np.int64)
+                said = pa.DictionaryArray.from_arrays(np.zeros(len(part), np.int32), [lang]).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([said, pa.array(part[:, 0]), pa.array(part[:, 1]), pa.array(count[a : a + (1 << 18)].astype(np.int64))], names=["lang", "first", "second", "f"])
+
+    return _indexed(shards, words, None, 2, report, "lang string, first long, second long, f long")
+
+
+def phrase_table(shards: DataFrame, words: bytes, pairs: bytes, longest: int, least: int, bits: int) -> bytes:
+    """Bit table of the longer phrases that may be frequent: those whose counter reaches ``least``. Phrases share ``bits`` counters
+    by hash; a task reports what it adds to them, in blocks, as sorted places and counts."""
+    block = min(1 << 20, bits)
+
+    def blobs(places: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        edges = np.searchsorted(places, np.arange(0, bits + 1, block))
+        for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+            if b > a:
+                both = np.concatenate([np.diff(places[a:b], prepend=k * block), counts[a:b]]).astype(np.uint32)
+                planes = np.ascontiguousarray(both.view(np.uint8).reshape(-1, 4).T).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([zstandard.compress(planes, 1)], pa.binary())], names=["block", "added"])
+
+    def report(indexes) -> Iterator[pa.RecordBatch]:
+        places, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        for _, keys, index in indexes:
+            for phrases, count in _grown(index, longest):
+                at = (_hashed(keys[phrases]) & np.uint64(bits - 1)).astype(np.int64)
+                places, where = np.unique(np.concatenate([places, at]), return_inverse=True)
+                counts = np.bincount(where, np.concatenate([counts, count]), len(places)).astype(np.int64)
+            if len(places) > 1 << 21:
+                yield from blobs(places, counts)
+                places, counts = places[:0], counts[:0]
+        yield from blobs(places, counts)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k in range(batch.num_rows):
-                lang, own, raw = batch.column(0)[k].as_py(), batch.column(1)[k].values.to_numpy(), batch.column(2)[k].as_py()
-                keys = np.concatenate([[np.uint64(0)], own.view(np.uint64)])
-                seq = np.ascontiguousarray(np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
-                frequent = _has(tables[0], keys)
-                frequent[0] = False
-                seq = np.where(frequent[seq], seq, 0)
-                joined = (seq[:-1] > 0) & (seq[1:] > 0)
-                if pairs is not None:
-                    joined &= _has(tables[1], keys[seq[:-1]], keys[seq[1:]])
-                seq = _squeezed(seq, joined, 2 if pairs is None else 3)
-                index = FMIndex(seq, 2 if pairs is None else longest)
-                found = index.extend(*index.words(), left=False)
-                if pairs is None:
-                    yield from rows(lang, found[0], found[2], keys)
-                    continue
-                for size in range(3, longest + 1):
-                    found = index.extend(*found, left=size % 2 == 1)
-                    yield from rows(lang, found[0], found[2], keys)
-
-    kinds = "first long, second long" if pairs is None else "phrase array<long>"
-    return shards.select("lang", "keys", "seq").mapInArrow(run, f"lang string, {kinds}, f long")
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                both = np.ascontiguousarray(np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
+                places, counts = both.reshape(2, -1)
+                sums.setdefault(k, np.zeros(block, np.int64))[np.cumsum(places)] += counts
+        for k, counts in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([np.packbits(counts >= least, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"])
+
+    added = _indexed(shards, words, pairs, longest, report, "block long, added binary")
+    found = added.repartition("block").mapInArrow(total, "block long, bits binary").toArrow()
+    table = np.zeros(bits // 8, np.uint8)
+    for k, raw in zip(found.column("block").to_pylist(), found.column("bits").to_pylist()):
+        table[k * block // 8 : (k + 1) * block // 8] = np.frombuffer(raw, np.uint8)
+    return zstandard.compress(table.tobytes(), 1)
+
+
+def longer_counts(shards: DataFrame, words: bytes, pairs: bytes, phrases: bytes, longest: int) -> DataFrame:
+    """lang, phrase (word keys), f: each shard's phrases of three words up to ``longest`` that are in the tables."""
+    told = shards.sparkSession.sparkContext.broadcast(phrases)
+
+    def report(indexes) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(zstandard.decompress(told.value), np.uint64)
+        for lang, keys, index in indexes:
+            for found, count in _grown(index, longest, lambda p: _has(table, _hashed(keys[p]))):
+                for a in range(0, len(count), 1 << 18):
+                    part = keys[found[a : a + (1 << 18)]].view(np.int64)
+                    said = pa.DictionaryArray.from_arrays(np.zeros(len(part), np.int32), [lang]).cast(pa.string())
+                    ends = np.arange(0, part.size + 1, part.shape[1], dtype=np.int32)
+                    yield pa.RecordBatch.from_arrays([said, pa.ListArray.from_arrays(ends, part.ravel()), pa.array(count[a : a + (1 << 18)].astype(np.int64))], names=["lang", "phrase", "f"])
+
+    return _indexed(shards, words, pairs, longest, report, "lang string, phrase array<long>, f long")
 
 
 def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -285,9 +363,11 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least:
     words = each.groupBy("lang", F.col("keys").alias("key"), F.col("words").alias("word")).agg(F.sum("counts").alias("f")).where(F.col("f") >= least)
     words = written(words, "phrase_words")
     known = bit_table(words, "key")
-    pairs = shard_counts(shards, known, None, 2).groupBy("lang", "first", "second").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    pairs = pair_counts(shards, known).groupBy("lang", "first", "second").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     pairs = written(pairs, "phrase_pairs")
-    longer = shard_counts(shards, known, bit_table(pairs, "first", "second"), longest).groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    joint = bit_table(pairs, "first", "second")
+    likely = phrase_table(shards, known, joint, longest, least, BITS)
+    longer = longer_counts(shards, known, joint, likely, longest).groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     phrases = words.select("lang", F.array("key").alias("phrase"), "f").unionByName(pairs.select("lang", F.array("first", "second").alias("phrase"), "f")).unionByName(longer)
     return written(phrases, "phrase_counts"), words.select("key", "word"), sizes
 
