@@ -12,6 +12,7 @@ from spanfold.operators import ensemble as E
 from spanfold.operators import metrics as M
 from spanfold.operators import modeling as ML
 from spanfold.operators import spans as S
+from spanfold.operators import tagger as G
 from spanfold.operators import tokens as T
 from spanfold.plans import fixtures as X
 from spanfold.plans.oracle import islands, prf_sql, with_base
@@ -448,6 +449,21 @@ def q_token_tagger(spark, sf_dir):
     return decode_gap_fill(scored)
 
 
+def chain_documents(spark, sf_dir):
+    """(doc_id, text, split, spans): documents with their split and gold spans as an array."""
+    gold = S.normalize_spans(X.spans(spark, sf_dir).where(F.col("source") == "gold").select("doc_id", "start", "end"))
+    gold = gold.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return ML.train_val_split(X.docs(spark, sf_dir), 0.8).join(gold, "doc_id", "left")
+
+
+@register("sequence_tagger", None)
+def q_sequence_tagger(spark, sf_dir):
+    """Linear-chain tagger trained on the train split; Viterbi spans of every document."""
+    path = scratch_path(spark, "chain_features")
+    G.encode(chain_documents(spark, sf_dir).where(F.col("split") == "train")).write.parquet(path)
+    return G.tag(G.fit(spark.read.parquet(path)), X.docs(spark, sf_dir))
+
+
 @register("span_scorer", None)
 def q_span_scorer(spark, sf_dir):
     """Two token models (span start, span end) -> start/end logits -> n-best -> best answer per document."""
