@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanfold.operators.spans import format_offsets, parse_spans
+from spanfold.sources.csv_records import csv_records
 
 SPAN_CSV_SCHEMA = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("spans", T.StringType()), T.StructField("text", T.StringType())]
@@ -28,18 +29,14 @@ def write_span_csv(df: DataFrame, path: str) -> None:
 
 
 def read_span_csv(spark: SparkSession, path: str, gold: bool = True) -> DataFrame:
-    """Header CSV ``doc_id,spans,text`` (text may hold quotes and newlines).
+    """Header CSV ``doc_id,spans,text`` (text may hold quotes and newlines), read by many tasks a file.
 
     ``spans`` is parsed to ``array<int>``; unparsable literals become ``[]``. For a
     gold-less split (``gold=False``) spans are ``[]`` regardless of the column.
     """
-    df = (
-        spark.read.schema(SPAN_CSV_SCHEMA)
-        .option("header", True)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .csv(path)
-    )
+    records = csv_records(spark, path)
+    row = F.from_csv("record", SPAN_CSV_SCHEMA.simpleString()[len("struct<") : -1].replace(":", " "), {"escape": '"', "multiLine": "true"})
+    df = records.select(row.alias("r")).select("r.*")
     spans = parse_spans(F.col("spans")) if gold else F.array().cast("array<int>")
     return df.select("doc_id", spans.alias("spans"), F.coalesce("text", F.lit("")).alias("text"))
 
