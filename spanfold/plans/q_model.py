@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from spanfold.functions.text import MASK_TOKEN, sigmoid
+from spanfold.functions.text import LEXICON, MASK_TOKEN, sigmoid
 from spanfold.operators import attribution as A
+from spanfold.operators import blackbox as B
 from spanfold.operators import cleaning as C
 from spanfold.operators import ensemble as E
 from spanfold.operators import metrics as M
@@ -449,6 +450,39 @@ def q_token_tagger(spark, sf_dir):
     return decode_gap_fill(scored)
 
 
+WINDOW_CTES = """
+sw AS (SELECT doc_id, tok_idx, tok, "start", "end", CASE WHEN hit THEN 1 ELSE 0 END AS c,
+              coalesce(sum(CASE WHEN right(tok, 1) IN ('.', '!', '?') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY tok_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sent FROM hits),
+sx AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, sent ORDER BY tok_idx) - 1) // 256 AS part FROM sw),
+st AS (SELECT *, sum(c) OVER (PARTITION BY doc_id, sent, part) AS tot FROM sx),
+sd AS (SELECT *, (tot / (tot + 1.0) - (tot - c) / (tot - c + 1.0)) / (tot / (tot + 1.0) + 0.0001) AS score_dec FROM st)
+"""
+
+
+def insult_share(texts: list[str]) -> list[float]:
+    """The rule scorer as a black box: h / (h + 1) of a text with h insult words."""
+    hits = [sum("".join(c for c in w if c.isalnum()).lower() in LEXICON for w in t.split()) for t in texts]
+    return [h / (h + 1.0) for h in hits]
+
+
+@register(
+    "erasure_sentences",
+    with_base(WINDOW_CTES, 'SELECT doc_id, tok_idx, tok, "start", "end", round(score_dec, 6) AS score_dec, CASE WHEN score_dec > 0.2 THEN 1 ELSE 0 END AS flagged FROM sd'),
+    bigint=("flagged",),
+)
+def q_erasure_sentences(spark, sf_dir):
+    """Every word of every document masked in its sentence, the masked texts scored by a black box."""
+    return B.erasure(X.docs(spark, sf_dir), B.batched(insult_share))
+
+
+@register("surrogate_classifier", None)
+def q_surrogate_classifier(spark, sf_dir):
+    """Local linear model of the fitted document classifier around every document (64 perturbed texts each, scored by the pipeline)."""
+    d = X.docs(spark, sf_dir)
+    model = ML.doc_classifier(d.join(tables.labels(spark, sf_dir), "doc_id"), "toxic")
+    return B.surrogate(d, B.scored_by(model), samples=64, threshold=0.01)
+
+
 def chain_documents(spark, sf_dir):
     """(doc_id, text, split, spans): documents with their split and gold spans as an array."""
     gold = S.normalize_spans(X.spans(spark, sf_dir).where(F.col("source") == "gold").select("doc_id", "start", "end"))
