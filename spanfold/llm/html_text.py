@@ -1,7 +1,8 @@
 """Operator 1, HTML extraction: a linear-chain conditional random field over a page's leaf blocks.
 
 ``blocks`` scans the mark-up once: the text between two block-level tags is a leaf block, described
-by its open ancestors (tags, roles, words of class and id), its links and its text. The chain has
+by its open ancestors (tags, roles, words of class and id; not those of elements that hold the page's main
+element or most of its text), its links and its text. The chain has
 two labels, main text or not; weights of label features and of neighbouring labels are trained by
 gradient ascent on the labelled pages' conditional likelihood (forward-backward), and a page is
 decoded by Viterbi. Extraction is row-local: nothing is shuffled.
@@ -40,11 +41,17 @@ IN_HEAD = frozenset("html head base basefont bgsound link meta title style scrip
 VOID = frozenset("hr br img input meta link area base col embed source track wbr param".split())
 #: A new one ends an open one of the same kind, up to the nearest of the tags named.
 ENDS = {"p": ("p", ()), "li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'){0,200}+)>")
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTR = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _ANNOTATION = re.compile(r"</(annotation(?:-xml)?|math)\s*>", re.I)
 _NAME = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
+#: Elements that are apart from the main text however much of a page they hold.
+_APART = frozenset("nav header footer aside menu".split())
+#: Features of ancestors that a block can have.
+MOST_FEATURES = 256
 ROUNDS, RATE, SHRINK = 6, 0.3, 1e-4
 
 
@@ -60,20 +67,96 @@ def _own(tag: str, attrs: str) -> tuple[frozenset[str], bool, frozenset[str]]:
     return frozenset(found), hidden, frozenset("near:" + f[5:] for f in found if f.startswith("name:"))
 
 
+def markup(page: str) -> Iterator[tuple[int, int, str, str, str, str]]:
+    """(start, end, slash, tag, attributes, text of a CDATA section) of each piece of mark-up; tag is empty but for tags. The search goes
+    on behind the last piece, or where ``send`` tells it to. A ``>`` in quotes doesn't end a tag, unless the quotes never end or come
+    by the hundred: then the first one does. Every place is looked at a bounded number of times."""
+    at, last, last_cdata, last_comment = 0, page.rfind(">"), page.rfind("]]>"), page.rfind("-->")
+    while 0 <= (start := page.find("<", at)) < last:
+        found = None
+        if page.startswith("<!--", start):
+            found = start, page.index("-->", start) + 3 if start < last_comment - 1 else len(page), "", "", "", ""
+        elif page.startswith("<![CDATA[", start) and start < last_cdata:
+            end = page.index("]]>", start) + 3
+            found = start, end, "", "", "", page[start + 9 : end - 3]
+        elif page[start + 1 : start + 2] in ("!", "?"):
+            found = start, page.index(">", start) + 1, "", "", "", ""
+        elif m := _TAG.match(page, start) or _PLAIN_TAG.match(page, start):
+            found = start, m.end(), m[1], m[2].lower(), m[3], ""
+        at = start + 1
+        if found:
+            at = (yield found) or found[1]
+    if (start := page.find("<!--", at)) >= 0:  # a comment that never ends
+        yield start, len(page), "", "", "", ""
+
+
+class _Open:
+    """The open elements, with the places of each tag among them, and all elements of the page: (parent, tag, own features, own names)."""
+
+    def __init__(self):
+        self.tags, self.elements, self.hidden = [""], [0], [False]
+        self.places: dict[str, list[int]] = {}
+        self.parent, self.tag, self.own, self.names, self.chars = [0], [""], [frozenset()], [frozenset()], [0]
+
+    def nearest(self, *tags: str) -> int:
+        """Place of the innermost open element with one of the tags; 0 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def push(self, tag: str, own: frozenset[str], names: frozenset[str], hidden: bool) -> None:
+        self.places.setdefault(tag, []).append(len(self.tags))
+        self.parent.append(self.elements[-1])
+        self.elements.append(len(self.tag))
+        self.tags.append(tag)
+        self.hidden.append(self.hidden[-1] or hidden)
+        self.tag.append(tag)
+        self.own.append(own)
+        self.names.append(names)
+        self.chars.append(0)
+
+    def cut(self, place: int) -> None:
+        """Close the element at ``place`` and all inside it."""
+        for tag in self.tags[place:]:
+            self.places[tag].pop()
+        del self.tags[place:], self.elements[place:], self.hidden[place:]
+
+    def features(self) -> tuple[list[frozenset[str]], list[frozenset[str]]]:
+        """Per element the features of itself and its ancestors, and the names of the nearest named one.
+
+        What holds the page as a whole says nothing about its parts: html, body, the main element, or else an article with a third of
+        the page's text, everything around these, and any other element with 7 tenths of the text (menus and the like aside) count only
+        as the tags main or article, without names."""
+        chars = self.chars[:]
+        for e in range(len(chars) - 1, 0, -1):
+            chars[self.parent[e]] += chars[e]
+        whole = [t in ("", "html", "body") or (10 * c >= 7 * chars[0] and t not in _APART) for t, c in zip(self.tag, chars)]
+        mains = [e for e, t in enumerate(self.tag) if t == "main"] or [e for e, t in enumerate(self.tag) if t == "article" and 3 * chars[e] >= chars[0]]
+        e = max(mains, key=lambda e: chars[e], default=0)
+        while e:
+            whole[e] = True
+            e = self.parent[e]
+        all_of, near = [frozenset()], [frozenset()]
+        for e in range(1, len(chars)):
+            up = all_of[self.parent[e]]
+            own = frozenset({"in:" + self.tag[e]} & {"in:main", "in:article"}) if whole[e] else self.own[e]
+            all_of.append(up if own <= up or len(up) > MOST_FEATURES else up | own)
+            near.append(near[self.parent[e]] if whole[e] or not self.names[e] else self.names[e])
+        return all_of, near
+
+
 def blocks(page: str | None) -> list[tuple[str, list[str]]]:
     """(text, features) of each leaf block of a page, in order."""
     page = page or ""
-    # open elements: (tag, features with those of its ancestors, hidden, names of the nearest named element)
-    stack: list[tuple[str, frozenset[str], bool, frozenset[str]]] = [("", frozenset(), False, frozenset())]
-    out: list[tuple[str, list[str]]] = []
+    here = _Open()
+    out: list[tuple[str, int, str, list[str]]] = []
     parts: list[str] = []
     linked = linked_chars = 0
+    no_end = False  # no further end tag of an annotation
     memo: dict[tuple, tuple] = {}
 
     def say(text: str) -> None:
         """Text of the page; but for blanks it ends an open head."""
-        if stack[-1][0] == "head" and not text.isspace():
-            stack.pop()
+        if here.tags[-1] == "head" and not text.isspace():
+            here.cut(len(here.tags) - 1)
         parts.append(text)
 
     def flush() -> None:
@@ -81,86 +164,85 @@ def blocks(page: str | None) -> list[tuple[str, list[str]]]:
         if parts:
             raw = "".join(parts)
             text = " ".join((_html.unescape(raw) if "&" in raw else raw).split())
-            if text and not stack[-1][2]:
-                out.append((text, [*stack[-1][1], *stack[-1][3], "tag:" + stack[-1][0], *_text_features(text, min(1.0, linked_chars / max(1, len(raw))))]))
+            if text and not here.hidden[-1]:
+                here.chars[here.elements[-1]] += len(text)
+                out.append((text, here.elements[-1], "tag:" + here.tags[-1], _text_features(text, min(1.0, linked_chars / max(1, len(raw))))))
             parts.clear()
         linked_chars = 0
 
     at, length = 0, len(page)
-    for m in iter(lambda: _MARKUP.search(page, at), None):
-        if m.start() > at:
-            say(page[at : m.start()])
+    scan = markup(page)
+    found = next(scan, None)
+    while found:
+        start, end, slash, tag, attrs, cdata = found
+        if start > at:
+            say(page[at:start])
             if linked:
-                linked_chars += m.start() - at
-        at = m.end()
-        tag = (m[2] or "").lower()
+                linked_chars += start - at
+        at = end
         if not tag:
-            if m[0].startswith("<![CDATA["):
-                say(m[0][9:-3])
+            if cdata:
+                say(cdata)
+            found = next(scan, None)
             continue
-        if not m[1] and tag not in IN_HEAD:
-            if stack[-1][0] == "head":
-                stack.pop()
-            elif tag == "body":
-                head = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] in ("head", "template")), 0)
-                if stack[head][0] == "head":
-                    flush()
-                    del stack[head:]
+        if not slash and tag not in IN_HEAD:
+            if here.tags[-1] == "head":
+                here.cut(len(here.tags) - 1)
+            elif tag == "body" and (head := here.nearest("head")) > here.nearest("template"):
+                flush()
+                here.cut(head)
         if tag == "br":
             parts.append(" ")
-            continue
-        if m[1]:  # an end tag
+        elif slash:  # an end tag
             if tag == "a":
                 linked = 0
             elif tag in BLOCK or tag in HIDDEN:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        flush()
-                        del stack[k:]
-                        break
-                else:
-                    flush()
-            continue
-        if tag == "a":
+                flush()
+                if place := here.nearest(tag):
+                    here.cut(place)
+        elif tag == "a":
             linked = 1
         elif tag in ("annotation", "annotation-xml"):
-            end = _ANNOTATION.search(page, at)
-            if end and not m[3].endswith("/"):
-                at = end.end() if end[1].lower() == tag else end.start()
+            stop = None if attrs.endswith("/") or no_end else _ANNOTATION.search(page, at)
+            no_end = no_end or stop is None and not attrs.endswith("/")
+            if stop:
+                at = stop.end() if stop[1].lower() == tag else stop.start()
         elif tag in VOID:
             if tag == "hr":
                 flush()
         elif tag in BLOCK or tag in HIDDEN:
             flush()
             linked = 0
-            if tag in ENDS:
-                same, until = ENDS[tag][0].split(), ENDS[tag][1]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in same:
-                        del stack[k:]
-                        break
-                    if stack[k][0] in until or (tag == "p" and stack[k][0] != "p"):
-                        break
-            elif len(stack) > 1 and stack[-1][0] == "p":
-                stack.pop()
-            if (key := (tag, m[3])) not in memo:
-                memo[key] = _own(tag, m[3])
-            own, hidden, near = memo[key]
-            up = stack[-1]
-            if not m[3].endswith("/"):
-                stack.append((tag, up[1] if own <= up[1] else up[1] | own, up[2] or hidden, near or up[3]))
+            if tag == "p" or tag not in ENDS:
+                if here.tags[-1] == "p":
+                    here.cut(len(here.tags) - 1)
+            else:
+                place = here.nearest(*ENDS[tag][0].split())
+                if place > here.nearest(*ENDS[tag][1]):
+                    here.cut(place)
+            if (key := (tag, attrs)) not in memo:
+                memo[key] = _own(tag, attrs)
+            own, hidden, names = memo[key]
+            up_hidden = here.hidden[-1]
+            if not attrs.endswith("/"):
+                here.push(tag, own, names, hidden)
             if tag in RAW:
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                if not up[2] and not hidden:
-                    parts.append(page[at : end.start() if end else length])
+                stop = _RAW_END[tag].search(page, at)
+                if not up_hidden and not hidden:
+                    parts.append(page[at : stop.start() if stop else length])
                     flush()
-                at = end.end() if end else length
-                if stack[-1][0] == tag:
-                    stack.pop()
+                at = stop.end() if stop else length
+                if here.tags[-1] == tag:
+                    here.cut(len(here.tags) - 1)
+        try:
+            found = scan.send(at)
+        except StopIteration:
+            found = None
     if at < length:
         say(page[at:])
     flush()
-    return out
+    all_of, near = here.features()
+    return [(text, [*all_of[e], *near[e], tag, *more]) for text, e, tag, more in out]
 
 
 def _text_features(text: str, linked: float) -> list[str]:
