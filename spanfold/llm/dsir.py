@@ -2,9 +2,9 @@
 
 Two generative models over hashed n-grams (words and word pairs in ``BUCKETS`` buckets) are counted:
 one over the target text and one over all raw text. A document's log weight is the sum over its
-n-grams of log(target share / raw share), per ``PER`` n-grams, so that long and short documents compare;
-with a Gumbel number drawn by a keyed hash of its id added, the ``share`` of all documents with the
-largest sums is a sample without replacement in proportion to the weights (Gumbel top-k).
+n-grams of log(target share / raw share), the log ratio of the two models; with a Gumbel number drawn by
+a keyed hash of its id added, the ``share`` of all documents with the largest sums is a sample without
+replacement in proportion to the ratios (Gumbel top-k).
 
 The raw model counts every document. The target documents are a documented, bounded sample: the
 ``TARGETS`` ids with the smallest key hash among those given as target. The cut for the top k is
@@ -12,7 +12,7 @@ found exactly by counting scores per bin and refining the bin that holds it; not
 whole or collected.
 
 Defined results: null or blank text has no n-grams and log weight 0; ties at the cut go to the
-smaller id; without target documents both models are equal and the sample is uniform; repeated rows
+smaller id, null last, and among rows of one id to the earlier one, so that exactly ``share`` of all rows is kept; without target documents both models are equal and the sample is uniform; repeated rows
 get the same score; an empty table gives no rows.
 """
 
@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanfold.llm.common import key_hash, written
+from spanfold.llm.common import fresh, key_hash, written
 from spanfold.llm.words import hashed_words, scramble
 
-BUCKETS, TARGETS, PER, SMOOTH = 1 << 16, 20_000, 100, 1.0
+BUCKETS, TARGETS, SMOOTH = 1 << 16, 20_000, 1.0
 BINS = 4096
 
 
@@ -78,7 +78,7 @@ def weights(docs: DataFrame, ratio: np.ndarray, id_col: str, text_col: str) -> D
                 rows = len(bounds) - 1
                 n[first : first + rows] = np.bincount(row, minlength=rows)
                 total[first : first + rows] = np.bincount(row, weights=ratio[bucket], minlength=rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total * PER / np.maximum(n, PER))], names=[id_col, "n_grams", "log_weight"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total)], names=[id_col, "n_grams", "log_weight"])
 
     return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` long, n_grams long, log_weight double")
 
@@ -89,8 +89,9 @@ def gumbel(id_col: str, seed: int) -> Column:
     return -F.log(-F.log(u))
 
 
-def top_k(rows: DataFrame, k: int, score: str, tie: str) -> Column:
-    """Is a row among the ``k`` with the largest score (ties: smallest ``tie``)? Refines one bin after another."""
+def top_k(rows: DataFrame, k: int, score: str, tie: str, number: str) -> Column:
+    """Is a row among the ``k`` with the largest score? Ties: smallest ``tie``, null last, then smallest ``number`` (different
+    in every row), so exactly ``k`` rows are. Refines one bin after another."""
     low, high, total = rows.agg(F.min(score), F.max(score), F.count("*")).first()
     if k >= (total or 0):
         return F.lit(True)
@@ -109,13 +110,20 @@ def top_k(rows: DataFrame, k: int, score: str, tie: str) -> Column:
         if (r["lo"], r["hi"]) == (low, high):  # equal up to rounding
             break
         low, high = r["lo"], r["hi"]
-    # the rows left are equal in score: the smallest ids among them fill the rest
+    # the rows left are equal in score: the smallest ids among them, then row numbers, fill the rest
     need = k - above
-    tied = rows.where((value >= low) & (value <= high)).select(tie).orderBy(F.col(tie).asc_nulls_last())
-    if tied.count() == need:
-        return value >= low
-    last = _nth(tied, tie, need)
-    return (value > high) | ((value >= low) & (F.col(tie) <= last))
+    tied = rows.where((value >= low) & (value <= high))
+    known = tied.where(F.col(tie).isNotNull())
+    n_known = known.count()
+    if need <= n_known:
+        last = _nth(known, tie, need)
+        same = F.col(tie) == last
+        first, need = F.col(tie) < last, need - known.where(F.col(tie) < last).count()
+    else:
+        same = F.col(tie).isNull()
+        first, need = F.col(tie).isNotNull(), need - n_known
+    rest = same & (F.col(number) <= _nth(tied.where(same), number, need)) if need else F.lit(False)
+    return F.coalesce((value > high) | ((value >= low) & (first | rest)), F.lit(False))
 
 
 def _nth(rows: DataFrame, col: str, n: int) -> int:
@@ -135,5 +143,7 @@ def resample(docs: DataFrame, targets: DataFrame, share: float, id_col: str = "d
     ids = targets.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
     chosen = [r["id"] for r in ids.orderBy(key_hash(F.col("id")), "id").limit(TARGETS).collect()]
     ratio = models(docs, chosen, id_col, text_col)
-    rows = written(weights(docs, ratio, id_col, text_col).withColumn("score", F.col("log_weight") + gumbel(id_col, seed)), "dsir_scores")
-    return rows.withColumn("kept", top_k(rows, round(share * rows.count()), "score", id_col))
+    scored = weights(docs, ratio, id_col, text_col).withColumn("score", F.col("log_weight") + gumbel(id_col, seed))
+    number = fresh(scored, "_number")[0]
+    rows = written(scored.withColumn(number, F.monotonically_increasing_id()), "dsir_scores")
+    return rows.withColumn("kept", top_k(rows, round(share * rows.count()), "score", id_col, number)).drop(number)

@@ -365,17 +365,43 @@ def test_weights_match_brute_force(spark, docs, monkeypatch):
             if k:
                 pair = words.scramble(np.array([(hashes[k - 1].item() * 0x9E3779B97F4A7C15 + h) % 2**64], np.uint64))[0].item()
                 n, total = n + 1, total + ratio[pair % dsir.BUCKETS]
-        assert got[r["doc_id"]]["n_grams"] == n and math.isclose(got[r["doc_id"]]["log_weight"], total * dsir.PER / max(n, dsir.PER), abs_tol=1e-6)
+        assert got[r["doc_id"]]["n_grams"] == n and math.isclose(got[r["doc_id"]]["log_weight"], total, rel_tol=1e-9, abs_tol=1e-6)
 
 
 @pytest.mark.parametrize("k", [0, 1, 7, 150, 299, 300, 301])
 def test_top_k_with_ties(spark, k):
     rows = spark.range(300).select("id", ((F.col("id") * 7919 % 300 / 30).cast("int").cast("double") ** 3).alias("v"))
-    got = {r["id"] for r in rows.where(dsir.top_k(rows, k, "v", "id")).collect()}
+    got = {r["id"] for r in rows.where(dsir.top_k(rows, k, "v", "id", "id")).collect()}
     want = sorted(rows.collect(), key=lambda r: (-r["v"], r["id"]))[:k]
     assert got == {r["id"] for r in want}
 
 
+@pytest.mark.parametrize("k", range(0, 14))
+def test_top_k_keeps_exactly_k_of_null_and_repeated_ids(spark, k):
+    data = [(None, 1.0), (None, 1.0), (7, 1.0), (7, 1.0), (7, 1.0), (3, 1.0), (None, 2.0), (9, 0.0), (9, 0.0), (None, 0.0), (None, 0.0), (2, 1.0), (8, 2.0)]
+    rows = spark.createDataFrame([(i, v, n) for n, (i, v) in enumerate(data)], "id long, v double, n long")
+    got = sorted(r["n"] for r in rows.where(dsir.top_k(rows, k, "v", "id", "n")).collect())
+    want = sorted(range(len(data)), key=lambda n: (-data[n][1], data[n][0] is None, data[n][0] or 0, n))[:k]
+    assert got == sorted(want)
+
+
+def test_resampling_with_repeated_and_null_ids(spark):
+    for ids in ([7] * 6 + [1], [None] * 6 + [1]):
+        docs = spark.createDataFrame([(i, "same words here", 0) for i in ids], "doc_id long, text string, _number int")
+        got = dsir.resample(docs, spark.createDataFrame([(1,)], "doc_id long"), 0.5).collect()
+        assert len(got) == 7 and sum(r["kept"] for r in got) == 4
+
+
+def test_first_draw_follows_the_weights(spark):
+    """The largest of log weight plus Gumbel number is each row in proportion to its weight."""
+    share = [0.5, 0.25, 0.15, 0.1]
+    rows = spark.range(4 * 4000).withColumn("g", F.col("id") % 4000)
+    rows = rows.withColumn("w", F.element_at(F.array(*[F.lit(math.log(x)) for x in share]), F.floor(F.col("id") / 4000).cast("int") + 1) + dsir.gumbel("id", 5))
+    best = rows.groupBy("g").agg(F.max_by("id", "w").alias("id")).groupBy(F.floor(F.col("id") / 4000).alias("k")).count().collect()
+    for r in best:
+        assert abs(r["count"] / 4000 - share[r["k"]]) < 0.03
+
+
 def test_resampling_prefers_target(spark):
     got = queries.op6_importance_resampling(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").collect()
     rate = lambda q: (lambda x: sum(x) / len(x))([r["kept"] for r in got if r["quality"] == q])
