@@ -39,7 +39,7 @@ UNKNOWN = "und"
 #: Documents are parsed side by side until fewer lanes than this are left.
 LANES = 256
 #: Characters parsed side by side at once.
-TOGETHER = 1 << 25
+TOGETHER = 1 << 23
 _SPREAD = 0x9E3779B97F4A7C15
 _TABLES: dict = {}
 
@@ -284,12 +284,11 @@ def predict(docs: DataFrame, model: dict[str, str], id_col: str = "doc_id", text
 
 
 def keep_identified(docs: DataFrame, model: dict[str, str], text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with a language, columns unchanged; row-local, nothing is shuffled."""
-    at = docs.columns.index(text_col)
+    """The rows of ``docs`` with a language, columns unchanged; row-local, nothing is shuffled. Only texts go to Python, and one flag a row
+    comes back."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs, _ = identify(batch.column(at), model)
-            yield batch.filter(pa.array([lang != UNKNOWN for lang in langs], pa.bool_()))
+    @F.arrow_udf("boolean")
+    def known(texts: pa.Array) -> pa.Array:
+        return pa.array([lang != UNKNOWN for lang in identify(texts, model)[0]], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(known(F.col(text_col).cast("string")))

@@ -8,7 +8,7 @@ with probability (1 - (1 - 0.75**2)**12)**2 = 0.9999. Candidates are confirmed o
 nothing but that chance is approximate.
 
 How the work stays linear and spread:
-* documents with equal sets form a class; only one representative per class goes on;
+* documents with equal sets form a class, known by a number; only its first row's text goes on;
 * a pair key can only repeat where both of its halves repeat, so halves (24 rows a document) are
   counted first and only repeated halves are combined into pair keys;
 * a bucket's members go to the group of its smallest member, its lead, once per lead: two documents
@@ -22,8 +22,8 @@ How the work stays linear and spread:
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` after lowering A-Z; with fewer than five words the
 whole sequence is one shingle; without words or with null text the set is empty and the document
-is linked with nothing; repeated rows of an id count as one class member each; empty tables give
-no rows. Ids must not be null (rows with a null id are returned unlinked).
+is linked with nothing; texts under one id are one document, so they link what each of them links;
+rows with a null id are returned unlinked; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ SHINGLE = 5
 HALVES, PER_HALF = 12, 2
 BLOCK_DOCS, BLOCK_SHINGLES = 1500, 300_000
 _HASHES = 2 * HALVES * PER_HALF
-_SKETCH = "id long, n_shingles long, set_hash binary, halves array<long>"
+_SKETCH = "id long, text_hash long, n_shingles long, set_hash binary, halves array<long>"
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -74,7 +74,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         for batch in batches:
             ns, sets, halves = [], [], []
-            for s in shingle_sets(batch.column(1)):
+            for s in shingle_sets(batch.column(2)):
                 ns.append(len(s))
                 sets.append(xxhash.xxh3_128_digest(s.tobytes()))
                 m = minhashes(s) if len(s) else None
@@ -87,11 +87,11 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                             key = scramble(key * np.uint64(0x9E3779B97F4A7C15) + part)
                     halves.append(key.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ns, pa.int64()), pa.array(sets, pa.binary()), pa.array(halves, pa.list_(pa.int64()))],
-                names=["id", "n_shingles", "set_hash", "halves"],
+                [batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(sets, pa.binary()), pa.array(halves, pa.list_(pa.int64()))],
+                names=["id", "text_hash", "n_shingles", "set_hash", "halves"],
             )
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, _SKETCH)
+    return _texts(docs, id_col, text_col).mapInArrow(run, _SKETCH)
 
 
 def lead_groups(reps: DataFrame) -> DataFrame:
@@ -108,8 +108,8 @@ def lead_groups(reps: DataFrame) -> DataFrame:
     return written(keys.join(leads, "key").select("lead", "id").distinct(), "near_groups")
 
 
-def full_sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, shingles`` of the documents in ``ids``."""
+def full_sets(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, shingles`` of the classes in ``wanted`` (id, rep, text_hash), from the text of each one's first row."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,9 +118,21 @@ def full_sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> Da
                 found = pa.array([s.view(np.int64) for s in shingle_sets(part.column(1))], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), found], names=["id", "shingles"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.join(ids.select("id").hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"])
-    return texts.mapInArrow(sets, "id long, shingles array<long>")
+    texts = _texts(docs, id_col, text_col).withColumnsRenamed({"id": "_id", "text_hash": "_hash"})
+    mine = (F.col("_id") == F.col("rep")) & (F.col("_hash") == F.col("text_hash"))
+    found = texts.join(wanted.hint("shuffle_hash"), mine).select("id", "text").mapInArrow(sets, "id long, shingles array<long>")
+    found = written(found, "near_sets")
+    # a row that is repeated as a whole came more than once
+    again = written(found.groupBy("id").count().where("count > 1").select("id"), "near_again")
+    if again.isEmpty():
+        return found
+    return found.join(again, "id", "left_anti").unionByName(found.join(again, "id", "left_semi").dropDuplicates(["id"]))
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, text_hash, text`` of the documents."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
 def common_shingles(sets: list[np.ndarray]) -> np.ndarray:
@@ -198,20 +210,46 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
+def set_classes(sketch: DataFrame) -> DataFrame:
+    """One row for each different set: ``id`` (a number), ``set_hash, n_shingles, halves, rows``, and its first row (smallest id):
+    ``rep, text_hash``."""
+    first = F.min(F.struct("id", "text_hash")).alias("row")
+    classes = sketch.where("n_shingles > 0 and id is not null").groupBy("set_hash", "n_shingles").agg(first, F.first("halves").alias("halves"), F.count("*").alias("rows"))
+    numbered = classes.select(F.monotonically_increasing_id().alias("id"), "set_hash", "n_shingles", "halves", "rows", F.col("row.id").alias("rep"), "row.text_hash")
+    return written(numbered, "near_classes")
+
+
+def same_document(sketch: DataFrame, classes: DataFrame) -> DataFrame:
+    """``a, b``: classes that hold texts of one id."""
+    which = F.xxhash64("set_hash", "n_shingles")
+    rows = sketch.where("n_shingles > 0 and id is not null").select(F.col("id").alias("doc"), "set_hash", "n_shingles")
+    several = rows.groupBy("doc").agg(F.min(which).alias("low"), F.max(which).alias("high")).where("low < high").select("doc")
+    held = rows.join(several, "doc", "left_semi").join(classes.select("id", "set_hash", "n_shingles"), ["set_hash", "n_shingles"]).select("doc", "id").distinct()
+    return held.join(held.groupBy("doc").agg(F.min("id").alias("a")), "doc").where("id <> a").select("a", F.col("id").alias("b"))
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 75) -> DataFrame:
     """``id, n_shingles, component_id, kept`` for every row of ``docs``."""
     sketch = written(sketches(docs, id_col, text_col), "near_sketch")
-    members = sketch.where("n_shingles > 0 and id is not null")
-    classes = members.groupBy("set_hash", "n_shingles").agg(F.min("id").alias("rep"))
-    classed = members.join(classes, ["set_hash", "n_shingles"]).select("id", "rep", "halves")
-    classed = written(classed, "near_classes")
-    reps = classed.where("id = rep").select("id", "halves").dropDuplicates(["id"])
-    groups = lead_groups(reps)
-    full = written(full_sets(groups.select("id").distinct(), docs, id_col, text_col), "near_sets")
-    comp = components(written(group_links(groups, full, threshold), "near_links"))
-
-    found = classed.select("id", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-    found = found.select(F.col("id").alias("_fid"), F.coalesce("comp", "rep").alias("_comp")).groupBy("_fid").agg(F.min("_comp").alias("_comp"))
-    out = sketch.select("id", "n_shingles").join(found, F.col("id") == F.col("_fid"), "left")
-    comp_id = F.when(F.col("n_shingles") > 0, F.coalesce("_comp", "id")).otherwise(F.col("id"))
+    classes = set_classes(sketch)
+    groups = lead_groups(classes.select("id", "halves"))
+    wanted = classes.select("id", "rep", "text_hash").join(groups.select("id").distinct(), "id", "left_semi")
+    full = full_sets(wanted, docs, id_col, text_col)
+    links = group_links(groups, full, threshold).unionByName(same_document(sketch, classes))
+    comp = components(written(links, "near_links"))
+
+    linked = classes.select("id", "rep").join(comp, "id")
+    least = linked.groupBy("comp").agg(F.min("rep").alias("least"))
+    linked = linked.join(least, "comp").select("id", "least")
+    key = ["set_hash", "n_shingles"]
+    labels = classes.select("id", *key, "rep", "rows").join(linked, "id", "left").select(*key, "rows", F.coalesce("least", "rep").alias("_comp"), F.lit(True).alias("_known"))
+    labels = written(labels, "near_labelled")
+
+    rows = sketch.select("id", *key)
+    # at most 1,000 classes hold a thousandth of the rows each; theirs are told to every task, the others' go by a shuffle
+    large = labels.where(F.col("rows") * 1000 >= rows.count()).drop("rows")
+    told = rows.join(F.broadcast(large), key, "left")
+    rest = told.where("_known is null").drop("_comp", "_known").join(labels.drop("rows"), key, "left")
+    out = told.where("_known").unionByName(rest)
+    comp_id = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("_comp")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", comp_id.alias("component_id"), F.col("id").eqNullSafe(comp_id).alias("kept"))

@@ -87,6 +87,23 @@ def test_near_dedup_large_group_and_edges(spark):
     assert near_dedup.near_dedup(odd.limit(0)).collect() == []
 
 
+def test_near_dedup_of_ids_with_several_texts(spark):
+    """Texts under one id are one document: it links what each of them links, in whatever order the rows come."""
+    words = [f"w{k}" for k in range(300)]
+    base, other, third = " ".join(words[:100]), " ".join(words[100:200]), " ".join(words[200:])
+    near = base + " end"
+    cases = [
+        [(5, other), (5, near), (9, base)], [(5, near), (5, other), (9, base)], [(5, near), (5, other), (8, other + " k"), (9, base)],
+        [(7, base), (7, base), (4, near), (4, near), (6, third)], [(1, third), (2, base), (2, third + " x"), (3, near), (3, ""), (8, None), (8, third)],
+    ]
+    for data in cases:
+        for rows in (data, data[::-1]):
+            got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+            want = brute_near(rows)
+            comp = [(d, len(shingles(t)), want[d][1] if shingles(t) else d) for d, t in rows]  # a row without words is linked with nothing
+            assert Counter(tuple(r) for r in got) == Counter((*c, c[0] == c[2]) for c in comp)
+
+
 def test_pair_meets_in_a_table():
     """At the threshold a pair shares a left and a right half nearly always."""
     rng = np.random.default_rng(0)
