@@ -28,6 +28,8 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    # executors give up a finished stream's stores at the next round of maintenance, by default after a minute
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
     # many small stores: no 4 MB set aside on disk for each one's manifest
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
@@ -76,7 +78,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "_id",
         digest(norm).alias("_key"),
         F.length(F.coalesce("_text", F.lit(""))).cast("long").alias("_chars"),
-        (-F.col("_id")).alias("_neg_id"),
+        F.bitwise_not("_id").alias("_neg_id"),
         F.input_file_name().alias("_at"),
     ).write.parquet(path)
     facts = spark.read.parquet(path)
@@ -97,9 +99,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one = Window.partitionBy("_id", "_key").orderBy("_at")
     return found.select(
         F.col("_id").alias(id_col),
-        (-F.col("_top._neg_id")).alias("keep_id"),
+        F.bitwise_not("_top._neg_id").alias("keep_id"),
         F.col("_rows").alias("group_size"),
-        (F.col("_id").eqNullSafe(-F.col("_top._neg_id")) & (F.row_number().over(one) == 1)).alias("kept"),
+        (F.col("_id").eqNullSafe(F.bitwise_not("_top._neg_id")) & (F.row_number().over(one) == 1)).alias("kept"),
         F.col("_key").alias("digest"),
     )
 
@@ -109,5 +111,5 @@ def _by_bytes(docs: DataFrame, clash: DataFrame, digest) -> DataFrame:
     norm = normalised(F.col("_text"))
     rows = docs.select("_id", norm.alias("_norm"), digest(norm).alias("_key"), F.length(F.coalesce("_text", F.lit(""))).cast("long").alias("_chars"), F.input_file_name().alias("_at"))
     rows = rows.join(clash, "_key")
-    groups = rows.groupBy("_key", "_norm").agg(F.max(F.struct("_chars", (-F.col("_id")).alias("_neg_id"))).alias("_top"), F.count("*").alias("_rows"))
+    groups = rows.groupBy("_key", "_norm").agg(F.max(F.struct("_chars", F.bitwise_not("_id").alias("_neg_id"))).alias("_top"), F.count("*").alias("_rows"))
     return rows.join(groups, ["_key", "_norm"]).select("_key", "_id", "_at", "_top", "_rows")

@@ -39,7 +39,7 @@ UNKNOWN = "und"
 #: Documents are parsed side by side until fewer lanes than this are left.
 LANES = 256
 #: Characters parsed side by side at once.
-TOGETHER = 1 << 23
+TOGETHER = 1 << 25
 _SPREAD = 0x9E3779B97F4A7C15
 _TABLES: dict = {}
 

@@ -40,7 +40,7 @@ from spanfold.llm.common import written
 
 GROUP_PIECES = 20_000
 #: A worker's memory of units is emptied when it holds this many.
-UNITS_KEPT = 800_000
+UNITS_KEPT = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _OTHER_BLANK = re.compile(r"[^\S \n]")
 _WORKER: dict[str, UnitEncoder] = {}

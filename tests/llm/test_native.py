@@ -179,3 +179,9 @@ def test_chat_parts_and_edges(spark):
     assert one["expanded_tokens"] == 3044 and "<|image|><|audio|><|document|>" in one["formatted"] and one["formatted"].count(chat.END) == 2
     assert got[None]["formatted"] == chat.TURN + chat.TEXT + chat.END and got[2]["loss_spans"][0]["len"] == 0
     assert chat.format_chats(df.limit(0)).collect() == []
+
+
+def test_exact_dedup_of_the_smallest_and_largest_ids(spark):
+    rows = [(-(2**63), "a b"), (2**63 - 1, "ab"), (0, "a b"), (-1, "c"), (None, "c")]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["keep_id"], r["kept"]) for r in got} == {(-(2**63), -(2**63), True), (2**63 - 1, -(2**63), False), (0, -(2**63), False), (-1, -1, True), (None, -1, False)}
