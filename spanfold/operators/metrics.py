@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from spanfold.operators.spans import BLOCK, normalize_spans, split_blocks
 from spanfold.operators.tokens import overlap_join
+from spanfold.session import written
+
+#: Rows of a range of scores that one task ranks, and the most ranges.
+RANGE_ROWS, MAX_RANGES = 1 << 20, 4096
 
 
 def prf_columns(n_pred: Column, n_gold: Column, n_inter: Column) -> list[Column]:
@@ -157,26 +161,29 @@ def token_f1(tokens: DataFrame, keys=("doc_id",), label: str = "label", pred: st
 
 
 def classification_metrics(df: DataFrame, label: str = "label", score: str = "score", threshold: float = 0.5) -> DataFrame:
-    """F1, precision, recall, accuracy (score > threshold), ROC-AUC (average ranks), MSE.
+    """F1, precision, recall, accuracy (score > threshold), ROC-AUC (average ranks), MSE; rows without
+    label or score (null or NaN) don't count.
 
-    AUC is the Mann-Whitney statistic from average ranks. Ranks need a global prefix
-    count; it is computed in two levels so no task sees all scores: distinct scores
-    are cut into ``buckets`` equal-width score buckets (a bounded table whose prefix
-    is one small window), then prefixed inside each bucket.
+    Everything follows from one table, a row per distinct score with its counts, which is written once
+    (the input is derived once). AUC is the Mann-Whitney statistic from average ranks, see ``score_ranks``.
     """
     d = df.select(F.col(label).cast("int").alias("y"), F.col(score).cast("double").alias("s"))
-    d = d.withColumn("p", F.when(F.col("s") > F.lit(threshold), 1).otherwise(0))
-    ranks = _score_ranks(d)
-    auc_part = ranks.agg(F.sum(F.col("avg_rank") * F.col("pos")).alias("rank_sum_pos"))
-    m = d.agg(
-        F.sum(F.when((F.col("y") == 1) & (F.col("p") == 1), 1).otherwise(0)).alias("tp"),
-        F.sum(F.when((F.col("y") == 0) & (F.col("p") == 1), 1).otherwise(0)).alias("fp"),
-        F.sum(F.when((F.col("y") == 1) & (F.col("p") == 0), 1).otherwise(0)).alias("fn"),
-        F.sum(F.when((F.col("y") == 0) & (F.col("p") == 0), 1).otherwise(0)).alias("tn"),
-        F.sum("y").alias("n_pos"),
-        F.count("*").alias("n"),
-        F.avg((F.col("s") - F.col("y")) * (F.col("s") - F.col("y"))).alias("mse"),
-    ).crossJoin(auc_part)
+    d = d.where(F.col("y").isNotNull() & F.col("s").isNotNull() & ~F.isnan("s"))
+    missed = (F.col("s") - F.col("y")) * (F.col("s") - F.col("y"))
+    ties = d.groupBy("s").agg(
+        F.count("*").alias("c"), F.sum("y").alias("pos"), F.count_if(F.col("y") == 1).alias("c1"), F.count_if(F.col("y") == 0).alias("c0"), F.sum(missed).alias("err")
+    )
+    ranks = score_ranks(written(ties, "score_ties"))
+    said = F.col("s") > F.lit(threshold)
+
+    def total(name, when=None):
+        x = F.col(name) if when is None else F.when(when, F.col(name)).otherwise(0)
+        return F.coalesce(F.sum(x), F.lit(0))
+
+    m = ranks.agg(
+        total("c1", said).alias("tp"), total("c0", said).alias("fp"), total("c1", ~said).alias("fn"), total("c0", ~said).alias("tn"),
+        total("pos").alias("n_pos"), total("c").alias("n"), F.sum("err").alias("err"), F.sum(F.col("avg_rank") * F.col("pos")).alias("rank_sum_pos"),
+    )
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     n_pos = F.col("n_pos")
     n_neg = F.col("n") - n_pos
@@ -184,24 +191,43 @@ def classification_metrics(df: DataFrame, label: str = "label", score: str = "sc
         F.when(2 * tp + fp + fn > 0, 2.0 * tp / (2 * tp + fp + fn)).otherwise(0.0).alias("f1"),
         F.when(tp + fp > 0, tp / (tp + fp)).otherwise(0.0).alias("precision"),
         F.when(tp + fn > 0, tp / (tp + fn)).otherwise(0.0).alias("recall"),
-        ((tp + tn) / F.col("n")).alias("accuracy"),
+        F.when(F.col("n") > 0, (tp + tn) / F.col("n")).alias("accuracy"),
         F.when((n_pos > 0) & (n_neg > 0), (F.col("rank_sum_pos") - n_pos * (n_pos + 1) / 2.0) / (n_pos * n_neg)).alias("roc_auc"),
-        F.col("mse"),
+        F.when(F.col("n") > 0, F.col("err") / F.col("n")).alias("mse"),
     )
 
 
-def _score_ranks(d: DataFrame, buckets: int = 1024) -> DataFrame:
-    """Distinct scores ``s`` with count ``c``, positives ``pos`` and average rank of the ties."""
-    ranks = d.groupBy("s").agg(F.count("*").alias("c"), F.sum("y").alias("pos"))
-    rng = ranks.agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
-    width = F.col("hi") - F.col("lo")
-    b = F.when(width > 0, F.least(F.floor((F.col("s") - F.col("lo")) / width * buckets), F.lit(buckets - 1))).otherwise(0)
-    ranks = ranks.crossJoin(F.broadcast(rng)).withColumn("b", b.cast("int")).drop("lo", "hi")
-    # level 1: at most `buckets` rows, prefix over them in one small window
-    tot = ranks.groupBy("b").agg(F.sum("c").alias("bc"))
-    tot = tot.withColumn("b_below", F.coalesce(F.sum("bc").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # level 2: prefix inside each bucket
-    w = Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = ranks.join(F.broadcast(tot.select("b", "b_below")), on="b").withColumn("below", F.col("b_below") + F.coalesce(F.sum("c").over(w), F.lit(0)))
+def score_ranges(ties: DataFrame, rows: int | None = None) -> DataFrame:
+    """``ties`` (a row per distinct score ``s``) with ``b``, the number of its range of scores.
+
+    The splitters are even quantiles of the distinct scores, from Spark's mergeable quantile sketch
+    at sixteen times the resolution of a range, so ranges hold about equally many rows however the
+    scores lie. There are a power of two of them, of about ``rows`` (``RANGE_ROWS``) rows and ``MAX_RANGES`` at most;
+    a row finds its range by binary search in the list of splitters."""
+    n, rows = ties.count(), rows or RANGE_ROWS
+    ranges = 1
+    while ranges < MAX_RANGES and ranges * rows < n:
+        ranges *= 2
+    if ranges == 1:
+        return ties.withColumn("b", F.lit(0))
+    shares = [k / ranges for k in range(1, ranges)]
+    cuts = ties.agg(F.percentile_approx("s", shares, 16 * ranges)).first()[0]
+    limits = F.array(*map(F.lit, cuts))
+    steps = F.array(*[F.lit(1 << j) for j in reversed(range(ranges.bit_length() - 1))])
+    b = F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.element_at(limits, low + step) < F.col("s"), low + step).otherwise(low))
+    return ties.withColumn("b", b)
+
+
+def score_ranks(ties: DataFrame, rows: int | None = None) -> DataFrame:
+    """``ties`` (a row per distinct score ``s``, ``c`` rows each) with ``avg_rank``, the average rank of the tied rows.
+
+    Ranks need a global prefix count. It has two levels, so no task sees all scores: the totals of the
+    ranges (at most ``MAX_RANGES`` rows) in one small window, and the rows inside each range."""
+    ranged = score_ranges(ties, rows)
+    total = ranged.groupBy("b").agg(F.sum("c").alias("_c"))
+    earlier = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    before = total.select("b", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.col("_before") + F.coalesce(F.sum("c").over(inside), F.lit(0))
     # average rank of tied scores = (rows below) + (ties + 1) / 2
-    return ranks.withColumn("avg_rank", F.col("below") + (F.col("c") + 1) / 2.0)
+    return ranged.join(F.broadcast(before), "b").withColumn("avg_rank", below + (F.col("c") + 1) / 2.0).drop("b", "_before")
