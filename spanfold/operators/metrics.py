@@ -168,12 +168,12 @@ def classification_metrics(df: DataFrame, label: str = "label", score: str = "sc
     (the input is derived once). AUC is the Mann-Whitney statistic from average ranks, see ``score_ranks``.
     """
     d = df.select(F.col(label).cast("int").alias("y"), F.col(score).cast("double").alias("s"))
-    d = d.where(F.col("y").isNotNull() & F.col("s").isNotNull() & ~F.isnan("s"))
     missed = (F.col("s") - F.col("y")) * (F.col("s") - F.col("y"))
     ties = d.groupBy("s").agg(
-        F.count("*").alias("c"), F.sum("y").alias("pos"), F.count_if(F.col("y") == 1).alias("c1"), F.count_if(F.col("y") == 0).alias("c0"), F.sum(missed).alias("err")
+        F.count("y").alias("c"), F.sum("y").alias("pos"), F.count_if(F.col("y") == 1).alias("c1"), F.count_if(F.col("y") == 0).alias("c0"), F.sum(missed).alias("err")
     )
-    ranks = score_ranks(written(ties, "score_ties"))
+    # the filter comes after the written table, as one before it would derive the score a second time
+    ranks = score_ranks(written(ties, "score_ties").where("c > 0 and s is not null and not isnan(s)"))
     said = F.col("s") > F.lit(threshold)
 
     def total(name, when=None):
