@@ -3,9 +3,10 @@
 The documents' (digest, stable id, code points, content locator) rows go through a Structured
 Streaming aggregation whose keyed state lives in RocksDB (on disk, checkpointed to the shared
 folder) and never expires: no watermark, no timeout. Per digest the state retains the best copy
-seen so far and the number of copies. ``availableNow`` runs it to the end of the input; the state
+seen so far (code points, id and the locator of its content: the file it was read from) and the number
+of copies. ``availableNow`` runs it to the end of the input; the state
 is then read with Spark's state data source. A digest with more than one row is a hit: the rows'
-whole normalised bytes are compared, and rows that share a digest but not their bytes are grouped
+whole normalised bytes, fetched by locator and id, are compared, and rows that share a digest but not their bytes are grouped
 by the bytes instead. Built-in functions only.
 
 Defined results: null text counts as empty; texts of white space only equal the empty text; ties on
@@ -46,7 +47,7 @@ def sha256(norm: Column) -> Column:
 
 def stream_state(facts: DataFrame, path: str) -> DataFrame:
     """Run the keyed stream over the written ``facts`` and return its final state:
-    ``_key, _top(n_chars, neg_id), _rows``."""
+    ``_key, _top(n_chars, neg_id, at), _rows``."""
     spark = facts.sparkSession
     ckpt = scratch_path(spark, "exact_dedup_state")
     old = {k: spark.conf.get(k, None) for k in STATE_CONF}
@@ -54,7 +55,7 @@ def stream_state(facts: DataFrame, path: str) -> DataFrame:
         for k, v in STATE_CONF.items():
             spark.conf.set(k, v)
         stream = spark.readStream.schema(facts.schema).parquet(path)
-        best = F.max(F.struct("_chars", "_neg_id")).alias("top")
+        best = F.max(F.struct("_chars", "_neg_id", "_at")).alias("top")
         state = stream.groupBy("_key").agg(best, F.count("*").alias("rows"))
         state.writeStream.format("noop").outputMode("update").option("checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination()
         back = spark.read.format("statestore").load(ckpt)
@@ -83,14 +84,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ).write.parquet(path)
     facts = spark.read.parquet(path)
     if facts.isEmpty():
-        groups = facts.select("_key", F.struct("_chars", "_neg_id").alias("_top"), F.lit(0).cast("long").alias("_rows")).limit(0)
+        groups = facts.select("_key", F.struct("_chars", "_neg_id", "_at").alias("_top"), F.lit(0).cast("long").alias("_rows")).limit(0)
     else:
         groups = written(stream_state(facts, path), "exact_dedup_groups")
     found = facts.select("_id", "_key", "_at").join(groups, "_key")
 
     # full bytes on hits: fetch the texts of rows whose digest came more than once
-    hits = found.where("_rows > 1").select(F.col("_id").alias("_hit"), "_key").distinct()
-    bytes_of = docs.join(hits.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_hit"))).select("_key", normalised(F.col("_text")).alias("_norm"))
+    hits = found.where("_rows > 1").select(F.col("_id").alias("_hit"), F.col("_at").alias("_in"), "_key").distinct()
+    placed = docs.withColumn("_at", F.input_file_name())
+    bytes_of = placed.join(hits.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_hit")) & (F.col("_at") == F.col("_in"))).select("_key", normalised(F.col("_text")).alias("_norm"))
     texts = bytes_of.groupBy("_key", "_norm").agg(F.count("*").alias("_n")).groupBy("_key").agg(F.count("*").alias("_texts"))
     clash = written(texts.where("_texts > 1").select("_key"), "exact_dedup_clash")
     if not clash.isEmpty():
@@ -111,5 +113,5 @@ def _by_bytes(docs: DataFrame, clash: DataFrame, digest) -> DataFrame:
     norm = normalised(F.col("_text"))
     rows = docs.select("_id", norm.alias("_norm"), digest(norm).alias("_key"), F.length(F.coalesce("_text", F.lit(""))).cast("long").alias("_chars"), F.input_file_name().alias("_at"))
     rows = rows.join(clash, "_key")
-    groups = rows.groupBy("_key", "_norm").agg(F.max(F.struct("_chars", F.bitwise_not("_id").alias("_neg_id"))).alias("_top"), F.count("*").alias("_rows"))
+    groups = rows.groupBy("_key", "_norm").agg(F.max(F.struct("_chars", F.bitwise_not("_id").alias("_neg_id"), "_at")).alias("_top"), F.count("*").alias("_rows"))
     return rows.join(groups, ["_key", "_norm"]).select("_key", "_id", "_at", "_top", "_rows")
