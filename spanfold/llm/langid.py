@@ -6,11 +6,13 @@ current place is one phrase, and the next phrase begins where it ends. With c ph
 characters and m characters of labelled text, the estimate is c * log2(m) / n bits a character, and
 the language with the smallest one wins (ties: the first by name).
 
-Training text is a documented, bounded sample: the ``SAMPLE_DOCS`` rows of each language with the
-smallest key hash, cut together to ``SAMPLE_CHARS`` characters a language, for the ``MAX_LANGS`` most
-frequent languages. Predictions read whole texts. The model is that text; each worker builds the
-automata once. Many documents are parsed side by side with array operations, one character a
-step; the last few long ones are finished one by one.
+Training text is a documented, bounded sample. Every language is learned. Of each, the ``SAMPLE_DOCS``
+different labelled texts (those with a letter) with the smallest key hash share a budget of ``SAMPLE_CHARS`` characters (with
+more than ``SAMPLE_ALL / SAMPLE_CHARS`` languages, an equal part of ``SAMPLE_ALL`` each): all give an equal
+stretch at a place set by the hash, and what short texts leave over goes to the longer ones, so no text
+is a language's whole model while others wait. Predictions read whole texts. The model is that text; each
+worker builds the automata once. Many documents are parsed side by side with array operations, one
+character a step; the last few long ones are finished one by one.
 
 Characters: letters, lowered (where that gives several characters, the first); a run of anything
 else is one gap. Every letter of the labelled text has a code of its own, whatever the script and
@@ -32,9 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanfold.llm.common import fold, key_hash
+from spanfold.llm.common import fold, key_hash, written
 
-SAMPLE_DOCS, SAMPLE_CHARS, MAX_LANGS = 60, 30_000, 256
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_ALL = 60, 30_000, 7_680_000
+#: The sample's rows (numbers only) go to every task up to this many, beyond it they are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 UNKNOWN = "und"
 #: Documents are parsed side by side until fewer lanes than this are left.
 LANES = 256
@@ -51,18 +55,28 @@ def training_rows(id_col: str = "doc_id", lang_col: str = "lang"):
 
 def train(docs: DataFrame, rows, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, str]:
     """Labelled text per language from the rows of ``docs`` where ``rows`` holds."""
-    known = docs.where(rows & F.col(text_col).isNotNull())
-    common = known.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
-    first = Window.partitionBy("lang").orderBy("h", "id")
-    narrow = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), key_hash(F.col(id_col)).alias("h"))
-    chosen = narrow.join(F.broadcast(common.select("lang")), "lang", "left_semi").withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_DOCS)
-    picked = F.broadcast(chosen.select(F.col("id").alias("_picked"), "n", F.col("lang").alias("_lang")))  # at most SAMPLE_DOCS * MAX_LANGS rows
-    cond = F.col(id_col).eqNullSafe(F.col("_picked")) & (F.col(lang_col) == F.col("_lang"))
-    sample = known.join(picked, cond).select("_lang", "n", F.substring(text_col, 1, SAMPLE_CHARS).alias("text")).distinct()
+    text = F.col(text_col).cast("string")
+    known = docs.where(rows & text.rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), key_hash(F.col(id_col)).alias("h"), F.xxhash64(text).alias("t"), text.alias("text"))
+    # repeated rows are one text; only numbers are sorted here, and Spark cuts to the first ones before it shuffles
+    first = Window.partitionBy("lang").orderBy("h", "t")
+    chosen = known.select("lang", "h", "t", F.length("text").alias("size")).distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_DOCS)
+    chosen = written(chosen, "langid_choice")
+    held = chosen.agg(F.count("*").alias("rows"), F.count_distinct("lang").alias("langs")).first()
+    budget = max(1, min(SAMPLE_CHARS, SAMPLE_ALL // max(1, held["langs"])))
+    # by length: a text's even part of what the shorter ones left; the first one longer than that sets the level for the rest
+    whole, by_size = Window.partitionBy("lang"), Window.partitionBy("lang").orderBy("size", "n")
+    left = budget - F.coalesce(F.sum("size").over(by_size.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    even = F.floor(left / (F.count("*").over(whole) - F.row_number().over(by_size) + 1))
+    chosen = chosen.withColumn("even", even).withColumn("level", F.max(F.when(F.col("size") > F.col("even"), F.col("even"))).over(whole))
+    chosen = chosen.withColumn("take", F.least("size", F.coalesce("level", "size")).cast("int")).where("take > 0")
+    parts = chosen.select("lang", "h", "t", "n", "take", (F.pmod(F.col("h"), F.col("size") - F.col("take") + 1) + 1).cast("int").alias("at"))
+    if held["rows"] <= BROADCAST_ROWS:
+        parts = F.broadcast(parts)
+    sample = known.join(parts, ["lang", "h", "t"]).select("lang", "n", F.substring("text", F.col("at"), F.col("take")).alias("text")).distinct()
     texts: dict[str, list[str]] = {}
-    for r in sorted(sample.collect(), key=lambda r: (r["_lang"], r["n"], r["text"])):
-        texts.setdefault(r["_lang"], []).append(r["text"])
-    return {lang: "\n".join(t)[:SAMPLE_CHARS] for lang, t in sorted(texts.items())}
+    for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["n"], r["text"])):
+        texts.setdefault(r["lang"], []).append(r["text"])
+    return {lang: "\n".join(t) for lang, t in sorted(texts.items())}
 
 
 def _letters() -> np.ndarray:

@@ -208,6 +208,32 @@ def test_expected_counts_raise_likelihood():
     assert last > hmm.expected(random_model(hmm.STATES, hmm.CLASSES + 1), runs, lengths)[3]
 
 
+def test_expected_counts_are_of_whole_texts(monkeypatch):
+    """Cut into runs of any size, counts and likelihood equal those of the uncut texts."""
+    rng = np.random.default_rng(9)
+    model = random_model(4, 12)
+    texts = [rng.integers(0, 12, n) for n in (1, 2, 3, 5, 6, 7, 30, 31, 64, 200, 7, 6)]
+    padded, lengths = np.zeros((len(texts), 200), np.int64), np.array([len(t) for t in texts])
+    for row, t in zip(padded, texts, strict=True):
+        row[: len(t)] = t
+    want = hmm.expected(model, padded, lengths)
+    for run in (1, 2, 3, 8, 31, 128, 200, 1000):
+        monkeypatch.setattr(hmm, "RUN", run)
+        got = hmm.expected_of_texts(model, texts)
+        for g, w in zip(got, want, strict=True):
+            np.testing.assert_allclose(g, w, rtol=1e-9, atol=1e-9)
+    assert math.isclose(want[3], hmm.forward(model, np.ascontiguousarray(model.emit.T), texts).sum())
+    assert [x.sum() for x in hmm.expected_of_texts(model, [])[:3]] == [0.0, 0.0, 0.0]
+
+
+def test_counts_of_a_very_long_text():
+    model = random_model(hmm.STATES, hmm.CLASSES + 1)
+    text = np.random.default_rng(2).integers(0, hmm.CLASSES, 100_003)
+    starts, moves, emits, log = hmm.expected_of_texts(model, [text])
+    assert math.isclose(starts.sum(), 1) and math.isclose(moves.sum(), len(text) - 1) and math.isclose(emits.sum(), len(text))
+    assert math.isclose(log, float(hmm.forward(model, np.ascontiguousarray(model.emit.T), [text])[0]), rel_tol=1e-9)
+
+
 def test_lm_edges(spark, odd, monkeypatch):
     monkeypatch.setattr(hmm, "SHARD_KEYS", 2)
     monkeypatch.setattr(hmm, "CHUNK_BYTES", 10)
@@ -250,6 +276,24 @@ def test_rules_recover_planted_list():
     assert rules.learn(x, np.zeros(3000, bool), np.arange(3000) % 3 != 0) == []
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_rule_sample_is_the_smallest_hashes(spark, hot):
+    """Also where so many rows of one id stand behind the cut that too few are below it."""
+    h = F.when(F.col("id") % 10 < 9, F.lit((1 << 60) - 5)).otherwise(F.pmod(F.xxhash64("id"), F.lit(1 << 60))) if hot else F.pmod(F.xxhash64("id"), F.lit(1 << 60))
+    rows = spark.range(5000).select(h.alias("_h"), F.col("id").alias("_id"))
+    want = sorted((r["_h"], r["_id"]) for r in rows.collect())[:700]
+    assert [(r["_h"], r["_id"]) for r in rules._smallest(rows, 700).collect()] == want
+
+
+def test_disagreeing_labels_are_bad(spark):
+    docs = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" if k % 2 else f"w{k}!{j}" for j in range(60))) for k in range(400)], "doc_id long, text string")
+    stats = rules.statistics(docs, "doc_id", "text").cache()
+    labels = [(k, k % 2) for k in range(400)]
+    plain = rules.learn_from(stats, spark.createDataFrame(labels, "doc_id long, quality int"))
+    both = labels + [(k, 1) for k in range(0, 400, 2)] + [(None, 0), (3, None)]
+    assert plain and rules.learn_from(stats, spark.createDataFrame(both, "doc_id long, quality int").repartition(5)) == plain
+
+
 def test_rule_edges(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int")
     got = rules.quality_rules(odd, none).collect()
@@ -352,6 +396,27 @@ def test_langid_edges(spark, odd):
     assert langid.train(unlabelled, langid.training_rows()) == {}
 
 
+def test_sample_is_shared_and_no_language_is_left_out(spark, monkeypatch):
+    long = "".join(chr(97 + k % 26) for k in range(5000))
+    rows = [(1, long, "en"), (3, "short one", "en"), (5, "other text", "en"), (7, long[::-1], "en"), (7, long[::-1], "en")]
+    rows += [(None, "null id " * 4, "en"), (None, None, "en"), (9, " 1 2 3 ", "zz"), (11, "", "zz")]
+    rows += [(100 + k, f"text of language {k}", f"l{k:03d}") for k in range(0, 600, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "SAMPLE_CHARS", 1000)
+    model = langid.train(df, F.lit(True))
+    assert len(model) == 301 and "zz" not in model and model["l598"] == "text of language 598"
+    parts = sorted(model["en"].split("\n"), key=len)
+    assert parts[:3] == ["short one", "other text", "null id " * 4] and len(parts) == 5
+    # what the three short texts (51 characters) leave is dealt evenly to both long ones
+    assert [len(p) for p in parts[3:]] == [474, 474] and all(p in long or p in long[::-1] for p in parts[3:])
+    assert langid.train(df.repartition(7), F.lit(True)) == model
+    monkeypatch.setattr(langid, "BROADCAST_ROWS", 0)
+    assert langid.train(df, F.lit(True)) == model
+    monkeypatch.setattr(langid, "SAMPLE_ALL", 301 * 12)
+    small = langid.train(df, F.lit(True))
+    assert small.keys() == model.keys() and max(sum(map(len, t.split("\n"))) for t in small.values()) <= 12
+
+
 # ---------------------------------------------------------------------------- importance resampling
 def test_weights_match_brute_force(spark, docs, monkeypatch):
     part = docs.limit(40)
