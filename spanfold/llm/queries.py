@@ -176,8 +176,14 @@ WITH pieces AS (
     SELECT 1 FROM counts y WHERE y.lang = x.lang AND y.phrase <> x.phrase AND contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' ') AND 100 * y.f >= 100 * x.a)
 ), ranked AS (
   SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept
+), grown AS (
+  SELECT lang, array_to_string(string_split(phrase, ' ')[2:], ' ') AS phrase, 1 AS on_left FROM counts WHERE d > 2
+  UNION ALL SELECT lang, array_to_string(string_split(phrase, ' ')[:d - 1], ' '), 0 FROM counts WHERE d > 2
+), kinds AS (
+  SELECT lang, phrase, sum(on_left)::BIGINT AS left_kinds, sum(1 - on_left)::BIGINT AS right_kinds FROM grown GROUP BY ALL
 )
-SELECT * FROM ranked WHERE rank <= 2000
+SELECT r.*, coalesce(left_kinds, 0) AS left_kinds, coalesce(right_kinds, 0) AS right_kinds
+FROM ranked r LEFT JOIN kinds USING (lang, phrase) WHERE rank <= 2000
 """
 
 
