@@ -39,6 +39,8 @@ from spanfold.llm.common import fold, key_hash, written
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_ALL = 60, 30_000, 7_680_000
 #: The sample's rows (numbers only) go to every task up to this many, beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Parts of a language in which its first rows are looked for.
+PARTS = 64
 UNKNOWN = "und"
 #: Documents are parsed side by side until fewer lanes than this are left.
 LANES = 256
@@ -57,9 +59,11 @@ def train(docs: DataFrame, rows, id_col: str = "doc_id", text_col: str = "text",
     """Labelled text per language from the rows of ``docs`` where ``rows`` holds."""
     text = F.col(text_col).cast("string")
     known = docs.where(rows & text.rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), key_hash(F.col(id_col)).alias("h"), F.xxhash64(text).alias("t"), text.alias("text"))
-    # repeated rows are one text; only numbers are sorted here, and Spark cuts to the first ones before it shuffles
-    first = Window.partitionBy("lang").orderBy("h", "t")
-    chosen = known.select("lang", "h", "t", F.length("text").alias("size")).distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_DOCS)
+    # repeated rows are one text; only numbers are sorted here, first inside parts of a language, so that a frequent
+    # language isn't one task's
+    chosen = known.select("lang", "h", "t", F.length("text").alias("size")).distinct().withColumn("part", F.pmod("t", F.lit(PARTS)))
+    for keys in (("lang", "part"), ("lang",)):
+        chosen = chosen.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "t"))).where(F.col("n") <= SAMPLE_DOCS)
     chosen = written(chosen, "langid_choice")
     held = chosen.agg(F.count("*").alias("rows"), F.count_distinct("lang").alias("langs")).first()
     budget = max(1, min(SAMPLE_CHARS, SAMPLE_ALL // max(1, held["langs"])))
