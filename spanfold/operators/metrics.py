@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from spanfold.operators.spans import BLOCK, normalize_spans, split_blocks
 from spanfold.operators.tokens import overlap_join
-from spanfold.session import written
 
 #: Rows of a range of scores that one task ranks, and the most ranges.
-RANGE_ROWS, MAX_RANGES = 1 << 20, 4096
+RANGE_ROWS, MAX_RANGES = 1 << 20, 1024
 
 
 def prf_columns(n_pred: Column, n_gold: Column, n_inter: Column) -> list[Column]:
@@ -164,16 +163,14 @@ def classification_metrics(df: DataFrame, label: str = "label", score: str = "sc
     """F1, precision, recall, accuracy (score > threshold), ROC-AUC (average ranks), MSE; rows without
     label or score (null or NaN) don't count.
 
-    Everything follows from one table, a row per distinct score with its counts, which is written once
-    (the input is derived once). AUC is the Mann-Whitney statistic from average ranks, see ``score_ranks``.
+    Everything follows from one table, a row per distinct score with its counts. AUC is the Mann-Whitney statistic from average ranks, see ``score_ranks``.
     """
     d = df.select(F.col(label).cast("int").alias("y"), F.col(score).cast("double").alias("s"))
     missed = (F.col("s") - F.col("y")) * (F.col("s") - F.col("y"))
     ties = d.groupBy("s").agg(
         F.count("y").alias("c"), F.sum("y").alias("pos"), F.count_if(F.col("y") == 1).alias("c1"), F.count_if(F.col("y") == 0).alias("c0"), F.sum(missed).alias("err")
     )
-    # the filter comes after the written table, as one before it would derive the score a second time
-    ranks = score_ranks(written(ties, "score_ties").where("c > 0 and s is not null and not isnan(s)"))
+    ranks = score_ranks(ties.where("c > 0 and s is not null and not isnan(s)"))
     said = F.col("s") > F.lit(threshold)
 
     def total(name, when=None):
@@ -201,17 +198,19 @@ def score_ranges(ties: DataFrame, rows: int | None = None) -> DataFrame:
     """``ties`` (a row per distinct score ``s``) with ``b``, the number of its range of scores.
 
     The splitters are even quantiles of the distinct scores, from Spark's mergeable quantile sketch
-    at sixteen times the resolution of a range, so ranges hold about equally many rows however the
+    at sixteen times the resolution of the finest ranges (one pass, with the count), so ranges hold about equally many rows however the
     scores lie. There are a power of two of them, of about ``rows`` (``RANGE_ROWS``) rows and ``MAX_RANGES`` at most;
     a row finds its range by binary search in the list of splitters."""
-    n, rows = ties.count(), rows or RANGE_ROWS
+    rows = rows or RANGE_ROWS
+    sketch = F.percentile_approx("s", [k / MAX_RANGES for k in range(1, MAX_RANGES)], 16 * MAX_RANGES)
+    n, finest = ties.agg(F.count("*"), sketch).first()
     ranges = 1
     while ranges < MAX_RANGES and ranges * rows < n:
         ranges *= 2
     if ranges == 1:
         return ties.withColumn("b", F.lit(0))
-    shares = [k / ranges for k in range(1, ranges)]
-    cuts = ties.agg(F.percentile_approx("s", shares, 16 * ranges)).first()[0]
+    each = MAX_RANGES // ranges
+    cuts = finest[each - 1 :: each]
     limits = F.array(*map(F.lit, cuts))
     steps = F.array(*[F.lit(1 << j) for j in reversed(range(ranges.bit_length() - 1))])
     b = F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.element_at(limits, low + step) < F.col("s"), low + step).otherwise(low))

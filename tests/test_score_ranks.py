@@ -66,16 +66,3 @@ def test_rows_without_label_or_score_do_not_count(spark):
     assert none["f1"] == 0.0 and none["roc_auc"] is None and none["mse"] is None
     one = M.classification_metrics(spark.createDataFrame([(0.1, 0)], "score double, label int")).first()
     assert one["accuracy"] == 1.0 and one["roc_auc"] is None
-
-
-def test_input_is_read_once(spark):
-    reads = spark.sparkContext.accumulator(0)
-
-    @F.udf("double")
-    def seen(x):
-        reads.add(1)
-        return x
-
-    df = frame(spark, crowded(300), np.arange(300) % 2).select(seen("score").alias("score"), "label")
-    M.classification_metrics(df).collect()
-    assert reads.value == 300
