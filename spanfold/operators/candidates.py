@@ -101,13 +101,24 @@ def answer_rows(token_scores: DataFrame, null_score, style: str = "token_spans",
     the per-window rows: the window's valid (start, end) pairs (at most n_best^2) are built
     on its own row and exploded once together with the null marker, so the token
     pipeline below runs once."""
-    keys = ["doc_id", "window_id"]
     top = window_top(window_tokens(token_scores, max_length, stride), n_best)
-    pairs = F.flatten(F.transform("starts", lambda s_: F.transform("ends", lambda e_: F.struct(F.lit(1).alias("k"), s_.alias("s"), e_.alias("e")))))
-    pairs = F.filter(pairs, lambda x: (x["e"]["tok"] >= x["s"]["tok"]) & (x["e"]["tok"] - x["s"]["tok"] + 1 <= max_answer_length))
+    return rows_of_windows(top, null_score, style, max_answer_length)
+
+
+def valid_pairs(starts: str, ends: str, max_answer_length: int = 30) -> Column:
+    """The (start, end) pairs of a window's top arrays with ``end >= start`` and at most
+    ``max_answer_length`` tokens, as an array of ``struct(k = 1, s, e)``."""
+    pairs = F.flatten(F.transform(starts, lambda s_: F.transform(ends, lambda e_: F.struct(F.lit(1).alias("k"), s_.alias("s"), e_.alias("e")))))
+    return F.filter(pairs, lambda x: (x["e"]["tok"] >= x["s"]["tok"]) & (x["e"]["tok"] - x["s"]["tok"] + 1 <= max_answer_length))
+
+
+def rows_of_windows(top: DataFrame, null_score, style: str = "token_spans", max_answer_length: int = 30, carry=()) -> DataFrame:
+    """Candidates and one null answer per row of :func:`window_top` (see :func:`answer_rows`);
+    ``null_score`` may use the keys and the ``carry`` columns, which stay in the output."""
+    keys = ["doc_id", "window_id", *carry]
     marker = F.array(F.struct(F.lit(0).alias("k"), F.lit(None).cast(top.schema["starts"].dataType.elementType).alias("s"),
                               F.lit(None).cast(top.schema["ends"].dataType.elementType).alias("e")))
-    x = top.select(*keys, F.explode(F.concat(marker, pairs)).alias("x"))
+    x = top.select(*keys, F.explode(F.concat(marker, valid_pairs("starts", "ends", max_answer_length))).alias("x"))
     p = x.select(
         *keys, F.col("x.k").alias("_kind"),
         F.col("x.s.tok").alias("start_tok"), F.col("x.e.tok").alias("end_tok"),

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from spanfold.functions.text import LEXICON, MASK_TOKEN, sigmoid
 from spanfold.operators import attribution as A
 from spanfold.operators import blackbox as B
+from spanfold.operators import candidates as K
 from spanfold.operators import cleaning as C
 from spanfold.operators import ensemble as E
 from spanfold.operators import metrics as M
 from spanfold.operators import modeling as ML
+from spanfold.operators import span_model as N
 from spanfold.operators import spans as S
 from spanfold.operators import tagger as G
 from spanfold.operators import tokens as T
@@ -21,7 +23,7 @@ from spanfold.plans.q_candidates import WIN_CTES
 from spanfold.plans.q_spans import CLEAN_CTES
 from spanfold.plans.q_tokens import VEC_CTES
 from spanfold.plans.registry import register
-from spanfold.session import scratch_path
+from spanfold.session import scratch_path, written
 from spanfold.sources import span_files as SF
 from spanfold.sources import tables
 
@@ -498,21 +500,34 @@ def q_sequence_tagger(spark, sf_dir):
     return G.tag(G.fit(spark.read.parquet(path)), X.docs(spark, sf_dir))
 
 
+def span_frames(spark, sf_dir):
+    """Flagged token features of every document with ``split``, and the documents with theirs."""
+    feats, gold = _token_frame(spark, sf_dir)
+    return N.answer_flags(feats, gold), ML.train_val_split(X.docs(spark, sf_dir).select("doc_id"), 0.8)
+
+
+def fit_span_model(feats):
+    """Token models on the train split; a keyed fifth of its documents is kept for the null answer's cut.
+
+    The split's features are written once: three models go over them, each several times."""
+    part = ML.keyed_uniform(F.col("doc_id"), F.lit(1)) < ML.HASH_MOD // 5
+    train = feats.where(F.col("split") == "train").select("doc_id", "tok_idx", "start", "end", "f_w", "f_prev", "f_next", "f_shape", "is_start", "is_end")
+    return N.fit(written(train, "span_features"), part)
+
+
 @register("span_scorer", None)
 def q_span_scorer(spark, sf_dir):
-    """Two token models (span start, span end) -> start/end logits -> n-best -> best answer per document."""
-    from spanfold.operators import candidates as K
-
-    feats, gold = _token_frame(spark, sf_dir)
-    gs = gold.select("doc_id", "start", F.lit(1).alias("is_start"))
-    ge = gold.select("doc_id", "end", F.lit(1).alias("is_end"))
-    f = feats.join(gs, ["doc_id", "start"], "left").join(ge, ["doc_id", "end"], "left")
-    f = f.withColumn("is_start", F.coalesce("is_start", F.lit(0))).withColumn("is_end", F.coalesce("is_end", F.lit(0)))
-    train = f.where(F.col("split") == "train")
-    ms = ML.fit_token_model(train, "is_start")
-    me = ML.fit_token_model(train, "is_end")
-    scored = ML.apply_token_model(me, ML.apply_token_model(ms, f, "s"), "e")
-    ts = scored.select("doc_id", "tok_idx", "start", "end", F.col("s_logit").alias("start_logit"), F.col("e_logit").alias("end_logit"), F.lit(0.0).alias("logit1"))
-    rows = K.answer_rows(ts, F.lit(None).cast("double"), "multi")
-    r = K.rank_candidates(rows, X.docs(spark, sf_dir).select("doc_id"))
-    return K.topk_answers(r, 1).select("doc_id", "rank", "start", "end", "score")
+    """Start, end and null models -> n-best by margin over the window's null answer -> best answer per document."""
+    feats, docs = span_frames(spark, sf_dir)
+    flags = ("is_start", "is_end", "label", "split")
+    ranked = N.answers(fit_span_model(feats), feats.drop(*flags), docs)
+    return K.topk_answers(ranked, 1).select("doc_id", "rank", "start", "end", "score").join(docs, "doc_id")
+
+
+@register("span_null_scores", None)
+def q_span_null_scores(spark, sf_dir):
+    """Per window the learned null answer's score beside the best span's, and whether the window holds a gold range."""
+    feats, _ = span_frames(spark, sf_dir)
+    model = fit_span_model(feats)
+    w = N.null_scores(model, N.window_summaries(N.token_logits(model.start, model.end, feats)))
+    return w.select("doc_id", "window_id", "n_tokens", "best", "null_score", "answered")
