@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanfold.functions.text import sigmoid
+from spanfold.operators import rowlocal
 from spanfold.operators.spans import normalize_spans, split_blocks
 from spanfold.operators.tokens import window_tokens
 
@@ -49,6 +50,14 @@ def window_top(wt: DataFrame, n_best: int = 20, keys=("doc_id", "window_id"), ex
     return g
 
 
+def window_tops(token_scores: DataFrame, max_length: int = 384, stride: int = 128, n_best: int = 20, in_order: bool = False) -> DataFrame:
+    """:func:`window_top` of every overlapping window. ``in_order``: the scores come straight from the
+    row-local tokenizer, so windows are cut where the text was read and no token is shuffled."""
+    if in_order:
+        return rowlocal.window_top(token_scores, max_length, stride, n_best)
+    return window_top(window_tokens(token_scores, max_length, stride), n_best)
+
+
 def pairs_from_top(top: DataFrame, max_answer_length: int = 30, keys=("doc_id", "window_id"), extra=()) -> DataFrame:
     """The window's start x end candidates (at most n_best^2, expanded in place) with
     ``end >= start`` and at most ``max_answer_length`` tokens."""
@@ -84,24 +93,24 @@ def score_pairs(p: DataFrame, style: str = "token_spans") -> DataFrame:
 
 
 def nbest_spans(token_scores: DataFrame, style: str = "token_spans", max_length: int = 384, stride: int = 128,
-                n_best: int = 20, max_answer_length: int = 30) -> DataFrame:
+                n_best: int = 20, max_answer_length: int = 30, in_order: bool = False) -> DataFrame:
     """Scored candidates ``(doc_id, window_id, start_tok, end_tok, start, end, start_rank, end_rank, score[, qa_score, token_score])``.
 
     One linear pipeline: window tokens -> per-window top starts/ends (bounded arrays)
-    -> pairs expanded in place -> scores.
+    -> pairs expanded in place -> scores. ``in_order``: see :func:`window_tops`.
     """
-    top = window_top(window_tokens(token_scores, max_length, stride), n_best)
+    top = window_tops(token_scores, max_length, stride, n_best, in_order)
     return score_pairs(pairs_from_top(top, max_answer_length), style).drop("cum_s", "cum_e", "val_s")
 
 
 def answer_rows(token_scores: DataFrame, null_score, style: str = "token_spans", max_length: int = 384, stride: int = 128,
-                n_best: int = 20, max_answer_length: int = 30) -> DataFrame:
+                n_best: int = 20, max_answer_length: int = 30, in_order: bool = False) -> DataFrame:
     """Candidates (``_kind`` 1) and one null answer per window (``_kind`` 0, score =
     ``null_score(doc_id, window_id)``, e.g. start[CLS] + end[CLS]) from one generator over
     the per-window rows: the window's valid (start, end) pairs (at most n_best^2) are built
     on its own row and exploded once together with the null marker, so the token
-    pipeline below runs once."""
-    top = window_top(window_tokens(token_scores, max_length, stride), n_best)
+    pipeline below runs once. ``in_order``: see :func:`window_tops`."""
+    top = window_tops(token_scores, max_length, stride, n_best, in_order)
     return rows_of_windows(top, null_score, style, max_answer_length)
 
 

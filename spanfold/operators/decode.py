@@ -30,13 +30,13 @@ def decode_masked(tokens: DataFrame, mask: Column, pred: str = "pred", keys=("do
 
 
 def decode_gap_fill(tokens: DataFrame, pred: str = "pred", keys=("doc_id",)) -> DataFrame:
-    """A toxic token adds its range; when the previous token is toxic too, the gap between
-    them (whitespace, punctuation) is added as well."""
+    """A toxic token adds its range; when the previous token (``tok_idx`` less one) is toxic too, the gap
+    between them (whitespace, punctuation) is added as well. Only the toxic tokens are shuffled."""
     keys = list(keys)
     w = Window.partitionBy(*keys).orderBy("tok_idx")
-    t = tokens.withColumn("_pp", F.lag(pred).over(w)).withColumn("_pe", F.lag("end").over(w))
-    t = t.where(F.col(pred) == 1)
-    start = F.when(F.col("_pp") == 1, F.least(F.col("_pe"), F.col("start"))).otherwise(F.col("start"))
+    t = tokens.where(F.col(pred) == 1).select(*keys, "tok_idx", "start", "end")
+    t = t.withColumn("_pi", F.lag("tok_idx").over(w)).withColumn("_pe", F.lag("end").over(w))
+    start = F.when(F.col("_pi") == F.col("tok_idx") - 1, F.least(F.col("_pe"), F.col("start"))).otherwise(F.col("start"))
     return normalize_spans(t.select(*keys, start.alias("start"), F.col("end")), keys)
 
 

@@ -55,9 +55,13 @@ def _ctx(spark, sf_dir):
     return t, X.token_scores_from_tokens(t)
 
 
+def _ordered_scores(spark, sf_dir):
+    """Token scores as the row-local tokenizer leaves them: documents whole and in order, nothing shuffled."""
+    return X.token_scores_from_tokens(X.tokens(spark, sf_dir))
+
+
 def _cands(spark, sf_dir):
-    t, s = _ctx(spark, sf_dir)
-    return K.nbest_spans(s, "token_spans", L, STRIDE, NBEST, MAXLEN_ANS)
+    return K.nbest_spans(_ordered_scores(spark, sf_dir), "token_spans", L, STRIDE, NBEST, MAXLEN_ANS, in_order=True)
 
 
 def cls_null_score() -> F.Column:
@@ -69,8 +73,7 @@ def cls_null_score() -> F.Column:
 
 
 def _ranked(spark, sf_dir):
-    t, s = _ctx(spark, sf_dir)
-    rows = K.answer_rows(s, cls_null_score(), "token_spans", L, STRIDE, NBEST, MAXLEN_ANS)
+    rows = K.answer_rows(_ordered_scores(spark, sf_dir), cls_null_score(), "token_spans", L, STRIDE, NBEST, MAXLEN_ANS, in_order=True)
     return K.rank_candidates(rows, X.docs(spark, sf_dir).select("doc_id"))
 
 
@@ -192,9 +195,7 @@ tuned AS (SELECT k, k / 99.0 AS threshold, mean_f1,
 
 
 def _tuned(spark, sf_dir):
-    _, s = _ctx(spark, sf_dir)
-    c = K.nbest_spans(s, "token_spans", L, STRIDE, NBEST, MAXLEN_ANS)
-    # gold needs no window over tokens, so its branch stays row-local; the sweep merges it
+    c = _cands(spark, sf_dir)
     gold = X.spans(spark, sf_dir).where(F.col("source") == "gold").select("doc_id", "start", "end")
     return K.tune_score_threshold(c, gold, X.docs(spark, sf_dir), 100)
 

@@ -38,8 +38,7 @@ ef AS (SELECT *, CASE WHEN score_dec > 0.2 THEN 1 ELSE 0 END AS flagged FROM ed)
 
 
 def _erasure(spark, sf_dir):
-    t = X.tokens(spark, sf_dir, "window")
-    return A.erasure_scores(t, F.col("hit").cast("int"), lambda h: h / (h + F.lit(1.0)))
+    return A.erasure_scores(X.tokens(spark, sf_dir), F.col("hit").cast("int"), lambda h: h / (h + F.lit(1.0)), in_order=True)
 
 
 @register(
