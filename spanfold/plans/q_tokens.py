@@ -11,6 +11,7 @@ from spanfold.operators import joins as J
 from spanfold.operators import metrics as M
 from spanfold.operators import spans as S
 from spanfold.operators import tokens as T
+from spanfold.operators import vectors as V
 from spanfold.operators.modeling import keyed_uniform_sql, train_val_split
 from spanfold.plans import fixtures as X
 from spanfold.plans.oracle import DOC_PRF_CTES, islands, prf_sql, with_base
@@ -336,6 +337,12 @@ def q_vector_lookup(spark, sf_dir):
     return _token_vectors(spark, sf_dir).select("doc_id", "tok_idx", F.col("norm").alias("vec_norm"))
 
 
+@register("word_vectors", None)
+def q_word_vectors(spark, sf_dir):
+    """Vectors of the corpus' words (20 co-occurrences and more) by shifted PPMI and randomised factorisation."""
+    return V.word_vectors(V.shifted_ppmi(V.cooccurrences(X.docs(spark, sf_dir))))
+
+
 @register(
     "importance_norm",
     with_base(VEC_CTES, "SELECT doc_id, tok_idx, round(CASE WHEN sum(norm) OVER (PARTITION BY doc_id) > 0 THEN norm / sum(norm) OVER (PARTITION BY doc_id) ELSE 0 END, 6) AS weight FROM tv"),

@@ -45,7 +45,7 @@ def test_tokenizer_runs_once_per_branch(plans):
 WRITING = {
     "read_span_csv", "read_predictions", "write_clean", "load_splits", "saved_threshold", "vocab_build", "vocab_lookup", "vector_lookup", "importance_norm",
     "span_report", "span_report_html", "mean_importance", "text_to_sequence", "pad_sequence", "param_cross", "doc_classifier", "token_tagger", "span_scorer", "erasure_classifier",
-    "sequence_tagger", "surrogate_classifier", "span_null_scores",
+    "sequence_tagger", "surrogate_classifier", "span_null_scores", "word_vectors",
 }
 
 
