@@ -10,9 +10,11 @@ known words and one unknown word per class, its size is fixed, and its word coun
    (sorted), their counts in training documents and classes, and the texts as indexes into them.
 2. ``count`` sends each chunk's hashes to shards by hash range (a chunk holds a word once, so no word
    is hot), sums counts over all chunks and returns them to the chunks.
-3. ``train``: start values come from a bounded sample (about ``START_TOKENS`` tokens of documents
-   chosen by hash); then ``ROUNDS`` Baum-Welch rounds over all training documents, each a pass in
-   which every task adds up expected counts, summed over tasks by Spark (states x classes numbers).
+3. ``train``: the states start from farthest-first texts, each chosen among all training texts (a
+   pass in which every task proposes its text that the states so far fit worst); then
+   Baum-Welch rounds over all training documents, each a pass in which every task adds up expected
+   counts, summed over tasks by Spark (states x classes numbers): ``ROUNDS`` and more, up to
+   ``START_ROUNDS`` more, while a round raises the mean log likelihood of a token by ``GAIN``.
    The counts are those of whole texts. To keep memory small and arrays wide, a text is laid out in
    runs of ``RUN`` tokens side by side: each run's products of transitions and emissions (states x
    states) give what is known before and after it, in one short pass over the runs each way; then
@@ -44,7 +46,9 @@ from spanfold.llm.words import _BYTE, hashed_words, scramble, text_bytes
 STATES, CLASSES, ROUNDS, RUN = 8, 4096, 2, 128
 CHUNK_BYTES = 1 << 23
 SHARD_KEYS = 2_000_000
-START_TOKENS, START_ROUNDS = 300_000, 10
+START_ROUNDS, GAIN = 10, 0.01
+#: Texts with fewer tokens start a state only where no text has as many.
+SEED_TOKENS = 50
 #: Weight, in tokens, of the overall class distribution in each state's emissions.
 PRIOR = 200.0
 ADD = 0.1
@@ -304,22 +308,50 @@ def _blocks(parts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, n
         yield rows, padded, lengths
 
 
-def first_model(sequences: list[np.ndarray], share: np.ndarray) -> Model:
-    """Start values: farthest-first seed texts, then Baum-Welch on the sample."""
+def worst_fit(sequences: list[np.ndarray], ids: list[int], logs: np.ndarray) -> tuple[tuple, int] | None:
+    """(key, place) of the sequence that the states so far (rows of ``logs``: log weights of the classes) fit worst, by
+    the best state's mean weight of a token; sequences of ``SEED_TOKENS`` come before shorter ones, then the smaller id."""
+    if not sequences:
+        return None
+    sizes = np.array([len(s) for s in sequences])
+    flat, first = np.concatenate(sequences), np.cumsum(sizes) - sizes
+    fit = np.full(len(sizes), -np.inf) if len(logs) else np.zeros(len(sizes))
+    for row in logs:
+        fit = np.maximum(fit, np.add.reduceat(row[flat], first) / sizes)
+    fit, short = np.round(fit, 9), sizes < SEED_TOKENS
+    k = int(np.lexsort((ids, fit, short))[0])
+    return (bool(short[k]), float(fit[k]), int(ids[k])), k
+
+
+def first_model(texts: DataFrame, share: np.ndarray) -> Model:
+    """Start values: each state's emissions from a seed text, the farthest from the states before it of all training texts."""
     emit = np.tile(share, (STATES, 1))
-    long = [s for s in sequences if len(s) >= 50] or sequences
-    fit = np.full(len(long), -np.inf)
-    for k in range(STATES if long else 0):
-        if k:
-            fit = np.maximum(fit, [np.log(emit[k - 1][s]).mean() for s in long])
-        seed = long[int(fit.argmin())] if k else long[0]
-        emit[k] = np.bincount(seed, minlength=len(share)) + 20.0 * share
+
+    def propose(logs: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = None
+            for batch in batches:
+                for r in batch.to_pylist():
+                    sequences = _training(r)
+                    ids = [i or 0 for i, held in zip(r["doc_ids"], r["held"], strict=True) if not held]
+                    found = worst_fit(sequences, ids, logs)
+                    if found and (best is None or found[0] < best[0]):
+                        best = found[0], np.bincount(sequences[found[1]], minlength=CLASSES + 1)
+            if best:
+                (short, fit, one), counts = best
+                yield pa.RecordBatch.from_arrays([pa.array([short]), pa.array([fit]), pa.array([one], pa.int64()), pa.array([counts], pa.list_(pa.int64()))], names=["short", "fit", "id", "counts"])
+
+        return run
+
+    for k in range(STATES):
+        proposed = texts.mapInArrow(propose(np.log(emit[:k])), "short boolean, fit double, id long, counts array<long>")
+        seed = proposed.agg(F.min(F.struct("short", "fit", "id", "counts")).alias("s")).first()["s"]
+        if seed is None:  # no training text
+            break
+        emit[k] = np.array(seed["counts"]) + 20.0 * share
         emit[k] /= emit[k].sum()
     near = np.full((STATES, STATES), 0.05 / max(1, STATES - 1)) + (0.95 - 0.05 / max(1, STATES - 1)) * np.eye(STATES)
-    model = Model(np.full(STATES, 1 / STATES), near / near.sum(axis=1, keepdims=True), emit)
-    for _ in range(START_ROUNDS if long else 0):
-        model = reestimate(*expected_of_texts(model, sequences)[:3], share)
-    return model
+    return Model(np.full(STATES, 1 / STATES), near / near.sum(axis=1, keepdims=True), emit)
 
 
 def _training(r: dict) -> list[np.ndarray]:
@@ -336,23 +368,16 @@ def _training(r: dict) -> list[np.ndarray]:
 _TEXTS = ("doc_ids", "held", "ends", "codes", "classes", "n_keys")
 
 
-def train(chunks: DataFrame, share: np.ndarray, n_tokens: int) -> Model:
-    """The model after ``ROUNDS`` rounds over all training texts."""
-    rate = min(1.0, START_TOKENS / max(1, n_tokens))
-
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                ids = [i for i, held in zip(r["doc_ids"], r["held"], strict=True) if not held]
-                chosen = [(i or 0, s.astype(np.uint16).tobytes()) for i, s in zip(ids, _training(r), strict=True) if zlib.crc32(b"start %d" % (i or 0)) < rate * 2**32]
-                yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in chosen], pa.int64()), pa.array([c[1] for c in chosen], pa.binary())], names=["id", "classes"])
+def train(chunks: DataFrame, share: np.ndarray) -> Model:
+    """The model after Baum-Welch rounds over all training texts (how many: see above)."""
 
     def collect(model: Model):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = [np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, CLASSES + 1))]
+            sums = [np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, CLASSES + 1)), np.zeros(1)]
             for batch in batches:
                 for r in batch.to_pylist():
-                    for total, part in zip(sums, expected_of_texts(model, _training(r))[:3], strict=True):
+                    *parts, log = expected_of_texts(model, _training(r))
+                    for total, part in zip(sums, (*parts, log), strict=True):
                         total += part
             flat = np.concatenate([s.ravel() for s in sums])
             at = np.flatnonzero(flat)
@@ -361,14 +386,19 @@ def train(chunks: DataFrame, share: np.ndarray, n_tokens: int) -> Model:
         return run
 
     texts = chunks.select(*_TEXTS)
-    picked = sorted((r["id"], r["classes"]) for r in texts.mapInArrow(sample, "id long, classes binary").collect())
-    model = first_model([np.frombuffer(c, np.uint16).astype(np.int64) for _, c in picked], share)
-    for _ in range(ROUNDS):
+    model = first_model(texts, share)
+    last = -np.inf
+    for done in range(START_ROUNDS + ROUNDS):
         rows = texts.mapInArrow(collect(model), "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).collect()
-        flat = np.zeros(STATES + STATES * STATES + STATES * (CLASSES + 1))
+        flat = np.zeros(STATES + STATES * STATES + STATES * (CLASSES + 1) + 1)
         flat[[r["at"] for r in rows]] = [round(r["n"], 6) for r in rows]
         a, b = STATES, STATES + STATES * STATES
-        model = reestimate(flat[:a], flat[a:b].reshape(STATES, STATES), flat[b:].reshape(STATES, -1), share)
+        emits = flat[b:-1].reshape(STATES, -1)
+        model = reestimate(flat[:a], flat[a:b].reshape(STATES, STATES), emits, share)
+        mean = flat[-1] / max(1.0, emits.sum())  # of the model that this round began with
+        if done + 1 >= ROUNDS and mean - last < GAIN:
+            break
+        last = mean
     return model
 
 
@@ -403,11 +433,10 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     tokens, words = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in by_class.groupBy("c").agg(F.sum("x.class_tokens").alias("t"), F.sum("x.class_words").alias("w")).collect():
         tokens[r["c"]], words[r["c"]] = r["t"], r["w"]
-    trained = chunks.agg(F.sum(F.size(F.filter("held", lambda h: ~h))), F.sum("n_tokens")).first()
-    ends, n_tokens = int(trained[0] or 0), int(trained[1] or 0)
+    ends = int(chunks.agg(F.sum(F.size(F.filter("held", lambda h: ~h)))).first()[0] or 0)
     n, v = int(tokens.sum()) + ends, int(words.sum()) + (ends > 0)
     mass = np.append(tokens + ADD * (words + 1), ends + 2 * ADD)
-    model = train(chunks, mass / mass.sum(), n_tokens)
+    model = train(chunks, mass / mass.sum())
     emit = np.ascontiguousarray((model.emit / mass).T)
     end_log, log_all = np.log10(ends + ADD), np.log10(n + ADD * (v + 1))
 
