@@ -50,11 +50,12 @@ def window_top(wt: DataFrame, n_best: int = 20, keys=("doc_id", "window_id"), ex
     return g
 
 
-def window_tops(token_scores: DataFrame, max_length: int = 384, stride: int = 128, n_best: int = 20, in_order: bool = False) -> DataFrame:
+def window_tops(token_scores: DataFrame, max_length: int = 384, stride: int = 128, n_best: int = 20, in_order: bool = False, by_key: bool = False) -> DataFrame:
     """:func:`window_top` of every overlapping window. ``in_order``: the scores come straight from the
-    row-local tokenizer, so windows are cut where the text was read and no token is shuffled."""
+    row-local tokenizer, so windows are cut where the text was read and no token is shuffled. ``by_key``:
+    besides, texts of one id lie next to each other and share its windows."""
     if in_order:
-        return rowlocal.window_top(token_scores, max_length, stride, n_best)
+        return rowlocal.window_top(token_scores, max_length, stride, n_best, by_key=by_key)
     return window_top(window_tokens(token_scores, max_length, stride), n_best)
 
 
@@ -74,10 +75,11 @@ def pairs_from_top(top: DataFrame, max_answer_length: int = 30, keys=("doc_id",
     )
 
 
-def nbest_pairs(wt: DataFrame, n_best: int = 20, max_answer_length: int = 30, keys=("doc_id", "window_id")) -> DataFrame:
+def nbest_pairs(token_scores: DataFrame, n_best: int = 20, max_answer_length: int = 30, max_length: int = 384, stride: int = 128,
+                in_order: bool = False, by_key: bool = False) -> DataFrame:
     """Top starts x top ends of each window with ``end >= start`` and at most
-    ``max_answer_length`` tokens; at most ``n_best``^2 pairs per window."""
-    return pairs_from_top(window_top(wt, n_best, keys), max_answer_length, keys)
+    ``max_answer_length`` tokens; at most ``n_best``^2 pairs per window. ``in_order``, ``by_key``: see :func:`window_tops`."""
+    return pairs_from_top(window_tops(token_scores, max_length, stride, n_best, in_order, by_key), max_answer_length)
 
 
 def score_pairs(p: DataFrame, style: str = "token_spans") -> DataFrame:

@@ -127,8 +127,9 @@ def q_topk_logits(spark, sf_dir):
 
 @register("nbest_pairs", with_base(WIN_CTES, "SELECT doc_id, window_id, start_tok, end_tok FROM pairs"))
 def q_nbest_pairs(spark, sf_dir):
-    _, s = _ctx(spark, sf_dir)
-    return K.nbest_pairs(T.window_tokens(s, L, STRIDE), NBEST, MAXLEN_ANS).select("doc_id", "window_id", "start_tok", "end_tok")
+    """The texts are gathered by id, since those of one id share its windows; no token is shuffled."""
+    s = X.token_scores_from_tokens(X.tokens(spark, sf_dir, "gathered"))
+    return K.nbest_pairs(s, NBEST, MAXLEN_ANS, L, STRIDE, in_order=True, by_key=True).select("doc_id", "window_id", "start_tok", "end_tok")
 
 
 @register(

@@ -74,6 +74,29 @@ def test_neighbouring_documents_with_one_id(spark, batch):
     assert [r["total"] for r in R.document_sum(s, "logit1", "total").collect()] == [2.0, 2.0, 3.0, 3.0, 3.0]
 
 
+def test_texts_of_one_id_share_its_windows(spark, batch):
+    """Repeated and null ids (null logits) give the window form's pairs: tokens of equal number tie."""
+    rng = random.Random(3)
+    rows = []
+    for doc, sizes in ((1, (31, 31, 4)), (None, (9, 17)), (2, (1,)), (3, (40,)), (4, (12, 12))):
+        logits = [(None,) * 3 if doc is None else tuple(rng.choice([-1.0, 0.5, rng.uniform(-3, 3)]) for _ in range(3)) for _ in range(max(sizes))]
+        rows += [(doc, turn, i, 6 * i, 6 * i + 4, *logits[i]) for turn, n in enumerate(sizes) for i in range(n)]
+    s = spark.createDataFrame(rows, "doc_id long, turn long, tok_idx long, start long, end long, start_logit double, end_logit double, logit1 double")
+    s = s.repartition(3, "doc_id").sortWithinPartitions("doc_id", "turn", "tok_idx").drop("turn")
+    cols = ("doc_id", "window_id", "start_tok", "end_tok", "start_rank", "end_rank")
+    listed = lambda pairs: sorted(map(str, pairs.select(*cols).collect()))
+    for length, stride, n_best in ((10, 4, 3), (8, 0, 20), (400, 128, 5)):
+        want = listed(K.nbest_pairs(s, n_best, 6, length, stride))
+        assert want and listed(K.nbest_pairs(s, n_best, 6, length, stride, in_order=True, by_key=True)) == want
+    empty = s.where("false")
+    assert K.nbest_pairs(empty, in_order=True, by_key=True).collect() == []
+
+
+def test_nbest_pairs_shuffle_texts_only(spark):
+    plan = E.queries()["nbest_pairs"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange") == 1 and "hashpartitioning(doc_id" in plan
+
+
 @pytest.mark.parametrize("name", ["nbest_spans", "erasure_scores"])
 def test_no_token_is_shuffled(spark, name):
     plan = E.queries()[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
