@@ -88,7 +88,7 @@ def test_neighbours_and_borders(spark, batch):
             assert r["covered"] == (len(w) * (1 + (i == -1)) if k % 3 == 1 else 0)
 
 
-@pytest.mark.parametrize("name", ["token_f1", "smoothed_ce", "tune_token_threshold", "ignore_mask"])
+@pytest.mark.parametrize("name", ["token_f1", "smoothed_ce", "tune_token_threshold", "ignore_mask", "plain_losses"])
 def test_no_token_is_shuffled(spark, name):
     plan = E.queries()[name](spark, SF001)._jdf.queryExecution().sparkPlan().toString()
     full = E.queries()[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
