@@ -260,8 +260,9 @@ FROM bnd b JOIN wb w USING (doc_id)""",
 )
 def q_window_answer_positions(spark, sf_dir):
     """One feature per (gold run, window): answer token positions in the window, CLS (0) when not held."""
-    t = X.tokens(spark, sf_dir)
-    return K.window_answer_positions(_gold(t), t.select("doc_id", "tok_idx", "start", "end"), T.strided_windows(t, L, STRIDE))
+    gold = _gold(X.tokens(spark, sf_dir))
+    t = X.tokens(spark, sf_dir, of=gold)  # documents without a run have no feature
+    return K.window_answer_positions(gold, t.select("doc_id", "tok_idx", "start", "end"), T.strided_windows(t, L, STRIDE))
 
 
 @register(
