@@ -52,7 +52,7 @@ def test_words_of_pieces(tokens):
     assert key(A.words_from_pieces(some, in_order=True)) == key(A.words_from_pieces(some))
 
 
-@pytest.mark.parametrize("name", ["words_from_pieces"])
+@pytest.mark.parametrize("name", ["erasure_ablations", "words_from_pieces"])
 def test_no_word_is_shuffled(spark, name):
     plan = E.queries()[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"Window \[[^\]]*tok_idx", plan) and plan.count("Exchange") <= 1
